@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..operators import clean as CL
+from ..operators import profile as P
 from ..operators import reports as R
 from ..sources import fixtures as FX
 from . import oracle as O
@@ -99,5 +100,309 @@ def q_borough_summary(spark, sf_dir):
     return finalize(R.borough_summary(events_clean(spark, sf_dir)))
 
 
+TG = "Response_Time_Minutes"
+SLOW = f"CASE WHEN {TG} > 15.0 THEN 1.0 ELSE 0.0 END"
+RUSH = "(7, 8, 9, 17, 18, 19)"
+
+
+def r2(expr: str) -> str:
+    return O.r(expr, 2)
+
+
+@register("a6_global_mean", ev_sql(f"SELECT avg({TG}) AS global_mean FROM ev", ["global_mean"]))
+def q_global_mean(spark, sf_dir):
+    return finalize(R.global_mean(events_clean(spark, sf_dir)))
+
+
+@register("a7_group_stats", ev_sql(" UNION ALL ".join(
+    f"SELECT '{k}' AS key_name, CAST({k} AS VARCHAR) AS key_value, avg({TG}) AS mean, count({TG}) AS n FROM ev GROUP BY {k}"
+    for k in ["INCIDENT_CLASSIFICATION", "INCIDENT_DISPATCH_AREA", "BOROUGH"]), ["mean"]))
+def q_group_stats(spark, sf_dir):
+    return finalize(R.group_stats(events_clean(spark, sf_dir)))
+
+
+@register("a11_mean_by_borough", ev_sql(f"SELECT BOROUGH, avg({TG}) AS mean_minutes FROM ev GROUP BY BOROUGH", ["mean_minutes"]))
+def q_mean_by_borough(spark, sf_dir):
+    return finalize(R.mean_by(events_clean(spark, sf_dir), "BOROUGH", True))
+
+
+@register("a12_mean_by_hour", ev_sql(f"SELECT Hour, avg({TG}) AS mean_minutes FROM ev GROUP BY Hour", ["mean_minutes"]))
+def q_mean_by_hour(spark, sf_dir):
+    return finalize(R.mean_by(events_clean(spark, sf_dir), "Hour", None))
+
+
+@register("a13_top_classifications", ev_sql(f"""
+SELECT INCIDENT_CLASSIFICATION, avg({TG}) AS mean_minutes, count({TG}) AS cases FROM ev
+GROUP BY 1 ORDER BY mean_minutes DESC, 1 LIMIT 10""", ["mean_minutes"]))
+def q_top_classifications(spark, sf_dir):
+    return finalize(R.top_mean_groups(events_clean(spark, sf_dir), "INCIDENT_CLASSIFICATION", 10))
+
+
+def hist_sql(src: str, col: str, bins: int = 50) -> str:
+    return f"""SELECT g.bin, s2.lo + g.bin * ((s2.hi - s2.lo) / {bins}.0) AS bin_start,
+  s2.lo + (g.bin + 1) * ((s2.hi - s2.lo) / {bins}.0) AS bin_end, coalesce(c.cnt, 0) AS count
+FROM range({bins}) g(bin)
+CROSS JOIN (SELECT CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+                   CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi
+            FROM (SELECT min({col}) AS lo0, max({col}) AS hi0 FROM {src})) s2
+LEFT JOIN (SELECT CAST(least(floor(({col} - s3.lo) * ({bins}.0 / (s3.hi - s3.lo))), {bins - 1}) AS BIGINT) AS bin, count(*) AS cnt
+           FROM {src}, (SELECT CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+                               CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi
+                        FROM (SELECT min({col}) AS lo0, max({col}) AS hi0 FROM {src})) s3
+           WHERE {col} IS NOT NULL GROUP BY 1) c ON c.bin = g.bin"""
+
+
+@register("a14_target_histogram", ev_sql(hist_sql("ev", TG), ["bin_start", "bin_end"]))
+def q_target_histogram(spark, sf_dir):
+    return finalize(R.histogram(events_clean(spark, sf_dir)))
+
+
+@register("a15_response_kpis", ev_sql(f"""
+SELECT count({TG}) AS cases, avg({TG}) AS mean_minutes, quantile_cont({TG}, 0.5) AS median_minutes,
+  quantile_cont({TG}, 0.9) AS p90_minutes, quantile_cont({TG}, 0.95) AS p95_minutes, avg({SLOW}) AS slow_share
+FROM ev""", ["mean_minutes", "median_minutes", "p90_minutes", "p95_minutes", "slow_share"]))
+def q_response_kpis(spark, sf_dir):
+    return finalize(R.response_kpis(events_clean(spark, sf_dir)))
+
+
+MODAL_BOROUGH = f"""modal AS (
+SELECT INCIDENT_DISPATCH_AREA, BOROUGH,
+  row_number() OVER (PARTITION BY INCIDENT_DISPATCH_AREA ORDER BY count(*) DESC, BOROUGH) AS rn
+FROM ev GROUP BY 1, 2)"""
+
+
+@register("a17_dispatch_area_summary", ev_sql(f"""
+SELECT a.INCIDENT_DISPATCH_AREA, m.BOROUGH, a.cases, a.mean_minutes, a.p90_minutes, a.dispatch_delay_minutes,
+  a.slow_share,
+  CASE WHEN a.mean_minutes >= g.gm + 1.25 AND a.slow_share >= 0.2 THEN 'high'
+       WHEN a.mean_minutes >= g.gm + 0.5 THEN 'medium' ELSE 'watch' END AS priority
+FROM (SELECT INCIDENT_DISPATCH_AREA, count({TG}) AS cases, avg({TG}) AS mean_minutes,
+        quantile_cont({TG}, 0.9) AS p90_minutes, avg(DISPATCH_RESPONSE_SECONDS_QY) / 60.0 AS dispatch_delay_minutes,
+        avg({SLOW}) AS slow_share
+      FROM ev GROUP BY 1 HAVING count({TG}) >= 80) a
+JOIN modal m ON m.INCIDENT_DISPATCH_AREA = a.INCIDENT_DISPATCH_AREA AND m.rn = 1
+CROSS JOIN (SELECT avg({TG}) AS gm FROM ev) g""",
+    ["mean_minutes", "p90_minutes", "dispatch_delay_minutes", "slow_share"], [MODAL_BOROUGH]))
+def q_dispatch_area_summary(spark, sf_dir):
+    return finalize(R.dispatch_area_summary(events_clean(spark, sf_dir)))
+
+
+@register("a18_incident_summary", ev_sql(f"""
+SELECT INCIDENT_CLASSIFICATION, count({TG}) AS cases, avg({TG}) AS mean_minutes,
+  quantile_cont({TG}, 0.9) AS p90_minutes, avg({SLOW}) AS slow_share
+FROM ev GROUP BY 1 HAVING count({TG}) >= 80""", ["mean_minutes", "p90_minutes", "slow_share"]))
+def q_incident_summary(spark, sf_dir):
+    return finalize(R.incident_summary(events_clean(spark, sf_dir)))
+
+
+@register("a20_peak_hour", ev_sql(f"""
+SELECT Hour AS peak_hour, m AS peak_mean_minutes
+FROM (SELECT Hour, avg({TG}) AS m FROM ev GROUP BY Hour) ORDER BY m DESC, Hour LIMIT 1""", ["peak_mean_minutes"]))
+def q_peak_hour(spark, sf_dir):
+    return finalize(R.peak_hour(events_clean(spark, sf_dir)))
+
+
+@register("a21_hour_table", ev_sql(f"""
+SELECT Hour, count({TG}) AS cases, avg({TG}) AS mean_minutes, avg({SLOW}) AS slow_share
+FROM ev GROUP BY Hour ORDER BY mean_minutes DESC, Hour LIMIT 10""", ["mean_minutes", "slow_share"]))
+def q_hour_table(spark, sf_dir):
+    return finalize(R.hour_table(events_clean(spark, sf_dir)))
+
+
+HOURS = [f"h{h:02d}" for h in range(24)]
+
+
+@register("a22_borough_hour_heatmap", ev_sql(
+    "SELECT BOROUGH, " + ", ".join(f"avg({TG}) FILTER (WHERE Hour = {h}) AS h{h:02d}" for h in range(24))
+    + " FROM ev GROUP BY BOROUGH", HOURS))
+def q_heatmap(spark, sf_dir):
+    return finalize(R.borough_hour_heatmap(events_clean(spark, sf_dir)))
+
+
+@register("a23_worst_areas", ev_sql(f"""
+SELECT INCIDENT_DISPATCH_AREA, avg({TG}) AS mean_minutes, count({TG}) AS cases, stddev_samp({TG}) AS std_minutes
+FROM ev GROUP BY 1 HAVING count({TG}) >= 20 ORDER BY mean_minutes DESC, 1 LIMIT 10""", ["mean_minutes", "std_minutes"]))
+def q_worst_areas(spark, sf_dir):
+    return finalize(R.worst_areas(events_clean(spark, sf_dir)))
+
+
+@register("a24_severity_means", ev_sql(f"""
+SELECT INITIAL_SEVERITY_LEVEL_CODE, avg({TG}) AS mean_minutes, count({TG}) AS cases FROM ev GROUP BY 1""",
+    ["INITIAL_SEVERITY_LEVEL_CODE", "mean_minutes"]))
+def q_severity_means(spark, sf_dir):
+    return finalize(R.severity_means(events_clean(spark, sf_dir)))
+
+
+PERIOD = ("CASE WHEN Hour <= 6 THEN 'night' WHEN Hour <= 12 THEN 'morning' "
+          "WHEN Hour <= 18 THEN 'noon' WHEN Hour <= 24 THEN 'evening' END")
+PERIODS = ["night", "morning", "noon", "evening"]
+
+
+@register("a25_weekday_period_pivot", ev_sql(
+    "SELECT DayOfWeek, " + ", ".join(f"avg({TG}) FILTER (WHERE period = '{p}') AS {p}" for p in PERIODS)
+    + f" FROM (SELECT *, {PERIOD} AS period FROM ev) GROUP BY DayOfWeek", PERIODS))
+def q_weekday_period(spark, sf_dir):
+    return finalize(R.weekday_period_pivot(events_clean(spark, sf_dir)))
+
+
+@register("a26_top_classifications_min50", ev_sql(f"""
+SELECT INCIDENT_CLASSIFICATION, avg({TG}) AS mean_minutes, count({TG}) AS cases FROM ev
+GROUP BY 1 HAVING count({TG}) >= 50 ORDER BY mean_minutes DESC, 1 LIMIT 10""", ["mean_minutes"]))
+def q_top_classifications_min50(spark, sf_dir):
+    return finalize(R.top_mean_groups(events_clean(spark, sf_dir), "INCIDENT_CLASSIFICATION", 10, min_cases=50))
+
+
+# X7 severity codes are the leading digit of the order priority: 1..5.
+ORDER_SEVERITIES = [1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+@register("a33_severity_by_borough", ord_sql(
+    "SELECT BOROUGH, " + ", ".join(
+        f"coalesce(avg({TG}) FILTER (WHERE INITIAL_SEVERITY_LEVEL_CODE = {v}), 0.0) AS sev_{int(v)}"
+        for v in ORDER_SEVERITIES) + " FROM ord GROUP BY BOROUGH", [f"sev_{int(v)}" for v in ORDER_SEVERITIES]))
+def q_severity_by_borough(spark, sf_dir):
+    return finalize(R.severity_by_borough(orders_clean(spark, sf_dir), ORDER_SEVERITIES))
+
+
+@register("a34_peak_offpeak", ev_sql(f"""
+SELECT BOROUGH, {r2('o')} AS offpeak_mean_minutes, {r2('p')} AS peak_mean_minutes,
+  {r2(r2('p') + ' - ' + r2('o'))} AS peak_minus_offpeak
+FROM (SELECT BOROUGH, coalesce(avg({TG}) FILTER (WHERE Hour NOT IN {RUSH}), 0.0) AS o,
+             coalesce(avg({TG}) FILTER (WHERE Hour IN {RUSH}), 0.0) AS p
+      FROM ev GROUP BY BOROUGH)""", ["offpeak_mean_minutes", "peak_mean_minutes", "peak_minus_offpeak"]))
+def q_peak_offpeak(spark, sf_dir):
+    return finalize(R.peak_offpeak(events_clean(spark, sf_dir)))
+
+
+@register("a35_monthly_trend", ord_sql(
+    f"SELECT Month, avg({TG}) AS mean_minutes, count({TG}) AS cases FROM ord GROUP BY Month", ["mean_minutes"]))
+def q_monthly_trend(spark, sf_dir):
+    return finalize(R.monthly_trend(orders_clean(spark, sf_dir)))
+
+
+EV_CLEAN_COLUMNS = [
+    ("CAD_INCIDENT_ID", "n"), ("INCIDENT_DATETIME", "o"), ("FIRST_ON_SCENE_DATETIME", "o"), ("BOROUGH", "o"),
+    ("INCIDENT_DISPATCH_AREA", "o"), ("INITIAL_CALL_TYPE", "o"), ("FINAL_CALL_TYPE", "o"),
+    ("INITIAL_SEVERITY_LEVEL_CODE", "d"), ("FINAL_SEVERITY_LEVEL_CODE", "d"), ("DISPATCH_RESPONSE_SECONDS_QY", "d"),
+    ("INCIDENT_RESPONSE_SECONDS_QY", "d"), ("VALID_INCIDENT_RSPNS_TIME_INDC", "o"), ("HELD_INDICATOR", "o"),
+    ("REOPEN_INDICATOR", "o"), ("ZIPCODE", "o"), ("INCIDENT_CLASSIFICATION", "o"), (TG, "d"), ("Hour", "n"),
+    ("DayOfWeek", "n"), ("Month", "n"), ("IsHeld", "n"), ("IsReopen", "n"),
+]
+
+
+@register("a36_context_kpis", ev_sql(f"""
+SELECT count(*) AS rows, {len(EV_CLEAN_COLUMNS)} AS columns, count(DISTINCT BOROUGH) AS boroughs,
+  count(DISTINCT INCIDENT_DISPATCH_AREA) AS dispatch_areas,
+  CAST(min(CAST(INCIDENT_DATETIME AS DATE)) AS VARCHAR) AS first_date,
+  CAST(max(CAST(INCIDENT_DATETIME AS DATE)) AS VARCHAR) AS last_date
+FROM ev""", []))
+def q_context_kpis(spark, sf_dir):
+    k = R.context_kpis(events_clean(spark, sf_dir))
+    return k.withColumns({c: F.col(c).cast("string") for c in ["first_date", "last_date"]})
+
+
+@register("a37_unique_boroughs", ev_sql("SELECT DISTINCT BOROUGH FROM ev WHERE BOROUGH IS NOT NULL", []))
+def q_unique_boroughs(spark, sf_dir):
+    return R.unique_values(events_clean(spark, sf_dir), "BOROUGH")
+
+
+@register("a38_most_common_classifications", ev_sql("""
+SELECT INCIDENT_CLASSIFICATION, count(*) AS count FROM
+ (SELECT coalesce(CAST(INCIDENT_CLASSIFICATION AS VARCHAR), '') AS INCIDENT_CLASSIFICATION FROM ev)
+WHERE trim(INCIDENT_CLASSIFICATION) <> '' GROUP BY 1 ORDER BY count DESC, 1 LIMIT 60""", []))
+def q_most_common(spark, sf_dir):
+    return R.most_common_values(events_clean(spark, sf_dir), "INCIDENT_CLASSIFICATION", 60)
+
+
+@register("a39_modal_classification_by_borough", ev_sql("""
+SELECT BOROUGH, INCIDENT_CLASSIFICATION AS modal_INCIDENT_CLASSIFICATION FROM (
+  SELECT BOROUGH, INCIDENT_CLASSIFICATION,
+    row_number() OVER (PARTITION BY BOROUGH ORDER BY count(*) DESC, INCIDENT_CLASSIFICATION) AS rn
+  FROM ev GROUP BY 1, 2) WHERE rn = 1""", []))
+def q_modal(spark, sf_dir):
+    return R.modal_value(events_clean(spark, sf_dir), "INCIDENT_CLASSIFICATION", by="BOROUGH")
+
+
+@register("p11_dispatch_options_by_borough", ev_sql(
+    "SELECT DISTINCT BOROUGH, INCIDENT_DISPATCH_AREA FROM ev WHERE INCIDENT_DISPATCH_AREA IS NOT NULL", []))
+def q_options(spark, sf_dir):
+    return R.options_by(events_clean(spark, sf_dir), "BOROUGH", "INCIDENT_DISPATCH_AREA")
+
+
+@register("p19_borough_summary_display", ev_sql(f"""
+SELECT BOROUGH, cases, {r2('mean_minutes')} AS mean_minutes, {r2('median_minutes')} AS median_minutes,
+  {r2('p90_minutes')} AS p90_minutes, {O.r('slow_share * 100.0', 1)} AS slow_share_pct,
+  {r2('opportunity_minutes')} AS opportunity_minutes
+FROM (SELECT BOROUGH, count({TG}) AS cases, avg({TG}) AS mean_minutes,
+        quantile_cont({TG}, 0.5) AS median_minutes, quantile_cont({TG}, 0.9) AS p90_minutes,
+        avg({SLOW}) AS slow_share,
+        greatest(avg({TG}) - (SELECT avg({TG}) FROM ev), 0.0) * count({TG}) AS opportunity_minutes
+      FROM ev GROUP BY BOROUGH)
+ORDER BY opportunity_minutes DESC, mean_minutes DESC LIMIT 8""",
+    ["mean_minutes", "median_minutes", "p90_minutes", "slow_share_pct", "opportunity_minutes"]))
+def q_borough_display(spark, sf_dir):
+    return finalize(R.borough_summary_display(events_clean(spark, sf_dir)))
+
+
+# --- profile ----------------------------------------------------------------
+def _missing_sql(name: str, kind: str) -> str:
+    cond = f"{name} IS NULL" + (f" OR isnan({name})" if kind == "d" else "")
+    return f"SELECT '{name}' AS column_name, count(*) FILTER (WHERE {cond}) AS missing FROM ev"
+
+
+MISSING_SQL = " UNION ALL ".join(_missing_sql(n, k) for n, k in EV_CLEAN_COLUMNS)
+
+
+@register("a3_missing_values", ev_sql(MISSING_SQL, []))
+def q_missing(spark, sf_dir):
+    return P.missing_counts(events_clean(spark, sf_dir))
+
+
+@register("a4_missing_ratio_top8", ev_sql(f"""
+SELECT column_name, missing / (SELECT count(*) FROM ev) AS missing_ratio FROM ({MISSING_SQL})
+ORDER BY missing_ratio DESC, column_name LIMIT 8""", ["missing_ratio"]))
+def q_missing_top(spark, sf_dir):
+    return finalize(P.missing_ratio_top(events_clean(spark, sf_dir)))
+
+
+MF_NUMERIC = ["Hour", "DayOfWeek", "Month", "INITIAL_SEVERITY_LEVEL_CODE", "FINAL_SEVERITY_LEVEL_CODE",
+              "DISPATCH_RESPONSE_SECONDS_QY", "IsHeld", "IsReopen"]
+MF_CATEGORICAL = ["BOROUGH", "INCIDENT_CLASSIFICATION", "INCIDENT_DISPATCH_AREA", "ZIPCODE"]
+MF_COLS = MF_NUMERIC + MF_CATEGORICAL + [TG]
+MF_SQL = "mf AS (SELECT CAD_INCIDENT_ID, " + ", ".join(MF_COLS) + " FROM ev WHERE " + " AND ".join(
+    f"{c} IS NOT NULL" for c in MF_COLS) + ")"
+
+
+@register("p8_model_frame", ev_sql("SELECT * FROM mf", [
+    "INITIAL_SEVERITY_LEVEL_CODE", "FINAL_SEVERITY_LEVEL_CODE", "DISPATCH_RESPONSE_SECONDS_QY", TG], [MF_SQL]))
+def q_model_frame(spark, sf_dir):
+    frame, _, _ = CL.make_model_frame(events_clean(spark, sf_dir))
+    return finalize(frame)
+
+
+@register("a2_duplicate_rows", ev_sql(
+    "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM mf GROUP BY "
+    + ", ".join(MF_COLS) + ")", [], [MF_SQL]))
+def q_duplicates(spark, sf_dir):
+    frame, _, _ = CL.make_model_frame(events_clean(spark, sf_dir), keep=())
+    return P.duplicate_count(frame)
+
+
+def _kinds(kind: str) -> str:
+    return ",".join(n for n, k in EV_CLEAN_COLUMNS if (k in "nd") == (kind == "num"))
+
+
+@register("a1_profile", ev_sql(f"""
+SELECT count(*) AS rows, {len(EV_CLEAN_COLUMNS)} AS columns,
+  (SELECT CAST(count(*) - count(DISTINCT ev) AS BIGINT) FROM ev) AS duplicate_rows,
+  '{_kinds("num")}' AS numeric_columns, '{_kinds("other")}' AS categorical_columns,
+  '{",".join(MF_NUMERIC + MF_CATEGORICAL)}' AS selected_features
+FROM ev""", []))
+def q_profile(spark, sf_dir):
+    df = events_clean(spark, sf_dir)
+    num, cat = CL.get_model_features(df)
+    return P.profile(df, num + cat)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_borough_summary(spark, sf_dir)
