@@ -13,8 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import config as C
+
 from ..functions import scalars as S
 from ..operators import clean as CL
+from ..operators import evaluate as E
+from ..operators import explain as X
+from ..operators import features as FE
 from ..operators import profile as P
 from ..operators import reports as R
 from ..sources import fixtures as FX
@@ -404,5 +409,298 @@ def q_profile(spark, sf_dir):
     return P.profile(df, num + cat)
 
 
+# --- features (F8, F9, A8–A10, P9) -----------------------------------------
+TWO_PI = "6.283185307179586"
+CYC_SQL = (f"sin({TWO_PI} * (Hour - 0) / 24.0) AS Hour_sin, cos({TWO_PI} * (Hour - 0) / 24.0) AS Hour_cos, "
+           f"sin({TWO_PI} * (DayOfWeek - 0) / 7.0) AS DayOfWeek_sin, cos({TWO_PI} * (DayOfWeek - 0) / 7.0) AS DayOfWeek_cos, "
+           f"sin({TWO_PI} * (Month - 1) / 12.0) AS Month_sin, cos({TWO_PI} * (Month - 1) / 12.0) AS Month_cos")
+CTX_SQL = ("CAST(DayOfWeek >= 5 AS INTEGER) AS IsWeekend, CAST(Hour >= 22 OR Hour <= 5 AS INTEGER) AS IsNight, "
+           "CAST(Hour IN (7, 8, 9, 17, 18, 19) AS INTEGER) AS IsRushHour")
+CYC_COLS = ["Hour_sin", "Hour_cos", "DayOfWeek_sin", "DayOfWeek_cos", "Month_sin", "Month_cos"]
+CTX_COLS = ["IsWeekend", "IsNight", "IsRushHour"]
+TE = [("Classification_TargetEnc", ["INCIDENT_CLASSIFICATION"]), ("DispatchArea_TargetEnc", ["INCIDENT_DISPATCH_AREA"]),
+      ("Borough_TargetEnc", ["BOROUGH"])]
+IA = [("Borough_Hour_Avg", ["BOROUGH", "Hour"]),
+      ("Classification_Severity_Avg", ["INCIDENT_CLASSIFICATION", "INITIAL_SEVERITY_LEVEL_CODE"]),
+      ("DispatchArea_Hour_Avg", ["INCIDENT_DISPATCH_AREA", "Hour"])]
+
+
+def lookup_ctes(src: str, prefix: str) -> list[str]:
+    """SQL lookups (global mean + six tables) fitted on ``src``."""
+    ctes = [f"{prefix}_g AS (SELECT avg({TG}) AS g FROM {src})"]
+    for name, keys in TE:
+        k = ", ".join(keys)
+        nn = " AND ".join(f"{x} IS NOT NULL" for x in keys)
+        ctes.append(f"{prefix}_{name} AS (SELECT {k}, (count({TG}) * avg({TG}) + 20.0 * (SELECT g FROM {prefix}_g))"
+                    f" / (count({TG}) + 20.0) AS {name} FROM {src} WHERE {nn} GROUP BY {k})")
+    for name, keys in IA:
+        k = ", ".join(keys)
+        nn = " AND ".join(f"{x} IS NOT NULL" for x in keys)
+        ctes.append(f"{prefix}_{name} AS (SELECT {k}, avg({TG}) AS {name} FROM {src} WHERE {nn} GROUP BY {k})")
+    return ctes
+
+
+def lookup_select(src: str, prefix: str, fallback_all: bool) -> str:
+    cols, joins = [], []
+    for name, keys in TE + IA:
+        fb = fallback_all or name.endswith("TargetEnc")
+        ref = f"{prefix}_{name}.{name}"
+        cols.append(f"coalesce({ref}, (SELECT g FROM {prefix}_g)) AS {name}" if fb else f"{ref} AS {name}")
+        on = " AND ".join(f"{prefix}_{name}.{k} = {src}.{k}" for k in keys)
+        joins.append(f"LEFT JOIN {prefix}_{name} ON {on}")
+    return ", ".join(cols), " ".join(joins)
+
+
+_LK_COLS, _LK_JOINS = lookup_select("ev2", "lk", False)
+ENH_CTE = (f"ev2 AS (SELECT *, {CYC_SQL}, {CTX_SQL} FROM ev),\n"
+           f"enh AS (SELECT ev2.*, {_LK_COLS} FROM ev2 {_LK_JOINS})")
+ENH_NUMERIC = MF_NUMERIC + CYC_COLS + [n for n, _ in IA] + CTX_COLS + [n for n, _ in TE]
+
+
+@register("f8_f9_calendar_features", ev_sql(f"SELECT CAD_INCIDENT_ID, {CYC_SQL}, {CTX_SQL} FROM ev", CYC_COLS))
+def q_calendar_features(spark, sf_dir):
+    df = FE.add_contextual_features(FE.add_cyclical_features(events_clean(spark, sf_dir)))
+    return finalize(df.select(C.KEY, *CYC_COLS, *CTX_COLS))
+
+
+@register("a8_target_encoding", ev_sql("SELECT CAD_INCIDENT_ID, " + ", ".join(n for n, _ in TE) + " FROM enh",
+                                       [n for n, _ in TE], lookup_ctes("ev", "lk") + [ENH_CTE]))
+def q_target_encoding(spark, sf_dir):
+    df = FE.add_target_encoding(events_clean(spark, sf_dir))
+    return finalize(df.select(C.KEY, *[n for n, _ in TE]))
+
+
+@register("a9_interaction_features", ev_sql("SELECT CAD_INCIDENT_ID, " + ", ".join(n for n, _ in IA) + " FROM enh",
+                                            [n for n, _ in IA], lookup_ctes("ev", "lk") + [ENH_CTE]))
+def q_interaction_features(spark, sf_dir):
+    df = FE.add_interaction_features(events_clean(spark, sf_dir))
+    return finalize(df.select(C.KEY, *[n for n, _ in IA]))
+
+
+def _long_sql(prefix: str) -> str:
+    parts = []
+    for name, keys in TE + IA:
+        k2 = f"CAST({keys[1]} AS DOUBLE)" if len(keys) > 1 else "CAST(NULL AS DOUBLE)"
+        parts.append(f"SELECT '{name}' AS lookup, CAST({keys[0]} AS VARCHAR) AS key1, {k2} AS key2, {name} AS value "
+                     f"FROM {prefix}_{name}")
+    parts.append(f"SELECT '_global_mean', CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), g FROM {prefix}_g")
+    return " UNION ALL ".join(parts)
+
+
+@register("a10_interaction_lookup", ev_sql(_long_sql("lk"), ["key2", "value"], lookup_ctes("ev", "lk")))
+def q_lookup(spark, sf_dir):
+    return finalize(FE.fit_lookups(events_clean(spark, sf_dir)).long_form)
+
+
+ENH_ALL = ENH_NUMERIC + MF_CATEGORICAL + [TG]
+
+
+@register("p9_enhanced_model_frame", ev_sql(
+    "SELECT CAD_INCIDENT_ID, " + ", ".join(ENH_ALL) + " FROM enh WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in ENH_ALL),
+    [c for c in ENH_ALL if c not in ("Hour", "DayOfWeek", "Month", "IsHeld", "IsReopen", "IsWeekend", "IsNight",
+                                      "IsRushHour") and c not in MF_CATEGORICAL],
+    lookup_ctes("ev", "lk") + [ENH_CTE]))
+def q_enhanced_frame(spark, sf_dir):
+    frame, _, _ = FE.make_enhanced_model_frame(events_clean(spark, sf_dir))
+    return finalize(frame)
+
+
+# --- evaluation with the lookup predictor (M9, P16, A19, A28–A32, A40–A42) ---
+def split_sql(src: str, seed: int = 0) -> str:
+    k = f"((CAD_INCIDENT_ID % 2147483648) + 2147483648) % 2147483648"
+    return f"(((({k}) * 2654435761 + {seed}) % 4294967296) // 65536) % 100 < 80"
+
+
+EVAL_MODELS = {
+    "Borough Hour Mean": ["BOROUGH", "Hour"],
+    "Class Severity Mean": ["INCIDENT_CLASSIFICATION", "INITIAL_SEVERITY_LEVEL_CODE"],
+}
+EVAL_CONTEXT = ["BOROUGH", "INCIDENT_CLASSIFICATION", "Hour", "DayOfWeek"]
+
+
+def eval_ctes(src: str = "ord") -> list[str]:
+    ctes = [f"sp AS (SELECT *, {split_sql(src)} AS is_train FROM {src})",
+            "tr AS (SELECT * FROM sp WHERE is_train)", "te AS (SELECT * FROM sp WHERE NOT is_train)",
+            f"gtr AS (SELECT avg({TG}) AS g FROM tr)"]
+    sel, joins = [], []
+    for i, (name, keys) in enumerate(EVAL_MODELS.items()):
+        k = ", ".join(keys)
+        nn = " AND ".join(f"{x} IS NOT NULL" for x in keys)
+        ctes.append(f"m{i} AS (SELECT {k}, avg({TG}) AS m FROM tr WHERE {nn} GROUP BY {k})")
+        on = " AND ".join(f"m{i}.{x} = te.{x}" for x in keys)
+        joins.append(f"LEFT JOIN m{i} ON {on}")
+        sel.append(f"coalesce(m{i}.m, (SELECT g FROM gtr)) AS p{i}")
+    ctes.append(f"scored AS (SELECT te.*, {', '.join(sel)} FROM te {' '.join(joins)})")
+    pre = [E.model_prefix(n) for n in EVAL_MODELS]
+    case_cols = ", ".join(f"p{i} AS {p}_Predicted_Minutes, p{i} - {TG} AS {p}_Error_Minutes" for i, p in enumerate(pre))
+    ctes.append("cases AS (SELECT CAST(CAD_INCIDENT_ID AS VARCHAR) AS Case_Number, CAD_INCIDENT_ID, INCIDENT_DATETIME, "
+                "FIRST_ON_SCENE_DATETIME, BOROUGH, INCIDENT_CLASSIFICATION, INCIDENT_DISPATCH_AREA, "
+                f"INITIAL_SEVERITY_LEVEL_CODE, {TG} AS Actual_Response_Time_Minutes, {case_cols} FROM scored)")
+    longs = " UNION ALL ".join(
+        f"SELECT Case_Number, '{p}' AS model, Actual_Response_Time_Minutes AS actual, {p}_Predicted_Minutes AS predicted, "
+        "BOROUGH, INCIDENT_CLASSIFICATION, INCIDENT_DISPATCH_AREA, INITIAL_SEVERITY_LEVEL_CODE, INCIDENT_DATETIME FROM cases"
+        for p in pre)
+    ctes.append(f"lp AS ({longs})")
+    ctes.append("res AS (SELECT CAD_INCIDENT_ID, BOROUGH, INCIDENT_CLASSIFICATION, Hour, DayOfWeek, "
+                f"{TG} AS Actual, p0 AS Predicted, {TG} - p0 AS Residual, abs({TG} - p0) AS Abs_Error FROM scored)")
+    return ctes
+
+
+def eval_sql(body: str, dbl: list[str]) -> str:
+    return ord_sql(body, dbl, eval_ctes())
+
+
+def _eval_models(train: DataFrame) -> dict:
+    return {name: E.GroupMeanRegressor(keys).fit(train) for name, keys in EVAL_MODELS.items()}
+
+
+def _eval_cases(spark, sf_dir) -> DataFrame:
+    df = orders_clean(spark, sf_dir)
+    train, test = E.train_test_split(df, min_rows=C.MIN_TRAINING_ROWS)
+    return E.case_predictions(test, _eval_models(train), features=EVAL_CONTEXT)
+
+
+def _eval_residuals(spark, sf_dir) -> DataFrame:
+    df = orders_clean(spark, sf_dir)
+    train, test = E.train_test_split(df)
+    model = E.GroupMeanRegressor(EVAL_MODELS["Borough Hour Mean"]).fit(train)
+    return E.residual_frame(model.transform(test), context=[C.KEY] + EVAL_CONTEXT)
+
+
+@register("m9_train_test_split", ord_sql(f"""
+SELECT CASE WHEN {split_sql('ord')} THEN 'train' ELSE 'test' END AS split, count(*) AS rows, avg({TG}) AS mean_minutes
+FROM ord GROUP BY 1""", ["mean_minutes"]))
+def q_split(spark, sf_dir):
+    df = orders_clean(spark, sf_dir)
+    lab = F.when(E.split_flag(), F.lit("train")).otherwise(F.lit("test"))
+    return finalize(df.groupBy(lab.alias("split")).agg(F.count(F.lit(1)).alias("rows"), F.avg(C.TARGET).alias("mean_minutes")))
+
+
+CASE_DOUBLES = ["INITIAL_SEVERITY_LEVEL_CODE", "Actual_Response_Time_Minutes"] + [
+    f"{E.model_prefix(n)}{suf}" for n in EVAL_MODELS for suf in ("_Predicted_Minutes", "_Error_Minutes")]
+
+
+@register("p16_case_predictions", eval_sql("SELECT * FROM cases", CASE_DOUBLES))
+def q_case_predictions(spark, sf_dir):
+    return finalize(_eval_cases(spark, sf_dir))
+
+
+@register("a19_model_quality", eval_sql("""
+SELECT model, avg(abs(predicted - actual)) AS mae, median(abs(predicted - actual)) AS median_error,
+  avg(CASE WHEN abs(predicted - actual) <= 5 THEN 1.0 ELSE 0.0 END) AS within_5,
+  avg(CASE WHEN abs(predicted - actual) <= 10 THEN 1.0 ELSE 0.0 END) AS within_10,
+  max(abs(predicted - actual)) AS max_error
+FROM lp GROUP BY model""", ["mae", "median_error", "within_5", "within_10", "max_error"]))
+def q_model_quality(spark, sf_dir):
+    return finalize(E.model_quality(_eval_cases(spark, sf_dir)))
+
+
+@register("a41_model_comparison", eval_sql("""
+SELECT model AS Algorithm, avg(abs(predicted - actual)) AS MAE, sqrt(avg((predicted - actual) * (predicted - actual))) AS RMSE
+FROM lp GROUP BY model""", ["MAE", "RMSE"]))
+def q_comparison(spark, sf_dir):
+    return finalize(E.comparison_table(_eval_cases(spark, sf_dir)))
+
+
+@register("a42_best_model", eval_sql("""
+SELECT model AS Algorithm, avg(abs(predicted - actual)) AS MAE, sqrt(avg((predicted - actual) * (predicted - actual))) AS RMSE
+FROM lp GROUP BY model ORDER BY MAE, RMSE, Algorithm LIMIT 1""", ["MAE", "RMSE"]))
+def q_best(spark, sf_dir):
+    return finalize(E.best_model(E.comparison_table(_eval_cases(spark, sf_dir))))
+
+
+@register("a40_metrics", eval_sql(f"""
+SELECT avg(abs(p0 - {TG})) AS MAE, sqrt(avg((p0 - {TG}) * (p0 - {TG}))) AS RMSE FROM scored""", ["MAE", "RMSE"]))
+def q_metrics(spark, sf_dir):
+    df = orders_clean(spark, sf_dir)
+    train, test = E.train_test_split(df)
+    model = E.GroupMeanRegressor(EVAL_MODELS["Borough Hour Mean"]).fit(train)
+    return finalize(E.regression_metrics(model.transform(test)))
+
+
+RES_DOUBLES = ["Actual", "Predicted", "Residual", "Abs_Error"]
+
+
+@register("p18_residuals", eval_sql("SELECT * FROM res", RES_DOUBLES))
+def q_residuals(spark, sf_dir):
+    return finalize(_eval_residuals(spark, sf_dir))
+
+
+@register("a28_residual_kpis", eval_sql("""
+SELECT avg(Abs_Error) AS mae,
+  1.0 - sum(Residual * Residual) / sum((Actual - (SELECT avg(Actual) FROM res)) * (Actual - (SELECT avg(Actual) FROM res))) AS r2,
+  max(Abs_Error) AS max_error, count(*) FILTER (WHERE Abs_Error > 15.0) AS large_errors,
+  avg(CASE WHEN Abs_Error > 15.0 THEN 1.0 ELSE 0.0 END) AS large_error_share
+FROM res""", ["mae", "r2", "max_error", "large_error_share"]))
+def q_residual_kpis(spark, sf_dir):
+    return finalize(E.residual_kpis(_eval_residuals(spark, sf_dir)))
+
+
+@register("a29_residual_histogram", eval_sql(hist_sql("res", "Residual"), ["bin_start", "bin_end"]))
+def q_residual_hist(spark, sf_dir):
+    return finalize(R.histogram(_eval_residuals(spark, sf_dir), "Residual"))
+
+
+@register("a30_mae_by_borough", eval_sql("SELECT BOROUGH, avg(Abs_Error) AS mae FROM res GROUP BY 1", ["mae"]))
+def q_mae_borough(spark, sf_dir):
+    return finalize(E.error_by(_eval_residuals(spark, sf_dir), "BOROUGH"))
+
+
+@register("a31_mae_by_hour", eval_sql("SELECT Hour, avg(Abs_Error) AS mae FROM res GROUP BY 1", ["mae"]))
+def q_mae_hour(spark, sf_dir):
+    return finalize(E.error_by(_eval_residuals(spark, sf_dir), "Hour", order_by_error=False))
+
+
+@register("a32_segmented_errors", eval_sql(" UNION ALL ".join(
+    f"SELECT '{s}' AS segment, CAST({s} AS VARCHAR) AS segment_value, count(Abs_Error) AS cases, "
+    "avg(Abs_Error) AS mean_error, max(Abs_Error) AS max_error, avg(Actual) AS mean_actual, "
+    f"avg(Predicted) AS mean_predicted FROM res GROUP BY {s}" for s in EVAL_CONTEXT),
+    ["mean_error", "max_error", "mean_actual", "mean_predicted"]))
+def q_segmented(spark, sf_dir):
+    return finalize(E.segmented_errors(_eval_residuals(spark, sf_dir)))
+
+
+@register("o2_worst_cases", eval_sql("""
+SELECT CAD_INCIDENT_ID, Actual, Predicted, Residual, Abs_Error, BOROUGH, INCIDENT_CLASSIFICATION, Hour
+FROM res ORDER BY Abs_Error DESC, CAD_INCIDENT_ID LIMIT 20""", RES_DOUBLES))
+def q_worst_cases(spark, sf_dir):
+    return finalize(E.worst_cases(_eval_residuals(spark, sf_dir)))
+
+
+@register("p14_large_errors", eval_sql("""
+SELECT count(*) FILTER (WHERE Abs_Error > 15.0) AS large_errors,
+  avg(CASE WHEN Abs_Error > 15.0 THEN 1.0 ELSE 0.0 END) AS large_error_share FROM res""", ["large_error_share"]))
+def q_large_errors(spark, sf_dir):
+    return finalize(E.residual_kpis(_eval_residuals(spark, sf_dir)).select("large_errors", "large_error_share"))
+
+
+@register("p20_case_comparison", eval_sql("""
+SELECT Case_Number, model, actual, predicted, predicted - actual AS delta, BOROUGH, INCIDENT_CLASSIFICATION,
+  INCIDENT_DISPATCH_AREA, INITIAL_SEVERITY_LEVEL_CODE, INCIDENT_DATETIME FROM lp""",
+    ["actual", "predicted", "delta", "INITIAL_SEVERITY_LEVEL_CODE"]))
+def q_case_comparison(spark, sf_dir):
+    return finalize(E.case_comparison(_eval_cases(spark, sf_dir)))
+
+
+@register("m15_predict_cases", eval_sql("""
+SELECT Case_Number, model, actual, predicted, predicted - actual AS error FROM lp""", ["actual", "predicted", "error"]))
+def q_predict_cases(spark, sf_dir):
+    df = orders_clean(spark, sf_dir)
+    train, test = E.train_test_split(df)
+    ids = test.select(F.col(C.KEY).cast("string").alias("case_id"))
+    return finalize(E.predict_cases(df, ids, _eval_models(train), features=EVAL_CONTEXT))
+
+
+@register("m19_partial_dependence_hour", eval_sql("""
+SELECT r.h AS Hour, avg(coalesce(m0.m, (SELECT g FROM gtr))) AS partial_dependence
+FROM te CROSS JOIN range(24) r(h) LEFT JOIN m0 ON m0.BOROUGH = te.BOROUGH AND m0.Hour = r.h
+GROUP BY r.h""", ["partial_dependence"]))
+def q_pdp(spark, sf_dir):
+    df = orders_clean(spark, sf_dir)
+    train, test = E.train_test_split(df)
+    model = E.GroupMeanRegressor(EVAL_MODELS["Borough Hour Mean"]).fit(train)
+    return finalize(X.partial_dependence(model, test, "Hour", list(range(24))))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_borough_summary(spark, sf_dir)
