@@ -20,9 +20,11 @@ from ..operators import clean as CL
 from ..operators import evaluate as E
 from ..operators import explain as X
 from ..operators import features as FE
+from ..operators import learning as LN
 from ..operators import profile as P
 from ..operators import reports as R
 from ..sources import fixtures as FX
+from ..sources import readers as SR
 from . import oracle as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -702,5 +704,153 @@ def q_pdp(spark, sf_dir):
     return finalize(X.partial_dependence(model, test, "Hour", list(range(24))))
 
 
+# --- sources, samples, splits, payloads (S2, M10, M21, P17) -----------------
+@register("s2_training_sample", ev_sql(
+    "SELECT * FROM ev ORDER BY INCIDENT_DATETIME, CAD_INCIDENT_ID LIMIT 5000", EV_DOUBLES))
+def q_training_sample(spark, sf_dir):
+    return finalize(SR.training_sample(FX.incidents_events(spark, sf_dir), 5000))
+
+
+@register("m10_temporal_split", ord_sql(f"""
+SELECT CASE WHEN rn <= k THEN 'train' ELSE 'test' END AS split, count(*) AS rows,
+  min(INCIDENT_DATETIME) AS first_time, max(INCIDENT_DATETIME) AS last_time
+FROM (SELECT *, row_number() OVER (ORDER BY INCIDENT_DATETIME, CAD_INCIDENT_ID) AS rn,
+             floor(count(*) OVER () * CAST(0.8 AS DOUBLE)) AS k FROM ord)
+GROUP BY 1""", []))
+def q_temporal_split(spark, sf_dir):
+    df = orders_clean(spark, sf_dir)
+    train, test = E.temporal_split(df)
+    def side(d, name):
+        return d.agg(F.lit(name).alias("split"), F.count(F.lit(1)).alias("rows"),
+                     F.min(C.INCIDENT_DATETIME).alias("first_time"), F.max(C.INCIDENT_DATETIME).alias("last_time"))
+    return side(train, "train").unionByName(side(test, "test"))
+
+
+def key_hash_sql(col: str, seed: int) -> str:
+    return f"((((({col} % 2147483648) + 2147483648) % 2147483648) * 2654435761 + {seed}) % 4294967296)"
+
+
+@register("m21_seeded_sample", ord_sql(f"""
+SELECT CAD_INCIDENT_ID, {TG} FROM ord ORDER BY {key_hash_sql('CAD_INCIDENT_ID', 42)}, CAD_INCIDENT_ID LIMIT 8000""",
+    [TG]))
+def q_seeded_sample(spark, sf_dir):
+    return finalize(E.seeded_sample(orders_clean(spark, sf_dir), 8000).select(C.KEY, C.TARGET))
+
+
+PAYLOAD_FEATURES = ENH_NUMERIC + MF_CATEGORICAL
+
+
+def _p17_sql() -> str:
+    ctes = [f"sp AS (SELECT *, {split_sql('ev')} AS is_train FROM ev)",
+            "tr AS (SELECT * FROM sp WHERE is_train)",
+            "te AS (SELECT CAD_INCIDENT_ID, " + ", ".join(C.PAYLOAD_COLUMNS) + " FROM sp WHERE NOT is_train)",
+            f"pay AS (SELECT *, {CYC_SQL}, {CTX_SQL} FROM te)"] + lookup_ctes("tr", "pl")
+    cols, joins = lookup_select("pay", "pl", True)
+    body = (f"SELECT CAD_INCIDENT_ID, {cols}, " + ", ".join(
+        [f"coalesce(TRY_CAST(pay.{c} AS DOUBLE), 0.0) AS {c}" for c in ENH_NUMERIC if c not in
+         [n for n, _ in TE + IA]] + [f"trim(coalesce(CAST(pay.{c} AS VARCHAR), '')) AS {c}" for c in MF_CATEGORICAL])
+        + f" FROM pay {joins}")
+    return ev_sql(body, [c for c in ENH_NUMERIC], ctes)
+
+
+@register("p17_prediction_input", _p17_sql())
+def q_prediction_input(spark, sf_dir):
+    df = events_clean(spark, sf_dir)
+    train, test = E.train_test_split(df)
+    lookups = FE.fit_lookups(train)
+    payload = test.select(C.KEY, *C.PAYLOAD_COLUMNS)
+    return finalize(FE.prediction_input(payload, lookups, PAYLOAD_FEATURES, MF_CATEGORICAL))
+
+
+@register("m4_linear_one_feature", ord_sql(f"""
+SELECT regr_slope({TG}, INITIAL_SEVERITY_LEVEL_CODE) AS slope, regr_intercept({TG}, INITIAL_SEVERITY_LEVEL_CODE) AS intercept
+FROM ord""", ["slope", "intercept"]))
+def q_linear_one_feature(spark, sf_dir):
+    from pyspark.ml.feature import VectorAssembler
+    df = orders_clean(spark, sf_dir)
+    vec = VectorAssembler(inputCols=["INITIAL_SEVERITY_LEVEL_CODE"], outputCol=LN.FEATURES).transform(df)
+    m = LN.linear().fit(vec)
+    return finalize(spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double"))
+
+
+# --- trained learners (rows-only checks) -------------------------------------
+def _ml_setup(spark, sf_dir):
+    frame, num, cat = CL.make_model_frame(orders_clean(spark, sf_dir))
+    train, test = E.train_test_split(frame, min_rows=C.MIN_TRAINING_ROWS)
+    return train, test, num, cat
+
+
+def _learner_cases(spark, sf_dir, name: str) -> DataFrame:
+    train, test, num, cat = _ml_setup(spark, sf_dir)
+    models = LN.fit_models(train, num, cat, LN.make_models(names=[name]))
+    return finalize(E.case_predictions(test, models, features=num + cat))
+
+
+@register("m4_linear_regression")
+def q_linear(spark, sf_dir):
+    return _learner_cases(spark, sf_dir, C.MODEL_NAMES[0])
+
+
+@register("m20_cluster_profile")
+def q_clusters(spark, sf_dir):
+    return finalize(LN.cluster_profile(orders_clean(spark, sf_dir), k=5))
+
+
+@register("m14_score_payloads")
+def q_score_payloads(spark, sf_dir):
+    df = events_clean(spark, sf_dir)
+    train, test = E.train_test_split(df)
+    lookups = FE.fit_lookups(train)
+    frame, num, cat = FE.make_enhanced_model_frame(train, lookups)
+    models = LN.fit_models(frame, num, cat, LN.make_models(names=[C.MODEL_NAMES[0]]))
+    payload = test.select(F.col(C.KEY).alias("payload_id"), *C.PAYLOAD_COLUMNS)
+    inputs = FE.prediction_input(payload, lookups, num + cat, cat)
+    return finalize(LN.score_payloads(inputs, models))
+
+
+def _shapley(spark, sf_dir) -> DataFrame:
+    train, test, num, cat = _ml_setup(spark, sf_dir)
+    models = LN.fit_models(train, num, cat, LN.make_models(names=[C.MODEL_NAMES[0]]))
+    rows = E.seeded_sample(test, 500)
+    return X.sampled_shapley(models[C.MODEL_NAMES[0]], rows, train, num + cat, draws=32, background_rows=50)
+
+
+@register("m18_shapley_values")
+def q_shapley(spark, sf_dir):
+    return finalize(_shapley(spark, sf_dir))
+
+
+@register("a43_attribution_summary")
+def q_attribution(spark, sf_dir):
+    return finalize(X.attribution_summary(_shapley(spark, sf_dir)))
+
+
+@register("m5_random_forest")
+def q_forest(spark, sf_dir):
+    return _learner_cases(spark, sf_dir, C.MODEL_NAMES[1])
+
+
+@register("m16_feature_importance")
+def q_importance(spark, sf_dir):
+    train, test, num, cat = _ml_setup(spark, sf_dir)
+    models = LN.fit_models(train, num, cat, LN.make_models(names=[C.MODEL_NAMES[1]]))
+    return finalize(LN.feature_importance(models[C.MODEL_NAMES[1]], 20))
+
+
+@register("m6_boosted_trees_a")
+def q_boost_a(spark, sf_dir):
+    return _learner_cases(spark, sf_dir, C.MODEL_NAMES[2])
+
+
+@register("m7_boosted_trees_b")
+def q_boost_b(spark, sf_dir):
+    return _learner_cases(spark, sf_dir, C.MODEL_NAMES[3])
+
+
+@register("m8_stacking_ensemble")
+def q_stacking(spark, sf_dir):
+    return _learner_cases(spark, sf_dir, C.MODEL_NAMES[4])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_borough_summary(spark, sf_dir)
