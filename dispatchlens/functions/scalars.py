@@ -130,11 +130,16 @@ def day_period(hour: str | Column) -> Column:
 def round_half_up(c: Column, digits: int) -> Column:
     """Rounding written the same way in Spark and in the SQL oracle.
 
-    ``floor(x * 10^d + 0.5) / 10^d`` gives bit-identical results in both engines for
-    the same input, unlike the engines' own ``round`` on binary fractions.
+    ``floor(v + 0.5 + |v| * 1e-9) / 10^d`` with ``v = x * 10^d``.  The formula is
+    bit-identical in both engines for the same input, unlike the engines' own
+    ``round``.  The tiny relative nudge moves the rounding boundary off exact
+    binary halves (a mean such as 14.46875 is common for small groups), where
+    last-bit noise from a different summation order would otherwise decide
+    the direction.
     """
     scale = float(10 ** digits)
-    return F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    v = c * F.lit(scale)
+    return F.floor(v + F.lit(0.5) + F.abs(v) * F.lit(1e-9)) / F.lit(scale)
 
 
 def percent(c: Column, digits: int = 1) -> Column:

@@ -85,6 +85,25 @@ def datetime_column(df: DataFrame, name: str, fallback: str = "probe") -> Column
     return parsed if any_parsed else S.parse_generic_datetime(name)
 
 
+def datetime_columns(df: DataFrame, names: list[str], fallback: str = "probe") -> list[Column]:
+    """F1 for several columns; in the usual case one probe job decides all.
+
+    A single ``limit(1)`` job looks for a row where every text column parses
+    with the dispatch format; only if there is none is each column probed on
+    its own (the reference decides per column).
+    """
+    text = [n for n in names if not isinstance(_dtype(df, n), (T.TimestampType, T.TimestampNTZType, T.DateType))]
+    if fallback != "probe" or len(text) < 2:
+        return [datetime_column(df, n, fallback) for n in names]
+    parsed = {n: S.parse_text_datetime(n) for n in text}
+    cond = None
+    for p in parsed.values():
+        cond = p.isNotNull() if cond is None else cond & p.isNotNull()
+    if df.select(*[p.alias(f"_p{i}") for i, p in enumerate(parsed.values())]).where(cond).limit(1).count() > 0:
+        return [parsed[n] if n in parsed else datetime_column(df, n, fallback) for n in names]
+    return [datetime_column(df, n, fallback) for n in names]
+
+
 def response_minutes(df: DataFrame, t0: Column, t1: Column) -> Column:
     """reported seconds / 60 where valid, else the timestamp difference."""
     stamp_minutes = S.minutes_between(t0, t1)
@@ -112,23 +131,26 @@ def clean_incidents(df: DataFrame, datetime_fallback: str = "probe") -> DataFram
     df = add_compatible_columns(df)
     validate_required_columns(df)
 
-    t0 = datetime_column(df, C.INCIDENT_DATETIME, datetime_fallback)
-    t1 = datetime_column(df, C.FIRST_ON_SCENE_DATETIME, datetime_fallback)
-    staged = df.withColumns({
-        C.INCIDENT_DATETIME: t0,
-        C.FIRST_ON_SCENE_DATETIME: t1,
-    })
-    staged = staged.withColumn(
-        C.TARGET,
-        response_minutes(staged, F.col(C.INCIDENT_DATETIME), F.col(C.FIRST_ON_SCENE_DATETIME)),
-    )
+    t0, t1 = datetime_columns(df, [C.INCIDENT_DATETIME, C.FIRST_ON_SCENE_DATETIME], datetime_fallback)
+    # The parsed stamps are produced by a one-row generator:
+    # Catalyst cannot push the row filter below a Generate for predicates on
+    # its output, so each stamp is parsed once, after the scan has been spread
+    # over tasks, instead of being inlined into a pushed-down filter and then
+    # parsed again in the projection.
+    derived = F.inline(F.array(F.struct(t0.alias("_t0"), t1.alias("_t1"))))
+    rest = [c for c in df.columns if c not in (C.INCIDENT_DATETIME, C.FIRST_ON_SCENE_DATETIME)]
+    staged = df.select(*rest, derived)
+    staged = staged.withColumn("_y", response_minutes(df, F.col("_t0"), F.col("_t1")))
     kept = staged.where(
-        F.col(C.INCIDENT_DATETIME).isNotNull()
-        & F.col(C.FIRST_ON_SCENE_DATETIME).isNotNull()
+        F.col("_t0").isNotNull()
+        & F.col("_t1").isNotNull()
         & F.col("BOROUGH").isNotNull()
-        & F.col(C.TARGET).isNotNull()
-        & F.col(C.TARGET).between(F.lit(C.RESPONSE_TIME_MIN), F.lit(C.RESPONSE_TIME_MAX))
+        & F.col("_y").isNotNull()
+        & F.col("_y").between(F.lit(C.RESPONSE_TIME_MIN), F.lit(C.RESPONSE_TIME_MAX))
     )
+    order = [F.col("_t0").alias(c) if c == C.INCIDENT_DATETIME
+             else F.col("_t1").alias(c) if c == C.FIRST_ON_SCENE_DATETIME else F.col(c) for c in df.columns]
+    kept = kept.select(*order, F.col("_y").alias(C.TARGET))
 
     text_cols = set(C.BASE_CATEGORICAL_FEATURES + C.OPTIONAL_FEATURE_COLUMNS)
     numeric_cols = set(C.NUMERIC_FEATURES)

@@ -48,6 +48,15 @@ def global_mean_value(df: DataFrame) -> Column:
     return df.agg(F.avg(tgt())).scalar()
 
 
+def mean_from_groups(agg: DataFrame, sum_col: str = "_sum", count_col: str = "cases") -> Column:
+    """Global mean as a scalar subquery over an already grouped table.
+
+    The subquery reads the same grouped exchange as the main plan, which AQE
+    reuses, so the input is scanned once instead of twice.
+    """
+    return agg.agg(F.sum(sum_col) / F.sum(count_col)).scalar()
+
+
 def global_mean(df: DataFrame) -> DataFrame:
     """Mean of the target (0.0 when the column is absent)."""
     if C.TARGET not in df.columns:
@@ -129,11 +138,11 @@ def borough_summary(df: DataFrame, exact: bool = True) -> DataFrame:
     """A16 (flagship): per borough count, mean, median, p90, slow share and
     improvement opportunity = max(mean - global mean, 0) * count, ordered by
     opportunity then mean, both descending."""
-    g = global_mean_value(df)
     q = quantiles(tgt(), [0.5, 0.9], exact)
     agg = df.groupBy("BOROUGH").agg(
-        F.count(tgt()).alias("cases"), F.avg(tgt()).alias("mean_minutes"), q.alias("q"),
-        slow_share().alias("slow_share"))
+        F.count(tgt()).alias("cases"), F.sum(tgt()).alias("_sum"), F.avg(tgt()).alias("mean_minutes"),
+        q.alias("q"), slow_share().alias("slow_share"))
+    g = mean_from_groups(agg)
     return (agg.select(
                 "BOROUGH", "cases", "mean_minutes",
                 F.col("q")[0].alias("median_minutes"), F.col("q")[1].alias("p90_minutes"),
@@ -157,14 +166,15 @@ def dispatch_area_summary(df: DataFrame, min_cases: int = C.MIN_AREA_CASES, exac
     """Per dispatch area: modal borough, count (>= min_cases), mean, p90,
     mean dispatch delay in minutes, slow share and a priority label; ordered by
     priority rank then mean (descending)."""
-    g = global_mean_value(df)
-    agg = df.groupBy("INCIDENT_DISPATCH_AREA").agg(
+    base = df.groupBy("INCIDENT_DISPATCH_AREA").agg(
         F.mode(F.col("BOROUGH").cast("string"), True).alias("BOROUGH"),
-        F.count(tgt()).alias("cases"), F.avg(tgt()).alias("mean_minutes"),
+        F.count(tgt()).alias("cases"), F.sum(tgt()).alias("_sum"), F.avg(tgt()).alias("mean_minutes"),
         quantiles(tgt(), [0.9], exact).alias("q"),
         (F.avg("DISPATCH_RESPONSE_SECONDS_QY") / F.lit(60.0)).alias("dispatch_delay_minutes"),
         slow_share().alias("slow_share"),
-    ).where(F.col("cases") >= F.lit(min_cases))
+    )
+    g = mean_from_groups(base)
+    agg = base.where(F.col("cases") >= F.lit(min_cases))
     pr = S.priority_label(F.col("mean_minutes"), F.col("slow_share"), g)
     return (agg.select("INCIDENT_DISPATCH_AREA", F.coalesce("BOROUGH", F.lit("")).alias("BOROUGH"),
                        "cases", "mean_minutes", F.col("q")[0].alias("p90_minutes"),

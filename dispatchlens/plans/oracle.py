@@ -114,7 +114,8 @@ ORD = [X7, CLEAN_ORD]
 def r(expr: str, digits: int = 4) -> str:
     """Same rounding formula as ``functions.scalars.round_half_up``."""
     scale = f"{10 ** digits}.0"
-    return f"floor(({expr}) * {scale} + 0.5) / {scale}"
+    v = f"(({expr}) * {scale})"
+    return f"floor({v} + 0.5 + abs({v}) * 1e-9) / {scale}"
 
 
 def with_ctes(ctes: list[str], body: str) -> str:
