@@ -6,7 +6,7 @@ the whole step in one whole-stage-codegen span.  Decisions that depend on the
 *schema* (which columns exist, which classification source to use) are taken on
 the driver from ``df.columns``; the only data-dependent decision (T5: fall back
 to a generic timestamp parse when no value of an input matches the dispatch
-format) is a ``limit(1)`` probe that stops at the first matching row.
+format) is an EXISTS subquery in the same plan that stops at the first match.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions import scalars as S
+from ..plans.partitioning import spread
 
 DERIVED_COLUMNS = [C.TARGET, "Hour", "DayOfWeek", "Month", "IsHeld", "IsReopen"]
 
@@ -66,42 +67,42 @@ def is_numeric_type(dt: T.DataType) -> bool:
     return isinstance(dt, T.NumericType)
 
 
+def _is_time(dt: T.DataType) -> bool:
+    return isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType))
+
+
+def datetime_probes(df: DataFrame, names: list[str], fallback: str = "probe") -> DataFrame:
+    """T5 probes for text datetime columns, added as boolean columns ``_fmt_<name>``.
+
+    Each probe is an uncorrelated EXISTS subquery in the same plan: it stops at
+    the first row that parses with the dispatch format and shares the input's
+    exchanges with the main query (no extra driver job, no second input pass).
+    """
+    if fallback != "probe":
+        return df
+    probes = [df.where(S.parse_text_datetime(n).isNotNull()).exists().alias(f"_fmt_{n}")
+              for n in names if not _is_time(_dtype(df, n))]
+    return df.select("*", *probes) if probes else df
+
+
 def datetime_column(df: DataFrame, name: str, fallback: str = "probe") -> Column:
     """F1 for one column.
 
     Text is parsed with the dispatch format.  ``fallback`` decides when the
     generic parse is used instead: ``"probe"`` (reference rule: only if no value
-    of this input parses), ``"never"`` or ``"always"``.
+    of this input parses; needs the ``_fmt_<name>`` column from
+    ``datetime_probes``), ``"never"`` or ``"always"``.
     """
     dt = _dtype(df, name)
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+    if _is_time(dt):
         return F.col(name).cast("timestamp_ntz")
     parsed = S.parse_text_datetime(name)
     if fallback == "never":
         return parsed
+    generic = S.parse_generic_datetime(name)
     if fallback == "always":
-        return S.parse_generic_datetime(name)
-    any_parsed = df.select(parsed.alias("p")).where(F.col("p").isNotNull()).limit(1).count() > 0
-    return parsed if any_parsed else S.parse_generic_datetime(name)
-
-
-def datetime_columns(df: DataFrame, names: list[str], fallback: str = "probe") -> list[Column]:
-    """F1 for several columns; in the usual case one probe job decides all.
-
-    A single ``limit(1)`` job looks for a row where every text column parses
-    with the dispatch format; only if there is none is each column probed on
-    its own (the reference decides per column).
-    """
-    text = [n for n in names if not isinstance(_dtype(df, n), (T.TimestampType, T.TimestampNTZType, T.DateType))]
-    if fallback != "probe" or len(text) < 2:
-        return [datetime_column(df, n, fallback) for n in names]
-    parsed = {n: S.parse_text_datetime(n) for n in text}
-    cond = None
-    for p in parsed.values():
-        cond = p.isNotNull() if cond is None else cond & p.isNotNull()
-    if df.select(*[p.alias(f"_p{i}") for i, p in enumerate(parsed.values())]).where(cond).limit(1).count() > 0:
-        return [parsed[n] if n in parsed else datetime_column(df, n, fallback) for n in names]
-    return [datetime_column(df, n, fallback) for n in names]
+        return generic
+    return F.when(F.col(f"_fmt_{name}"), parsed).otherwise(generic)
 
 
 def response_minutes(df: DataFrame, t0: Column, t1: Column) -> Column:
@@ -123,6 +124,10 @@ def clean_incidents(df: DataFrame, datetime_fallback: str = "probe") -> DataFram
     INCIDENT_CLASSIFICATION when derived, Response_Time_Minutes, Hour,
     DayOfWeek, Month, IsHeld, IsReopen.
     """
+    if df.isStreaming and datetime_fallback == "probe":
+        # A stream cannot be probed (subqueries over streams are not allowed):
+        # use the dispatch format as is.
+        datetime_fallback = "never"
     df = standardize_column_names(df)
     # A re-cleaned table carries upper-cased copies of derived columns;
     # Spark resolves names case-insensitively, so drop them before deriving.
@@ -131,14 +136,22 @@ def clean_incidents(df: DataFrame, datetime_fallback: str = "probe") -> DataFram
     df = add_compatible_columns(df)
     validate_required_columns(df)
 
-    t0, t1 = datetime_columns(df, [C.INCIDENT_DATETIME, C.FIRST_ON_SCENE_DATETIME], datetime_fallback)
+    stamps = [C.INCIDENT_DATETIME, C.FIRST_ON_SCENE_DATETIME]
+    source_cols = df.columns
+    df = datetime_probes(df, stamps, datetime_fallback)
+    if any(not _is_time(_dtype(df, n)) for n in stamps):
+        # Text stamps make the parse below the costly part: spread a
+        # single-split input over tasks first (after the probes, which then
+        # stop at the first matching row of the raw scan).
+        df = spread(df)
+    t0, t1 = [datetime_column(df, n, datetime_fallback) for n in stamps]
     # The parsed stamps are produced by a one-row generator:
     # Catalyst cannot push the row filter below a Generate for predicates on
     # its output, so each stamp is parsed once, after the scan has been spread
     # over tasks, instead of being inlined into a pushed-down filter and then
     # parsed again in the projection.
     derived = F.inline(F.array(F.struct(t0.alias("_t0"), t1.alias("_t1"))))
-    rest = [c for c in df.columns if c not in (C.INCIDENT_DATETIME, C.FIRST_ON_SCENE_DATETIME)]
+    rest = [c for c in source_cols if c not in stamps]
     staged = df.select(*rest, derived)
     staged = staged.withColumn("_y", response_minutes(df, F.col("_t0"), F.col("_t1")))
     kept = staged.where(
@@ -149,7 +162,7 @@ def clean_incidents(df: DataFrame, datetime_fallback: str = "probe") -> DataFram
         & F.col("_y").between(F.lit(C.RESPONSE_TIME_MIN), F.lit(C.RESPONSE_TIME_MAX))
     )
     order = [F.col("_t0").alias(c) if c == C.INCIDENT_DATETIME
-             else F.col("_t1").alias(c) if c == C.FIRST_ON_SCENE_DATETIME else F.col(c) for c in df.columns]
+             else F.col("_t1").alias(c) if c == C.FIRST_ON_SCENE_DATETIME else F.col(c) for c in source_cols]
     kept = kept.select(*order, F.col("_y").alias(C.TARGET))
 
     text_cols = set(C.BASE_CATEGORICAL_FEATURES + C.OPTIONAL_FEATURE_COLUMNS)

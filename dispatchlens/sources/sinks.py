@@ -78,11 +78,13 @@ def csv_to_parquet(spark: SparkSession, src: str, dst: str) -> str:
 
 def report_table(profile: DataFrame, comparison: DataFrame, importance: DataFrame) -> DataFrame:
     """The content of the final report as rows (section, key, value)."""
-    p = profile.select(F.lit("data").alias("section"), F.lit("rows").alias("key"),
-                       F.col("rows").cast("string").alias("value")).unionByName(
-        profile.select(F.lit("data"), F.lit("columns"), F.col("columns").cast("string"))).unionByName(
-        profile.select(F.lit("data"), F.lit("duplicate_rows"), F.col("duplicate_rows").cast("string"))).unionByName(
-        profile.select(F.lit("data"), F.lit("selected_features"), F.col("selected_features")))
+    def field(name, value):
+        return profile.select(F.lit("data").alias("section"), F.lit(name).alias("key"),
+                              value.cast("string").alias("value"))
+
+    p = field("rows", F.col("rows"))
+    for name in ["columns", "duplicate_rows", "selected_features"]:
+        p = p.unionByName(field(name, F.col(name)))
     comp = comparison.select(F.lit("comparison").alias("section"), F.col("Algorithm").alias("key"),
                              F.format_string("MAE=%.4f RMSE=%.4f", "MAE", "RMSE").alias("value"))
     imp = importance.select(F.lit("importance").alias("section"), F.col("Feature").alias("key"),
