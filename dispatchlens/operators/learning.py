@@ -268,6 +268,20 @@ def random_search(estimator, space: dict, prepared: DataFrame, draws: int = 20,
     return cv.fit(prepared)
 
 
+def tune_random_forest(prepared: DataFrame, draws: int = 20, folds: int = 3, label: str = C.TARGET,
+                       seed: int = C.SEED, parallelism: int = 4):
+    """Random search over the forest space, 3-fold CV on MAE; best model."""
+    return random_search(forest(label, seed), FOREST_SPACE, prepared, draws, folds, label, seed,
+                         parallelism).bestModel
+
+
+def tune_boosted(prepared: DataFrame, draws: int = 20, folds: int = 3, label: str = C.TARGET,
+                 seed: int = C.SEED, parallelism: int = 4):
+    """Random search over the boosted-tree space, 3-fold CV on MAE; best model."""
+    return random_search(boosted(BOOST_A, label, seed), BOOST_SPACE, prepared, draws, folds, label, seed,
+                         parallelism).bestModel
+
+
 # --- M16 / M17: importance -----------------------------------------------------
 def feature_importance(model: FittedModel, top_n: int = 20) -> DataFrame:
     """Named tree importances, highest first (empty for non-tree learners)."""

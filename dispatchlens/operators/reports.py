@@ -321,3 +321,36 @@ def options_by(df: DataFrame, parent: str, child: str) -> DataFrame:
     """Cascaded option lists: distinct child values per parent value."""
     return (df.select(parent, child).where(F.col(child).isNotNull()).distinct()
               .orderBy(parent, F.col(child).cast("string")))
+
+
+# --- J5: code -> label dimension lookups --------------------------------------
+# Display names for weekday codes (Monday = 0) and month codes.
+WEEKDAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July", "August",
+               "September", "October", "November", "December"]
+
+
+def label_table(spark, codes: Sequence, labels: Sequence[str], code_col: str = "code") -> DataFrame:
+    """A small code -> label dimension table (size fixed by the code list)."""
+    return spark.createDataFrame(list(zip(codes, labels)), f"{code_col} int, label string")
+
+
+def attach_labels(df: DataFrame, column: str, labels: DataFrame, label_col: str) -> DataFrame:
+    """Broadcast left join to a code -> label dimension; a missing code keeps
+    its own text.  The dimension is a fixed list (7 or 12 rows), so broadcasting
+    it is size-safe."""
+    dim = labels.withColumnRenamed("code", "_code").withColumnRenamed("label", "_label")
+    out = df.join(F.broadcast(dim), df[column] == dim["_code"], "left")
+    return out.withColumn(label_col, F.coalesce(F.col("_label"), F.col(column).cast("string"))).drop("_code", "_label")
+
+
+def monthly_trend_labeled(df: DataFrame) -> DataFrame:
+    """A35 with month names."""
+    months = label_table(df.sparkSession, list(range(1, 13)), MONTH_NAMES)
+    return attach_labels(monthly_trend(df), "Month", months, "month_name").orderBy("Month")
+
+
+def weekday_period_labeled(df: DataFrame) -> DataFrame:
+    """A25 with weekday names."""
+    days = label_table(df.sparkSession, list(range(7)), WEEKDAY_NAMES)
+    return attach_labels(weekday_period_pivot(df), "DayOfWeek", days, "day_name").orderBy("DayOfWeek")

@@ -351,6 +351,26 @@ def q_borough_display(spark, sf_dir):
     return finalize(R.borough_summary_display(events_clean(spark, sf_dir)))
 
 
+MONTHS_SQL = "CASE Month " + " ".join(f"WHEN {i + 1} THEN '{m}'" for i, m in enumerate(R.MONTH_NAMES)) + \
+    " ELSE CAST(Month AS VARCHAR) END"
+DAYS_SQL = "CASE DayOfWeek " + " ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(R.WEEKDAY_NAMES)) + \
+    " ELSE CAST(DayOfWeek AS VARCHAR) END"
+
+
+@register("j5_monthly_trend_labeled", ord_sql(
+    f"SELECT Month, avg({TG}) AS mean_minutes, count({TG}) AS cases, {MONTHS_SQL} AS month_name FROM ord GROUP BY Month",
+    ["mean_minutes"]))
+def q_monthly_labeled(spark, sf_dir):
+    return finalize(R.monthly_trend_labeled(orders_clean(spark, sf_dir)))
+
+
+@register("j5_weekday_period_labeled", ev_sql(
+    "SELECT DayOfWeek, " + ", ".join(f"avg({TG}) FILTER (WHERE period = '{p}') AS {p}" for p in PERIODS)
+    + f", {DAYS_SQL} AS day_name FROM (SELECT *, {PERIOD} AS period FROM ev) GROUP BY DayOfWeek", PERIODS))
+def q_weekday_labeled(spark, sf_dir):
+    return finalize(R.weekday_period_labeled(events_clean(spark, sf_dir)))
+
+
 # --- profile ----------------------------------------------------------------
 def _missing_sql(name: str, kind: str) -> str:
     cond = f"{name} IS NULL" + (f" OR isnan({name})" if kind == "d" else "")

@@ -54,6 +54,17 @@ def training_sample(raw: DataFrame, sample_rows: int | None = None, max_rows: in
     return clean.orderBy(C.INCIDENT_DATETIME, C.KEY).limit(sample_rows)
 
 
+def union_inputs(frames: Sequence[DataFrame]) -> DataFrame:
+    """Bag union of separately read inputs, by column name; columns missing
+    in one input become null (a multi-file scan does this implicitly)."""
+    if not frames:
+        raise ValueError("no inputs")
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
 def read_table_file(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".parquet") or not path.endswith(".csv"):
         return spark.read.parquet(path)

@@ -96,3 +96,34 @@ def test_payload_frame_and_report(spark, tmp_dir):
     assert best["key"] == "B"
     path = SK.write_training_dataset(df, tmp_dir)
     assert path.endswith(f"training_dataset_{df.count()}")
+
+
+def test_union_inputs_by_name(spark):
+    a = spark.createDataFrame([(1, "x")], "k int, v string")
+    b = spark.createDataFrame([("y", 2, 3.0)], "v string, k int, extra double")
+    u = SR.union_inputs([a, b])
+    assert u.count() == 2 and set(u.columns) == {"k", "v", "extra"}
+
+
+def test_prediction_pairs_and_importance_sinks(spark, tmp_dir):
+    from dispatchlens.operators import evaluate as E
+
+    df = K.orders_clean(spark, SF_SMALL)
+    train, test = E.train_test_split(df)
+    models = {"Linear Regression": E.GroupMeanRegressor(["BOROUGH"]).fit(train),
+              "Random Forest Regressor": E.GroupMeanRegressor([]).fit(train)}
+    cases = E.case_predictions(test, models)
+    path = SK.write_prediction_pairs(cases, os.path.join(tmp_dir, "pairs"))
+    back = spark.read.option("header", True).csv(path)
+    assert back.columns == ["Actual_Response_Time_Minutes", "Linear_Regression_Predicted_Minutes",
+                            "Random_Forest_Regressor_Predicted_Minutes"]
+    imp = spark.createDataFrame([("x", 0.7)], "Feature string, Importance double")
+    SK.write_importance(imp, os.path.join(tmp_dir, "imp"))
+    assert spark.read.option("header", True).csv(os.path.join(tmp_dir, "imp")).count() == 1
+
+
+def test_load_or_train_falls_back(spark, tmp_dir):
+    df = K.orders_clean(spark, SF_SMALL)
+    models, how = SR.load_or_train(spark, os.path.join(tmp_dir, "no_models"), df,
+                                   names=["Linear Regression"], fallback_rows=300)
+    assert how == "trained" and list(models) == ["Linear Regression"]
