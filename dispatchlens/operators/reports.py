@@ -6,9 +6,10 @@ rows):
 
 * group-bys use Spark's partial (map-side) aggregation, so a hot key costs one
   small partial row per map task, never a hot shuffle partition;
-* table-wide constants (global mean, min/max) are scalar subqueries, which
-  Catalyst merges into one aggregate pass and hands to the consumer as a
-  literal: no join and no cross product;
+* table-wide constants are either derived from the grouped rows themselves
+  (global mean = sum of group sums / sum of group counts, a window over the
+  few aggregated rows) or are scalar subqueries (min/max), handed to the
+  consumer as a literal: no join and no cross product;
 * exact quantiles (``percentile``) keep a value -> count map per group, which is
   bounded by the number of *distinct* target values (second resolution over
   0.5–60 minutes is < 3,600 values).  ``exact=False`` switches to
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -48,13 +49,15 @@ def global_mean_value(df: DataFrame) -> Column:
     return df.agg(F.avg(tgt())).scalar()
 
 
-def mean_from_groups(agg: DataFrame, sum_col: str = "_sum", count_col: str = "cases") -> Column:
-    """Global mean as a scalar subquery over an already grouped table.
+def mean_from_groups(sum_col: str = "_sum", count_col: str = "cases") -> Column:
+    """Global mean from an already grouped table: sum of sums / sum of counts.
 
-    The subquery reads the same grouped exchange as the main plan, which AQE
-    reuses, so the input is scanned once instead of twice.
+    Evaluated as a window over the *aggregated* rows (one row per group, e.g.
+    five boroughs), so the input is scanned once.  A scalar subquery would be
+    pruned to a different aggregate and re-run the whole input pipeline.
     """
-    return agg.agg(F.sum(sum_col) / F.sum(count_col)).scalar()
+    everything = Window.partitionBy()
+    return F.sum(sum_col).over(everything) / F.sum(count_col).over(everything)
 
 
 def global_mean(df: DataFrame) -> DataFrame:
@@ -143,7 +146,8 @@ def borough_summary(df: DataFrame, exact: bool = True) -> DataFrame:
     agg = df.groupBy("BOROUGH").agg(
         F.count(tgt()).alias("cases"), F.sum(tgt()).alias("_sum"), F.avg(tgt()).alias("mean_minutes"),
         q.alias("q"), slow_share().alias("slow_share"))
-    g = mean_from_groups(agg)
+    agg = agg.withColumn("_g", mean_from_groups())
+    g = F.col("_g")
     return (agg.select(
                 "BOROUGH", "cases", "mean_minutes",
                 F.col("q")[0].alias("median_minutes"), F.col("q")[1].alias("p90_minutes"),
@@ -174,8 +178,8 @@ def dispatch_area_summary(df: DataFrame, min_cases: int = C.MIN_AREA_CASES, exac
         (F.avg("DISPATCH_RESPONSE_SECONDS_QY") / F.lit(60.0)).alias("dispatch_delay_minutes"),
         slow_share().alias("slow_share"),
     )
-    g = mean_from_groups(base)
-    agg = base.where(F.col("cases") >= F.lit(min_cases))
+    agg = base.withColumn("_g", mean_from_groups()).where(F.col("cases") >= F.lit(min_cases))
+    g = F.col("_g")
     pr = S.priority_label(F.col("mean_minutes"), F.col("slow_share"), g)
     return (agg.select("INCIDENT_DISPATCH_AREA", F.coalesce("BOROUGH", F.lit("")).alias("BOROUGH"),
                        "cases", "mean_minutes", F.col("q")[0].alias("p90_minutes"),
