@@ -23,6 +23,7 @@ from ..operators import features as FE
 from ..operators import learning as LN
 from ..operators import profile as P
 from ..operators import reports as R
+from ..operators import trends as TR
 from ..sources import fixtures as FX
 from ..sources import readers as SR
 from . import oracle as O
@@ -371,6 +372,65 @@ def q_weekday_labeled(spark, sf_dir):
     return finalize(R.weekday_period_labeled(events_clean(spark, sf_dir)))
 
 
+# --- roadmap trends (R4, R5, R7, R8, R10) ------------------------------------
+@register("r4_holiday_comparison", ord_sql(f"""
+SELECT CASE WHEN (month(INCIDENT_DATETIME) = 1 AND day(INCIDENT_DATETIME) = 1)
+              OR (month(INCIDENT_DATETIME) = 7 AND day(INCIDENT_DATETIME) = 4)
+              OR (month(INCIDENT_DATETIME) = 12 AND day(INCIDENT_DATETIME) = 25) THEN 1 ELSE 0 END AS IsHoliday,
+  avg({TG}) AS mean_minutes, count({TG}) AS cases
+FROM ord GROUP BY 1""", ["mean_minutes"]))
+def q_holiday(spark, sf_dir):
+    return finalize(TR.holiday_comparison(orders_clean(spark, sf_dir)))
+
+
+@register("r5_borough_prev7d_avg", ord_sql(f"""
+SELECT o.CAD_INCIDENT_ID, r.v AS Borough_Prev7d_Avg
+FROM ord o LEFT JOIN (
+  SELECT BOROUGH, d, sum(s) OVER w / sum(n) OVER w AS v
+  FROM (SELECT BOROUGH, CAST(INCIDENT_DATETIME AS DATE) AS d, sum({TG}) AS s, count({TG}) AS n
+        FROM ord WHERE {TG} IS NOT NULL GROUP BY 1, 2)
+  WINDOW w AS (PARTITION BY BOROUGH ORDER BY CAST(d - DATE '1970-01-01' AS BIGINT)
+               RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING)) r
+ON r.BOROUGH = o.BOROUGH AND r.d = CAST(o.INCIDENT_DATETIME AS DATE)""", ["Borough_Prev7d_Avg"]))
+def q_prev7d(spark, sf_dir):
+    return finalize(TR.add_borough_prev7d_avg(orders_clean(spark, sf_dir)).select(C.KEY, "Borough_Prev7d_Avg"))
+
+
+@register("r7_worst_borough_hours", ev_sql(f"""
+SELECT BOROUGH, Hour, avg({TG}) AS mean_minutes, count({TG}) AS cases FROM ev
+GROUP BY 1, 2 ORDER BY mean_minutes DESC, BOROUGH, Hour LIMIT 5""", ["mean_minutes"]))
+def q_worst_segments(spark, sf_dir):
+    return finalize(TR.worst_segments(events_clean(spark, sf_dir)))
+
+
+@register("r8_monthly_trend_by_borough", ord_sql(f"""
+SELECT BOROUGH, strftime(INCIDENT_DATETIME, '%Y-%m') AS year_month, avg({TG}) AS mean_minutes, count({TG}) AS cases
+FROM ord GROUP BY 1, 2""", ["mean_minutes"]))
+def q_monthly_by_borough(spark, sf_dir):
+    return finalize(TR.monthly_trend_by(orders_clean(spark, sf_dir)))
+
+
+# Fixed parameters of the registered 2x2 comparison.
+DID_TREATED = ["EUROPE"]
+DID_CUT = "1998-01-01 00:00:00"
+
+
+@register("r10_difference_in_differences", ord_sql(f"""
+SELECT avg({TG}) FILTER (WHERE BOROUGH = 'EUROPE' AND INCIDENT_DATETIME < TIMESTAMP '{DID_CUT}') AS treated_before,
+  avg({TG}) FILTER (WHERE BOROUGH = 'EUROPE' AND INCIDENT_DATETIME >= TIMESTAMP '{DID_CUT}') AS treated_after,
+  avg({TG}) FILTER (WHERE BOROUGH <> 'EUROPE' AND INCIDENT_DATETIME < TIMESTAMP '{DID_CUT}') AS control_before,
+  avg({TG}) FILTER (WHERE BOROUGH <> 'EUROPE' AND INCIDENT_DATETIME >= TIMESTAMP '{DID_CUT}') AS control_after,
+  (avg({TG}) FILTER (WHERE BOROUGH = 'EUROPE' AND INCIDENT_DATETIME >= TIMESTAMP '{DID_CUT}')
+   - avg({TG}) FILTER (WHERE BOROUGH = 'EUROPE' AND INCIDENT_DATETIME < TIMESTAMP '{DID_CUT}'))
+  - (avg({TG}) FILTER (WHERE BOROUGH <> 'EUROPE' AND INCIDENT_DATETIME >= TIMESTAMP '{DID_CUT}')
+   - avg({TG}) FILTER (WHERE BOROUGH <> 'EUROPE' AND INCIDENT_DATETIME < TIMESTAMP '{DID_CUT}')) AS did
+FROM ord""", ["treated_before", "treated_after", "control_before", "control_after", "did"]))
+def q_did(spark, sf_dir):
+    from datetime import datetime
+    cut = F.lit(datetime.fromisoformat(DID_CUT)).cast("timestamp_ntz")
+    return finalize(TR.difference_in_differences(orders_clean(spark, sf_dir), "BOROUGH", DID_TREATED, cut))
+
+
 # --- profile ----------------------------------------------------------------
 def _missing_sql(name: str, kind: str) -> str:
     cond = f"{name} IS NULL" + (f" OR isnan({name})" if kind == "d" else "")
