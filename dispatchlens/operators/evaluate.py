@@ -81,9 +81,27 @@ def temporal_split(df: DataFrame, time_col: str = C.INCIDENT_DATETIME, key: str
     return df.where(is_train), df.where(~is_train)
 
 
-def seeded_sample(df: DataFrame, n: int, key: str = C.KEY, seed: int = C.SEED) -> DataFrame:
-    """N rows without replacement, chosen by a keyed hash (top-n, bounded)."""
-    return df.orderBy(S.key_hash(key, seed), key).limit(n)
+def seeded_sample(df: DataFrame, n: int, key: str = C.KEY, seed: int = C.SEED,
+                  prefilter_ratio: int = 20) -> DataFrame:
+    """The n rows with the smallest keyed hash (without replacement).
+
+    A plain ``orderBy(...).limit(n)`` merges n rows from *every* partition in
+    one task.  For inputs much larger than n the hash (uniform over 2^32) is
+    first cut at a threshold expected to keep about 1.5 n rows; if fewer than n
+    survive, the threshold doubles.  Any row of the true top n has a hash below
+    a threshold that keeps at least n rows, so the result is exact.
+    """
+    h = S.key_hash(key, seed)
+    total = df.count()
+    if total <= prefilter_ratio * n:
+        return df.orderBy(h, key).limit(n)
+    frac = min(1.0, 1.5 * n / total)
+    while True:
+        threshold = int(frac * S.HASH_MODULUS)
+        cand = df.where(h < F.lit(threshold))
+        if frac >= 1.0 or cand.count() >= n:
+            return cand.orderBy(h, key).limit(n)
+        frac = min(1.0, frac * 2)
 
 
 # --- lookup predictor --------------------------------------------------------

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scalars as S
+from ..plans.partitioning import spread
 
 FEATURES = "features"
 
@@ -223,7 +224,8 @@ def fit_models(train: DataFrame, numeric: list[str], categorical: list[str],
     models = models if models is not None else make_models(label)
     pre = Preprocessor(numeric, categorical).fit(train)
     cols = [c for c in [key] if c in train.columns]
-    prepared = pre.transform(train).select(*cols, FEATURES, label).persist(StorageLevel.MEMORY_AND_DISK)
+    # Iterative learners pass over this frame many times: give it enough tasks.
+    prepared = spread(pre.transform(train).select(*cols, FEATURES, label)).persist(StorageLevel.MEMORY_AND_DISK)
     names = list(models)
     learners = parallel_map(lambda n: models[n].fit(prepared), names, parallelism)
     return {n: FittedModel(pre, m) for n, m in zip(names, learners)}

@@ -111,3 +111,10 @@ def test_priority_labels(spark):
     df = K.events_clean(spark, SF_SMALL)
     labels = {r["priority"] for r in R.dispatch_area_summary(df, min_cases=1).collect()}
     assert labels <= {"high", "medium", "watch"}
+
+
+def test_seeded_sample_prefilter_is_exact(spark):
+    df = spark.range(50000).select(F.col("id").alias(C.KEY))
+    direct = [r[0] for r in E.seeded_sample(df, 100, prefilter_ratio=10 ** 9).collect()]
+    filtered = [r[0] for r in E.seeded_sample(df, 100, prefilter_ratio=2).collect()]
+    assert direct == filtered and len(direct) == 100
