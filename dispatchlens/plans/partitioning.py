@@ -5,18 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def largest_leaf_bytes(df: DataFrame) -> int:
+    """Optimizer size estimate (from file sizes) of the largest leaf relation.
+
+    Reads plan statistics only; nothing is executed.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = []
+    for i in range(leaves.size()):
+        v = leaves.apply(i).stats().sizeInBytes()
+        sizes.append(int(v) if isinstance(v, int) else int(str(v.toString())))
+    return max(sizes) if sizes else 0
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy row work enough tasks.
 
-    A table stored as one small file with one row group is scanned by a single
-    task.  Only then is it spread round-robin over the default parallelism (an
-    even shuffle with no key, so no skew).  Inputs that already have enough
-    splits -- any large table -- are returned untouched, so at cluster scale
-    this adds nothing.
+    Spark never cuts a file into pieces smaller than ``openCostInBytes`` (4 MB),
+    so when even the largest input relation is below that times the default
+    parallelism, the scan yields fewer tasks than cores.  Only then is the
+    frame spread round-robin over the default parallelism (an even shuffle
+    with no key, so no skew).  Large inputs -- anything at cluster scale --
+    are returned untouched.  The decision uses plan statistics only.
     """
     if df.isStreaming:
         return df
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    open_cost = int(str(spark.conf.get("spark.sql.files.openCostInBytes", "4194304")).rstrip("b") or 4194304)
+    if largest_leaf_bytes(df) >= open_cost * target:
         return df
     return df.repartition(target)

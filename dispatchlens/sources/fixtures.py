@@ -15,6 +15,8 @@ shuffle join if a dimension ever grows past the threshold.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,17 @@ TABLES = [
 ]
 
 
+_TABLES: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan of one driver table.  The DataFrame (file listing and footer schema)
+    is memoised per session: it is immutable and lazy, so queries share it."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    per_session = _TABLES.setdefault(spark, {})
+    if path not in per_session:
+        per_session[path] = spark.read.parquet(path)
+    return per_session[path]
 
 
 def _fmt(ts):
