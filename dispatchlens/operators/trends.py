@@ -1,4 +1,4 @@
-"""Trend and comparison operators from the documented roadmap.
+"""Trend and comparison operators from the documented roadmap.
 
 * ``add_borough_prev7d_avg`` (R5): the window runs over the *daily aggregate*
   per borough (one row per borough and day), never over the raw rows, so a
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..plans.joins import broadcast_if_small, materialize
+from ..plans.ordered import running_sum
 
 # Default fixed-date holidays as (month, day).
 DEFAULT_HOLIDAYS = [(1, 1), (7, 4), (12, 25)]
@@ -87,3 +88,43 @@ def difference_in_differences(df: DataFrame, group_col: str, treated: Sequence[s
                  cell(~tr, ~after).alias("control_before"), cell(~tr, after).alias("control_after"))
     return agg.withColumn("did", (F.col("treated_after") - F.col("treated_before"))
                           - (F.col("control_after") - F.col("control_before")))
+
+
+def add_area_lastn_avg(df: DataFrame, n: int = 5, key: str = "INCIDENT_DISPATCH_AREA",
+                       time_col: str = C.INCIDENT_DATETIME, id_col: str = C.KEY) -> DataFrame:
+    """Mean target of the ``n`` previous incidents (by time, then id) of the
+    same dispatch area; null for an area's first incident.
+
+    Skew-proof: the exact rank inside each area comes from ``running_sum``
+    (range-partitioned, no per-area task); every row then donates its target to
+    the ``n`` following ranks of its area, and one ``groupBy(area, rank)``
+    averages the donors.  Shuffles are keyed by (area, rank), so a hot area is
+    spread over all tasks.  Cost: ``n`` donor rows per incident.
+    """
+    name = f"DispatchArea_Last{n}_Avg"
+    base = df.select(key, time_col, id_col, C.TARGET)
+    ranked = running_sum(base, [key], [time_col, id_col], F.lit(1), "_rank")
+    donors = (ranked.select(key, "_rank", C.TARGET, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_k"))
+                    .select(key, (F.col("_rank") + F.col("_k")).alias("_rank"), C.TARGET))
+    lag = donors.groupBy(key, "_rank").agg(F.avg(C.TARGET).alias(name))
+    feature = ranked.join(lag, [key, "_rank"], "left").select(id_col, name)
+    return df.join(feature, id_col, "left")
+
+
+def add_concurrent_incidents(df: DataFrame, start: str = C.INCIDENT_DATETIME,
+                             end: str = C.FIRST_ON_SCENE_DATETIME) -> DataFrame:
+    """Incidents still open (started, not yet reached) when each call
+    arrives: #{j != i : start_j <= start_i and end_j > start_i}.
+
+    Starts and ends are first counted per timestamp (a timestamp shared by a
+    third of the rows collapses to one row), the net +starts -ends is summed
+    along time with ``running_sum``, and the result is joined back on the start
+    time (AQE's skew join splits a hot start time).
+    """
+    starts = df.groupBy(F.col(start).alias("_t")).agg(F.count(F.lit(1)).alias("_s"))
+    ends = df.where(F.col(end).isNotNull()).groupBy(F.col(end).alias("_t")).agg(F.count(F.lit(1)).alias("_e"))
+    net = (starts.join(ends, "_t", "full_outer")
+                 .select("_t", (F.coalesce("_s", F.lit(0)) - F.coalesce("_e", F.lit(0))).alias("_net")))
+    cum = running_sum(net, [], ["_t"], "_net", "_open").select(F.col("_t").alias(start), "_open")
+    return (df.join(cum, start, "left")
+              .withColumn("concurrent_incidents", (F.col("_open") - 1).cast("long")).drop("_open"))

@@ -431,6 +431,26 @@ def q_did(spark, sf_dir):
     return finalize(TR.difference_in_differences(orders_clean(spark, sf_dir), "BOROUGH", DID_TREATED, cut))
 
 
+@register("r6_area_last5_avg", ord_sql(f"""
+SELECT CAD_INCIDENT_ID, avg({TG}) OVER (PARTITION BY INCIDENT_DISPATCH_AREA ORDER BY INCIDENT_DATETIME, CAD_INCIDENT_ID
+                                        ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS DispatchArea_Last5_Avg
+FROM ord""", ["DispatchArea_Last5_Avg"]))
+def q_last5(spark, sf_dir):
+    return finalize(TR.add_area_lastn_avg(orders_clean(spark, sf_dir), 5).select(C.KEY, "DispatchArea_Last5_Avg"))
+
+
+@register("r3_concurrent_incidents", ord_sql("""
+SELECT o.CAD_INCIDENT_ID, CAST(c.open_ - 1 AS BIGINT) AS concurrent_incidents
+FROM ord o JOIN (
+  SELECT t, sum(net) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open_
+  FROM (SELECT t, coalesce(s, 0) - coalesce(e, 0) AS net
+        FROM (SELECT INCIDENT_DATETIME AS t, count(*) AS s FROM ord GROUP BY 1) a
+        FULL JOIN (SELECT FIRST_ON_SCENE_DATETIME AS t, count(*) AS e FROM ord GROUP BY 1) b USING (t))) c
+ON c.t = o.INCIDENT_DATETIME""", []))
+def q_concurrent(spark, sf_dir):
+    return TR.add_concurrent_incidents(orders_clean(spark, sf_dir)).select(C.KEY, "concurrent_incidents")
+
+
 # --- profile ----------------------------------------------------------------
 def _missing_sql(name: str, kind: str) -> str:
     cond = f"{name} IS NULL" + (f" OR isnan({name})" if kind == "d" else "")
