@@ -33,6 +33,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
@@ -44,8 +45,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory, setting a local one only if unset.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only an unconfigured (test / local) session gets a fresh scratch folder.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is
+    (an unset one is an error there).  Only an unconfigured local-mode session
+    (tests) gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,6 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder; "
+                               "a machine-local folder does not survive executor loss")
         configured = tempfile.mkdtemp(prefix="dispatchlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
