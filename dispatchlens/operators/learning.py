@@ -292,7 +292,7 @@ def feature_importance(model: FittedModel, top_n: int = 20) -> DataFrame:
     learner = model.learner
     names = model.pre.feature_names
     from pyspark.sql import SparkSession
-    ss = SparkSession.getActiveSession()
+    ss = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     if not hasattr(learner, "featureImportances"):
         return ss.createDataFrame([], "Feature string, Importance double")
     imp = learner.featureImportances.toArray().tolist()
@@ -336,3 +336,28 @@ def score_payloads(inputs: DataFrame, models: dict[str, FittedModel], key: str =
                                        F.col("prediction").alias("predicted_minutes"))
         out = p if out is None else out.unionByName(p)
     return out.orderBy(key, "predicted_minutes")
+
+
+# --- R9: importance per segment ------------------------------------------------
+def segment_importance(df: DataFrame, numeric: list[str], categorical: list[str], segment: str = "BOROUGH",
+                       estimator=None, top_n: int = 20, max_segments: int = 64,
+                       parallelism: int = 4) -> DataFrame:
+    """Fit one tree learner per segment value and report its named
+    importances (segment, Feature, Importance).  The segment list is read with
+    one small distinct aggregate and capped; fits run concurrently."""
+    values = [r[0] for r in df.select(segment).distinct().orderBy(segment).limit(max_segments + 1).collect()]
+    if len(values) > max_segments:
+        raise ValueError(f"more than {max_segments} values in {segment}")
+    est = estimator if estimator is not None else forest()
+
+    def run(v):
+        part = df.where(F.col(segment) == F.lit(v))
+        fitted = fit_models(part, numeric, [c for c in categorical if c != segment], {"m": est.copy()},
+                            parallelism=1)["m"]
+        return feature_importance(fitted, top_n).select(F.lit(v).alias(segment), "Feature", "Importance")
+
+    parts = parallel_map(run, values, parallelism)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -17,6 +17,7 @@ from .. import config as C
 
 from ..functions import scalars as S
 from ..operators import clean as CL
+from ..operators import causal as CA
 from ..operators import evaluate as E
 from ..operators import explain as X
 from ..operators import features as FE
@@ -921,6 +922,19 @@ def q_attribution(spark, sf_dir):
     return finalize(X.attribution_summary(_shapley(spark, sf_dir)))
 
 
+@register("r11_propensity_att")
+def q_propensity(spark, sf_dir):
+    frame, num, cat = CL.make_model_frame(orders_clean(spark, sf_dir))
+    strata = CA.propensity_strata(frame, "BOROUGH", DID_TREATED, num, cat)
+    return finalize(CA.att_from_strata(strata))
+
+
+@register("r9_importance_by_borough")
+def q_importance_by_borough(spark, sf_dir):
+    frame, num, cat = CL.make_model_frame(orders_clean(spark, sf_dir))
+    return finalize(LN.segment_importance(frame, num, cat, "BOROUGH"))
+
+
 @register("m5_random_forest")
 def q_forest(spark, sf_dir):
     return _learner_cases(spark, sf_dir, C.MODEL_NAMES[1])

@@ -158,7 +158,7 @@ def save_models(models: dict, directory: str) -> list[str]:
         else:
             meta["kind"] = type(m.learner).__name__
             m.learner.write().overwrite().save(f"{base}/learner")
-        spark = SparkSession.getActiveSession()
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{base}/meta")
         paths.append(base)
     return paths
