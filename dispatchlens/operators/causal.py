@@ -22,11 +22,21 @@ from .. import config as C
 from .learning import FEATURES, Preprocessor
 
 
+# Columns that encode location: they determine a borough treatment exactly and
+# would leave no overlap between the groups, so they are not covariates.
+LOCATION_COLUMNS = ["BOROUGH", "INCIDENT_DISPATCH_AREA", "ZIPCODE"]
+
+
 def propensity_strata(df: DataFrame, group_col: str, treated: Sequence[str], numeric: list[str],
-                      categorical: list[str], strata: int = 20, seed: int = C.SEED) -> DataFrame:
-    """Per score stratum: treated / control counts and mean outcomes."""
+                      categorical: list[str], strata: int = 20, seed: int = C.SEED,
+                      exclude: Sequence[str] = tuple(LOCATION_COLUMNS)) -> DataFrame:
+    """Per score stratum: treated / control counts and mean outcomes.
+
+    Covariates are the given features minus the group column and ``exclude``.
+    """
     data = df.withColumn("_treated", F.col(group_col).isin(list(treated)).cast("double"))
-    cats = [c for c in categorical if c != group_col]
+    numeric = [c for c in numeric if c not in exclude and c != group_col]
+    cats = [c for c in categorical if c != group_col and c not in exclude]
     pre = Preprocessor(numeric, cats).fit(data)
     vec = pre.transform(data)
     model = LogisticRegression(featuresCol=FEATURES, labelCol="_treated", maxIter=100).fit(vec)
