@@ -77,7 +77,10 @@ def temporal_split(df: DataFrame, time_col: str = C.INCIDENT_DATETIME, key: str
             break
         before += row["c"]
     t_cut, k_cut = cut[time_col], cut[key]
-    is_train = (F.col(time_col) < F.lit(t_cut)) | ((F.col(time_col) == F.lit(t_cut)) & (F.col(key) < F.lit(k_cut)))
+    # Rebuild the cut as text cast to the column type: a naive Python datetime
+    # literal would pass through the local and session time zones.
+    t_lit = F.lit(str(t_cut)).cast(df.schema[time_col].dataType)
+    is_train = (F.col(time_col) < t_lit) | ((F.col(time_col) == t_lit) & (F.col(key) < F.lit(k_cut)))
     return df.where(is_train), df.where(~is_train)
 
 

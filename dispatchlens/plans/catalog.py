@@ -423,8 +423,7 @@ SELECT avg({TG}) FILTER (WHERE BOROUGH = 'EUROPE' AND INCIDENT_DATETIME < TIMEST
    - avg({TG}) FILTER (WHERE BOROUGH <> 'EUROPE' AND INCIDENT_DATETIME < TIMESTAMP '{DID_CUT}')) AS did
 FROM ord""", ["treated_before", "treated_after", "control_before", "control_after", "did"]))
 def q_did(spark, sf_dir):
-    from datetime import datetime
-    cut = F.lit(datetime.fromisoformat(DID_CUT)).cast("timestamp_ntz")
+    cut = F.lit(DID_CUT).cast("timestamp_ntz")
     return finalize(TR.difference_in_differences(orders_clean(spark, sf_dir), "BOROUGH", DID_TREATED, cut))
 
 
