@@ -18,6 +18,17 @@ def largest_leaf_bytes(df: DataFrame) -> int:
     return max(sizes) if sizes else 0
 
 
+_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+
+
+def byte_size(value: str | int) -> int:
+    """Parse a Spark byte-size setting such as ``4194304``, ``4m`` or ``4MB``."""
+    text = str(value).strip().lower()
+    digits = "".join(ch for ch in text if ch.isdigit())
+    unit = text[len(digits):].strip() or "b"
+    return int(digits) * _UNITS.get(unit, 1) if digits else 4 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy row work enough tasks.
 
@@ -32,7 +43,7 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism
-    open_cost = int(str(spark.conf.get("spark.sql.files.openCostInBytes", "4194304")).rstrip("b") or 4194304)
+    open_cost = byte_size(spark.conf.get("spark.sql.files.openCostInBytes", "4194304"))
     if largest_leaf_bytes(df) >= open_cost * target:
         return df
     return df.repartition(target)
