@@ -50,3 +50,51 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     joined = local.join(broadcast_if_small(offsets, rows), ["_pid", *keys], "left")
     return joined.withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))) \
                  .drop("_v", "_pid", "_local", "_off")
+
+
+def _order_number(df: DataFrame, name: str) -> Column:
+    """A monotone numeric image of a sortable column (for approximate quantiles)."""
+    from pyspark.sql import types as T
+
+    dt = df.schema[name].dataType
+    if isinstance(dt, (T.TimestampNTZType, T.TimestampType)):
+        epoch = F.lit("1970-01-01 00:00:00").cast(dt)
+        return F.timestamp_diff("MICROSECOND", epoch, F.col(name)).cast("double")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(F.col(name)).cast("double")
+    return F.col(name).cast("double")
+
+
+def first_n_by(df: DataFrame, n: int, order: Sequence[str], direct_ratio: int = 20) -> DataFrame:
+    """The first ``n`` rows in ascending ``order`` (columns that are unique in
+    combination), exact, as a *filter* on the input.
+
+    ``orderBy(...).limit(n)`` merges up to n rows from every partition in one
+    task and returns a single partition.  Instead, an approximate quantile of
+    the first order column cuts the input to about 1.5 n candidates (widened
+    until at least n survive), the n-th candidate row gives the exact cut, and
+    the result is ``df.where(struct(order) <= cut)``: exactly n rows that keep
+    the input's partitioning.
+    """
+    order = list(order)
+    total = df.count()
+    if total <= n:
+        return df
+    if total <= direct_ratio * n:
+        cand = df
+    else:
+        key = _order_number(df, order[0])
+        frac = min(1.0, 1.5 * n / total)
+        while True:
+            if frac >= 1.0:
+                cand = df
+                break
+            t = df.select(F.percentile_approx(key, frac, 10000)).first()[0]
+            cand = df.where(key <= F.lit(t))
+            if cand.count() >= n:
+                break
+            frac = min(1.0, frac * 2)
+    last = cand.select(*order).orderBy(*order).limit(n).agg(F.max(F.struct(*order)).alias("m")).first()["m"]
+    cut = F.struct(*[F.lit(str(last[c]) if last[c] is not None else None).cast(df.schema[c].dataType).alias(c)
+                     for c in order])
+    return df.where(F.struct(*[F.col(c) for c in order]) <= cut)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..operators.clean import clean_incidents
+from ..plans.ordered import first_n_by
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -51,7 +52,8 @@ def training_sample(raw: DataFrame, sample_rows: int | None = None, max_rows: in
         return clean
     if clean.limit(1).count() == 0:
         raise ValueError("No valid training rows were found in the CSV.")
-    return clean.orderBy(C.INCIDENT_DATETIME, C.KEY).limit(sample_rows)
+    # exact first-n as a filter: no one-task top-n merge, input partitioning kept
+    return first_n_by(clean, sample_rows, [C.INCIDENT_DATETIME, C.KEY])
 
 
 def union_inputs(frames: Sequence[DataFrame]) -> DataFrame:

@@ -25,3 +25,15 @@ def test_global_running_sum(spark):
     df = spark.range(1000).select(F.col("id"), F.lit(1).alias("v"))
     got = running_sum(df, [], ["id"], "v", "rs", partitions=4)
     assert got.where(F.col("rs") != F.col("id") + 1).count() == 0
+
+
+def test_first_n_by_exact_and_distributed(spark):
+    from dispatchlens.plans.ordered import first_n_by
+
+    df = spark.range(20000).select(
+        F.col("id"), F.timestamp_add("SECOND", ((F.col("id") * 7919) % 5000).cast("int"),
+                                     F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("t")).repartition(6)
+    want = [r["id"] for r in df.orderBy("t", "id").limit(300).collect()]
+    got = first_n_by(df, 300, ["t", "id"], direct_ratio=2)
+    assert sorted(r["id"] for r in got.collect()) == sorted(want)
+    assert got.rdd.getNumPartitions() == 6
