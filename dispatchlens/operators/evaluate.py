@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import scalars as S
 from ..plans.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small, materialize
+from ..plans.ordered import first_n_by
 from . import reports as R
 
 ACTUAL = "Actual_Response_Time_Minutes"
@@ -85,26 +86,15 @@ def temporal_split(df: DataFrame, time_col: str = C.INCIDENT_DATETIME, key: str
 
 
 def seeded_sample(df: DataFrame, n: int, key: str = C.KEY, seed: int = C.SEED,
-                  prefilter_ratio: int = 20) -> DataFrame:
+                  direct_ratio: int = 20) -> DataFrame:
     """The n rows with the smallest keyed hash (without replacement).
 
-    A plain ``orderBy(...).limit(n)`` merges n rows from *every* partition in
-    one task.  For inputs much larger than n the hash (uniform over 2^32) is
-    first cut at a threshold expected to keep about 1.5 n rows; if fewer than n
-    survive, the threshold doubles.  Any row of the true top n has a hash below
-    a threshold that keeps at least n rows, so the result is exact.
+    Exact and distributed: ``plans.ordered.first_n_by`` cuts on the hash
+    (uniform over 2^32) and returns a filter on the input, so there is no
+    one-task top-n merge and the sample keeps the input's partitioning.
     """
-    h = S.key_hash(key, seed)
-    total = df.count()
-    if total <= prefilter_ratio * n:
-        return df.orderBy(h, key).limit(n)
-    frac = min(1.0, 1.5 * n / total)
-    while True:
-        threshold = int(frac * S.HASH_MODULUS)
-        cand = df.where(h < F.lit(threshold))
-        if frac >= 1.0 or cand.count() >= n:
-            return cand.orderBy(h, key).limit(n)
-        frac = min(1.0, frac * 2)
+    hashed = df.withColumn("_h", S.key_hash(key, seed))
+    return first_n_by(hashed, n, ["_h", key], direct_ratio).drop("_h")
 
 
 # --- lookup predictor --------------------------------------------------------
