@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_bands
+from . import decontaminate, quality_bands
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.matches(table(spark, sf_dir, "documents"),
+                                                      table(spark, sf_dir, "benchmark"))).drop("longest_match")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands.judged(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_benchmark_decontamination": decontaminate.sql(),
+}
