@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality_bands
+from . import decontaminate, quality_bands, suffix_columns
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,12 +17,18 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                                                       table(spark, sf_dir, "benchmark"))).drop("longest_match")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return suffix_columns.digest(docs, suffix_columns.repeats(docs))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands.judged(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {
