@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality_bands, suffix_columns
+from . import bag_minhash, decontaminate, quality_bands, suffix_columns
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.report(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.matches(table(spark, sf_dir, "documents"),
                                                       table(spark, sf_dir, "benchmark"))).drop("longest_match")
@@ -27,6 +31,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_quality_rules": op10_quality_rules,
