@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tables import stored
-from .text import BASE, BYTE_VALUE, MIX, flat, grams, hashes, inverse, mix64, powers, slices, uniform, within, words
+from .text import BASE, BYTE_VALUE, MIX, flat, grams, hashes, inverse, mix64, powers, salt, slices, uniform, within, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -80,7 +80,7 @@ def signatures(n: int, owner: np.ndarray, shingle: np.ndarray, count: np.ndarray
         if not len(part):
             break
         row.append(owner[part])
-        seed.append(mix64(shingle[part] + np.uint64(band + 1) * MIX))
+        seed.append(mix64(shingle[part] + salt(band + 1)))
         rate.append(np.full(len(part), max(1, floor), np.float64))
         low.append(np.full(len(part), floor))
         weight.append(count[part])

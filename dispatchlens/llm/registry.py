@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bag_minhash, decontaminate, quality_bands, suffix_columns
+from . import bag_minhash, decontaminate, piece_sampling, quality_bands, suffix_columns
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,13 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.report(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    coded = piece_sampling.decode(piece_sampling.encode(docs))
+    return coded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"),
+                        F.length("decoded").cast("long").alias("n_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.matches(table(spark, sf_dir, "documents"),
                                                       table(spark, sf_dir, "benchmark"))).drop("longest_match")
@@ -32,6 +40,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_quality_rules": op10_quality_rules,

@@ -45,6 +45,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def salt(k: int) -> np.uint64:
+    """k times ``MIX`` modulo 2**64."""
+    return np.uint64(k * int(MIX) & (1 << 64) - 1)
+
+
 def uniform(x: np.ndarray) -> np.ndarray:
     """(0, 1) doubles from 64-bit hashes."""
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
