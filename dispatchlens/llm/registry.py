@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, decontaminate, piece_sampling, quality_bands, suffix_columns
+from . import bag_minhash, chat, decontaminate, license_scan, piece_sampling, quality_bands, suffix_columns
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.formatted(chat.with_hostile(table(spark, sf_dir, "conversations"))))
+
+
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scanned(table(spark, sf_dir, "documents")))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.report(table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op2_license_scans": op2_license_scans,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
@@ -46,5 +56,6 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {
+    "op1_chat_formatting": chat.SQL,
     "op8_benchmark_decontamination": decontaminate.sql(),
 }
