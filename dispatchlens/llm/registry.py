@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, chat, decontaminate, license_scan, piece_sampling, quality_bands, suffix_columns
+from . import bag_minhash, chat, decontaminate, license_scan, piece_sampling, quality_bands, suffix_columns, tag_paths
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scanned(table(spark, sf_dir, "documents")))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_paths.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.report(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_license_scans": op2_license_scans,
+    "op3_html_extraction": op3_html_extraction,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,

@@ -260,7 +260,8 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, max_strin
     rows = keyed(docs, text)
     marks = stored(anchors(rows, length))
     seeds = marks.groupBy("seed").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1"))
-    seeds = seeds.where("n > 1").select("seed", (F.col("c0") != F.col("c1")).alias("mixed"))
+    # Stored, so that the join has an exchange on both sides and Spark can split hot seeds.
+    seeds = stored(seeds.where("n > 1").select("seed", (F.col("c0") != F.col("c1")).alias("mixed")))
     twice = stored(marks.join(seeds, "seed"))
     mixed = twice.where("mixed").drop("mixed")
     distinct = stored(mixed.groupBy("seed", "context").agg(
