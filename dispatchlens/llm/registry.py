@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, chat, decontaminate, license_scan, piece_sampling, quality_bands, suffix_columns, tag_paths
+from . import bag_minhash, chat, decontaminate, license_scan, piece_sampling, quality_bands, subword_quality, suffix_columns, tag_paths, toxic_crf
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,16 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_paths.extracted(table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxic_crf.digest(toxic_crf.tagged(docs, toxic_crf.fit(docs, table(spark, sf_dir, "labels"))))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return subword_quality.digest(subword_quality.scored(docs, subword_quality.fit(docs, table(spark, sf_dir, "labels"))))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.report(table(spark, sf_dir, "documents"))
 
@@ -54,8 +64,10 @@ QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_license_scans": op2_license_scans,
     "op3_html_extraction": op3_html_extraction,
+    "op4_toxicity": op4_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_quality_rules": op10_quality_rules,
