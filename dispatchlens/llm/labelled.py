@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS = 6_000
+MAX_ROWS = 3_000
 
 
 def fold(doc_id: str = "doc_id") -> Column:

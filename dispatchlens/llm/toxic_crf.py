@@ -1,10 +1,10 @@
 """Toxic spans by a linear-chain conditional random field.
 
-A token is toxic or not; its label depends on its own features (hashes of the word
-and of its last letters) and on its neighbours' labels.  Documents are labelled, not
-tokens, so token labels come first: the fewest words that explain the toxic training
-documents and are rare in the others, found by greedy cover, are toxic in toxic
-documents.  The field learns from these labelled tokens by gradient ascent on their
+A token is toxic or not; its label depends on its own features (hashes of the word,
+of its beginnings and of its end) and on its neighbours' labels.  Documents are
+labelled, not tokens, so token labels come first: the fewest words and beginnings of
+words that explain the toxic training documents and are rare in the others, found by
+greedy cover, mark toxic tokens in toxic documents.  The field learns from these labelled tokens by gradient ascent on their
 likelihood; the gradient is what forward-backward marginals lack from the labels.
 Scoring runs forward-backward over all tokens of a text; the marginals give the
 offending spans and, summed up by maximum, expected number and share, the score.
@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from .labelled import MAX_ROWS, held_out, logistic, training_rows
 from .tables import per_row
-from .text import flat, hashes, mix64, words
+from .text import flat, hashes, mix64, salt, words
 
 BUCKETS_LOG2 = 18
 WINDOW, EPOCHS, RATE, RIDGE = 128, 6, 0.5, 1e-6
-SUFFIX = 3
+SUFFIX, BEGINNINGS = 3, (4, 5, 6, 7, 8)
+#: A mark of toxic tokens: how many times chance it stands in toxic documents, and what it explains anew at least.
+RARE, LEAST_ROWS, LEAST_SHARE = 4.0, 3, 0.02
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
 
 
@@ -46,11 +48,20 @@ class Field:
 
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hash and the two feature buckets of each token."""
-    h = hashes(data, starts, ends)
+    """Hashes of each token's word and of its beginnings (0: the word is no longer), and its buckets.
+
+    The last bucket stands for a beginning that is not there; its gain stays 0.
+    """
+    kinds = [hashes(data, starts, ends)]
+    for k in BEGINNINGS:
+        begin = mix64(hashes(data, starts, np.minimum(ends, starts + k)) + salt(k))
+        kinds.append(np.where(ends - starts > k, begin, np.uint64(0)))
     tail = mix64(hashes(data, np.maximum(starts, ends - SUFFIX), ends) + np.uint64(1))
+    kinds = np.column_stack(kinds)
     shift = np.uint64(64 - BUCKETS_LOG2)
-    return h, np.column_stack([h >> shift, tail >> shift]).astype(np.int64)
+    bucket = np.column_stack([kinds >> shift, tail >> shift]).astype(np.int32)
+    bucket[:, :-1][kinds == 0] = 1 << BUCKETS_LOG2
+    return kinds, bucket
 
 
 def log_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,46 +107,56 @@ def marginals(gain: np.ndarray, first: np.ndarray, size: np.ndarray, step: np.nd
     return p, count
 
 
-def toxic_words(word: np.ndarray, doc: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Hashes of the words that explain the toxic documents: greedy cover, rare elsewhere."""
-    order = np.lexsort((word, doc))
-    w, d = word[order], doc[order]
-    new = np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1])])[:len(w)]
-    w, d = w[new], d[new]
-    names, which = np.unique(w, return_inverse=True)
+def toxic_kinds(kinds: np.ndarray, doc: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Hashes of the words and beginnings that explain the toxic documents: greedy cover, rare elsewhere."""
+    which, docs = [], []
+    for column in kinds.T:  # each document once for each word or beginning
+        there = np.flatnonzero(column)
+        order = there[np.lexsort((column[there], doc[there]))]
+        k, d = column[order], doc[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])[:len(k)]
+        which.append(k[new])
+        docs.append(d[new])
+    names, which = np.unique(np.concatenate(which), return_inverse=True)
+    d = np.concatenate(docs)
     bad = toxic[d] == 1
     in_clean = np.bincount(which[~bad], weight[d[~bad]], len(names))
     in_toxic = np.bincount(which[bad], weight[d[bad]], len(names))
-    share = np.maximum(in_clean, 0.25) / max(1.0, weight[toxic == 0].sum()) * max(1.0, weight[toxic == 1].sum())
-    able = in_toxic > 4 * share
-    keep = bad & able[which]
+    # The number of toxic documents that would hold it if they were like the others.
+    chance = np.maximum(in_clean, 0.25 * weight.min()) / max(1e-9, weight[toxic == 0].sum()) * weight[toxic == 1].sum()
+    keep = bad & (in_toxic > RARE * chance)[which]
     which, d = which[keep], d[keep]
-    found = []
+    found: list[int] = []
     while len(which):
-        gain = np.bincount(which, weight[d], len(names)) - 2 * share
+        gain = np.bincount(which, weight[d], len(names)) - 2 * chance
         best = int(np.argmax(gain))
-        if gain[best] <= 1.5 * weight[toxic == 1].min() and found:
+        if gain[best] <= max((LEAST_ROWS - 0.5) * weight[toxic == 1].min(), LEAST_SHARE * weight[toxic == 1].sum()) and found:
             break
         found.append(best)
         left = ~np.isin(d, d[which == best])
         which, d = which[left], d[left]
-    # A word as telling as the chosen ones is toxic too, though the others explain its documents.
-    if found:
-        ratio = in_toxic / share
-        found = np.union1d(found, np.flatnonzero(able & (in_toxic >= np.median(in_toxic[found]) / 2) & (ratio >= np.median(ratio[found]) / 4)))
-    return names[np.array(found, np.int64)]
+    if found:  # one as frequent and as telling as these marks toxic tokens too, though they explain its documents
+        telling = in_toxic / chance
+        often = in_toxic >= np.median(in_toxic[found]) / 2
+        found += np.flatnonzero(often & (telling >= np.median(telling[found]) / 2)).tolist()
+    return names[np.unique(np.array(found, np.int64))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Field:
-    texts, toxic, weight = training_rows(docs, labels, "toxic", max_rows)
-    field = Field(np.zeros(1 << BUCKETS_LOG2), -4.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, -20.0]))
+    return fit_rows(*training_rows(docs, labels, "toxic", max_rows))
+
+
+def fit_rows(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> Field:
+    field = Field(np.zeros((1 << BUCKETS_LOG2) + 1), -4.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, -20.0]))
     if not (toxic == 1).any() or not (toxic == 0).any():
         return field
     data, limits = flat(texts)
     starts, ends, at = words(data, limits)
-    h, bucket = features(data, starts, ends)
+    kinds, bucket = features(data, starts, ends)
     doc = np.repeat(np.arange(len(texts)), np.diff(at))
-    y = (np.isin(h, toxic_words(h, doc, toxic, weight)) & (toxic[doc] == 1)).astype(np.float64)
+    marks = toxic_kinds(kinds, doc, toxic, weight)
+    y = (np.isin(kinds, marks).any(axis=1) & (toxic[doc] == 1)).astype(np.float64)
+    del kinds
     # Chains of WINDOW tokens; every token of every training text is in one.
     first = np.concatenate([np.arange(a, b, WINDOW) for a, b in zip(at[:-1], at[1:], strict=True)]).astype(np.int64)
     size = np.minimum(WINDOW, at[1:][doc[first]] - first)
@@ -148,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Field:
             gain = field.emission[bucket[token]].sum(axis=1) + field.bias
             p, pairs = marginals(gain, local, size[chains], field.step, True)
             error = y[token] - p
-            slope = np.bincount(bucket[token].ravel(), np.repeat(error, 2), len(field.emission))
+            slope = np.bincount(bucket[token].ravel(), np.repeat(error, bucket.shape[1]), len(field.emission))
+            slope[-1] = 0
             touched = np.flatnonzero(slope)
             squares[touched] += slope[touched] ** 2
             field.emission[touched] += RATE * slope[touched] / np.sqrt(squares[touched]) - RIDGE * field.emission[touched]
