@@ -10,11 +10,13 @@ of their weighted Jaccard similarity.  Points are drawn in rising order and only
 until they can no longer be earliest, so a long text costs about a point a shingle.
 
 Texts of equal word sequence are one node.  Nodes that agree in all ``ROWS``
-components of one of ``BANDS`` bands meet in a bucket.  A bucket compares its least
-node with all nodes that are not yet linked to it, and drops that node; it ends when
-its nodes are linked or used up.  So a group of near copies costs its size, not its
-square, and no pair of unlinked nodes of a bucket is left out.  Compared pairs are
-verified on their whole bags: sum of least counts by sum of largest counts.
+components of one of ``BANDS`` bands meet in a bucket.  A bucket compares its most
+popular node (the one that meets most nodes over all bands) with the others, which
+links nearly all that can be linked at the cost of its size.  What is then still
+unlinked in a bucket is searched whole: sizes and shingles that no other such node
+has rule out most nodes before any pair is made, and all pairs that they leave are
+compared.  Compared pairs are verified on their whole bags: sum of least counts by
+sum of largest counts.
 
 At a similarity of 0.8 a pair shares no band with probability 5e-5.  Nodes are
 64-bit hashes of the word sequence: among 25 billion texts about 17 would clash.
@@ -40,8 +42,8 @@ from .text import BASE, BYTE_VALUE, MIX, flat, grams, hashes, inverse, mix64, po
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
-#: Bands looked at first; most copies are linked then, and later bands compare less.
-FIRST = 5
+#: How often each bucket compares its most popular node with the others before the rest is searched.
+STARS = 2
 SLICE = 1 << 20
 KEY = ["k_id", "k_text"]
 
@@ -163,26 +165,63 @@ def verified(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     return sides.where(shared >= similarity * (F.size("bag_a") + F.size("bag_b") - shared) - 1e-9).select("a", "b")
 
 
-def linked(nodes: DataFrame, bag: DataFrame, similarity: float) -> DataFrame | None:
-    """``node`` and ``label`` of the nodes that have links."""
+def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("label", F.col("node"))
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def open_buckets(at: DataFrame, *more) -> DataFrame:
+    """A row for each bucket whose nodes are not all linked, with further aggregates."""
+    found = at.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), *more)
+    return found.where("l0 <> l1").drop("l0", "l1")
+
+
+def possible_pairs(at: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of unlinked nodes of a bucket that their sizes and lone shingles let reach ``similarity``.
+
+    A shingle that no other node of an open bucket has can't be shared.  With n
+    shingles, u of them lone, two bags overlap by n - u of either at most, and need
+    s / (1 + s) of both sizes together.  So a node whose partners would have to be
+    smaller than any of its bucket is done, before any pair is made.
+    """
+    need = similarity / (1 + similarity)
+    nodes = at.select("node").distinct()
+    shingles = nodes.join(bag, "node").select("node", F.explode("bag").alias("shingle"))
+    alone = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1") \
+        .groupBy("node").agg(F.count("*").alias("lone"))
+    sizes = nodes.join(bag.select("node", F.size("bag").alias("n")), "node").join(alone, "node", "left") \
+        .select("node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
+    at = stored(at.select("bucket", "node", "label").join(stored(sizes), "node"))
+    largest = at.groupBy("bucket").agg(F.min("n").alias("least_n"))
+    able = stored(at.join(largest, "bucket").where(F.col("common") >= need * (F.col("n") + F.col("least_n")) - 1e-9).drop("least_n"))
+    per_label = able.groupBy("bucket", "label").agg(F.count("*").alias("nodes"))
+    main = stored(per_label.groupBy("bucket").agg(F.max(F.struct("nodes", "label")).alias("m"), F.count("*").alias("labels"))
+                  .where("labels > 1").select("bucket", F.col("m.label").alias("main")))
+    able = stored(able.join(main, "bucket"))
+    x, y = able.where("label <> main").alias("x"), able.alias("y")
+    on = ((F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label"))
+          & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+          & (F.least("x.common", "y.common") >= need * (F.col("x.n") + F.col("y.n")) - 1e-9))
+    return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def linked(members: DataFrame, bag: DataFrame, similarity: float) -> DataFrame | None:
+    """``node`` and ``label`` of the nodes that have links; ``members`` are bucket, node and the node's popularity."""
     labels, links = None, None
-    for first, last in ((0, FIRST), (FIRST, BANDS)):
-        members = nodes.select("node", F.explode(F.slice("bands", first + 1, last - first)).alias("bucket"))
-        while True:
-            at = members if labels is None else members.join(labels, "node", "left")
-            label = F.col("node") if labels is None else F.coalesce("label", "node")
-            at = at.select("bucket", "node", label.alias("label"))
-            heads = at.groupBy("bucket").agg(F.min(F.struct("node", "label")).alias("head"),
-                                             F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
-            rest = stored(at.join(heads.select("bucket", "head"), "bucket").where("node <> head.node"))
-            if rest.isEmpty():
-                break
-            pairs = rest.where("label <> head.label").select(F.col("head.node").alias("a"), F.col("node").alias("b"))
-            new = stored(verified(pairs.distinct(), bag, similarity))
-            if not new.isEmpty():
-                links = new if links is None else links.unionByName(new)
-                labels = components(links)
-            members = rest.select("bucket", "node")
+    for step in range(STARS + 1):
+        at = labelled(members, labels)
+        if step < STARS:
+            heads = stored(open_buckets(at, F.max(F.struct("popularity", "node", "label")).alias("head")))
+            rest = stored(at.join(heads, "bucket").where("node <> head.node"))
+            pairs = rest.where("label <> head.label").select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
+            members = rest.select("bucket", "node", "popularity")
+        else:
+            pairs = possible_pairs(stored(at.join(open_buckets(at), "bucket")), bag, similarity)
+        new = stored(verified(pairs, bag, similarity))
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = components(links)
     return labels
 
 
@@ -191,10 +230,12 @@ def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     rows = stored(signed(docs, text))
     nodes = stored(rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("least"), F.first("bands").alias("bands")))
     meets = nodes.select("node", "least", F.explode("bands").alias("bucket"))
-    shared = meets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    wanted = stored(meets.join(shared, "bucket").select("least").distinct().select("least.*"))
-    bag = stored(whole_bags(docs, wanted, text))
-    labels = linked(nodes.join(bag.select("node"), "node", "left_semi"), bag, similarity)
+    shared = meets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    meets = stored(meets.join(stored(shared), "bucket"))
+    popular = stored(meets.groupBy("node", "least").agg(F.sum("n").alias("popularity")))
+    bag = stored(whole_bags(docs, popular.select("least.*"), text))
+    members = meets.select("bucket", "node").join(popular.select("node", "popularity"), "node")
+    labels = linked(members, bag, similarity)
     named = nodes.select("node", "least", F.col("node").alias("label"))
     if labels is not None:
         named = nodes.select("node", "least").join(labels, "node", "left") \

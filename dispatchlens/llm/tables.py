@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +15,23 @@ from pyspark.sql import types as T
 from ..session import ensure_checkpoint_dir
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a session, for sessions whose workers don't find it on their path."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        package = Path(__file__).resolve().parents[1].name
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='package-')}/{package}", "zip", root, package)
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+
+
+_shipped: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder; every query begins here, so the package is shipped here too."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
