@@ -94,7 +94,9 @@ RUSH_HOURS = [7, 8, 9, 17, 18, 19]
 NIGHT_START_HOUR = 22  # hour >= 22 or hour <= 5 is night
 NIGHT_END_HOUR = 5
 WEEKEND_FIRST_DAY = 5  # Monday = 0, so 5 and 6 are the weekend
-DATETIME_TEXT_FORMAT = "MM/dd/yyyy hh:mm:ss a"  # e.g. 01/31/2024 09:05:00 PM
+DATETIME_TEXT_FORMAT = "M/d/yyyy h:mm:ss a"  # e.g. 01/31/2024 09:05:00 PM or 1/5/2024 9:05:00 PM
+GENERIC_DATETIME_FORMATS = ["yyyy/M/d H:mm[:ss]", "M/d/yyyy H:mm[:ss]", "M/d/yyyy h:mm a", "yyyy/M/d", "M/d/yyyy"]
+WHITE_SPACE = " \t\n\r\f\x0b\u00a0"
 # Day periods, closed on the right; hour 0 joins the first bin.
 DAY_PERIODS = [(6, "night"), (12, "morning"), (18, "noon"), (24, "evening")]
 # Dashboard minimum group sizes.

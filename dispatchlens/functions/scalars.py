@@ -19,15 +19,24 @@ def col_or(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def trimmed(c: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(c, F.lit(C.WHITE_SPACE))
+
+
 # --- F1: timestamps --------------------------------------------------------
 def parse_text_datetime(c: str | Column, fmt: str = C.DATETIME_TEXT_FORMAT) -> Column:
-    """Parse text with the dispatch format; failures become null (NTZ result)."""
-    return F.try_to_timestamp(col_or(c), F.lit(fmt)).cast("timestamp_ntz")
+    """Parse text with the dispatch format, months, days and hours of one or two
+    digits; failures become null (NTZ result)."""
+    return F.try_to_timestamp(trimmed(col_or(c).cast("string")), F.lit(fmt)).cast("timestamp_ntz")
 
 
 def parse_generic_datetime(c: str | Column) -> Column:
-    """Fallback parse used only when no value of an input matches the format."""
-    return col_or(c).try_cast("timestamp_ntz")
+    """Fallback parse used only when no value of an input matches the format:
+    ISO text, then the usual variants, the first that fits."""
+    text = trimmed(col_or(c).cast("string"))
+    return F.coalesce(text.try_cast("timestamp_ntz"),
+                      *(F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in C.GENERIC_DATETIME_FORMATS))
 
 
 def minutes_between(start: str | Column, end: str | Column) -> Column:
@@ -66,12 +75,12 @@ def dispatch_seconds(c: str | Column) -> Column:
 
 def yes_flag(c: str | Column) -> Column:
     """trimmed, upper-cased text equal to 'Y' -> 1, anything else (null too) -> 0."""
-    return F.coalesce((F.upper(F.trim(col_or(c).cast("string"))) == F.lit("Y")).cast("int"), F.lit(0))
+    return F.coalesce((F.upper(trimmed(col_or(c).cast("string"))) == F.lit("Y")).cast("int"), F.lit(0))
 
 
 def as_text(c: str | Column) -> Column:
     """value as trimmed text; a missing value becomes the text 'nan'."""
-    return F.trim(F.coalesce(col_or(c).cast("string"), F.lit("nan")))
+    return trimmed(F.coalesce(col_or(c).cast("string"), F.lit("nan")))
 
 
 # --- F8–F9: derived features ----------------------------------------------
@@ -153,7 +162,8 @@ def slugify(c: str | Column) -> Column:
 
 
 def slugify_text(value: str) -> str:
-    return value.lower().replace(" ", "_").replace("-", "_")
+    """F16 for one name outside a table (paths of saved models)."""
+    return value.lower().translate(str.maketrans(" -", "__"))
 
 
 def signed_error(predicted: Column, actual: Column) -> Column:
@@ -162,17 +172,27 @@ def signed_error(predicted: Column, actual: Column) -> Column:
 
 
 # --- deterministic hashing for splits and samples -------------------------
-# Knuth's multiplicative constant and a 2^32 modulus.  Keys are
-# reduced modulo 2^31 first so the product never leaves the signed 64-bit range.
-HASH_MULTIPLIER = 2654435761
+# Odd multipliers below 2^32 and the moduli.  A factor is cut to 31
+# bits before each product, so no product leaves the signed 64-bit range and the
+# same steps can be written in SQL.
+KEY_MULTIPLIER, SEED_MULTIPLIER = 2654435761, 668265263
+ROUND_MULTIPLIERS = ((2246822519, 15), (3266489917, 13))
 HASH_MODULUS = 4294967296
 KEY_MODULUS = 2147483648
 
 
 def key_hash(key: str | Column, seed: int = 0) -> Column:
-    """A 32-bit multiplicative hash of an integer key, reproducible in plain SQL."""
+    """A 32-bit hash of an integer key and a seed, reproducible in plain SQL.
+
+    The seed enters before two rounds of xor-shift and multiplication, which are
+    not linear together, so that two seeds order the keys independently.
+    """
     k = F.pmod(col_or(key).cast("long"), F.lit(KEY_MODULUS))
-    return F.pmod(k * F.lit(HASH_MULTIPLIER) + F.lit(int(seed)), F.lit(HASH_MODULUS))
+    x = F.pmod(k * F.lit(KEY_MULTIPLIER) + F.lit(seed * SEED_MULTIPLIER % HASH_MODULUS), F.lit(HASH_MODULUS))
+    for multiplier, shift in ROUND_MULTIPLIERS:
+        low = x.bitwiseXOR(F.shiftright(x, shift)).bitwiseAND(F.lit(KEY_MODULUS - 1))
+        x = F.pmod(low * F.lit(multiplier), F.lit(HASH_MODULUS))
+    return x.bitwiseXOR(F.shiftright(x, 16))
 
 
 def split_bucket(key: str | Column, seed: int = 0) -> Column:

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scalars as S
-from ..plans.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small, materialize
-from ..plans.ordered import first_n_by
+from ..plans.joins import DEFAULT_BROADCAST_BYTES, materialize, measured_bytes
+from ..plans.ordered import first_n_by, split_at
 from . import reports as R
 
 ACTUAL = "Actual_Response_Time_Minutes"
@@ -53,65 +53,38 @@ def temporal_split(df: DataFrame, time_col: str = C.INCIDENT_DATETIME, key: str
                    test_fraction: float = C.TEST_FRACTION) -> tuple[DataFrame, DataFrame]:
     """The first floor(n * (1 - test)) rows in (time, key) order train.
 
-    The cut row is found without a single-partition window: a distributed,
-    range-partitioned sort is checkpointed; per-partition counts (one row per
-    partition) locate the partition holding the cut; the cut key is read from
-    that partition alone.  Both sides are then plain filters on the input.
+    Nothing needs to be unique: rows of equal time and key are told apart by a
+    hash of the whole row, and of identical rows as many as needed train.  Only
+    the rows around the cut are sorted (``plans.ordered.split_at``).
     """
-    ordered = materialize(
-        df.select(time_col, key).orderBy(time_col, key)
-          .withColumn("_pid", F.spark_partition_id())
-          .withColumn("_pos", F.monotonically_increasing_id()))
-    n = ordered.count()
-    k = int(n * (1.0 - test_fraction))
-    if k <= 0:
-        return df.limit(0), df
-    if k >= n:
-        return df, df.limit(0)
-    counts = (ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("c"), F.min("_pos").alias("p0"))
-                     .orderBy("_pid").collect())
-    before = 0
-    for row in counts:
-        if before + row["c"] > k:
-            target = row["p0"] + (k - before)
-            cut = ordered.where((F.col("_pid") == row["_pid"]) & (F.col("_pos") == target)).first()
-            break
-        before += row["c"]
-    t_cut, k_cut = cut[time_col], cut[key]
-    # Rebuild the cut as text cast to the column type: a naive Python datetime
-    # literal would pass through the local and session time zones.
-    t_lit = F.lit(str(t_cut)).cast(df.schema[time_col].dataType)
-    is_train = (F.col(time_col) < t_lit) | ((F.col(time_col) == t_lit) & (F.col(key) < F.lit(k_cut)))
-    return df.where(is_train), df.where(~is_train)
-
-
-def seeded_sample(df: DataFrame, n: int, key: str = C.KEY, seed: int = C.SEED,
-                  direct_ratio: int = 20) -> DataFrame:
+    return split_at(df, lambda n: int(n * (1.0 - test_fraction)), [time_col, key])
+
+
+def seeded_sample(df: DataFrame, n: int, key: str = C.KEY, seed: int = C.SEED) -> DataFrame:
     """The n rows with the smallest keyed hash (without replacement).
 
     Exact and distributed: ``plans.ordered.first_n_by`` cuts on the hash
-    (uniform over 2^32) and returns a filter on the input, so there is no
-    one-task top-n merge and the sample keeps the input's partitioning.
+    (uniform over 2^32), and the sample keeps the input's partitioning.
     """
     hashed = df.withColumn("_h", S.key_hash(key, seed))
-    return first_n_by(hashed, n, ["_h", key], direct_ratio).drop("_h")
+    return first_n_by(hashed, n, ["_h", key]).drop("_h")
 
 
 # --- lookup predictor --------------------------------------------------------
 class GroupMeanModel:
     """Fitted group-mean predictor (see ``GroupMeanRegressor``)."""
 
-    def __init__(self, keys: list[str], table: DataFrame | None, rows: int, global_mean: float,
+    def __init__(self, keys: list[str], table: DataFrame | None, small: bool, global_mean: float,
                  prediction_col: str = "prediction"):
-        self.keys, self.table, self.rows = keys, table, rows
+        self.keys, self.table, self.small = keys, table, small
         self.global_mean, self.prediction_col = global_mean, prediction_col
 
-    def transform(self, df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    def transform(self, df: DataFrame) -> DataFrame:
         fallback = F.lit(self.global_mean)
         if not self.keys:
             return df.withColumn(self.prediction_col, fallback)
         table = self.table.withColumnRenamed("_mean", "_lookup_mean")
-        joined = df.join(broadcast_if_small(table, self.rows, max_rows), self.keys, "left")
+        joined = df.join(F.broadcast(table) if self.small else table, self.keys, "left")
         return (joined.withColumn(self.prediction_col, F.coalesce(F.col("_lookup_mean"), fallback))
                       .drop("_lookup_mean").select(*df.columns, self.prediction_col))
 
@@ -123,16 +96,16 @@ class GroupMeanRegressor:
         self.keys, self.label_col, self.prediction_col = list(keys), label_col, prediction_col
 
     def fit(self, df: DataFrame) -> GroupMeanModel:
-        g = df.agg(F.avg(self.label_col)).first()[0]
-        g = float(g) if g is not None else 0.0
+        # One pass: sums and counts per group; the global mean follows from them.
+        y = F.col(self.label_col)
+        groups = materialize(df.groupBy(*self.keys).agg(F.sum(y).alias("_sum"), F.count(y).alias("_n"),
+                                                        F.avg(y).alias("_mean")))
+        row = groups.agg(F.sum("_sum"), F.sum("_n")).first()
+        g = float(row[0]) / row[1] if row[1] else 0.0
         if not self.keys:
-            return GroupMeanModel([], None, 0, g, self.prediction_col)
-        table = (df.where(F.col(self.label_col).isNotNull())
-                   .groupBy(*self.keys).agg(F.avg(self.label_col).alias("_mean")))
-        for k in self.keys:
-            table = table.where(F.col(k).isNotNull())
-        table = materialize(table)
-        return GroupMeanModel(self.keys, table, table.count(), g, self.prediction_col)
+            return GroupMeanModel([], None, True, g, self.prediction_col)
+        table = groups.where(F.col("_n") > 0).na.drop(subset=self.keys).select(*self.keys, "_mean")
+        return GroupMeanModel(self.keys, table, measured_bytes(table) <= DEFAULT_BROADCAST_BYTES, g, self.prediction_col)
 
 
 # --- P16 / P15 / J4: case tables ---------------------------------------------
@@ -220,12 +193,11 @@ def residual_frame(df: DataFrame, label_col: str = C.TARGET, prediction_col: str
 
 def residual_kpis(res: DataFrame, large: float = C.LARGE_ERROR_MINUTES) -> DataFrame:
     """A28 + P14: MAE, R^2 = 1 - SSE/SST, max error, count and share above ``large``."""
-    ybar = res.agg(F.avg("Actual")).scalar()
     big = F.col("Abs_Error") > F.lit(large)
     return res.agg(
         F.avg("Abs_Error").alias("mae"),
         (F.lit(1.0) - F.sum(F.col("Residual") * F.col("Residual"))
-         / F.sum((F.col("Actual") - ybar) * (F.col("Actual") - ybar))).alias("r2"),
+         / (F.count("Actual") * F.var_pop("Actual"))).alias("r2"),
         F.max("Abs_Error").alias("max_error"),
         F.count_if(big).alias("large_errors"),
         F.avg(big.cast("double")).alias("large_error_share"))
@@ -303,6 +275,3 @@ def predict_cases(df: DataFrame, ids: DataFrame, models: dict, label_col: str =
     rows = lookup_cases(df, ids)
     return case_comparison(case_predictions(rows, models, label_col, features)).select(
         "Case_Number", "model", "actual", "predicted", F.col("delta").alias("error"))
-
-
-__all__ = [name for name in dir() if not name.startswith("_")] + ["R"]

@@ -5,14 +5,16 @@
   one ``groupBy(grid)`` averages them.  Cost is rows x grid, all distributed.
 * ``sampled_shapley`` (M18, re-aimed from per-row tree / kernel solvers): the
   sampling estimator of Strumbelj and Kononenko.  For every explained row and
-  every draw m = 1..M a background row (by keyed hash) and a feature
-  permutation (by keyed hash) are chosen; the F+1 hybrid rows along the
+  every draw m = 1..M a background row and a feature permutation (both by
+  ``xxhash64`` of seed, row and draw) are chosen; the F+1 hybrid rows along the
   permutation path are scored in one ``transform``; consecutive differences,
   taken with a window over each (row, draw) path of F+1 rows, are attributed to
   the feature added at that step; ``groupBy(row, feature)`` averages them.  The
   values of a row sum exactly to f(x) minus the mean background prediction.
   The background table is bounded by ``background_rows`` and joined on an
   equi-key with a broadcast.
+* ``exact_pair_shapley`` and ``linear_shapley`` (M18): closed forms for a
+  predictor of two features by group means, and for a linear model.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import scalars as S
 
 
 def partial_dependence(model, df: DataFrame, feature: str, grid: Sequence,
@@ -44,7 +45,7 @@ def sampled_shapley(model, rows: DataFrame, background: DataFrame, features: Seq
     """Sampled Shapley values, long form (key, feature, shapley_value)."""
     feats = list(features)
     nf = len(feats)
-    bg = (background.orderBy(S.key_hash(key, seed), key).limit(background_rows)
+    bg = (background.orderBy(F.xxhash64(F.lit(seed), key), key).limit(background_rows)
                     .select(*feats).withColumn("_b", F.row_number().over(Window.orderBy(*feats)) - 1))
     bg = bg.select("_b", *[F.col(f).alias(f"_bg_{i}") for i, f in enumerate(feats)])
     n_bg = bg.count()
@@ -52,12 +53,11 @@ def sampled_shapley(model, rows: DataFrame, background: DataFrame, features: Seq
         raise ValueError("empty background")
     base = rows.select(key, *feats)
     draw = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_m"))
-    h = S.key_hash(F.col(key) * F.lit(1009) + F.col("_m"), seed)
-    draw = draw.withColumn("_b", F.pmod(h, F.lit(n_bg)))
+    draw = draw.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), key, "_m", F.lit(-1)), F.lit(n_bg)))
     # permutation: feature indexes ordered by a keyed hash of (row, draw, feature)
     perm = F.transform(
         F.array_sort(F.array(*[F.struct(
-            S.key_hash(F.col(key) * F.lit(7919) + F.col("_m") * F.lit(131) + F.lit(i), seed).alias("h"),
+            F.xxhash64(F.lit(seed), key, "_m", F.lit(i)).alias("h"),
             F.lit(i).alias("i")) for i in range(nf)])),
         lambda s: s["i"])
     draw = draw.withColumn("_perm", perm).join(F.broadcast(bg), "_b")
@@ -77,6 +77,42 @@ def sampled_shapley(model, rows: DataFrame, background: DataFrame, features: Seq
                  .select(key, F.element_at(names, F.col("_fi") + 1).alias("feature"), "shapley_value"))
 
 
+def exact_pair_shapley(train: DataFrame, rows: DataFrame, a: str, b: str, key: str = C.KEY,
+                       label: str = C.TARGET) -> DataFrame:
+    """M18 in closed form for the group-mean predictor of two features, with all training rows as background.
+
+    ``v`` of a set of features is the mean prediction with these taken from the row
+    and the others from the background: the training counts of one feature, and the
+    global mean where a pair was never seen.  Each feature gets the mean of what it
+    adds alone and what it adds last.  Long form (key, feature, shapley_value).
+    """
+    y = F.col(label)
+    pairs = train.where(F.col(a).isNotNull() & F.col(b).isNotNull() & y.isNotNull()) \
+        .groupBy(a, b).agg(F.avg(y).alias("_f"), F.count(y).alias("_n"), F.sum(y).alias("_s"))
+    pairs = pairs.persist()
+    total = pairs.agg(F.sum("_n").alias("n"), F.sum("_s").alias("s")).first()
+    n, g = float(total["n"] or 0), float(total["s"] or 0.0) / (total["n"] or 1)
+
+    def alone(own: str, other: str) -> DataFrame:
+        weight = pairs.groupBy(other).agg(F.sum("_n").alias("_w"))
+        seen = pairs.join(weight, other).groupBy(own).agg(F.sum(F.col("_f") * F.col("_w")).alias("_x"), F.sum("_w").alias("_w"))
+        return seen.select(own, ((F.col("_x") + F.lit(g) * (F.lit(n) - F.col("_w"))) / F.lit(n)).alias(f"_v_{own}"))
+
+    out = rows.select(key, a, b).join(pairs.select(a, b, "_f"), [a, b], "left") \
+        .join(alone(a, b), a, "left").join(alone(b, a), b, "left")
+    both, va, vb, none = (F.coalesce(c, F.lit(g)) for c in (F.col("_f"), F.col(f"_v_{a}"), F.col(f"_v_{b}"), F.lit(g)))
+    values = F.array(F.struct(F.lit(a).alias("feature"), ((va - none + both - vb) / 2).alias("shapley_value")),
+                     F.struct(F.lit(b).alias("feature"), ((vb - none + both - va) / 2).alias("shapley_value")))
+    return out.select(key, F.inline(values))
+
+
+def linear_shapley(rows: DataFrame, coefficients: dict[str, float], means: dict[str, float], key: str = C.KEY) -> DataFrame:
+    """M18 in closed form for a linear model: coefficient times the distance from the feature's training mean."""
+    values = F.array(*(F.struct(F.lit(f).alias("feature"), (F.lit(c) * (F.col(f) - F.lit(means[f]))).alias("shapley_value"))
+                       for f, c in coefficients.items()))
+    return rows.select(key, F.inline(values))
+
+
 def attribution_summary(shap: DataFrame, k: int = 15) -> DataFrame:
     """Mean absolute attribution per feature, top k."""
     return (shap.groupBy("feature").agg(F.avg(F.abs("shapley_value")).alias("mean_abs_attribution"))

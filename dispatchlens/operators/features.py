@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scalars as S
-from ..plans.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small, materialize
+from ..plans.joins import DEFAULT_BROADCAST_BYTES, materialize, measured_bytes
 
 # (feature name, key columns, smoothed?)  Order of the lookup sets.
 LOOKUP_SPECS = [
@@ -63,13 +63,12 @@ class Lookups:
     global_mean: float
     tables: dict[str, DataFrame] = field(default_factory=dict)
     keys: dict[str, list[str]] = field(default_factory=dict)
-    rows: dict[str, int] = field(default_factory=dict)
+    small: bool = False
     long_form: DataFrame | None = None
 
-    def join(self, df: DataFrame, name: str, fallback: bool,
-             max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    def join(self, df: DataFrame, name: str, fallback: bool) -> DataFrame:
         """Left-join one lookup; a miss gives the global mean when ``fallback``."""
-        table = broadcast_if_small(self.tables[name], self.rows[name], max_rows)
+        table = F.broadcast(self.tables[name]) if self.small else self.tables[name]
         out = df.join(table, self.keys[name], "left")
         if fallback:
             out = out.withColumn(name, F.coalesce(F.col(name), F.lit(self.global_mean)))
@@ -104,11 +103,10 @@ def fit_lookups(source: DataFrame, smoothing: int = C.TARGET_SMOOTHING) -> Looku
         for k in keys:
             present |= 1 << (n_keys - 1 - key_cols.index(k))
         gids[name] = all_bits ^ present
-    sizes = {r["gid"]: r["cnt"] for r in agg.groupBy("gid").agg(F.count(F.lit(1)).alias("cnt")).collect()}
     grand = agg.where(F.col("gid") == all_bits).select("mean").collect()
     g = float(grand[0]["mean"]) if grand and grand[0]["mean"] is not None else 0.0
 
-    out = Lookups(global_mean=g)
+    out = Lookups(global_mean=g, small=measured_bytes(agg) <= DEFAULT_BROADCAST_BYTES)
     longs = []
     for name, keys, smoothed in specs:
         part = agg.where(F.col("gid") == gids[name])
@@ -121,7 +119,6 @@ def fit_lookups(source: DataFrame, smoothing: int = C.TARGET_SMOOTHING) -> Looku
             value = F.col("mean")
         out.tables[name] = part.select(*keys, value.alias(name))
         out.keys[name] = list(keys)
-        out.rows[name] = int(sizes.get(gids[name], 0))
         k2 = F.col(keys[1]).cast("double") if len(keys) > 1 else F.lit(None).cast("double")
         longs.append(part.select(F.lit(name).alias("lookup"), F.col(keys[0]).cast("string").alias("key1"),
                                  k2.alias("key2"), value.alias("value")))
@@ -199,7 +196,7 @@ def prediction_input(payload: DataFrame, lookups: Lookups, feature_names: list[s
     for c in feature_names:
         present = c in frame.columns
         if c in categorical:
-            v = F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) if present else F.lit("0.0")
+            v = S.trimmed(F.coalesce(F.col(c).cast("string"), F.lit(""))) if present else F.lit("0.0")
         else:
             v = F.coalesce(S.to_number(F.col(c)), F.lit(0.0)) if present else F.lit(0.0)
         cols.append(v.alias(c))

@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scalars as S
-from ..plans.partitioning import spread
-
 FEATURES = "features"
 
 
@@ -104,7 +102,7 @@ STACK_FOLDS = 3
 
 def linear(label: str = C.TARGET) -> LinearRegression:
     return LinearRegression(featuresCol=FEATURES, labelCol=label, regParam=0.0, elasticNetParam=0.0,
-                            solver="normal")
+                            solver="auto")
 
 
 def forest(label: str = C.TARGET, seed: int = C.SEED, trees: int = FOREST_TREES,
@@ -157,7 +155,8 @@ class StackingRegressor:
 
     def fit(self, df: DataFrame) -> StackingModel:
         fold = F.pmod(S.key_hash(self.key, self.seed + 1), F.lit(self.folds))
-        data = df.withColumn("_fold", fold).persist(StorageLevel.MEMORY_AND_DISK)
+        # Twelve fits run at once, so each needs fewer tasks than a fit alone.
+        data = df.withColumn("_fold", fold).coalesce(max(1, df.rdd.getNumPartitions() // 4)).persist(StorageLevel.MEMORY_AND_DISK)
         # All fold fits and the final refits are independent: fit them concurrently.
         jobs = [(f, i) for f in range(self.folds) for i in range(len(self.bases))]
         jobs += [(None, i) for i in range(len(self.bases))]
@@ -219,17 +218,40 @@ class FittedModel:
         return out.drop(*[c for c in drop if c in out.columns])
 
 
+# Rows in a partition of the training frame, and partitions at least.
+LAYOUT_ROWS, LAYOUT_PARTITIONS = 200_000, 4
+
+
+def laid_out(df: DataFrame, key: str, rows: int, per_partition: int = LAYOUT_ROWS, least: int = LAYOUT_PARTITIONS) -> DataFrame:
+    """``df`` in an order and partitioning that depend on its rows only, not on cores or files.
+
+    Tree learners draw their samples by partition, so their models do too.
+    """
+    n = max(least, -(-rows // per_partition))
+    if key not in df.columns:
+        return df.repartition(n)
+    return df.repartition(n, key).sortWithinPartitions(key)
+
+
 def fit_models(train: DataFrame, numeric: list[str], categorical: list[str],
                models: dict | None = None, label: str = C.TARGET, key: str = C.KEY,
                parallelism: int = 4) -> dict[str, FittedModel]:
-    """Fit every learner on one shared, persisted, vectorised training frame."""
+    """Fit every learner on one shared, persisted, vectorised training frame.
+
+    The raw frame is persisted as well while the preprocessing is fitted and the
+    rows are counted, so cleaning runs once."""
     models = models if models is not None else make_models(label)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     pre = Preprocessor(numeric, categorical).fit(train)
     cols = [c for c in [key] if c in train.columns]
-    # Iterative learners pass over this frame many times: give it enough tasks.
-    prepared = spread(pre.transform(train).select(*cols, FEATURES, label)).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = laid_out(pre.transform(train).select(*cols, FEATURES, label), key, train.count())
+    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     names = list(models)
-    learners = parallel_map(lambda n: models[n].fit(prepared), names, parallelism)
+    try:
+        learners = parallel_map(lambda n: models[n].fit(prepared), names, parallelism)
+    finally:
+        prepared.unpersist()
+        train.unpersist()
     return {n: FittedModel(pre, m) for n, m in zip(names, learners)}
 
 
@@ -318,12 +340,16 @@ def cluster_profile(df: DataFrame, k: int = 5, seed: int = C.SEED, min_rows: int
     scaled = StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=True).fit(vec).transform(vec)
     scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
     km = KMeans(featuresCol="_z", predictionCol="cluster", k=k, seed=seed).fit(scaled)
+    # The few cluster rows are read before the cache is freed.
     out = km.transform(scaled)
     aggs = [F.avg(C.TARGET).alias("mean_minutes"), F.count(C.TARGET).alias("cases"),
             F.avg("Hour").alias("mean_hour")]
     if "INITIAL_SEVERITY_LEVEL_CODE" in feats:
         aggs.append(F.avg("INITIAL_SEVERITY_LEVEL_CODE").alias("mean_severity"))
-    return out.groupBy("cluster").agg(*aggs).orderBy("cluster")
+    profile = out.groupBy("cluster").agg(*aggs).orderBy("cluster")
+    rows = profile.collect()
+    scaled.unpersist()
+    return df.sparkSession.createDataFrame(rows, profile.schema)
 
 
 # --- M14 / A44: scoring payloads ------------------------------------------------
@@ -340,14 +366,11 @@ def score_payloads(inputs: DataFrame, models: dict[str, FittedModel], key: str =
 
 # --- R9: importance per segment ------------------------------------------------
 def segment_importance(df: DataFrame, numeric: list[str], categorical: list[str], segment: str = "BOROUGH",
-                       estimator=None, top_n: int = 20, max_segments: int = 64,
-                       parallelism: int = 4) -> DataFrame:
+                       estimator=None, top_n: int = 20, parallelism: int = 4) -> DataFrame:
     """Fit one tree learner per segment value and report its named
     importances (segment, Feature, Importance).  The segment list is read with
-    one small distinct aggregate and capped; fits run concurrently."""
-    values = [r[0] for r in df.select(segment).distinct().orderBy(segment).limit(max_segments + 1).collect()]
-    if len(values) > max_segments:
-        raise ValueError(f"more than {max_segments} values in {segment}")
+    one small distinct aggregate; fits run concurrently."""
+    values = [r[0] for r in df.select(segment).distinct().orderBy(segment).collect()]
     est = estimator if estimator is not None else forest()
 
     def run(v):

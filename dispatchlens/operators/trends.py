@@ -55,9 +55,8 @@ def add_borough_prev7d_avg(df: DataFrame, days: int = 7, time_col: str = C.INCID
     roll = daily.select("BOROUGH", "_day",
                         (F.sum("_s").over(w) / F.sum("_n").over(w)).alias("Borough_Prev7d_Avg"))
     roll = materialize(roll)
-    rows = roll.count()
     return (df.withColumn("_day", day)
-              .join(broadcast_if_small(roll, rows), ["BOROUGH", "_day"], "left").drop("_day"))
+              .join(broadcast_if_small(roll), ["BOROUGH", "_day"], "left").drop("_day"))
 
 
 def worst_segments(df: DataFrame, keys: Sequence[str] = ("BOROUGH", "Hour"), k: int = 5) -> DataFrame:
@@ -102,13 +101,12 @@ def add_area_lastn_avg(df: DataFrame, n: int = 5, key: str = "INCIDENT_DISPATCH_
     spread over all tasks.  Cost: ``n`` donor rows per incident.
     """
     name = f"DispatchArea_Last{n}_Avg"
-    base = df.select(key, time_col, id_col, C.TARGET)
-    ranked = running_sum(base, [key], [time_col, id_col], F.lit(1), "_rank")
+    # The whole row is ranked, with a hash of it as last order, so ids may repeat.
+    ranked = running_sum(df.withColumn("_tie", F.xxhash64(*df.columns)), [key], [time_col, id_col, "_tie"], F.lit(1), "_rank")
     donors = (ranked.select(key, "_rank", C.TARGET, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_k"))
                     .select(key, (F.col("_rank") + F.col("_k")).alias("_rank"), C.TARGET))
     lag = donors.groupBy(key, "_rank").agg(F.avg(C.TARGET).alias(name))
-    feature = ranked.join(lag, [key, "_rank"], "left").select(id_col, name)
-    return df.join(feature, id_col, "left")
+    return ranked.join(lag, [key, "_rank"], "left").select(*df.columns, name)
 
 
 def add_concurrent_incidents(df: DataFrame, start: str = C.INCIDENT_DATETIME,
@@ -119,12 +117,14 @@ def add_concurrent_incidents(df: DataFrame, start: str = C.INCIDENT_DATETIME,
     Starts and ends are first counted per timestamp (a timestamp shared by a
     third of the rows collapses to one row), the net +starts -ends is summed
     along time with ``running_sum``, and the result is joined back on the start
-    time (AQE's skew join splits a hot start time).
+    time (AQE's skew join splits a hot start time).  An incident that ends no
+    later than it starts is never open; one without an end stays open.
     """
-    starts = df.groupBy(F.col(start).alias("_t")).agg(F.count(F.lit(1)).alias("_s"))
-    ends = df.where(F.col(end).isNotNull()).groupBy(F.col(end).alias("_t")).agg(F.count(F.lit(1)).alias("_e"))
+    open_ever = F.coalesce(F.col(end) > F.col(start), F.lit(True))
+    starts = df.groupBy(F.col(start).alias("_t")).agg(F.count_if(open_ever).alias("_s"))
+    ends = df.where(open_ever & F.col(end).isNotNull()).groupBy(F.col(end).alias("_t")).agg(F.count(F.lit(1)).alias("_e"))
     net = (starts.join(ends, "_t", "full_outer")
                  .select("_t", (F.coalesce("_s", F.lit(0)) - F.coalesce("_e", F.lit(0))).alias("_net")))
     cum = running_sum(net, [], ["_t"], "_net", "_open").select(F.col("_t").alias(start), "_open")
     return (df.join(cum, start, "left")
-              .withColumn("concurrent_incidents", (F.col("_open") - 1).cast("long")).drop("_open"))
+              .withColumn("concurrent_incidents", (F.col("_open") - open_ever.cast("int")).cast("long")).drop("_open"))

@@ -436,13 +436,10 @@ def q_last5(spark, sf_dir):
 
 
 @register("r3_concurrent_incidents", ord_sql("""
-SELECT o.CAD_INCIDENT_ID, CAST(c.open_ - 1 AS BIGINT) AS concurrent_incidents
-FROM ord o JOIN (
-  SELECT t, sum(net) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open_
-  FROM (SELECT t, coalesce(s, 0) - coalesce(e, 0) AS net
-        FROM (SELECT INCIDENT_DATETIME AS t, count(*) AS s FROM ord GROUP BY 1) a
-        FULL JOIN (SELECT FIRST_ON_SCENE_DATETIME AS t, count(*) AS e FROM ord GROUP BY 1) b USING (t))) c
-ON c.t = o.INCIDENT_DATETIME""", []))
+SELECT i.CAD_INCIDENT_ID, CAST(count(j.CAD_INCIDENT_ID) AS BIGINT) AS concurrent_incidents
+FROM ord i LEFT JOIN ord j ON j.INCIDENT_DATETIME <= i.INCIDENT_DATETIME AND j.FIRST_ON_SCENE_DATETIME > i.INCIDENT_DATETIME
+  AND j.CAD_INCIDENT_ID <> i.CAD_INCIDENT_ID
+GROUP BY 1""", []))
 def q_concurrent(spark, sf_dir):
     return TR.add_concurrent_incidents(orders_clean(spark, sf_dir)).select(C.KEY, "concurrent_incidents")
 
@@ -604,9 +601,17 @@ def q_enhanced_frame(spark, sf_dir):
 
 
 # --- evaluation with the lookup predictor (M9, P16, A19, A28–A32, A40–A42) ---
+def key_hash_sql(col: str, seed: int) -> str:
+    """``functions.scalars.key_hash`` in SQL."""
+    k = f"((({col}) % {S.KEY_MODULUS} + {S.KEY_MODULUS}) % {S.KEY_MODULUS})"
+    x = f"(({k} * {S.KEY_MULTIPLIER} + {seed * S.SEED_MULTIPLIER % S.HASH_MODULUS}) % {S.HASH_MODULUS})"
+    for multiplier, shift in S.ROUND_MULTIPLIERS:
+        x = f"(((xor({x}, {x} >> {shift}) & {S.KEY_MODULUS - 1}) * {multiplier}) % {S.HASH_MODULUS})"
+    return f"xor({x}, {x} >> 16)"
+
+
 def split_sql(src: str, seed: int = 0) -> str:
-    k = f"((CAD_INCIDENT_ID % 2147483648) + 2147483648) % 2147483648"
-    return f"(((({k}) * 2654435761 + {seed}) % 4294967296) // 65536) % 100 < 80"
+    return f"({key_hash_sql('CAD_INCIDENT_ID', seed)} // 65536) % 100 < 80"
 
 
 EVAL_MODELS = {
@@ -644,8 +649,8 @@ def eval_ctes(src: str = "ord") -> list[str]:
     return ctes
 
 
-def eval_sql(body: str, dbl: list[str]) -> str:
-    return ord_sql(body, dbl, eval_ctes())
+def eval_sql(body: str, dbl: list[str], extra: list[str] | None = None) -> str:
+    return ord_sql(body, dbl, eval_ctes() + (extra or []))
 
 
 def _eval_models(train: DataFrame) -> dict:
@@ -822,10 +827,6 @@ def q_temporal_split(spark, sf_dir):
     return side(train, "train").unionByName(side(test, "test"))
 
 
-def key_hash_sql(col: str, seed: int) -> str:
-    return f"((((({col} % 2147483648) + 2147483648) % 2147483648) * 2654435761 + {seed}) % 4294967296)"
-
-
 @register("m21_seeded_sample", ord_sql(f"""
 SELECT CAD_INCIDENT_ID, {TG} FROM ord ORDER BY {key_hash_sql('CAD_INCIDENT_ID', 42)}, CAD_INCIDENT_ID LIMIT 8000""",
     [TG]))
@@ -869,6 +870,124 @@ def q_linear_one_feature(spark, sf_dir):
     return finalize(spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double"))
 
 
+PAIR = ("BOROUGH", "Hour")
+
+
+@register("m18_exact_shapley", eval_sql(f"""
+SELECT CAD_INCIDENT_ID, feature, CASE feature WHEN 'BOROUGH' THEN (va - g + f - vb) / 2 ELSE (vb - g + f - va) / 2 END AS shapley_value
+FROM (SELECT te.CAD_INCIDENT_ID, coalesce(p.f, gg.g) AS f, coalesce(a.v, gg.g) AS va, coalesce(b.v, gg.g) AS vb, gg.g
+      FROM te CROSS JOIN (SELECT sum(s) / sum(n) AS g, sum(n) AS n FROM pairs) gg
+      LEFT JOIN pairs p ON p.BOROUGH = te.BOROUGH AND p.Hour = te.Hour
+      LEFT JOIN (SELECT x.BOROUGH, sum(coalesce(q.f, t.g) * w.n) / any_value(t.n) AS v
+                 FROM (SELECT DISTINCT BOROUGH FROM pairs) x CROSS JOIN (SELECT Hour, sum(n) AS n FROM pairs GROUP BY 1) w
+                 CROSS JOIN (SELECT sum(s) / sum(n) AS g, sum(n) AS n FROM pairs) t
+                 LEFT JOIN pairs q ON q.BOROUGH = x.BOROUGH AND q.Hour = w.Hour GROUP BY 1) a ON a.BOROUGH = te.BOROUGH
+      LEFT JOIN (SELECT x.Hour, sum(coalesce(q.f, t.g) * w.n) / any_value(t.n) AS v
+                 FROM (SELECT DISTINCT Hour FROM pairs) x CROSS JOIN (SELECT BOROUGH, sum(n) AS n FROM pairs GROUP BY 1) w
+                 CROSS JOIN (SELECT sum(s) / sum(n) AS g, sum(n) AS n FROM pairs) t
+                 LEFT JOIN pairs q ON q.Hour = x.Hour AND q.BOROUGH = w.BOROUGH GROUP BY 1) b ON b.Hour = te.Hour),
+     (SELECT unnest(['BOROUGH', 'Hour']) AS feature)""", ["shapley_value"],
+    [f"pairs AS (SELECT BOROUGH, Hour, avg({TG}) AS f, count({TG}) AS n, sum({TG}) AS s FROM tr GROUP BY 1, 2)"]))
+def q_exact_shapley(spark, sf_dir):
+    train, test = E.train_test_split(orders_clean(spark, sf_dir))
+    return finalize(X.exact_pair_shapley(train, test, *PAIR))
+
+
+@register("m18_linear_shapley", eval_sql(f"""
+SELECT te.CAD_INCIDENT_ID, 'INITIAL_SEVERITY_LEVEL_CODE' AS feature, m.slope * (te.INITIAL_SEVERITY_LEVEL_CODE - m.x) AS shapley_value
+FROM te CROSS JOIN (SELECT regr_slope({TG}, INITIAL_SEVERITY_LEVEL_CODE) AS slope, avg(INITIAL_SEVERITY_LEVEL_CODE) AS x FROM tr) m""",
+    ["shapley_value"]))
+def q_linear_shapley(spark, sf_dir):
+    from pyspark.ml.feature import VectorAssembler
+    feature = "INITIAL_SEVERITY_LEVEL_CODE"
+    train, test = E.train_test_split(orders_clean(spark, sf_dir))
+    fitted = LN.linear().fit(VectorAssembler(inputCols=[feature], outputCol=LN.FEATURES).transform(train))
+    mean = train.agg(F.avg(feature)).first()[0]
+    return finalize(X.linear_shapley(test, {feature: float(fitted.coefficients[0])}, {feature: mean}))
+
+
+# --- inputs that the fixtures lack: date forms, repeated ids ------------------
+@register("f1_parse_variants", """
+SELECT event_id, CASE WHEN k IN (0, 1) THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS dispatch_time,
+  CASE k WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 3 THEN strftime(ts, '%Y-%m-%d %H:%M:00') END AS generic_time,
+  CASE WHEN k = 1 THEN 'QUEENS' ELSE 'nan' END AS borough, CASE WHEN k = 1 THEN 1 ELSE 0 END AS held
+FROM (SELECT event_id, event_id % 5 AS k, ts FROM events)""")
+def q_parse_variants(spark, sf_dir):
+    ts, k = F.col("ts").cast("timestamp_ntz"), F.col("event_id") % 5
+    text = (F.when(k == 0, F.date_format(ts, "M/d/yyyy h:mm:ss a"))
+            .when(k == 1, F.concat(F.lit("\t"), F.date_format(ts, "MM/dd/yyyy hh:mm:ss a"), F.lit(" \n")))
+            .when(k == 2, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(k == 3, F.date_format(ts, "yyyy/MM/dd HH:mm"))
+            .otherwise("unknown"))
+    form = "yyyy-MM-dd HH:mm:ss"
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", text.alias("t"), F.when(k == 1, F.lit("\tQUEENS\n")).alias("b"), F.when(k == 1, F.lit("\ty\r")).alias("h"))
+    return df.select("event_id", F.date_format(S.parse_text_datetime("t"), form).alias("dispatch_time"),
+                     F.date_format(S.parse_generic_datetime("t"), form).alias("generic_time"),
+                     S.as_text("b").alias("borough"), S.yes_flag("h").alias("held"))
+
+
+def _doubled(spark, sf_dir) -> DataFrame:
+    """Every incident twice: ids repeat."""
+    df = orders_clean(spark, sf_dir)
+    return df.unionByName(df)
+
+
+DOUBLED = ["dbl AS (SELECT * FROM ord UNION ALL SELECT * FROM ord)"]
+
+
+@register("m10_temporal_split_repeated_ids", ord_sql(f"""
+SELECT CASE WHEN rn <= k THEN 'train' ELSE 'test' END AS split, count(*) AS rows, avg({TG}) AS mean_minutes
+FROM (SELECT *, row_number() OVER (ORDER BY INCIDENT_DATETIME, CAD_INCIDENT_ID) AS rn,
+             floor(count(*) OVER () * CAST(0.8 AS DOUBLE)) AS k FROM dbl)
+GROUP BY 1""", ["mean_minutes"], DOUBLED))
+def q_temporal_split_repeated(spark, sf_dir):
+    train, test = E.temporal_split(_doubled(spark, sf_dir))
+    both = train.select(F.lit("train").alias("split"), C.TARGET).unionByName(test.select(F.lit("test").alias("split"), C.TARGET))
+    return finalize(both.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.avg(C.TARGET).alias("mean_minutes")))
+
+
+@register("s2_first_rows_repeated_ids", ord_sql(
+    f"SELECT CAD_INCIDENT_ID, {TG} FROM dbl ORDER BY INCIDENT_DATETIME, CAD_INCIDENT_ID LIMIT 1001", [TG], DOUBLED))
+def q_first_rows_repeated(spark, sf_dir):
+    from . import ordered
+    return finalize(ordered.first_n_by(_doubled(spark, sf_dir), 1001, [C.INCIDENT_DATETIME, C.KEY]).select(C.KEY, C.TARGET))
+
+
+@register("r6_area_last5_avg_repeated_ids", ord_sql(f"""
+SELECT CAD_INCIDENT_ID, avg({TG}) OVER (PARTITION BY INCIDENT_DISPATCH_AREA ORDER BY INCIDENT_DATETIME, CAD_INCIDENT_ID
+                                        ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS DispatchArea_Last5_Avg
+FROM dbl""", ["DispatchArea_Last5_Avg"], DOUBLED))
+def q_last5_repeated(spark, sf_dir):
+    return finalize(TR.add_area_lastn_avg(_doubled(spark, sf_dir), 5).select(C.KEY, "DispatchArea_Last5_Avg"))
+
+
+@register("a33_severity_by_borough_long", ord_sql(f"""
+SELECT BOROUGH, INITIAL_SEVERITY_LEVEL_CODE, avg({TG}) AS mean_minutes FROM ord
+WHERE INITIAL_SEVERITY_LEVEL_CODE IS NOT NULL GROUP BY 1, 2""", ["INITIAL_SEVERITY_LEVEL_CODE", "mean_minutes"]))
+def q_severity_by_borough_long(spark, sf_dir):
+    return finalize(R.severity_by_borough_long(orders_clean(spark, sf_dir)))
+
+
+@register("m14_score_payloads_lookup", eval_sql("""
+SELECT CAD_INCIDENT_ID AS payload_id, 'Borough Hour Mean' AS model, p0 AS predicted_minutes FROM scored
+UNION ALL SELECT CAD_INCIDENT_ID, 'Class Severity Mean', p1 FROM scored""", ["predicted_minutes"]))
+def q_score_payloads_lookup(spark, sf_dir):
+    train, test = E.train_test_split(orders_clean(spark, sf_dir))
+    return finalize(LN.score_payloads(test.withColumnRenamed(C.KEY, "payload_id"), _eval_models(train)))
+
+
+@register("m1_standardised_features", ord_sql(f"""
+SELECT CAD_INCIDENT_ID, (Hour - mh) / sh AS z_hour, (INITIAL_SEVERITY_LEVEL_CODE - ms) / ss AS z_severity
+FROM ord CROSS JOIN (SELECT avg(Hour) mh, stddev_samp(Hour) sh, avg(INITIAL_SEVERITY_LEVEL_CODE) ms,
+                            stddev_samp(INITIAL_SEVERITY_LEVEL_CODE) ss FROM ord)""", ["z_hour", "z_severity"]))
+def q_standardised(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    df = orders_clean(spark, sf_dir)
+    pre = LN.Preprocessor(["Hour", "INITIAL_SEVERITY_LEVEL_CODE"], []).fit(df)
+    z = vector_to_array(F.col(LN.FEATURES))
+    return finalize(pre.transform(df).select(C.KEY, z[0].alias("z_hour"), z[1].alias("z_severity")))
+
+
 # --- trained learners (rows-only checks) -------------------------------------
 def _ml_setup(spark, sf_dir):
     frame, num, cat = CL.make_model_frame(orders_clean(spark, sf_dir))
@@ -905,10 +1024,10 @@ def q_score_payloads(spark, sf_dir):
 
 
 def _shapley(spark, sf_dir) -> DataFrame:
+    """All rows of the hold-out; draws and background are parameters of the estimator."""
     train, test, num, cat = _ml_setup(spark, sf_dir)
     models = LN.fit_models(train, num, cat, LN.make_models(names=[C.MODEL_NAMES[0]]))
-    rows = E.seeded_sample(test, 500)
-    return X.sampled_shapley(models[C.MODEL_NAMES[0]], rows, train, num + cat, draws=32, background_rows=50)
+    return X.sampled_shapley(models[C.MODEL_NAMES[0]], test, train, num + cat, draws=16, background_rows=50)
 
 
 @register("m18_shapley_values")

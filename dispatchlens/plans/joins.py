@@ -3,7 +3,7 @@
 A lookup derived from the data (group means, encodings) has no size bound known
 up front.  ``materialize`` writes it once to the cluster's checkpoint folder
 (reliable storage, lineage cut, survives executor loss) and ``lookup_join``
-broadcasts it only when its row count is under a limit; above the limit the
+broadcasts it only when its measured size is under a limit; above the limit the
 join stays a shuffle join, where AQE's skew-join handling splits hot keys of
 the large side.
 """
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-# Rows above which a lookup is not broadcast (about tens of MB of narrow rows).
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Bytes (of text forms, so an upper bound for numbers) up to which a lookup is broadcast.
+DEFAULT_BROADCAST_BYTES = 32 << 20
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -27,19 +27,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(lookup: DataFrame, rows: int, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(lookup) if rows <= max_rows else lookup
+def measured_bytes(table: DataFrame) -> int:
+    """Size of a materialized table: the bytes of its values' text forms and 16 for each value."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in table.columns), F.lit(0))
+    return int(table.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0])
 
 
-def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], rows: int | None = None,
-                how: str = "left", max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Equi-join ``df`` with a lookup on ``keys``; broadcast the lookup when its
-    measured row count is at most ``max_rows``.
+def broadcast_if_small(table: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Hint a materialized table for broadcast if it measures at most ``max_bytes``.
 
-    ``rows`` is the already-known size of the lookup; when omitted the lookup is
-    materialized and counted here.
+    Beyond that the join stays a shuffle join, where Spark splits hot keys.
     """
-    if rows is None:
-        lookup = materialize(lookup)
-        rows = lookup.count()
-    return df.join(broadcast_if_small(lookup, rows, max_rows), list(keys), how)
+    return F.broadcast(table) if measured_bytes(table) <= max_bytes else table
+
+
+def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left",
+                max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Equi-join ``df`` with a lookup on ``keys``; the lookup is materialized and measured here."""
+    return df.join(broadcast_if_small(materialize(lookup), max_bytes), list(keys), how)

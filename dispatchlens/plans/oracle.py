@@ -55,12 +55,15 @@ FROM incidents_orders_base)"""
 _FMT = "'%m/%d/%Y %I:%M:%S %p'"
 
 
+_WS = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160)"
+
+
 def _txt(c: str) -> str:
-    return f"trim(coalesce(CAST({c} AS VARCHAR), 'nan'))"
+    return f"trim(coalesce(CAST({c} AS VARCHAR), 'nan'), {_WS})"
 
 
 def _flag(c: str) -> str:
-    return f"CAST(coalesce(upper(trim(CAST({c} AS VARCHAR))) = 'Y', false) AS INTEGER)"
+    return f"CAST(coalesce(upper(trim(CAST({c} AS VARCHAR), {_WS})) = 'Y', false) AS INTEGER)"
 
 
 _DERIVED = """, Response_Time_Minutes,

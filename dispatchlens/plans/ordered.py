@@ -46,8 +46,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(totals.select("_pid", *keys, F.coalesce(F.sum("_tot").over(before_w), F.lit(0))
                                         .alias("_off")))
-    rows = offsets.count()
-    joined = local.join(broadcast_if_small(offsets, rows), ["_pid", *keys], "left")
+    joined = local.join(broadcast_if_small(offsets), ["_pid", *keys], "left")
     return joined.withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))) \
                  .drop("_v", "_pid", "_local", "_off")
 
@@ -65,36 +64,63 @@ def _order_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def first_n_by(df: DataFrame, n: int, order: Sequence[str], direct_ratio: int = 20) -> DataFrame:
-    """The first ``n`` rows in ascending ``order`` (columns that are unique in
-    combination), exact, as a *filter* on the input.
+def _cut_row(df: DataFrame, n: int, total: int, order: Sequence[str]):
+    """Order values of row ``n`` (1-based), the number of rows before its equals, and the number of its equals.
 
-    ``orderBy(...).limit(n)`` merges up to n rows from every partition in one
-    task and returns a single partition.  Instead, an approximate quantile of
-    the first order column cuts the input to about 1.5 n candidates (widened
-    until at least n survive), the n-th candidate row gives the exact cut, and
-    the result is ``df.where(struct(order) <= cut)``: exactly n rows that keep
-    the input's partitioning.
+    Approximate quantiles of the first order column bracket the row, exact
+    counts confirm the bracket (it widens until they do), and only the rows inside
+    it are sorted, over range partitions; one row a partition comes to the driver.
     """
-    order = list(order)
-    total = df.count()
-    if total <= n:
-        return df
-    if total <= direct_ratio * n:
-        cand = df
-    else:
-        key = _order_number(df, order[0])
-        frac = min(1.0, 1.5 * n / total)
-        while True:
-            if frac >= 1.0:
-                cand = df
-                break
-            t = df.select(F.percentile_approx(key, frac, 10000)).first()[0]
-            cand = df.where(key <= F.lit(t))
-            if cand.count() >= n:
-                break
-            frac = min(1.0, frac * 2)
-    last = cand.select(*order).orderBy(*order).limit(n).agg(F.max(F.struct(*order)).alias("m")).first()["m"]
-    cut = F.struct(*[F.lit(str(last[c]) if last[c] is not None else None).cast(df.schema[c].dataType).alias(c)
-                     for c in order])
-    return df.where(F.struct(*[F.col(c) for c in order]) <= cut)
+    key = F.coalesce(_order_number(df, order[0]), F.lit(-1.7e308))
+    half = 3e-4
+    while True:
+        low, high = max(0.0, n / total - half), min(1.0, n / total + half)
+        a, b = df.select(F.percentile_approx(key, F.array(F.lit(low), F.lit(high)), 10000)).first()[0]
+        a, b = (a if low > 0 else float("-inf")), (b if high < 1 else float("inf"))
+        before, upto = df.agg(F.count_if(key < F.lit(a)), F.count_if(key <= F.lit(b))).first()
+        if before < n <= upto:
+            break
+        half *= 4
+    near = materialize(df.where((key >= F.lit(a)) & (key <= F.lit(b))).select(*order).orderBy(*order)
+                       .withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id()))
+    at = before
+    for part in near.groupBy("_pid").agg(F.count(F.lit(1)).alias("c"), F.min("_pos").alias("p")).orderBy("_pid").collect():
+        if at + part["c"] >= n:
+            cut = near.where((F.col("_pid") == part["_pid"]) & (F.col("_pos") == part["p"] + (n - at - 1))).first()
+            break
+        at += part["c"]
+    # As text cast to the column's type: a Python datetime would pass through time zones.
+    values = F.struct(*[F.lit(None if cut[c] is None else str(cut[c])).cast(df.schema[c].dataType).alias(c) for c in order])
+    row = F.struct(*order)
+    less, same = near.agg(F.count_if(row < values), F.count_if(row == values)).first()
+    return values, before + less, same
+
+
+def split_at(df: DataFrame, rows, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The first ``rows(count)`` rows in ascending ``order``, and the others: exact, as filters on the input.
+
+    Rows of equal order are told apart by a hash of all their columns; of
+    identical rows, which are interchangeable, as many as needed come first.
+    """
+    names = df.columns
+    hashed = df.withColumn("_tie", F.xxhash64(*names))
+    order = [*order, "_tie"]
+    total = hashed.count()
+    n = rows(total)
+    if n <= 0:
+        return df.limit(0), df
+    if n >= total:
+        return df, df.limit(0)
+    cut, less, same = _cut_row(hashed, n, total, order)
+    row = F.struct(*order)
+    if less + same == n:
+        return hashed.where(row <= cut).select(*names), hashed.where(row > cut).select(*names)
+    equal = hashed.where(row == cut)
+    first = hashed.where(row < cut).unionByName(equal.limit(n - less))
+    rest = hashed.where(row > cut).unionByName(equal.limit(less + same - n))
+    return first.select(*names), rest.select(*names)
+
+
+def first_n_by(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """The first ``n`` rows in ascending ``order``: exact, a filter that keeps the input's partitioning."""
+    return split_at(df, lambda total: n, order)[0]

@@ -125,5 +125,5 @@ def test_prediction_pairs_and_importance_sinks(spark, tmp_dir):
 def test_load_or_train_falls_back(spark, tmp_dir):
     df = K.orders_clean(spark, SF_SMALL)
     models, how = SR.load_or_train(spark, os.path.join(tmp_dir, "no_models"), df,
-                                   names=["Linear Regression"], fallback_rows=300)
+                                   names=["Linear Regression"])
     assert how == "trained" and list(models) == ["Linear Regression"]

@@ -34,6 +34,6 @@ def test_first_n_by_exact_and_distributed(spark):
         F.col("id"), F.timestamp_add("SECOND", ((F.col("id") * 7919) % 5000).cast("int"),
                                      F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("t")).repartition(6)
     want = [r["id"] for r in df.orderBy("t", "id").limit(300).collect()]
-    got = first_n_by(df, 300, ["t", "id"], direct_ratio=2)
+    got = first_n_by(df, 300, ["t", "id"])
     assert sorted(r["id"] for r in got.collect()) == sorted(want)
     assert got.rdd.getNumPartitions() == 6
