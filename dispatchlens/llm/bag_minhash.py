@@ -32,7 +32,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -42,8 +42,8 @@ from .text import BASE, BYTE_VALUE, MIX, flat, grams, hashes, inverse, mix64, po
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
-#: How often each bucket compares its most popular node with the others before the rest is searched.
-STARS = 2
+#: Standard deviations from the expected number of differing components up to which a pair is compared.
+DEVIATIONS = 4.0
 SLICE = 1 << 20
 KEY = ["k_id", "k_text"]
 
@@ -120,20 +120,43 @@ def band_keys(times: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(times: np.ndarray) -> np.ndarray:
+    """Four bits of each component, sixteen to a 64-bit word."""
+    nibble = mix64(times.view(np.uint64)) & np.uint64(15)
+    padded = np.zeros((len(times), -(-SIZE // 16) * 16), np.uint64)
+    padded[:, :SIZE] = nibble
+    shift = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return (padded.reshape(len(times), -1, 16) << shift).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Number of components in which two sketches differ."""
+    total = F.lit(0)
+    for k in range(-(-SIZE // 16)):
+        x = a[k].bitwiseXOR(b[k])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(x)
+    return total
+
+
 def signed(docs: DataFrame, text: str) -> DataFrame:
-    """Row key, node and band keys of every row."""
+    """Row key, node, band keys and sketch of every row."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "k_body", SLICE):
             node, owner, shingle, count = bags(part.column("k_body"))
-            keys = band_keys(signatures(len(node), owner, shingle, count))
+            times = signatures(len(node), owner, shingle, count)
+            keys, sketch = band_keys(times), sketches(times)
             bare = ~np.isin(np.arange(len(node)), owner)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(np.where(bare, 0, BANDS))]).astype(np.int32)),
                 pa.array(keys[~bare].ravel()))
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in KEY), pa.array(node.view(np.int64)), lists],
-                                             names=[*KEY, "node", "bands"])
+            words_of = pa.ListArray.from_arrays(
+                pa.array((np.arange(len(node) + 1) * sketch.shape[1]).astype(np.int32)), pa.array(sketch.ravel()))
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in KEY), pa.array(node.view(np.int64)), lists, words_of],
+                                             names=[*KEY, "node", "bands", "sketch"])
 
-    return row_keys(docs, text).mapInArrow(run, "k_id long, k_text long, node long, bands array<long>")
+    return row_keys(docs, text).mapInArrow(run, "k_id long, k_text long, node long, bands array<long>, sketch array<long>")
 
 
 def row_keys(docs: DataFrame, text: str) -> DataFrame:
@@ -153,7 +176,8 @@ def whole_bags(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
                                              pa.array(every))
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), lists], names=["node", "bag"])
 
-    rows = row_keys(docs, text).join(wanted, KEY).select("k_body")
+    # The list grows with the data: a shuffle join at every size, never a broadcast of it.
+    rows = row_keys(docs, text).join(wanted.hint("merge"), KEY).select("k_body")
     return rows.mapInArrow(run, "node long, bag array<long>").dropDuplicates(["node"])
 
 
@@ -165,12 +189,6 @@ def verified(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     return sides.where(shared >= similarity * (F.size("bag_a") + F.size("bag_b") - shared) - 1e-9).select("a", "b")
 
 
-def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("node"))
-    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
 def open_buckets(at: DataFrame, *more) -> DataFrame:
     """A row for each bucket whose nodes are not all linked, with further aggregates."""
     found = at.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), *more)
@@ -183,63 +201,62 @@ def possible_pairs(at: DataFrame, bag: DataFrame, similarity: float) -> DataFram
     A shingle that no other node of an open bucket has can't be shared.  With n
     shingles, u of them lone, two bags overlap by n - u of either at most, and need
     s / (1 + s) of both sizes together.  So a node whose partners would have to be
-    smaller than any of its bucket is done, before any pair is made.
+    smaller than any of its bucket is done, before any pair is made.  Of the pairs,
+    those whose sketches differ in more components than a pair at ``similarity`` does
+    once in 30,000 times are left out as well.
     """
+    agree = similarity + (1 - similarity) / 16
+    most = SIZE * (1 - agree) + DEVIATIONS * (SIZE * agree * (1 - agree)) ** 0.5
     need = similarity / (1 + similarity)
-    nodes = at.select("node").distinct()
+    nodes = stored(at.select("node").distinct())
     shingles = nodes.join(bag, "node").select("node", F.explode("bag").alias("shingle"))
     alone = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1") \
         .groupBy("node").agg(F.count("*").alias("lone"))
-    sizes = nodes.join(bag.select("node", F.size("bag").alias("n")), "node").join(alone, "node", "left") \
-        .select("node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
-    at = stored(at.select("bucket", "node", "label").join(stored(sizes), "node"))
+    sizes = nodes.join(bag.select("node", F.size("bag").alias("n"), "sketch", "bands"), "node").join(alone, "node", "left") \
+        .select("node", "n", "sketch", "bands", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
+    at = stored(at.select("bucket", "node", "label").join(sizes, "node"))
     largest = at.groupBy("bucket").agg(F.min("n").alias("least_n"))
-    able = stored(at.join(largest, "bucket").where(F.col("common") >= need * (F.col("n") + F.col("least_n")) - 1e-9).drop("least_n"))
+    able = at.join(largest, "bucket").where(F.col("common") >= need * (F.col("n") + F.col("least_n")) - 1e-9).drop("least_n")
     per_label = able.groupBy("bucket", "label").agg(F.count("*").alias("nodes"))
-    main = stored(per_label.groupBy("bucket").agg(F.max(F.struct("nodes", "label")).alias("m"), F.count("*").alias("labels"))
-                  .where("labels > 1").select("bucket", F.col("m.label").alias("main")))
+    main = per_label.groupBy("bucket").agg(F.max(F.struct("nodes", "label")).alias("m"), F.count("*").alias("labels")) \
+        .where("labels > 1").select("bucket", F.col("m.label").alias("main"))
     able = stored(able.join(main, "bucket"))
     x, y = able.where("label <> main").alias("x"), able.alias("y")
     on = ((F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label"))
           & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-          & (F.least("x.common", "y.common") >= need * (F.col("x.n") + F.col("y.n")) - 1e-9))
-    return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+          & (F.least("x.common", "y.common") >= need * (F.col("x.n") + F.col("y.n")) - 1e-9)
+          & (differing(F.col("x.sketch"), F.col("y.sketch")) <= int(most))
+          & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")))  # once, not in each common bucket
+    return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
-def linked(members: DataFrame, bag: DataFrame, similarity: float) -> DataFrame | None:
+def linked(members: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     """``node`` and ``label`` of the nodes that have links; ``members`` are bucket, node and the node's popularity."""
-    labels, links = None, None
-    for step in range(STARS + 1):
-        at = labelled(members, labels)
-        if step < STARS:
-            heads = stored(open_buckets(at, F.max(F.struct("popularity", "node", "label")).alias("head")))
-            rest = stored(at.join(heads, "bucket").where("node <> head.node"))
-            pairs = rest.where("label <> head.label").select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
-            members = rest.select("bucket", "node", "popularity")
-        else:
-            pairs = possible_pairs(stored(at.join(open_buckets(at), "bucket")), bag, similarity)
-        new = stored(verified(pairs, bag, similarity))
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
-    return labels
+    heads = members.groupBy("bucket").agg(F.max(F.struct("popularity", "node")).alias("head")).select("bucket", "head.node")
+    rest = stored(members.select("bucket", "node").join(heads.withColumnRenamed("node", "head"), "bucket").where("node <> head"))
+    stars = stored(verified(rest.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), bag, similarity))
+    labels = components(stars)
+    at = stored(rest.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    pairs = possible_pairs(at.join(open_buckets(at), "bucket"), bag, similarity)
+    more = stored(verified(pairs, bag, similarity))
+    return labels if more.isEmpty() else components(stars.unionByName(more))
 
 
 def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Row key of every row, the key of its class's least row, and the number of distinct texts in the class."""
     rows = stored(signed(docs, text))
-    nodes = stored(rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("least"), F.first("bands").alias("bands")))
+    nodes = stored(rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("least"), F.first("bands").alias("bands"),
+                                              F.first("sketch").alias("sketch")))
     meets = nodes.select("node", "least", F.explode("bands").alias("bucket"))
     shared = meets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     meets = stored(meets.join(stored(shared), "bucket"))
     popular = stored(meets.groupBy("node", "least").agg(F.sum("n").alias("popularity")))
-    bag = stored(whole_bags(docs, popular.select("least.*"), text))
+    bag = whole_bags(docs, popular.select("least.*"), text)
+    bag = stored(bag.join(nodes.select("node", "sketch", "bands"), "node"))
     members = meets.select("bucket", "node").join(popular.select("node", "popularity"), "node")
     labels = linked(members, bag, similarity)
-    named = nodes.select("node", "least", F.col("node").alias("label"))
-    if labels is not None:
-        named = nodes.select("node", "least").join(labels, "node", "left") \
-            .select("node", "least", F.coalesce("label", "node").alias("label"))
+    named = nodes.select("node", "least").join(labels, "node", "left") \
+        .select("node", "least", F.coalesce("label", "node").alias("label"))
     named = stored(named)
     heads = named.groupBy("label").agg(F.min("least").alias("head"), F.count("*").alias("n_texts"))
     named = named.join(heads, "label").select("node", "head", "n_texts")
