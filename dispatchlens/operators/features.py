@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scalars as S
+from .clean import feature_columns
 from ..plans.joins import DEFAULT_BROADCAST_BYTES, materialize, measured_bytes
 
 # (feature name, key columns, smoothed?)  Order of the lookup sets.
@@ -33,27 +34,19 @@ LOOKUP_SPECS = [
 ]
 
 
-def add_cyclical_features(df: DataFrame) -> DataFrame:
-    """F8: sin/cos of hour/24, weekday/7 and (month-1)/12 (only for present columns)."""
-    cols = {}
-    if "Hour" in df.columns:
-        cols["Hour_sin"], cols["Hour_cos"] = S.cyclical("Hour", 24)
-    if "DayOfWeek" in df.columns:
-        cols["DayOfWeek_sin"], cols["DayOfWeek_cos"] = S.cyclical("DayOfWeek", 7)
-    if "Month" in df.columns:
-        cols["Month_sin"], cols["Month_cos"] = S.cyclical("Month", 12, offset=1)
-    return df.withColumns(cols) if cols else df
+# Every calendar feature: its name, the column it needs, its expression.
+# Periods and first values of the three calendar columns.
+_CYCLES = (("Hour", 24, 0), ("DayOfWeek", 7, 0), ("Month", 12, 1))
+CYCLE_FEATURES = [(f"{column}_{wave}", column, lambda c, n=period, z=first, k=k: S.cyclical(c, n, z)[k])
+                  for column, period, first in _CYCLES for k, wave in enumerate(("sin", "cos"))]
+FLAG_FEATURES = [("IsWeekend", "DayOfWeek", S.is_weekend), ("IsNight", "Hour", S.is_night), ("IsRushHour", "Hour", S.is_rush_hour)]
 
 
-def add_contextual_features(df: DataFrame) -> DataFrame:
-    """weekend, night and rush-hour flags."""
-    cols = {}
-    if "DayOfWeek" in df.columns:
-        cols["IsWeekend"] = S.is_weekend("DayOfWeek")
-    if "Hour" in df.columns:
-        cols["IsNight"] = S.is_night("Hour")
-        cols["IsRushHour"] = S.is_rush_hour("Hour")
-    return df.withColumns(cols) if cols else df
+def with_calendar_features(df: DataFrame, features=(*CYCLE_FEATURES, *FLAG_FEATURES)) -> DataFrame:
+    """Sine and cosine of hour, weekday and month, and the weekend, night and rush-hour flags,
+    as far as the table has their columns."""
+    made = {name: make(column) for name, column, make in features if column in df.columns}
+    return df.withColumns(made) if made else df
 
 
 @dataclass
@@ -157,23 +150,16 @@ def add_interaction_features(df: DataFrame, lookups: Lookups | None = None) -> D
 def enhance(df: DataFrame, lookups: Lookups | None = None) -> DataFrame:
     """F8 + F9 + A8 + A9 in the reference's order."""
     lookups = lookups or fit_lookups(df)
-    out = add_contextual_features(add_cyclical_features(df))
+    out = with_calendar_features(df)
     out = add_target_encoding(out, lookups)
     return add_interaction_features(out, lookups)
 
 
-def enhanced_feature_lists(df: DataFrame) -> tuple[list[str], list[str]]:
-    numeric = [c for c in C.ENHANCED_NUMERIC_FEATURES if c in df.columns]
-    categorical = [c for c in C.BASE_CATEGORICAL_FEATURES if c in df.columns]
-    categorical += [c for c in C.OPTIONAL_FEATURE_COLUMNS if c in df.columns]
-    return numeric, categorical
-
-
 def make_enhanced_model_frame(df: DataFrame, lookups: Lookups | None = None,
                               keep: tuple[str, ...] = (C.KEY,)) -> tuple[DataFrame, list[str], list[str]]:
     """Enhanced features, projected with the target, rows with nulls dropped."""
     enhanced = enhance(df, lookups)
-    numeric, categorical = enhanced_feature_lists(enhanced)
+    numeric, categorical = feature_columns(enhanced, C.ENHANCED_NUMERIC_FEATURES)
     features = numeric + categorical + [C.TARGET]
     kept = [c for c in keep if c in enhanced.columns and c not in features]
     return enhanced.select(*kept, *features).na.drop(subset=features), numeric, categorical
@@ -188,7 +174,7 @@ def prediction_input(payload: DataFrame, lookups: Lookups, feature_names: list[s
     and numerics to numbers (0 for null), and project in feature order.  Extra
     payload columns (e.g. an id) listed before the features are kept.
     """
-    frame = add_contextual_features(add_cyclical_features(payload))
+    frame = with_calendar_features(payload)
     for name in lookups.tables:
         frame = lookups.join(frame, name, fallback=True)
     passthrough = [c for c in payload.columns if c not in feature_names]

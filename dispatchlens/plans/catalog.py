@@ -500,7 +500,7 @@ SELECT count(*) AS rows, {len(EV_CLEAN_COLUMNS)} AS columns,
 FROM ev""", []))
 def q_profile(spark, sf_dir):
     df = events_clean(spark, sf_dir)
-    num, cat = CL.get_model_features(df)
+    num, cat = CL.feature_columns(df)
     return P.profile(df, num + cat)
 
 
@@ -554,7 +554,7 @@ ENH_NUMERIC = MF_NUMERIC + CYC_COLS + [n for n, _ in IA] + CTX_COLS + [n for n,
 
 @register("f8_f9_calendar_features", ev_sql(f"SELECT CAD_INCIDENT_ID, {CYC_SQL}, {CTX_SQL} FROM ev", CYC_COLS))
 def q_calendar_features(spark, sf_dir):
-    df = FE.add_contextual_features(FE.add_cyclical_features(events_clean(spark, sf_dir)))
+    df = FE.with_calendar_features(events_clean(spark, sf_dir))
     return finalize(df.select(C.KEY, *CYC_COLS, *CTX_COLS))
 
 

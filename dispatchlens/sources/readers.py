@@ -51,8 +51,7 @@ def training_sample(raw: DataFrame, sample_rows: int | None = None, max_rows: in
     if sample_rows is None:
         return clean
     if clean.limit(1).count() == 0:
-        raise ValueError("No valid training rows were found in the CSV.")
-    # exact first-n as a filter: no one-task top-n merge, input partitioning kept
+        raise ValueError("no row of the input is left after cleaning")
     return first_n_by(clean, sample_rows, [C.INCIDENT_DATETIME, C.KEY])
 
 
@@ -67,10 +66,29 @@ def union_inputs(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def read_table_file(spark: SparkSession, path: str) -> DataFrame:
+# Columns of processed tables that are not text, by kind; all measures end as the last entry says.
+_WHOLE = {C.KEY: "long", "Hour": "int", "DayOfWeek": "int", "Month": "int", "IsHeld": "int", "IsReopen": "int",
+          **{c: "int" for c in C.CONTEXTUAL_FEATURES}}
+_MEASURES = ("_Minutes", "_Avg", "_TargetEnc", "_sin", "_cos", "_CODE", "_QY", "MAE", "RMSE", "Importance", "R2")
+
+
+def csv_schema(columns: Sequence[str]) -> str:
+    """Types of a processed table's CSV columns by name, so that no pass over the data infers them
+    and all files of a table get the same; unknown columns are text."""
+    def kind(name: str) -> str:
+        if name in (C.INCIDENT_DATETIME, C.FIRST_ON_SCENE_DATETIME):
+            return "timestamp_ntz"
+        return _WHOLE.get(name, "double" if name.endswith(_MEASURES) else "string")
+
+    return ", ".join(f"`{c}` {kind(c)}" for c in columns)
+
+
+def read_table_file(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """S3: a processed table, Parquet or CSV with a header; ``schema`` overrides the CSV types known by name."""
     if path.endswith(".parquet") or not path.endswith(".csv"):
         return spark.read.parquet(path)
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    reader = spark.read.option("header", True)
+    return reader.schema(schema or csv_schema(reader.csv(path).columns)).csv(path)
 
 
 def read_processed(spark: SparkSession, candidates: Sequence[str]) -> DataFrame:
@@ -112,7 +130,7 @@ def read_case_table(spark: SparkSession, path: str) -> DataFrame:
     _require(spark, path, "Case dataset")
     df = read_table_file(spark, path)
     if C.KEY not in df.columns:
-        raise ValueError(f"The case dataset must include {C.KEY}.")
+        raise ValueError(f"a case table needs the column {C.KEY}")
     return df
 
 

@@ -70,9 +70,12 @@ def write_prediction_pairs(cases: DataFrame, path: str,
     return write_csv(cases.select(*cols), path)
 
 
-def csv_to_parquet(spark: SparkSession, src: str, dst: str) -> str:
-    """Convert a CSV table to Parquet (header, inferred types)."""
-    spark.read.option("header", True).option("inferSchema", True).csv(src).write.mode("overwrite").parquet(dst)
+def csv_to_parquet(spark: SparkSession, src: str, dst: str, schema: str | None = None) -> str:
+    """Convert a CSV table to Parquet (header; types by ``schema``, else by column name)."""
+    from .readers import csv_schema
+
+    reader = spark.read.option("header", True)
+    reader.schema(schema or csv_schema(reader.csv(src).columns)).csv(src).write.mode("overwrite").parquet(dst)
     return dst
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..operators.clean import clean_incidents
-from ..operators.features import Lookups, add_contextual_features, add_cyclical_features
+from ..operators.features import Lookups, with_calendar_features
 from ..operators.reports import slow_share
 
 
@@ -39,7 +39,7 @@ def score_stream(stream: DataFrame, lookups: Lookups, model=None,
                  datetime_fallback: str = "never") -> DataFrame:
     """Clean, derive features and attach the fitted lookups to every incident."""
     clean = clean_incidents(stream, datetime_fallback=datetime_fallback)
-    out = add_contextual_features(add_cyclical_features(clean))
+    out = with_calendar_features(clean)
     for name in lookups.tables:
         out = lookups.join(out, name, fallback=True)
     return model.transform(out) if model is not None else out

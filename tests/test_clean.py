@@ -32,13 +32,13 @@ def base_row(i, minutes=20.0, seconds="600", flag="Y", dispatch="60", zipcode=11
 
 def test_header_normalising(spark):
     df = spark.createDataFrame([(1,)], "` Incident-Dispatch Area ` int")
-    assert CL.standardize_column_names(df).columns == ["INCIDENT_DISPATCH_AREA"]
+    assert CL.with_working_names(df).columns == ["INCIDENT_DISPATCH_AREA"]
 
 
 def test_header_collision_raises(spark):
     df = spark.createDataFrame([(1, 2)], "`a b` int, `A-B` int")
     with pytest.raises(ValueError):
-        CL.standardize_column_names(df)
+        CL.with_working_names(df)
 
 
 def test_target_valid_and_invalid_flag(spark):
@@ -89,7 +89,7 @@ def test_classification_from_first_existing_source(spark):
 
 def test_missing_required_columns(spark):
     df = spark.createDataFrame([("a",)], "BOROUGH string")
-    with pytest.raises(ValueError, match="Missing required columns"):
+    with pytest.raises(ValueError, match="lacks"):
         CL.clean_incidents(df)
 
 

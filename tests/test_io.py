@@ -85,7 +85,7 @@ def test_payload_frame_and_report(spark, tmp_dir):
     pay = SR.payload_frame(spark, [{"Hour": 8, "BOROUGH": "EUROPE"}, {"Hour": 9}])
     assert pay.count() == 2 and pay.first()["BOROUGH"] == "EUROPE"
     df = K.events_clean(spark, SF_SMALL)
-    num, cat = CL.get_model_features(df)
+    num, cat = CL.feature_columns(df)
     prof = P.profile(df, num + cat)
     SK.write_profile_json(prof, os.path.join(tmp_dir, "profile"))
     assert spark.read.json(os.path.join(tmp_dir, "profile")).first()["rows"] == df.count()
