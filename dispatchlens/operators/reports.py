@@ -177,7 +177,7 @@ def dispatch_area_summary(df: DataFrame, min_cases: int = C.MIN_AREA_CASES, exac
     return (agg.select("INCIDENT_DISPATCH_AREA", F.coalesce("BOROUGH", F.lit("")).alias("BOROUGH"),
                        "cases", "mean_minutes", F.col("q")[0].alias("p90_minutes"),
                        "dispatch_delay_minutes", "slow_share", pr.alias("priority"))
-               .orderBy(S.priority_rank(F.col("priority")), F.col("mean_minutes").desc()))
+               .orderBy(S.priority_rank(F.col("priority")), F.col("mean_minutes").desc(), "INCIDENT_DISPATCH_AREA"))
 
 
 def incident_summary(df: DataFrame, min_cases: int = C.MIN_INCIDENT_CASES, exact: bool = True) -> DataFrame:

@@ -176,7 +176,7 @@ SELECT INCIDENT_DISPATCH_AREA, BOROUGH,
 FROM ev GROUP BY 1, 2)"""
 
 
-@register("a17_dispatch_area_summary", ev_sql(f"""
+AREA_SUMMARY = f"""
 SELECT a.INCIDENT_DISPATCH_AREA, m.BOROUGH, a.cases, a.mean_minutes, a.p90_minutes, a.dispatch_delay_minutes,
   a.slow_share,
   CASE WHEN a.mean_minutes >= g.gm + 1.25 AND a.slow_share >= 0.2 THEN 'high'
@@ -186,12 +186,34 @@ FROM (SELECT INCIDENT_DISPATCH_AREA, count({TG}) AS cases, avg({TG}) AS mean_min
         avg({SLOW}) AS slow_share
       FROM ev GROUP BY 1 HAVING count({TG}) >= 80) a
 JOIN modal m ON m.INCIDENT_DISPATCH_AREA = a.INCIDENT_DISPATCH_AREA AND m.rn = 1
-CROSS JOIN (SELECT avg({TG}) AS gm FROM ev) g""",
+CROSS JOIN (SELECT avg({TG}) AS gm FROM ev) g"""
+
+
+@register("a17_dispatch_area_summary", ev_sql(AREA_SUMMARY,
     ["mean_minutes", "p90_minutes", "dispatch_delay_minutes", "slow_share"], [MODAL_BOROUGH]))
 def q_dispatch_area_summary(spark, sf_dir):
     return finalize(R.dispatch_area_summary(events_clean(spark, sf_dir)))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """A sorted report of few rows with its rows numbered in their order."""
+    return df.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+@register("o1_area_order", ev_sql(f"""
+SELECT INCIDENT_DISPATCH_AREA, row_number() OVER (
+  ORDER BY CASE priority WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, mean_minutes DESC, INCIDENT_DISPATCH_AREA) AS place
+FROM ({AREA_SUMMARY})""", [], [MODAL_BOROUGH]))
+def q_area_order(spark, sf_dir):
+    return numbered(R.dispatch_area_summary(events_clean(spark, sf_dir))).select("INCIDENT_DISPATCH_AREA", "place")
+
+
+@register("o5_hour_order", ev_sql(f"""
+SELECT Hour, row_number() OVER (ORDER BY Hour) AS place FROM (SELECT DISTINCT Hour FROM ev)""", []))
+def q_hour_order(spark, sf_dir):
+    return numbered(R.mean_by(events_clean(spark, sf_dir), "Hour", None)).select("Hour", "place")
+
+
 @register("a18_incident_summary", ev_sql(f"""
 SELECT INCIDENT_CLASSIFICATION, count({TG}) AS cases, avg({TG}) AS mean_minutes,
   quantile_cont({TG}, 0.9) AS p90_minutes, avg({SLOW}) AS slow_share
