@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, merged
 from .tables import stored
 from .text import BASE, BYTE_VALUE, MIX, flat, grams, hashes, inverse, mix64, powers, salt, slices, uniform, within, words
 
@@ -239,7 +239,7 @@ def linked(members: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     at = stored(rest.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     pairs = possible_pairs(at.join(open_buckets(at), "bucket"), bag, similarity)
     more = stored(verified(pairs, bag, similarity))
-    return labels if more.isEmpty() else components(stars.unionByName(more))
+    return labels if more.isEmpty() else merged(labels, more)
 
 
 def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by least label and pointer jumping."""
+"""Connected components of a table of links, by contraction."""
 
 from __future__ import annotations
 
@@ -9,21 +9,39 @@ from .tables import stored
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node`` and ``label`` (the least node of its component) for each node of ``links`` (a, b).
+    """``node`` and ``label`` (one node of its component) for each node of ``links`` (a, b).
 
-    A round gives each node the least label around it and then the label of that
-    label, so that long chains halve; the rounds end when no label changes.
+    A round sends each node to the least node around it and on to where that one
+    goes, and then keeps only the links between different places.  Stars are done in
+    a round and chains at least halve, so the links left shrink from round to round.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = stored(both)
-    labels = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    found = None
     while True:
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        near = labels.join(around.withColumnRenamed("a", "node"), "node") \
-            .select("node", "label", F.least("label", "near").alias("near"))
-        jump = labels.select(F.col("node").alias("near"), F.col("label").alias("beyond"))
-        new = stored(near.join(jump, "near", "left")
-                     .select("node", F.col("label").alias("was"), F.least("near", "beyond").alias("label")))
-        labels = new.select("node", "label")
-        if new.where("was <> label").isEmpty():
-            return labels
+        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")))
+        on = least.select(F.col("a").alias("to"), F.col("to").alias("beyond"))
+        step = stored(least.join(on, "to").select(F.col("a").alias("node"), F.col("beyond").alias("place")))
+        if found is None:
+            found = step.withColumnRenamed("place", "label")
+        else:
+            moved = step.withColumnRenamed("node", "label")
+            found = found.join(moved, "label", "left").select("node", F.coalesce("place", "label").alias("label"))
+        found = stored(found)
+        ends = links.join(step.select(F.col("node").alias("a"), F.col("place").alias("pa")), "a") \
+            .join(step.select(F.col("node").alias("b"), F.col("place").alias("pb")), "b")
+        links = stored(ends.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        if links.isEmpty():
+            return found
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` with the components that further ``links`` (a, b) join; nodes may be new."""
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    every = stored(nodes.join(labels, "node", "full").select("node", F.coalesce("label", "node").alias("label")))
+    ends = links.join(every.select(F.col("node").alias("a"), F.col("label").alias("la")), "a") \
+        .join(every.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    between = stored(ends.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    if between.isEmpty():
+        return every
+    moved = components(between).select(F.col("node").alias("label"), F.col("label").alias("place"))
+    return every.join(moved, "label", "left").select("node", F.coalesce("place", "label").alias("label"))
