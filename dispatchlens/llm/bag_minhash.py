@@ -44,7 +44,7 @@ BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
 #: Standard deviations from the expected number of differing components up to which a pair is compared.
 DEVIATIONS = 4.0
-SLICE = 1 << 20
+SLICE = 1 << 19
 KEY = ["k_id", "k_text"]
 
 

@@ -33,7 +33,7 @@ from .text import LOWER, flat, grams, hashes, slices, within, words
 
 WINDOW, LEAD = 10, 3
 BLOCK_BYTES = 32 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 
 MATCH = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("words", pa.int64())]))
 

@@ -36,7 +36,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 1.0, 42
 UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 SPACE = "▁"
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 @dataclass

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3)
 
@@ -63,15 +63,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown and kept per process."""
-    key, have = int(base), _powers.get(int(base))
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1024)
-        have = np.ones(size, np.uint64)
-        np.cumprod(np.full(size - 1, base, np.uint64), out=have[1:])
-        if size > 4 * SLICE_BYTES:
-            return have[:n]
-        _powers[key] = have
+    """base**0 .. base**(n-1) modulo 2**64; those of a usual slice are kept per process."""
+    kept = SLICE_BYTES + 1024
+    have = _powers.get(int(base)) if n <= kept else None
+    if have is None:
+        have = np.ones(max(n, kept), np.uint64)
+        np.cumprod(np.full(len(have) - 1, base, np.uint64), out=have[1:])
+        if n <= kept:
+            _powers[int(base)] = have
     return have[:n]
 
 
