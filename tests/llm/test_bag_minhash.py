@@ -86,6 +86,22 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs(np.mean(agree) - truth) < 4 * np.sqrt(truth * (1 - truth) / (40 * B.SIZE))
 
 
+def test_signatures_do_not_depend_on_other_rows():
+    rng = np.random.default_rng(6)
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    some = [(draw(n), rng.integers(1, 1 + most, n)) for n in (1, 3, 10, 30, 60, 200) for most in (1, 9) for _ in range(8)]
+    others = [(draw(n), rng.integers(1, 1 + most, n)) for n, most in ((20_000, 1), (4_000, 50), (1, 5_000), (2, 1))]
+
+    def sign(rows):
+        owner = np.repeat(np.arange(len(rows)), [len(s) for s, _ in rows])
+        return B.signatures(len(rows), owner, *(np.concatenate(x) for x in zip(*rows, strict=True)))
+
+    together = sign(others + some)[len(others):]
+    assert (together == sign(some)).all()
+    for row, times in zip(some, together, strict=True):
+        assert (sign([row])[0] == times).all()
+
+
 def test_one_of_each_keeps_columns(spark):
     rows = [(1, "a b c d e f", "x", 0), (1, "a b c d e f", "x", 0), (2, "A b c d e f!", "y", 1), (3, None, None, None),
             (None, "other words here now ok", "z", 2)]
