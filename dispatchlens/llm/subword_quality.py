@@ -1,10 +1,11 @@
 """Text quality by supervised subword embeddings.
 
-Every word of a text, its case and symbols kept, and its character n-grams have
-learned vectors, found by hashing; so have pairs of neighbouring words, the shapes
-of words and of lines, and marks for words and lines that came before.  The mean of
-all vectors is the text's vector, and a softmax over it the class.  Vectors and
-softmax are trained together by stochastic gradient descent in numpy.
+Every word of a text, its case and symbols kept, and its character n-grams, all of
+them however long the word, have learned vectors, found by hashing; so have pairs of
+neighbouring words, the shapes of words and of lines, and marks for words and lines
+that came before.  The mean of all vectors is the text's vector, and a softmax over it
+the class.  Vectors and softmax are trained together by stochastic gradient descent in
+numpy.
 
 Scoring needs only the product of the vectors and the softmax weights, one number a
 feature, so a text costs one look-up a feature; sums of a word's n-grams are kept per
@@ -19,6 +20,7 @@ rows, ties and empty tables need no rule; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,12 +30,14 @@ from pyspark.sql import functions as F
 
 from .labelled import MAX_ROWS, held_out, logistic, training_rows
 from .tables import per_row
-from .text import BYTE_VALUE, SOLID, flat, hashes, mix64, salt, within, words
+from .text import BASE, BYTE_VALUE, SOLID, flat, hashes, mix64, powers, salt, within, words
 
 BUCKETS_LOG2, DIMENSIONS = 18, 16
 NGRAMS = (3, 4, 5)
 EPOCHS, RATE, BATCH = 5, 0.5, 32
 PREDICTED = 0.3
+#: Character n-grams built at once.
+BLOCK = 1 << 20
 
 
 @dataclass
@@ -51,41 +55,44 @@ SHAPE[97:123], SHAPE[65:91], SHAPE[48:58], SHAPE[128:] = 0, 1, 2, 0
 SHAPE_VALUE = mix64(SHAPE.astype(np.uint64) + np.uint64(77))
 
 
-def features(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, document and weight of every feature occurrence; equal ones may come several times."""
+def features(data: np.ndarray, limits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bucket, document and weight of every feature occurrence, in blocks; equal ones may come several times."""
+    for found, doc, weight in hashed(data, limits):
+        yield (found >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64), doc, weight
+
+
+def hashed(data: np.ndarray, limits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     starts, ends, at = words(data, limits, SOLID)
     n = len(starts)
     doc = np.repeat(np.arange(len(limits) - 1), np.diff(at))
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return
     h = hashes(data, starts, ends, BYTE_VALUE)
-    out, owner, weight = [h], [doc], [np.ones(n)]
+    yield h, doc, np.ones(n)
     # Character n-grams once for each distinct word, weighted by its number in each document.
     order = np.lexsort((h, doc))
     new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])]))
     one, times = order[new], np.diff(np.append(new, n)).astype(np.float64)
-    size = ends[one] - starts[one]
+    start, size = starts[one], ends[one] - starts[one]
     for k in NGRAMS:
-        room = np.maximum(0, np.minimum(size, 40) - k + 1)
-        word = np.repeat(np.arange(len(one)), room)
-        begin = starts[one][word] + np.arange(len(word)) - np.repeat(np.cumsum(room) - room, room)
-        out.append(mix64(hashes(data, begin, begin + k, BYTE_VALUE) + salt(k)))
-        owner.append(doc[one][word])
-        weight.append(times[word])
+        room = np.maximum(0, size - k + 1)
+        upto = np.cumsum(room)
+        for a in range(0, int(upto[-1]), BLOCK):
+            b = min(a + BLOCK, int(upto[-1]))
+            near = np.arange(np.searchsorted(upto, a, "right"), np.searchsorted(upto, b, "left") + 1)
+            word = np.repeat(near, np.minimum(upto[near], b) - np.maximum(upto[near] - room[near], a))
+            begin = start[word] + np.arange(a, b) - (upto - room)[word]
+            total = np.zeros(b - a, np.uint64)
+            for j, power in enumerate(powers(BASE, k)):
+                total += BYTE_VALUE[data[begin + j]] * power
+            yield mix64(mix64(total) + salt(k)), doc[one][word], times[word]
     # Shapes of word ends, where symbols and cases show.
-    tail = hashes(data, np.maximum(starts, ends - 3), ends, SHAPE_VALUE)
-    out.append(mix64(tail + salt(11)))
-    owner.append(doc)
-    weight.append(np.ones(n))
+    yield mix64(hashes(data, np.maximum(starts, ends - 3), ends, SHAPE_VALUE) + salt(11)), doc, np.ones(n)
     if n > 1:
         pair = within(at, 2, n)
-        out.append(mix64(h[:-1] * np.uint64(31) + h[1:])[pair])
-        owner.append(doc[:-1][pair])
-        weight.append(np.ones(int(pair.sum())))
+        yield mix64(h[:-1] * np.uint64(31) + h[1:])[pair], doc[:-1][pair], np.ones(int(pair.sum()))
         same = pair & (h[1:] == h[:-1])
-        out.append(np.full(int(same.sum()), salt(12)))
-        owner.append(doc[1:][same])
-        weight.append(np.full(int(same.sum()), 4.0))
+        yield np.full(int(same.sum()), salt(12)), doc[1:][same], np.full(int(same.sum()), 4.0)
     # A mark for each word of a line that came before in the document.
     b0, b1, line_at = words(data, limits, LINE)
     if len(b0):
@@ -95,10 +102,7 @@ def features(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarr
         again = np.zeros(len(line), bool)
         again[order[1:]] = (line[order][1:] == line[order][:-1]) & (line_doc[order][1:] == line_doc[order][:-1])
         held = (np.searchsorted(starts, b1) - np.searchsorted(starts, b0))[again]
-        out.append(np.full(int(again.sum()), salt(13)))
-        owner.append(line_doc[again])
-        weight.append(4.0 * held)
-    return ((np.concatenate(out) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64), np.concatenate(owner), np.concatenate(weight))
+        yield np.full(int(again.sum()), salt(13)), line_doc[again], 4.0 * held
 
 
 LINE = np.ones(256, bool)
@@ -107,9 +111,10 @@ LINE[10] = False
 
 def bag(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (document, bucket) and their shares of the document's features."""
-    bucket, doc, weight = features(data, limits)
-    key, inverse = np.unique((doc << BUCKETS_LOG2) + bucket, return_inverse=True)
-    total = np.bincount(inverse, weight, len(key))
+    key, total = np.zeros(0, np.int64), np.zeros(0)
+    for bucket, doc, weight in features(data, limits):  # weights are whole, so their sums are exact
+        key, inverse = np.unique(np.concatenate([key, (doc << BUCKETS_LOG2) + bucket]), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([total, weight]), len(key))
     doc = key >> BUCKETS_LOG2
     return doc, key & ((1 << BUCKETS_LOG2) - 1), total / np.bincount(doc, total)[doc] if len(doc) else total
 
@@ -162,9 +167,11 @@ def scored(docs: DataFrame, model: Embedding, keep: tuple[str, ...] = ("doc_id",
 
     def work(part: pa.RecordBatch) -> list:
         m = sent.value
-        bucket, doc, weight = features(*flat(part.column(text)))
-        total = np.bincount(doc, weight, part.num_rows)
-        x = np.bincount(doc, m.gain[bucket] * weight, part.num_rows) / np.maximum(total, 1e-12)
+        total, x = np.zeros(part.num_rows), np.zeros(part.num_rows)
+        for bucket, doc, weight in features(*flat(part.column(text))):
+            np.add.at(total, doc, weight)
+            np.add.at(x, doc, m.gain[bucket] * weight)  # one by one: the sum does not depend on where blocks end
+        x /= np.maximum(total, 1e-12)
         return [pa.array(1 / (1 + np.exp(-np.clip(m.scale * x + m.bias, -30, 30))))]
 
     return per_row(docs, text, list(keep), "score double", work, 1 << 20)

@@ -3,6 +3,7 @@
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dispatchlens.llm import subword_quality as Q
@@ -81,6 +82,35 @@ def test_edge_rows(spark, field, embedding):
         assert read(docs.limit(0), model).collect() == []
 
 
+def test_ngrams_of_whole_words(monkeypatch):
+    texts = ["x" * 30, "".join(map(str, range(60))), "\u4e2d\u6587\u5b57" * 40 + " ab", "", "abc " * 30 + "q" * 41]
+    data, limits = Q.flat(pa.array(texts))
+
+    def all_of():
+        doc, weight = (np.concatenate(p) for p in list(zip(*Q.features(data, limits), strict=True))[1:])
+        return np.bincount(doc, weight, len(texts))
+
+    grams = lambda t: sum(max(0, len(w.encode()) - k + 1) for w in t.split() for k in Q.NGRAMS)
+    plain = [2 * len(t.split()) + max(0, len(t.split()) - 1) for t in texts]
+    same = [sum(4 for a, b in zip(t.split(), t.split()[1:], strict=False) if a == b) for t in texts]
+    expected = [grams(t) + p + s for t, p, s in zip(texts, plain, same, strict=True)]
+    assert all_of().tolist() == expected
+    whole = Q.bag(data, limits)
+    monkeypatch.setattr(Q, "BLOCK", 7)
+    assert all_of().tolist() == expected
+    assert all((a == b).all() for a, b in zip(whole, Q.bag(data, limits), strict=True))
+
+
+def test_ends_of_long_words_count(spark):
+    docs = spark.createDataFrame([(1, "a" * 40 + "bcd" * 20), (2, "a" * 40 + "bce" * 20)], "doc_id long, text string")
+    gain = np.zeros(1 << Q.BUCKETS_LOG2)
+    at = (Q.mix64(Q.hashes(np.frombuffer(b"bcd", np.uint8), np.array([0]), np.array([3]), Q.BYTE_VALUE) + Q.salt(3))
+          >> np.uint64(64 - Q.BUCKETS_LOG2))
+    gain[at.astype(np.int64)] = 1.0
+    score = {r.doc_id: r.score for r in Q.scored(docs, Q.Embedding(gain, 1.0, 0.0)).collect()}
+    assert score[1] > score[2] == 0.5
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
