@@ -149,11 +149,12 @@ def blocks_of(html: str) -> list[Block]:
 
 def content(blocks: list[Block]) -> list[bool]:
     """Which blocks are the article."""
-    keys = [tuple(x[1] for x in b.path) for b in blocks]
+    # Blocks that are never content have paths of their own: a hidden paragraph doesn't bar the others.
+    keys = [(tuple(x[1] for x in b.path), any(x[2] for x in b.path)) for b in blocks]
     index: dict[tuple, int] = {}
     which = np.array([index.setdefault(k, len(index)) for k in keys], np.int64)
     n = len(index)
-    never = np.array([any(x[2] for x in b.path) for b in blocks])
+    never = np.array([k[1] for k in keys])
     marked = np.array([any(x[0] in LANDMARKS for x in b.path) for b in blocks])
     chars = np.array([len(b.text) for b in blocks], np.float64)
     linked = np.array([b.links for b in blocks], np.float64)

@@ -26,6 +26,16 @@ def test_ratios_choose_without_landmarks():
     assert H.main_text(page) == "\n\n".join(["Title", *[PROSE.strip()] * 5, "End"])
 
 
+def test_a_hidden_block_hides_itself_only():
+    hidden = ["<p style='display:none'>", "<p hidden>", "<p aria-hidden=true>", "<p class=x id=newsletter>"]
+    for tag in hidden:
+        plain = "<p class=x>" if "class" in tag else "<p>"
+        body = f"{plain}{PROSE}</p>{tag}Not shown.</p>{plain}{PROSE}</p>{plain}{PROSE}</p>"
+        aside = f"<div><p>{PROSE * 3}</p></div>"
+        assert H.main_text(f"<body>{aside}<article><h1>Head</h1>{body}</article></body>") == "\n\n".join(["Head", *[PROSE.strip()] * 3])
+        assert H.main_text(f"<body>{aside}<article>{body}</article></body>") == "\n\n".join([PROSE.strip()] * 3)
+
+
 def test_odd_pages():
     assert [H.main_text(x) for x in (None, "", "<", "<p>", "a < b", "<b>x</b>")] == ["", "", "<", "", "a < b", "x"]
     assert H.main_text("<article><p>x<br>y</article><footer>z") == "x y"
