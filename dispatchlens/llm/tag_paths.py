@@ -5,10 +5,11 @@ ratios of text length and of punctuation to its number of text blocks are taken
 the whole page, smoothed over the paths that come before and after it, and fused;
 paths whose fused ratio reaches the threshold, a share of the ratios' standard
 deviation, are content.  Three facts of the path itself enter the ratio as factors:
-roles that never hold content (menus, forms, footers, hidden or scripted parts, and
-class names that say so) count as 0, text inside links is taken off, and an
-``article`` or ``main`` element raises its paths, however short their text, above
-those outside.  The blocks of the content paths, and of the other paths in the
+roles that never hold content (menus, forms, footers, hidden or scripted parts) count
+as 0, text inside links is taken off, and an ``article`` or ``main`` element raises its
+paths, however short their text, above those outside.  Class names that say so count as
+0 too, or as a half on elements that hold most of the text or are the article; where
+they would leave no text at all they bar nothing.  The blocks of the content paths, and of the other paths in the
 smallest element that holds all content, are the result, in page order.
 
 Defined results: a null or empty page has no text; unclosed and stray tags, comments
@@ -51,7 +52,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + SKIPPED + r""")(?=[\s/>])[^>]*>.*?(
                    r"""((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>|<[!?][^>]*>""", re.S | re.I)
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
 SMOOTHING = np.array([0.25, 0.5, 0.25])
-THRESHOLD, LANDMARK_FACTOR, LINK_SHARE = 0.6, 50.0, 0.8
+THRESHOLD, LANDMARK_FACTOR, LINK_SHARE, NAME_FACTOR = 0.6, 50.0, 0.8, 0.5
+#: Why an element is left out: what its class, id or role is called, or what it is.
+BY_NAME, BY_KIND = 1, 2
 
 
 class Block:
@@ -61,24 +64,24 @@ class Block:
         self.path, self.text, self.links = path, text, links
 
 
-def role(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element never holds content; ``inside`` a landmark a header is the article's own."""
+def role(name: str, attributes: str, inside: bool) -> int:
+    """Whether an element never holds content, and why; ``inside`` a landmark a header is the article's own."""
     if name in NEVER or (name == "header" and not inside):
-        return True
+        return BY_KIND
     if not attributes:
-        return False
+        return 0
     if NOT_SHOWN.search(attributes):
-        return True
+        return BY_KIND
     if name in ("html", "body"):
-        return False
+        return 0
     marks = " ".join(a or b or c for _, a, b, c in NAMED.findall(attributes))
-    return bool(marks and MARKED.search(marks))
+    return BY_NAME if marks and MARKED.search(marks) else 0
 
 
 def blocks_of(html: str) -> list[Block]:
-    """The text blocks of a page with their paths; a path's parts are (name and class, never content, number)."""
+    """The text blocks of a page with their paths; a path's parts are (name, label, why it is left out, number)."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = []  # name, label, never content, number of the element
+    stack: list[tuple[str, str, int, int]] = []  # name, label, why it is left out, number of the element
     pieces: list[str] = []
     link_from, links, number = -1, 0, 0
 
@@ -111,10 +114,10 @@ def blocks_of(html: str) -> list[Block]:
                 if link_from >= 0:
                     links += sum(map(len, pieces[link_from:]))
                 link_from = -1 if m[2] else len(pieces)
-            elif not m[2] and attributes and role(name, attributes, True):
+            elif not m[2] and attributes and (why := role(name, attributes, True)):
                 flush()
                 number += 1
-                stack.append((name, name, True, number))
+                stack.append((name, name, why, number))
             elif m[2] and any(x[0] == name for x in stack[-2:]):
                 flush()
                 while stack.pop()[0] != name:
@@ -147,17 +150,53 @@ def blocks_of(html: str) -> list[Block]:
     return out
 
 
-def content(blocks: list[Block]) -> list[bool]:
-    """Which blocks are the article."""
+def spared(blocks: list[Block], shown: np.ndarray) -> set[int]:
+    """Elements left out by name that hold the article all the same; ``shown`` is the length of each block's own text.
+
+    They hold half or more of the text of all ``article`` elements (without any, of
+    ``main``; without any, of the page), or are such an element themselves, unless in
+    another article or in an element that is left out.
+    """
+    total = shown
+    for name in ("article", "main"):
+        of = np.array([any(x[0] == name for x in b.path) for b in blocks])
+        if shown[of].any():
+            total = np.where(of, shown, 0.0)
+            break
+    held: dict[int, float] = {}
+    for b, weight in zip(blocks, total.tolist(), strict=True):
+        for x in b.path:
+            if x[2] == BY_NAME:
+                held[x[3]] = held.get(x[3], 0.0) + weight
+    out = {k for k, weight in held.items() if weight > 0 and 2 * weight >= total.sum()}
+    for b in blocks if held else ():
+        article = False
+        for x in b.path:
+            if x[2] == BY_NAME and x[3] not in out:
+                if article or x[0] not in LANDMARKS:
+                    break
+                out.add(x[3])
+            article |= x[0] == "article"
+    return out
+
+
+def content(blocks: list[Block], by_name: bool = True) -> list[bool]:
+    """Which blocks are the article; without ``by_name``, names leave nothing out."""
+    chars = np.array([len(b.text) for b in blocks], np.float64)
+    linked = np.array([b.links for b in blocks], np.float64)
+    kind = np.array([any(x[2] == BY_KIND for x in b.path) for b in blocks])
+    named = np.array([any(x[2] == BY_NAME for x in b.path) for b in blocks])
+    left = kind.copy()
+    if by_name and named.any():
+        stay = spared(blocks, np.where(kind, 0, chars - linked))
+        left |= np.array([any(x[2] == BY_NAME and x[3] not in stay for x in b.path) for b in blocks])
     # Blocks that are never content have paths of their own: a hidden paragraph doesn't bar the others.
-    keys = [(tuple(x[1] for x in b.path), any(x[2] for x in b.path)) for b in blocks]
+    keys = [(tuple(x[1] for x in b.path), never) for b, never in zip(blocks, left.tolist(), strict=True)]
     index: dict[tuple, int] = {}
     which = np.array([index.setdefault(k, len(index)) for k in keys], np.int64)
     n = len(index)
-    never = np.array([k[1] for k in keys])
+    never = left
     marked = np.array([any(x[0] in LANDMARKS for x in b.path) for b in blocks])
-    chars = np.array([len(b.text) for b in blocks], np.float64)
-    linked = np.array([b.links for b in blocks], np.float64)
     marks = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], np.float64)
     count = np.bincount(which, minlength=n)
     length = np.bincount(which, np.where(never, 0, chars - linked), n) / count
@@ -170,6 +209,7 @@ def content(blocks: list[Block]) -> list[bool]:
 
     barred = np.bincount(which, never, n) > 0
     ratio = np.sqrt(length * smooth(length) * (1 + smooth(points)))
+    ratio[np.bincount(which, named, n) > 0] *= NAME_FACTOR
     ratio[barred | (link_share > LINK_SHARE)] = 0
     inside = np.bincount(which, marked & ~never, n) > 0
     if (inside & (ratio > 0)).any():
@@ -178,7 +218,7 @@ def content(blocks: list[Block]) -> list[bool]:
     else:
         chosen = ratio >= max(THRESHOLD * float(ratio.std()), 1e-9)
     if not chosen.any():
-        return [False] * len(blocks)
+        return content(blocks, False) if by_name and (left & ~kind).any() else [False] * len(blocks)
     picked = chosen[which] & ~never
     # The smallest element that holds all chosen blocks; its other paths that are not barred belong to the article.
     paths = [tuple(x[3] for x in b.path) for b, p in zip(blocks, picked, strict=True) if p]

@@ -36,6 +36,24 @@ def test_a_hidden_block_hides_itself_only():
         assert H.main_text(f"<body>{aside}<article>{body}</article></body>") == "\n\n".join([PROSE.strip()] * 3)
 
 
+def test_names_do_not_drop_the_article():
+    inner = f"<h1>Head</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p><div class=ad>Buy now!</div>"
+    whole = "\n\n".join(["Head", PROSE.strip(), "Short.", PROSE.strip()])
+    rest = f"<div class=sidebar><p>{PROSE * 4}</p></div><div id=comments><p>{PROSE * 5}</p></div><footer>me</footer>"
+    article = f"<article>{inner}</article>"
+    for main in (f"<div class='has-sidebar'>{article}</div>", f"<main class='content with-sidebar'>{inner}</main>",
+                 f"<main class='content with-sidebar'>{article}</main>", f"<div class='no-sidebar'><div>{article}</div></div>",
+                 f"<article class='post popular'>{inner}</article>", f"<div id='search-result'>{article}</div>",
+                 f"<section class='legal-text'>{article}</section>", f"<main><section class='legal-text'>{inner}</section></main>",
+                 f"<div class='has-sidebar'>{article}{rest}</div>"):
+        assert H.main_text(f"<body><nav>Home</nav>{main}{rest}</body>") == whole, main
+    assert H.main_text(f"<body><nav>Home</nav><div class='has-sidebar'>{inner}</div><footer>me</footer></body>") == whole
+    three = "".join(f"<article class='post popular'><p>{PROSE}{k}</p></article>" for k in range(3))
+    assert H.main_text(f"<body>{three}</body>") == "\n\n".join(f"{PROSE}{k}" for k in range(3))
+    three = "".join(f"<div class='search-result'><article><p>{PROSE}{k}</p></article></div>" for k in range(3))
+    assert H.main_text(f"<body>{three}</body>") == "\n\n".join(f"{PROSE}{k}" for k in range(3))
+
+
 def test_odd_pages():
     assert [H.main_text(x) for x in (None, "", "<", "<p>", "a < b", "<b>x</b>")] == ["", "", "<", "", "a < b", "x"]
     assert H.main_text("<article><p>x<br>y</article><footer>z") == "x y"
