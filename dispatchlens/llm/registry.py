@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, chat, decontaminate, license_scan, periodic_runs, piece_sampling, quality_bands, subword_quality, suffix_columns, tag_paths, toxic_crf
+from . import bag_minhash, chat, decontaminate, license_scan, periodic_runs, phrase_tries, piece_sampling, quality_bands, subword_quality, suffix_columns, tag_paths, toxic_crf
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.annotated(table(spark, sf_dir, "documents"), plant=seed))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_tries.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_license_scans": op2_license_scans,
@@ -78,8 +82,10 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 ORACLE: dict[str, str] = {
     "op1_chat_formatting": chat.SQL,
     "op8_benchmark_decontamination": decontaminate.sql(),
+    "op13_phrase_collocations": phrase_tries.SQL,
 }
