@@ -9,11 +9,12 @@ pairs, add up in hash buckets (64 bits), and only what reaches the least count t
 becomes a candidate.  What is frequent is known to the tasks as a bitmap of ``FILTER``
 bits over hashes: of fixed size, and wrong only by letting too much through.
 
-Candidates are dealt by hash into blocks of at most about ``BLOCK`` phrases, each a
-double-array trie (``Trie``) that is broadcast: its size is bounded by the block, not
-by the data, and more candidates mean more blocks and passes.  Each task advances all
-places of a text slice through the trie at once, level by level, and counts the accepting
-states they reach; the counts of all tasks are summed.
+Candidates are dealt by the hash of their first two words into blocks of about ``BLOCK``
+phrases, each a double-array trie (``Trie``) that is broadcast: its size is bounded by
+the block, not by the data, and ``TRIES`` of them at a time are.  Pairs with so many third
+words that they would fill a block are dealt by these instead.  A pass takes the places
+of a text slice whose pair belongs to a block, advances all of them through its trie at
+once, level by level, and counts the accepting states they reach; the counts of all tasks are summed.
 
 Words are known by 64-bit hashes of language and bytes.  Scores are exact: products
 are taken in decimals of 38 digits and divided without a fraction.
@@ -37,7 +38,7 @@ from .text import LOWER, MIX, _table, flat, hashes, mix64, slices, words
 
 LEAST, TOP = 10, 2000
 FILTER = 26
-BLOCK = 2_000_000
+BLOCK, TRIES = 400_000, 8
 SLICE = 1 << 22
 #: Rows sorted apart per language before the last ranking.
 SALTS = 64
@@ -150,10 +151,10 @@ def candidates(rows: DataFrame, known: DataFrame, least: int) -> DataFrame:
         at2, at3 = at2[first2], at3[first3]
         third = pa.concat_arrays([pa.nulls(len(at2), pa.int64()), pa.array(key[at3 + 2].view(np.int64))])
         both = np.concatenate([at2, at3])
-        return [key[both].view(np.int64), key[both + 1].view(np.int64), third, np.concatenate([n2, n3])]
+        return [*(x.view(np.int64) for x in (key[both], key[both + 1])), third, pair[both].view(np.int64), np.concatenate([n2, n3])]
 
-    phrases = sliced(rows, count_phrases, "k1 long, k2 long, k3 long, n long")
-    return phrases.groupBy("k1", "k2", "k3").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("k1", "k2", "k3")
+    phrases = sliced(rows, count_phrases, "k1 long, k2 long, k3 long, pair long, n long").groupBy("k1", "k2", "k3", "pair")
+    return phrases.agg(F.sum("n").alias("n")).where(F.col("n") >= least).drop("n")
 
 
 class Trie:
@@ -169,54 +170,50 @@ class Trie:
         used = np.arange(phrases.shape[1])[None, :] < length[:, None]
         self.words = np.unique(phrases[used])
         self.digits = max(1, (max(1, len(self.words) - 1).bit_length() + 7) // 8)
-        rank = np.searchsorted(self.words, phrases)
-        digit = ((rank[:, :, None] >> (8 * np.arange(self.digits))) & 255).reshape(len(phrases), -1)
-        digit[~np.repeat(used, self.digits, axis=1)] = -1
-        order = np.lexsort(digit.T[::-1])
-        digit, depth = digit[order], length[order] * self.digits
-        # Nodes: distinct prefixes; a node's number is that of its first row and depth, in order.
-        parents, labels, children, node = [], [], [], np.zeros(len(digit), np.int64)
-        last, count = np.zeros(len(digit), np.int64), 1
-        new = np.zeros(len(digit), bool)
+        rank = np.where(used, np.searchsorted(self.words, phrases), -1).astype(np.int32)
+        order = np.lexsort(rank.T[::-1])
+        rank, length = rank[order], length[order]
+        # Nodes are distinct prefixes, numbered by depth and order, so that parents come in ascending order.
+        parents, labels, node, count = [], [], np.zeros(len(rank), np.int32), 1
+        last = np.zeros(len(rank), np.int32)
+        new = np.zeros(len(rank), bool)
         new[:1] = True
-        for d in range(digit.shape[1]):
-            new[1:] |= digit[1:, d] != digit[:-1, d]
-            alive = digit[:, d] >= 0
-            first = new & alive
-            number = count + np.cumsum(first) - 1
-            parents.append(node[first])
-            labels.append(digit[first, d])
-            children.append(number[first])
-            node = np.where(alive, number, node)
-            last = np.where(depth == d + 1, node, last)
-            count += int(first.sum())
-        parent, label, child = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (parents, labels, children))
+        for word in range(rank.shape[1]):
+            alive = length > word
+            for shift in range(8 * self.digits - 8, -1, -8):
+                prefix = rank[:, word] >> shift
+                new[1:] |= prefix[1:] != prefix[:-1]
+                first = new & alive
+                parents.append(node[first])
+                labels.append((prefix[first] & 255).astype(np.uint8))
+                node = np.where(alive, (count - 1 + np.cumsum(first)).astype(np.int32), node)
+                count += int(first.sum())
+            last[length == word + 1] = node[length == word + 1]
+        parent, label = np.concatenate(parents), np.concatenate(labels)
         base, size = _placed(parent, label, count)
-        slot = np.zeros(count, np.int64)
-        slot[child] = base[parent] ^ label
+        slot = np.zeros(count, np.int32)
+        slot[1:] = base[parent] ^ label
         self.base, self.check, self.final = (np.full(size, -1, np.int32) for _ in range(3))
-        self.base[slot[parent]] = base[parent]
-        self.check[slot[child]] = slot[parent]
+        self.base[slot] = base
+        self.check[slot[1:]] = slot[parent]
         self.final[slot[last]] = order
 
-    def counted(self, key: np.ndarray, following: np.ndarray, most: int, n: int) -> np.ndarray:
-        """How often each of the n phrases begins somewhere among the places of ``key``."""
-        rank = np.searchsorted(self.words, key)
-        rank[rank == len(self.words)] = 0
-        rank[self.words[rank] != key] = -1
-        at = np.flatnonzero(rank >= 0)
-        state = np.zeros(len(at), np.int32)
+    def counted(self, key: np.ndarray, following: np.ndarray, at: np.ndarray, most: int, n: int) -> np.ndarray:
+        """How often each of the n phrases begins at the places ``at`` of ``key``."""
         total = np.zeros(n, np.int64)
+        state = np.zeros(len(at), np.int32)
         for level in range(most):
             if level:
                 on = following[at + level - 1] & (self.base[state] >= 0)
                 at, state = at[on], state[on]
-                on = rank[at + level] >= 0
-                at, state = at[on], state[on]
-            for d in range(self.digits):
-                down = self.base[state] ^ ((rank[at + level] >> (8 * d)) & 255).astype(np.int32)
+            rank = np.searchsorted(self.words, key[at + level])
+            rank[rank == len(self.words)] = 0
+            on = self.words[rank] == key[at + level]
+            at, state, rank = at[on], state[on], rank[on]
+            for shift in range(8 * self.digits - 8, -1, -8):
+                down = self.base[state] ^ ((rank >> shift) & 255).astype(np.int32)
                 on = (down >= 0) & (self.check[np.maximum(down, 0)] == state)
-                at, state = at[on], down[on]
+                at, state, rank = at[on], down[on], rank[on]
             phrase = self.final[state]
             total += np.bincount(phrase[phrase >= 0], minlength=n)
         return total
@@ -227,20 +224,20 @@ def _placed(parent: np.ndarray, label: np.ndarray, count: int) -> tuple[np.ndarr
 
     Slots come in windows of 256.  Nodes of several children look for a window with
     all their slots free, the largest first; those of one child take what is left.
+    ``parent`` is ascending.
     """
-    order = np.argsort(parent, kind="stable")
-    parent, label = parent[order], label[order]
-    node, first, size = np.unique(parent, return_index=True, return_counts=True)
-    twist = (mix64(node.astype(np.uint64) * MIX) & np.uint64(255)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]])[:len(parent)])
+    node, size = parent[first], np.diff(np.append(first, len(parent)))
+    twist = (mix64(node.astype(np.uint64) * MIX) & np.uint64(255)).astype(np.uint8)
     moved = label ^ np.repeat(twist, size)
     several = np.flatnonzero(size > 1)
-    masks = np.zeros((len(node), 4), np.uint64)
+    masks = np.zeros((len(several), 4), np.uint64)
     for q in range(4):
-        bit = np.where(moved >> 6 == q, np.uint64(1) << (moved & 63).astype(np.uint64), np.uint64(0))
-        masks[:, q] = np.bitwise_or.reduceat(bit, first) if len(first) else 0
+        bit = np.where(moved >> 6 == q, np.uint64(1) << (moved & np.uint8(63)).astype(np.uint64), np.uint64(0))
+        masks[:, q] = np.bitwise_or.reduceat(bit, first)[several] if len(first) else 0
     windows, open_windows = [1], [0]  # slot 0 is the root's
-    base = np.full(count, -1, np.int64)
-    for k in several[np.argsort(-size[several], kind="stable")].tolist():
+    base = np.full(count, -1, np.int32)
+    for k in np.argsort(-size[several], kind="stable").tolist():
         mask = int.from_bytes(masks[k].tobytes(), "little")
         for w in open_windows:
             if not windows[w] & mask:
@@ -250,7 +247,7 @@ def _placed(parent: np.ndarray, label: np.ndarray, count: int) -> tuple[np.ndarr
             windows.append(0)
             open_windows = [*open_windows[-15:], w]
         windows[w] |= mask
-        base[node[k]] = (w << 8) ^ twist[k]
+        base[node[several[k]]] = (w << 8) ^ int(twist[several[k]])
     taken = np.frombuffer(b"".join(w.to_bytes(32, "little") for w in windows), np.uint8)
     free = np.flatnonzero(np.unpackbits(taken, bitorder="little") == 0)
     single = np.flatnonzero(size == 1)
@@ -261,36 +258,55 @@ def _placed(parent: np.ndarray, label: np.ndarray, count: int) -> tuple[np.ndarr
     return base, slots
 
 
+def dealt(wanted: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
+    """``wanted`` with a block number, how many blocks there are, and the hashes of pairs that are in all of them."""
+    blocks = -(-wanted.count() // BLOCK)
+    wide = wanted.where("k3 is not null").groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // 4)
+    wide = np.sort(wide.toArrow()["pair"].to_numpy())  # at most four a block
+    own = F.pmod("pair", F.lit(max(1, blocks)))
+    if len(wide):
+        own = F.when(F.col("pair").isin([int(x) for x in wide]), F.pmod(F.coalesce("k3", "pair"), F.lit(blocks))).otherwise(own)
+    return wanted.withColumn("block", own), blocks, wide
+
+
 def counted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (a stored table of candidates) with their occurrences, counted by one trie a block."""
-    spark = rows.sparkSession
-    n = wanted.count()
-    blocks = -(-n // BLOCK)
+    send = rows.sparkSession.sparkContext.broadcast
+    wanted, blocks, wide = dealt(wanted)
     out = None
-    for block in range(blocks):
-        here = wanted.where(F.pmod(F.xxhash64("k1", "k2", "k3", F.lit(1)), F.lit(blocks)) == block).toArrow()
-        three = here["k3"].combine_chunks()
-        keys = np.stack([here[c].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                         for c in ("k1", "k2", "k3")], axis=1)
-        trie = spark.sparkContext.broadcast(Trie(keys, np.where(three.is_null().to_numpy(zero_copy_only=False), 2, 3)))
-        names, size = spark.sparkContext.broadcast((keys[:, 0], keys[:, 1], three)), len(keys)
-
-        def run(batches: Iterable[pa.RecordBatch], trie=trie, names=names, size=size) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size, np.int64)
+    for start in range(0, blocks, TRIES):
+        tries = []
+        for block in range(start, min(blocks, start + TRIES)):
+            here = wanted.where(F.col("block") == block).drop("pair", "block").toArrow()
+            three = here["k3"].combine_chunks()
+            keys = np.stack([here[c].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                             for c in ("k1", "k2", "k3")], axis=1)
+            single = three.is_null().to_numpy(zero_copy_only=False)
+            tries.append((block, len(keys), send((keys, single)), send(Trie(keys, np.where(single, 2, 3)))))
+
+        def run(batches: Iterable[pa.RecordBatch], tries=tries) -> Iterator[pa.RecordBatch]:
+            totals = [np.zeros(size, np.int64) for _, size, _, _ in tries]
             for part in slices(batches, "k_body", SLICE):
                 places = Places(part)
-                total += trie.value.counted(places.key, places.next, 3, size)
-            found = np.flatnonzero(total)
-            for at in range(0, len(found), 100_000):
-                some = found[at:at + 100_000]
-                k1, k2, k3 = names.value
-                yield pa.RecordBatch.from_arrays([pa.array(k1[some].view(np.int64)), pa.array(k2[some].view(np.int64)),
-                                                  k3.take(pa.array(some)), pa.array(total[some])], names=["k1", "k2", "k3", "a"])
+                begins = np.flatnonzero(places.next)
+                pair = mix64(places.key[begins] * MIX + places.key[begins + 1]).view(np.int64)
+                everywhere = np.isin(pair, wide) if len(wide) else False
+                for total, (block, size, _, trie) in zip(totals, tries):
+                    own = begins[(pair % blocks == block) | everywhere]
+                    total += trie.value.counted(places.key, places.next, own, 3, size)
+            for total, (_, _, names, _) in zip(totals, tries):
+                found = np.flatnonzero(total)
+                for at in range(0, len(found), 100_000):
+                    some = found[at:at + 100_000]
+                    keys, single = names.value
+                    k1, k2, k3 = keys[some].view(np.int64).T
+                    yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(k3, mask=single[some]),
+                                                      pa.array(total[some])], names=["k1", "k2", "k3", "a"])
 
         counts = rows.mapInArrow(run, "k1 long, k2 long, k3 long, a long").groupBy("k1", "k2", "k3").agg(F.sum("a").alias("a"))
         counts = stored(counts)
         out = counts if out is None else out.unionByName(counts)
-    return out if out is not None else wanted.withColumn("a", F.lit(0).cast("long"))
+    return out if out is not None else wanted.select("k1", "k2", "k3", F.lit(0).cast("long").alias("a"))
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -351,12 +367,13 @@ WITH pieces AS (
   SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece
   FROM (SELECT coalesce(lang, 'und') AS lang,
                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+lists AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+w AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS at FROM lists),
+follow AS (SELECT *, lead(w1) OVER p AS w2, lead(w1, 2) OVER p AS w3 FROM w WINDOW p AS (PARTITION BY piece ORDER BY at)),
 grams AS (
-  SELECT lang, 1 AS k, unnest(w) AS g FROM w
-  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) > 1
-  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
-            FROM w WHERE len(w) > 2),
+  SELECT lang, 1 AS k, w1 AS g FROM follow
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM follow WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM follow WHERE w3 IS NOT NULL),
 f AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL),
 total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
 cand AS (SELECT lang, k, g AS phrase, f AS a, string_split(g, ' ') AS p FROM f WHERE k > 1 AND f >= 10),
