@@ -6,15 +6,16 @@ a * a / (l * r), with a its occurrences and l and r those of its parts, in milli
 Candidates grow by the Apriori rule: a phrase can only be frequent if all its parts
 are.  Words are counted first.  Pairs of frequent words, then triples of frequent
 pairs, add up in hash buckets (64 bits), and only what reaches the least count there
-becomes a candidate.  What is frequent is known to the tasks as a bitmap of ``FILTER``
-bits over hashes: of fixed size, and wrong only by letting too much through.
+becomes a candidate.  What is frequent is known to the tasks as a bitmap over
+hashes (``tables.FILTER`` bits): of fixed size, and wrong only by letting too much through.
 
 Candidates are dealt by the hash of their first two words into blocks of about ``BLOCK``
 phrases, each a double-array trie (``Trie``) that is broadcast: its size is bounded by
 the block, not by the data, and ``TRIES`` of them at a time are.  Pairs with so many third
 words that they would fill a block are dealt by these instead.  A pass takes the places
 of a text slice whose pair belongs to a block, advances all of them through its trie at
-once, level by level, and counts the accepting states they reach; the counts of all tasks are summed.
+once, level by level, and counts the accepting states they reach; the tasks' vectors of
+counts are summed piece by piece.
 
 Words are known by 64-bit hashes of language and bytes.  Scores are exact: products
 are taken in decimals of 38 digits and divided without a fraction.
@@ -33,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import bitmap, has, stored
 from .text import LOWER, MIX, _table, flat, hashes, mix64, slices, words
 
 LEAST, TOP = 10, 2000
-FILTER = 26
 BLOCK, TRIES = 400_000, 8
+#: Phrases whose counts travel together.
+CHUNK = 4096
 SLICE = 1 << 22
 #: Rows sorted apart per language before the last ranking.
 SALTS = 64
@@ -76,7 +78,10 @@ def pair_hash(key: np.ndarray) -> np.ndarray:
 
 def rows_of(docs: DataFrame, text: str, lang: str) -> DataFrame:
     named = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
-    return docs.select(named.alias("k_name"), F.xxhash64(named).alias("k_lang"), F.col(text).alias("k_body"))
+    rows = docs.select(named.alias("k_name"), F.xxhash64(named).alias("k_lang"), F.col(text).alias("k_body"))
+    # The more text a task reads, the fewer words and phrases are counted in several tasks.
+    least = docs.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(least, rows.rdd.getNumPartitions() // 4))
 
 
 def sliced(rows: DataFrame, work, schema: str) -> DataFrame:
@@ -101,23 +106,6 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return found.groupBy("lang", "word").agg(F.min("key").alias("key"), F.sum("n").alias("n"))
 
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """A bit for the first ``FILTER`` bits of each of ``keys`` (one long column); of fixed size."""
-    key = F.col(keys.columns[0])
-    place, bit = F.shiftrightunsigned(key, 64 - FILTER + 6), F.shiftrightunsigned(key, 64 - FILTER).bitwiseAND(F.lit(63)).cast("int")
-    # One bit a row: shifts of a long by a column are an expression.
-    found = keys.select(place.alias("place"), bit.alias("bit")).groupBy("place") \
-        .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER - 6), np.uint64)
-    out[found["place"].to_numpy()] = found["bits"].to_numpy().astype(np.int64).view(np.uint64)
-    return out
-
-
-def has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    word = bits[(key >> np.uint64(64 - FILTER + 6)).astype(np.int64)]
-    return (word >> ((key >> np.uint64(64 - FILTER)) & np.uint64(63))) & np.uint64(1) == 1
-
-
 def pairs(places: Places, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where a pair of frequent words begins, and the hash of the pair from each place on."""
     known = has(frequent, places.key)
@@ -151,9 +139,9 @@ def candidates(rows: DataFrame, known: DataFrame, least: int) -> DataFrame:
         at2, at3 = at2[first2], at3[first3]
         third = pa.concat_arrays([pa.nulls(len(at2), pa.int64()), pa.array(key[at3 + 2].view(np.int64))])
         both = np.concatenate([at2, at3])
-        return [*(x.view(np.int64) for x in (key[both], key[both + 1])), third, pair[both].view(np.int64), np.concatenate([n2, n3])]
+        return [key[both].view(np.int64), key[both + 1].view(np.int64), third, np.concatenate([n2, n3])]
 
-    phrases = sliced(rows, count_phrases, "k1 long, k2 long, k3 long, pair long, n long").groupBy("k1", "k2", "k3", "pair")
+    phrases = sliced(rows, count_phrases, "k1 long, k2 long, k3 long, n long").groupBy("k1", "k2", "k3")
     return phrases.agg(F.sum("n").alias("n")).where(F.col("n") >= least).drop("n")
 
 
@@ -258,15 +246,21 @@ def _placed(parent: np.ndarray, label: np.ndarray, count: int) -> tuple[np.ndarr
     return base, slots
 
 
+def pair_code(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """A number that deals pairs into blocks, as ``dealt`` has it in Spark."""
+    return (k1 ^ (k2 >> np.uint64(7))).view(np.int64)
+
+
 def dealt(wanted: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
-    """``wanted`` with a block number, how many blocks there are, and the hashes of pairs that are in all of them."""
+    """``wanted`` with a block number, how many blocks there are, and the codes of pairs that are in all of them."""
     blocks = -(-wanted.count() // BLOCK)
-    wide = wanted.where("k3 is not null").groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // 4)
-    wide = np.sort(wide.toArrow()["pair"].to_numpy())  # at most four a block
-    own = F.pmod("pair", F.lit(max(1, blocks)))
+    coded = wanted.withColumn("code", F.col("k1").bitwiseXOR(F.shiftrightunsigned("k2", 7)))
+    wide = coded.where("k3 is not null").groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // 4)
+    wide = np.sort(wide.toArrow()["code"].to_numpy())  # at most four a block
+    own = F.pmod("code", F.lit(max(1, blocks)))
     if len(wide):
-        own = F.when(F.col("pair").isin([int(x) for x in wide]), F.pmod(F.coalesce("k3", "pair"), F.lit(blocks))).otherwise(own)
-    return wanted.withColumn("block", own), blocks, wide
+        own = F.when(F.col("code").isin([int(x) for x in wide]), F.pmod(F.coalesce("k3", "code"), F.lit(blocks))).otherwise(own)
+    return coded.withColumn("block", own), blocks, wide
 
 
 def counted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -275,36 +269,47 @@ def counted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted, blocks, wide = dealt(wanted)
     out = None
     for start in range(0, blocks, TRIES):
-        tries = []
+        tries, names = {}, {}
         for block in range(start, min(blocks, start + TRIES)):
-            here = wanted.where(F.col("block") == block).drop("pair", "block").toArrow()
+            here = wanted.where(F.col("block") == block).select("k1", "k2", "k3").toArrow()
             three = here["k3"].combine_chunks()
             keys = np.stack([here[c].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                              for c in ("k1", "k2", "k3")], axis=1)
             single = three.is_null().to_numpy(zero_copy_only=False)
-            tries.append((block, len(keys), send((keys, single)), send(Trie(keys, np.where(single, 2, 3)))))
+            names[block], tries[block] = send((keys, single)), (len(keys), send(Trie(keys, np.where(single, 2, 3))))
 
         def run(batches: Iterable[pa.RecordBatch], tries=tries) -> Iterator[pa.RecordBatch]:
-            totals = [np.zeros(size, np.int64) for _, size, _, _ in tries]
+            totals = {block: np.zeros(size, np.int64) for block, (size, _) in tries.items()}
             for part in slices(batches, "k_body", SLICE):
                 places = Places(part)
                 begins = np.flatnonzero(places.next)
-                pair = mix64(places.key[begins] * MIX + places.key[begins + 1]).view(np.int64)
-                everywhere = np.isin(pair, wide) if len(wide) else False
-                for total, (block, size, _, trie) in zip(totals, tries):
-                    own = begins[(pair % blocks == block) | everywhere]
-                    total += trie.value.counted(places.key, places.next, own, 3, size)
-            for total, (_, _, names, _) in zip(totals, tries):
-                found = np.flatnonzero(total)
-                for at in range(0, len(found), 100_000):
-                    some = found[at:at + 100_000]
-                    keys, single = names.value
-                    k1, k2, k3 = keys[some].view(np.int64).T
-                    yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(k3, mask=single[some]),
-                                                      pa.array(total[some])], names=["k1", "k2", "k3", "a"])
-
-        counts = rows.mapInArrow(run, "k1 long, k2 long, k3 long, a long").groupBy("k1", "k2", "k3").agg(F.sum("a").alias("a"))
-        counts = stored(counts)
+                code = pair_code(places.key[begins], places.key[begins + 1])
+                everywhere = np.isin(code, wide) if len(wide) else False
+                for block, (size, trie) in tries.items():
+                    own = begins[(code % blocks == block) | everywhere]
+                    totals[block] += trie.value.counted(places.key, places.next, own, 3, size)
+            for block, total in totals.items():
+                for at in range(0, len(total), CHUNK):
+                    some = total[at:at + CHUNK]
+                    if some.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([at]), pa.array([some.tolist()], pa.list_(pa.int64()))],
+                                                         names=["block", "first", "counts"])
+
+        def add(batches: Iterable[pa.RecordBatch], names=names) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                counts = batch.column("counts")
+                for k, piece in enumerate(zip(batch.column("block").to_pylist(), batch.column("first").to_pylist())):
+                    new = counts[k].values.to_numpy()
+                    sums[piece] = sums[piece] + new if piece in sums else new
+            for (block, first), total in sums.items():
+                keys, single = names[block].value
+                some = first + np.flatnonzero(total)
+                k1, k2, k3 = (pa.array(keys[some, c].view(np.int64), mask=single[some] if c == 2 else None) for c in range(3))
+                yield pa.RecordBatch.from_arrays([k1, k2, k3, pa.array(total[some - first])], names=["k1", "k2", "k3", "a"])
+
+        pieces = rows.mapInArrow(run, "block long, first long, counts array<long>").repartition("block", "first")
+        counts = stored(pieces.mapInArrow(add, "k1 long, k2 long, k3 long, a long"))
         out = counts if out is None else out.unionByName(counts)
     return out if out is not None else wanted.select("k1", "k2", "k3", F.lit(0).cast("long").alias("a"))
 
@@ -368,8 +373,8 @@ WITH pieces AS (
   FROM (SELECT coalesce(lang, 'und') AS lang,
                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
 lists AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
-w AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS at FROM lists),
-follow AS (SELECT *, lead(w1) OVER p AS w2, lead(w1, 2) OVER p AS w3 FROM w WINDOW p AS (PARTITION BY piece ORDER BY at)),
+w AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS "at" FROM lists),
+follow AS (SELECT *, lead(w1) OVER p AS w2, lead(w1, 2) OVER p AS w3 FROM w WINDOW p AS (PARTITION BY piece ORDER BY "at")),
 grams AS (
   SELECT lang, 1 AS k, w1 AS g FROM follow
   UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM follow WHERE w2 IS NOT NULL

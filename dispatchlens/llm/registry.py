@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, chat, decontaminate, license_scan, periodic_runs, phrase_tries, piece_sampling, quality_bands, subword_quality, suffix_columns, tag_paths, toxic_crf
+from . import bag_minhash, chat, decontaminate, license_scan, periodic_runs, phrase_tries, piece_sampling, quality_bands, shingle_trees, subword_quality, suffix_columns, tag_paths, toxic_crf
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands.judged(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_trees.linked(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of all documents, those with a seed that ends in 0 after a part of them was made to repeat."""
     seed = F.crc32(F.col("doc_id").cast("string"))
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ngram_join": op11_ngram_join,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
