@@ -41,7 +41,7 @@ LEAST, TOP = 10, 2000
 BLOCK, TRIES = 400_000, 8
 #: Phrases whose counts travel together.
 CHUNK = 4096
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Rows sorted apart per language before the last ranking.
 SALTS = 64
 
