@@ -11,26 +11,28 @@
 * Stacking (M8) is an estimator of its own: deterministic 3-fold ids from the
   incident key, out-of-fold base predictions (union of three fold scorings), a
   ridge meta-learner with sklearn's scaling (T11), base models refit on all
-  training rows.
+  training rows.  The boosted bases of all folds grow in the same jobs.
 """
 
 from __future__ import annotations
 
+import json
 import random
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
                                 VectorSlicer)
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scalars as S
-FEATURES = "features"
+from .boosting import FEATURES, BoostConfig, Boosted, fit_together
 
 
 # --- M1–M3 / M17: preprocessing ---------------------------------------------
@@ -77,25 +79,15 @@ class Preprocessor:
 
 
 # --- M4–M7: learners ----------------------------------------------------------
-@dataclass
-class BoostConfig:
-    max_iter: int = 300
-    max_depth: int = 8
-    step_size: float = 0.05
-    subsampling_rate: float = 0.8
-    feature_subset: str = "0.8"
-    max_bins: int = 32
-
-
 # Learner settings of the five compared models.
 FOREST_TREES = 100
 FOREST_DEPTH = 12
-BOOST_A = BoostConfig()
-# Second boosted configuration: shallower trees (about 31 leaves) and finer bins.
-BOOST_B = BoostConfig(max_depth=5, max_bins=255)
+BOOST_A = BoostConfig(max_iter=300, max_depth=8, step_size=0.05, subsampling_rate=0.8, column_rate=0.8, l2=1.0)
+# Leaf by leaf; rows are not drawn (their rate has no effect there without a bagging frequency).
+BOOST_B = BoostConfig(max_iter=300, max_depth=8, step_size=0.05, column_rate=0.8, l2=0.0, leaves=31, min_rows=20, max_bins=255)
 # Base learners inside the stack use no row / column subsampling.
-STACK_BOOST_A = BoostConfig(subsampling_rate=1.0, feature_subset="all")
-STACK_BOOST_B = BoostConfig(max_depth=5, max_bins=255, subsampling_rate=1.0, feature_subset="all")
+STACK_BOOST_A = replace(BOOST_A, subsampling_rate=1.0, column_rate=1.0)
+STACK_BOOST_B = replace(BOOST_B, column_rate=1.0)
 RIDGE_ALPHA = 1.0
 STACK_FOLDS = 3
 
@@ -113,13 +105,8 @@ def forest(label: str = C.TARGET, seed: int = C.SEED, trees: int = FOREST_TREES,
                                  maxMemoryInMB=1024, checkpointInterval=10)
 
 
-def boosted(cfg: BoostConfig, label: str = C.TARGET, seed: int = C.SEED) -> GBTRegressor:
-    return GBTRegressor(featuresCol=FEATURES, labelCol=label, maxIter=cfg.max_iter, maxDepth=cfg.max_depth,
-                        stepSize=cfg.step_size, subsamplingRate=cfg.subsampling_rate,
-                        featureSubsetStrategy=cfg.feature_subset, maxBins=cfg.max_bins, seed=seed,
-                        # Boosting trees are shallow relative to the forest: node-id caching
-                        # measured ~20% slower; checkpoints every 10 rounds keep lineage short.
-                        cacheNodeIds=False, maxMemoryInMB=1024, checkpointInterval=10)
+def boosted(cfg: BoostConfig, label: str = C.TARGET, seed: int = C.SEED) -> Boosted:
+    return Boosted(cfg, label, seed)
 
 
 def parallel_map(fn, items: list, parallelism: int) -> list:
@@ -155,18 +142,24 @@ class StackingRegressor:
 
     def fit(self, df: DataFrame) -> StackingModel:
         fold = F.pmod(S.key_hash(self.key, self.seed + 1), F.lit(self.folds))
-        # Twelve fits run at once, so each needs fewer tasks than a fit alone.
-        data = df.withColumn("_fold", fold).coalesce(max(1, df.rdd.getNumPartitions() // 4)).persist(StorageLevel.MEMORY_AND_DISK)
-        # All fold fits and the final refits are independent: fit them concurrently.
-        jobs = [(f, i) for f in range(self.folds) for i in range(len(self.bases))]
-        jobs += [(None, i) for i in range(len(self.bases))]
+        data = df.withColumn("_fold", fold).persist(StorageLevel.MEMORY_AND_DISK)
+        # All fold fits and the refits on all rows are independent.  Boosted bases share one binned
+        # table and their jobs; the others are fitted meanwhile.
+        together = [i for i, b in enumerate(self.bases) if isinstance(b, Boosted)]
+        parts = [*range(self.folds), None]
+        jobs = [(f, i) for f in parts for i in range(len(self.bases)) if i not in together]
 
         def run(job):
+            if job is None:
+                models = fit_together(data, [(self.bases[i].config, f) for f in parts for i in together], self.label, self.seed,
+                                      self.key, "_fold")
+                return dict(zip([(f, i) for f in parts for i in together], models))
             f, i = job
-            part = data if f is None else data.where(F.col("_fold") != f)
-            return self.bases[i].copy().fit(part)
+            return {job: self.bases[i].copy().fit(data if f is None else data.where(F.col("_fold") != f))}
 
-        fitted = dict(zip(jobs, parallel_map(run, jobs, self.parallelism)))
+        fitted = {}
+        for some in parallel_map(run, [None] * bool(together) + jobs, self.parallelism):
+            fitted.update(some)
         oof = None
         for f in range(self.folds):
             scored = data.where(F.col("_fold") == f).select(self.key, self.label, FEATURES)
@@ -259,12 +252,11 @@ def fit_models(train: DataFrame, numeric: list[str], categorical: list[str],
 # Search spaces of the two tuning routines.
 FOREST_SPACE = {"numTrees": [100, 200, 300, 500], "maxDepth": [8, 12, 16, 20],
                 "minInstancesPerNode": [1, 2, 4]}
-BOOST_SPACE = {"maxIter": [200, 300, 500, 800], "maxDepth": [4, 6, 8, 10],
-               "stepSize": [0.01, 0.03, 0.05, 0.1], "subsamplingRate": [0.7, 0.8, 0.9],
-               "featureSubsetStrategy": ["0.7", "0.8", "0.9"]}
+BOOST_SPACE = {"max_iter": [200, 300, 500, 800], "max_depth": [4, 6, 8, 10], "step_size": [0.01, 0.03, 0.05, 0.1],
+               "subsampling_rate": [0.7, 0.8, 0.9], "column_rate": [0.7, 0.8, 0.9]}
 
 
-def sample_param_maps(estimator, space: dict, draws: int = 20, seed: int = C.SEED) -> list:
+def sample_draws(space: dict, draws: int = 20, seed: int = C.SEED) -> list[dict]:
     """Draw ``draws`` random parameter combinations (without repeats)."""
     rng = random.Random(seed)
     keys = sorted(space)
@@ -274,13 +266,17 @@ def sample_param_maps(estimator, space: dict, draws: int = 20, seed: int = C.SEE
         total *= len(space[k])
     while len(combos) < min(draws, total):
         pick = tuple(rng.choice(space[k]) for k in keys)
-        if pick in seen:
-            continue
-        seen.add(pick)
-        combos.append({estimator.getParam(k): v for k, v in zip(keys, pick)})
+        if pick not in seen:
+            seen.add(pick)
+            combos.append(dict(zip(keys, pick)))
     return combos
 
 
+def sample_param_maps(estimator, space: dict, draws: int = 20, seed: int = C.SEED) -> list:
+    """``sample_draws`` as parameter maps of an estimator of Spark ML."""
+    return [{estimator.getParam(k): v for k, v in d.items()} for d in sample_draws(space, draws, seed)]
+
+
 def random_search(estimator, space: dict, prepared: DataFrame, draws: int = 20, folds: int = 3,
                   label: str = C.TARGET, seed: int = C.SEED, parallelism: int = 4):
     """Sampled parameter maps evaluated by k-fold CV on MAE; returns the best model."""
@@ -301,11 +297,37 @@ def tune_random_forest(prepared: DataFrame, draws: int = 20, folds: int = 3, lab
                          parallelism).bestModel
 
 
-def tune_boosted(prepared: DataFrame, draws: int = 20, folds: int = 3, label: str = C.TARGET,
-                 seed: int = C.SEED, parallelism: int = 4):
-    """Random search over the boosted-tree space, 3-fold CV on MAE; best model."""
-    return random_search(boosted(BOOST_A, label, seed), BOOST_SPACE, prepared, draws, folds, label, seed,
-                         parallelism).bestModel
+def search_boosted(prepared: DataFrame, draws: int = 20, folds: int = 3, label: str = C.TARGET, seed: int = C.SEED,
+                   key: str = C.KEY, space: dict | None = None) -> tuple[DataFrame, object]:
+    """Random search over the boosted-tree space, k-fold CV on MAE.
+
+    The models of all draws and folds grow in the same jobs over one binned table, and
+    one pass scores each row with the models that left out its fold.  Returns the table
+    (draw, parameters, mean_mae, chosen) and the chosen draw's model, fitted on all rows.
+    """
+    configs = [BoostConfig(**d) for d in sample_draws(space or BOOST_SPACE, draws, seed)]
+    data = prepared.withColumn("_fold", F.pmod(S.key_hash(key, seed + 1), F.lit(folds)).cast("int")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        models = fit_together(data, [(c, f) for c in configs for f in range(folds)], label, seed, key, "_fold")
+        x = vector_to_array(F.col(FEATURES))
+        errors = [F.avg(F.when(F.col("_fold") == f, F.abs(models[d * folds + f].scored(x) - F.col(label)))).alias(f"e{d}_{f}")
+                  for d in range(len(configs)) for f in range(folds)]
+        found = data.agg(*errors).first()
+        mean = [sum(found[f"e{d}_{f}"] for f in range(folds)) / folds for d in range(len(configs))]
+        best = min(range(len(mean)), key=lambda d: (mean[d], d))
+        final = fit_together(data, [(configs[best], None)], label, seed, key)[0]
+    finally:
+        data.unpersist()
+    keys = sorted(space or BOOST_SPACE)
+    rows = [(d, json.dumps({k: asdict(c)[k] for k in keys}), mean[d], d == best) for d, c in enumerate(configs)]
+    table = prepared.sparkSession.createDataFrame(rows, "draw int, parameters string, mean_mae double, chosen boolean")
+    return table, final
+
+
+def tune_boosted(prepared: DataFrame, draws: int = 20, folds: int = 3, label: str = C.TARGET, seed: int = C.SEED,
+                 key: str = C.KEY):
+    """The best model of ``search_boosted``."""
+    return search_boosted(prepared, draws, folds, label, seed, key)[1]
 
 
 # --- M16 / M17: importance -----------------------------------------------------

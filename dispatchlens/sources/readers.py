@@ -173,11 +173,11 @@ def save_models(models: dict, directory: str) -> list[str]:
             meta["kind"] = "stacking"
             meta["bases"] = [type(b).__name__ for b in m.learner.bases]
             for i, b in enumerate(m.learner.bases):
-                b.write().overwrite().save(f"{base}/base{i}")
+                _save_learner(b, f"{base}/base{i}")
             m.learner.ridge.write().overwrite().save(f"{base}/ridge")
         else:
             meta["kind"] = type(m.learner).__name__
-            m.learner.write().overwrite().save(f"{base}/learner")
+            _save_learner(m.learner, f"{base}/learner")
         spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{base}/meta")
         paths.append(base)
@@ -187,14 +187,25 @@ def save_models(models: dict, directory: str) -> list[str]:
 _MODEL_CLASSES = {
     "LinearRegressionModel": "pyspark.ml.regression.LinearRegressionModel",
     "RandomForestRegressionModel": "pyspark.ml.regression.RandomForestRegressionModel",
-    "GBTRegressionModel": "pyspark.ml.regression.GBTRegressionModel",
+    "BoostedModel": "dispatchlens.operators.boosting.BoostedModel",
 }
 
 
-def _load_class(kind: str):
+def _save_learner(model, path: str) -> None:
+    """A model of Spark ML by its own writer, boosted trees as one line of JSON."""
+    if hasattr(model, "to_json"):
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        spark.createDataFrame([(model.to_json(),)], "model string").coalesce(1).write.mode("overwrite").text(path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def _load_learner(spark: SparkSession, kind: str, path: str):
     import importlib
+
     mod, _, cls = _MODEL_CLASSES[kind].rpartition(".")
-    return getattr(importlib.import_module(mod), cls)
+    found = getattr(importlib.import_module(mod), cls)
+    return found.from_json(spark.read.text(path).first()[0]) if hasattr(found, "from_json") else found.load(path)
 
 
 def load_model(spark: SparkSession, base: str):
@@ -208,10 +219,10 @@ def load_model(spark: SparkSession, base: str):
     pre = Preprocessor(meta["numeric"], meta["categorical"], PipelineModel.load(f"{base}/preprocessor"),
                        meta["feature_names"])
     if meta["kind"] == "stacking":
-        bases = [_load_class(k).load(f"{base}/base{i}") for i, k in enumerate(meta["bases"])]
+        bases = [_load_learner(spark, k, f"{base}/base{i}") for i, k in enumerate(meta["bases"])]
         learner = StackingModel(bases, LinearRegressionModel.load(f"{base}/ridge"))
     else:
-        learner = _load_class(meta["kind"]).load(f"{base}/learner")
+        learner = _load_learner(spark, meta["kind"], f"{base}/learner")
     return meta["name"], FittedModel(pre, learner)
 
 

@@ -24,7 +24,7 @@ def small_forest():
 
 
 def small_boost(depth=3):
-    return LN.boosted(LN.BoostConfig(max_iter=5, max_depth=depth, subsampling_rate=1.0, feature_subset="all"))
+    return LN.boosted(LN.BoostConfig(max_iter=5, max_depth=depth))
 
 
 def setup(spark, sf=SF_SMALL):
@@ -147,6 +147,29 @@ def test_model_save_load_roundtrip(spark, tmp_dir):
     assert a == b and "Random Forest Regressor" not in loaded
 
 
+def test_boosted_and_stack_roundtrip(spark, tmp_dir):
+    train, test, num, cat = setup(spark)
+    models = LN.fit_models(train, num, cat, {"Stack": LN.StackingRegressor([small_forest(), small_boost(2)], parallelism=2),
+                                             "Boost": small_boost(3)})
+    SR.save_models(models, tmp_dir)
+    loaded = SR.load_models(spark, tmp_dir, ["Stack", "Boost"])
+    for name in models:
+        a, b = (m[name].transform(test).select(C.KEY, "prediction").orderBy(C.KEY).collect() for m in (models, loaded))
+        assert a == b
+
+
+def test_boosted_search_table(spark):
+    train, _, num, cat = setup(spark)
+    pre = LN.Preprocessor(num, cat).fit(train)
+    prepared = pre.transform(train).select(C.KEY, "features", C.TARGET)
+    space = {"max_iter": [2, 3], "max_depth": [1, 3], "subsampling_rate": [0.7, 1.0]}
+    table, model = LN.search_boosted(prepared, draws=3, folds=2, space=space)
+    rows = table.orderBy("draw").collect()
+    assert len(rows) == 3 and sum(r.chosen for r in rows) == 1
+    best = min(rows, key=lambda r: (r.mean_mae, r.draw))
+    assert best.chosen and len(model.trees) == __import__("json").loads(best.parameters)["max_iter"]
+
+
 def test_propensity_strata_cover_rows(spark):
     from dispatchlens.operators import causal as CA
 
