@@ -123,3 +123,6 @@ MODEL_NAMES = [
     "Boosted Trees B",
     "Stacking Ensemble",
 ]
+
+# Text that counts as a number.
+NUMBER_PATTERN = r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf(inity)?)$"

@@ -60,8 +60,15 @@ def month_of(c: str | Column) -> Column:
 
 # --- F4–F7: coercion -------------------------------------------------------
 def to_number(c: str | Column) -> Column:
-    """Numeric coercion, junk -> null."""
-    return col_or(c).try_cast("double")
+    """Numeric coercion, junk -> null (F6); NaN, as text or as a number, is missing too.
+
+    Spark reads suffixed text such as ``1d`` as a number, so text has to look like one.
+    ``typeof`` is a constant, so numeric columns pay for no text.
+    """
+    value = col_or(c)
+    text = trimmed(value.cast("string"))
+    read = F.when(F.typeof(value) == "string", F.when(text.rlike(C.NUMBER_PATTERN), text.try_cast("double"))).otherwise(value.try_cast("double"))
+    return F.nullif(read, F.lit(math.nan))
 
 
 def clip(c: Column, low: float, high: float) -> Column:

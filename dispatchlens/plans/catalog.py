@@ -948,6 +948,26 @@ def q_parse_variants(spark, sf_dir):
                      S.as_text("b").alias("borough"), S.yes_flag("h").alias("held"))
 
 
+#: Texts of seconds by row, as a query writes them over the events.
+NUMBER_FORMS = ["nan", "NaN", "1d", "5f", "inf", " 90 ", "1e2", "-3", "", "n/a"]
+NUMBER_SQL = """CASE k WHEN 4 THEN 'Infinity'::DOUBLE WHEN 5 THEN 90.0 WHEN 6 THEN 100.0 WHEN 7 THEN -3.0
+  ELSE CASE WHEN k >= 10 THEN CAST(event_id % 700 AS DOUBLE) END END"""
+
+
+@register("f6_number_variants", f"""
+SELECT event_id, coalesce(least(greatest(CASE WHEN x = 'Infinity'::DOUBLE THEN 1e300 ELSE x END, 0.0), 600.0), 0.0) AS dispatch_seconds,
+  CASE WHEN x < 1e300 THEN x END AS number, CASE WHEN k % 2 = 1 THEN 5.0 * k END AS from_double
+FROM (SELECT event_id, k, {NUMBER_SQL} AS x FROM (SELECT event_id, event_id % 13 AS k FROM events))""")
+def q_number_variants(spark, sf_dir):
+    k = F.col("event_id") % 13
+    text = F.coalesce(F.get(F.array(*map(F.lit, NUMBER_FORMS)), k.cast("int")), (F.col("event_id") % 700).cast("string"))
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", text.alias("t"), F.when(k % 2 == 1, 5.0 * k).otherwise(F.lit(float("nan"))).alias("d"))
+    number = S.to_number("t")
+    return df.select("event_id", S.dispatch_seconds("t").alias("dispatch_seconds"), F.when(number < 1e300, number).alias("number"),
+                     S.to_number("d").alias("from_double"))
+
+
 def _doubled(spark, sf_dir) -> DataFrame:
     """Every incident twice: ids repeat."""
     df = orders_clean(spark, sf_dir)
@@ -1087,6 +1107,29 @@ def q_importance(spark, sf_dir):
     return finalize(LN.feature_importance(models[C.MODEL_NAMES[1]], 20))
 
 
+STUMP = "INITIAL_SEVERITY_LEVEL_CODE"
+
+
+@register("m6_boosted_stump", ord_sql(f"""
+SELECT side, threshold, rows, CASE WHEN side = 'left' THEN gl / (hl + 1) ELSE (g - gl) / (h - hl + 1) END AS leaf_value
+FROM (SELECT *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) AS gain FROM
+  (SELECT threshold, sum(s) OVER w AS gl, sum(n) OVER w AS hl, sum(s) OVER () AS g, sum(n) OVER () AS h
+   FROM (SELECT {STUMP} AS threshold, sum({TG} - m) AS s, count(*) AS n
+         FROM ord CROSS JOIN (SELECT avg({TG}) AS m FROM ord) GROUP BY 1) WINDOW w AS (ORDER BY threshold))
+  WHERE hl < h ORDER BY gain DESC, threshold LIMIT 1)
+CROSS JOIN LATERAL (SELECT unnest(['left', 'right']) AS side, unnest([CAST(hl AS BIGINT), CAST(h - hl AS BIGINT)]) AS rows)""",
+    ["threshold", "leaf_value"]))
+def q_stump(spark, sf_dir):
+    """One round, one level, full step: the second-order split and its leaf values."""
+    from pyspark.ml.feature import VectorAssembler
+    vec = VectorAssembler(inputCols=[STUMP], outputCol=LN.FEATURES).transform(orders_clean(spark, sf_dir))
+    model = LN.boosted(LN.BoostConfig(max_iter=1, max_depth=1, step_size=1.0)).fit(vec.select(C.KEY, LN.FEATURES, C.TARGET))
+    tree = model.trees[0]
+    rows = [(side, float(model.edges[0][tree.bin[0]]), tree.rows[k], tree.value[k])
+            for side, k in (("left", tree.left[0]), ("right", tree.right[0]))]
+    return finalize(spark.createDataFrame(rows, "side string, threshold double, rows long, leaf_value double"))
+
+
 @register("m6_boosted_trees_a")
 def q_boost_a(spark, sf_dir):
     return _learner_cases(spark, sf_dir, C.MODEL_NAMES[2])
