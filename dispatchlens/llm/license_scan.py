@@ -18,6 +18,7 @@ other columns are not read.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,11 +109,32 @@ NOTICES = (("permissive", r"permission is hereby granted,? free of charge", "her
            ("proprietary", r"all rights reserved", "all rights reserved"),
            ("copyright", r"(?:copyright (?:\(c\)|©)|©|copyright) ?(?:19|20)\d\d(?:[-, ]+(?:19|20)\d\d)*", "copyright|©"),
            ("copyleft", r"copyleft", "copyleft"))
+#: Sentences that only the text of one license, or its usual header, has.
+BODIES = (("mit", r"the above copyright notice and this permission notice shall be included in all copies", "permission notice"),
+          ("bsd", r"redistributions of source code must retain the above copyright notice", "redistributions of source"),
+          ("bsd", r"redistributions in binary form must reproduce the above copyright notice", "redistributions in binary"),
+          ("bsd-3-clause", r"neither the names? of .{1,80} nor the names of (?:its|the) contributors may be used", "nor the names of"),
+          ("apache", r"unless required by applicable law or agreed to in writing, software distributed under the licen[cs]e", "applicable law"),
+          ("gpl", r"this program is free software[:;,] you can redistribute it and/or modify", "free software"),
+          ("lgpl", r"this library is free software[:;,] you can redistribute it and/or modify", "free software"),
+          ("mpl", r"this source code form is subject to the terms of the mozilla public licen[cs]e", "source code form"),
+          ("isc", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee", "without fee"),
+          ("zlib", r"this software is provided 'as-is', without any express or implied warranty", "'as-is'"),
+          ("boost", r"to any person or organization obtaining a copy of the software and accompanying documentation", "person or organization"),
+          ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered"))
 #: Every rule's match holds one of these.
-ROOTS = r"(?i)licen|spdx|creative ?commons|gnu\.org|mozilla\.org|hereby granted|redistribution and use|public domain|copyright|©|copyleft|all rights"
+ROOTS = (r"(?i)licen|spdx|creative ?commons|gnu\.org|mozilla\.org|hereby granted|redistribution and use|public domain|copyright|©|copyleft"
+         r"|all rights|free software|without fee|'as-is'|permission notice|person or organization|nor the names")
+#: What stands for a blank of a rule: white space, with a comment mark after it where a header is wrapped.
+WRAP = r"\s+(?:[*#/;]{1,3}\s+)?"
 CONFIDENCE = (0.95, 0.8, 0.6, 0.3)
 
 
+def wrapped(regex: str) -> str:
+    """A rule's regex with its blanks, outside of classes, open to wrapped lines."""
+    return re.sub(r"(\[[^\]]*\])| (\?)?(?!\*)", lambda m: m[1] or (f"(?:{WRAP})?" if m[2] else WRAP), regex)
+
+
 def rules() -> list[tuple[int, str, str, str]]:
     """(level, label, keyword alternatives, regex), strongest first."""
     out = []
@@ -122,9 +144,10 @@ def rules() -> list[tuple[int, str, str, str]]:
     out += [(0, label, keyword, regex) for label, regex, keyword in LINKS]
     for label, _, name, keyword in LICENSES:
         out += [(1, label, keyword, rf"(?<!\w){sentence} (?:{name})(?!\w)") for sentence in SENTENCES]
+    out += [(1, label, keyword, regex) for label, regex, keyword in BODIES]
     out += [(2, label, keyword, rf"(?<!\w)(?:{name})(?!\w)") for label, _, name, keyword in LICENSES]
     out += [(3, label, keyword, regex) for label, regex, keyword in NOTICES]
-    return out
+    return [(level, label, keyword, wrapped(regex)) for level, label, keyword, regex in out]
 
 
 def rule_table() -> Column:
@@ -180,15 +203,15 @@ def scanned(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "t
     """``keep`` columns, words, base places and the detections (start, end, level, label) of each text."""
     body = F.coalesce(F.col(text), F.lit(""))
     phrase = f"(?<!{IN})(?:" + "|".join((OUT + "+").join(p.split()) for p in BASE) + f")(?!{IN})"
-    rows = docs.select(*keep, body.alias("_text")).withColumn("_maybe", F.col("_text").rlike(ROOTS))
+    rows = docs.select(*keep, body.alias("_text")).withColumn("_maybe", F.col("_text").rlike(wrapped(ROOTS)))
     rows = rows.withColumn("_base", F.when(F.col("_maybe"), F.regexp_count("_text", F.lit("(?i)" + phrase))).otherwise(0))
     word = F.lit(IN + "+")
-    first = F.regexp_count(F.substring("_text", F.lit(1), F.regexp_instr("_text", F.lit("(?i)" + phrase)) - 1), word)
+    first = F.regexp_count(F.regexp_extract("_text", "(?is)^(.*?)" + phrase, 1), word)
     last = F.regexp_count(F.regexp_extract("_text", "(?is)^(.*)" + phrase, 1), word)
     labels = F.filter(F.array(*(F.when(F.col("_text").rlike(f"(?i)(?<!{IN})" + (OUT + "+").join(p.split()) + f"(?!{IN})"), label)
                                 for p, label in BASE.items())), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")
-    able = let(F.lower("_text"), lambda low: F.filter(rule_table(), lambda r: F.exists(r["keywords"], lambda k: F.contains(low, k))))
+    able = let(F.regexp_replace(F.lower("_text"), F.lit(WRAP), F.lit(" ")), lambda low: F.filter(rule_table(), lambda r: F.exists(r["keywords"], lambda k: F.contains(low, k))))
     able = F.filter(able, lambda r: F.call_function("rlike", F.col("_text"), r["regex"]))
     matches = F.array_sort(F.flatten(F.transform(able, lambda r: places(F.col("_text"), r))))
     found = F.array().cast("array<struct<start: int, end: int, level: int, label: string>>")

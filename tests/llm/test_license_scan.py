@@ -46,9 +46,24 @@ def fixture():
         "Copyright (c) 2019-2021 A. All rights reserved. https://www.gnu.org/licenses/gpl-3.0.html",
         "É mit license émit license mit license", "copyleft " * 300 + "the Unlicense", "plain text", "x" * 5000,
         "creative commons attribution-sharealike 4.0 international license and Creative Commons Zero", "Apache\0License apache\x7flicense",
+        "😀😀😀😀 mit license here", "😀 😀 😀 mit license x apache license", "𠀀𠀁 mit license 𠀂 😀 mit license 😀",
+        "/* Mozilla Public\n * License, version 2.0 */", "# GNU Lesser General Public\n# License", "licensed under the\n// Apache License",
+        " * This program is free software; you can\n * redistribute it and/or modify",
+        "Redistributions of source code must\r\n retain the above copyright notice",
     ]
 
 
+WRAPPED = {"Mozilla Public\n * License": "mpl", "GNU Lesser\n# General Public\n# License": "lgpl", "licensed under the\n\tMIT License": "mit",
+           "; eclipse public\n; license": "epl", "// distributed under the Boost Software\n// License": "boost",
+           "Permission to use, copy, modify, and\n * distribute this software for any purpose with or without fee": "isc"}
+
+
+def test_wrapped_headers(spark):
+    docs = spark.createDataFrame(list(enumerate(WRAPPED)), "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in L.digest(L.scanned(docs)).collect()}
+    assert all(label in got[i] for i, label in enumerate(WRAPPED.values())), got
+
+
 def test_base_and_detections_match_a_plain_reading(spark):
     rows = list(enumerate(fixture()))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
