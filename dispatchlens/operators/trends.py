@@ -1,4 +1,4 @@
-"""Trend and comparison operators from the documented roadmap.
+"""Trend and comparison operators from the documented roadmap.
 
 * ``add_borough_prev7d_avg`` (R5): the window runs over the *daily aggregate*
   per borough (one row per borough and day), never over the raw rows, so a
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..plans.joins import broadcast_if_small, materialize
-from ..plans.ordered import running_sum
+from ..plans.ordered import last_known, running_sum
 
 # Default fixed-date holidays as (month, day).
 DEFAULT_HOLIDAYS = [(1, 1), (7, 4), (12, 25)]
@@ -128,3 +128,82 @@ def add_concurrent_incidents(df: DataFrame, start: str = C.INCIDENT_DATETIME,
     cum = running_sum(net, [], ["_t"], "_net", "_open").select(F.col("_t").alias(start), "_open")
     return (df.join(cum, start, "left")
               .withColumn("concurrent_incidents", (F.col("_open") - open_ever.cast("int")).cast("long")).drop("_open"))
+
+
+# --- R1: conditions of the hour, the last known carried forward ---------------
+def add_last_known(df: DataFrame, side: DataFrame, key: str, value: str, time_col: str = C.INCIDENT_DATETIME,
+                   side_time: str = "hour") -> DataFrame:
+    """``value`` of the latest row of ``side`` (``key``, ``side_time``, ``value``) at or before the hour of each row.
+
+    Rows and side rows are united and ordered by key and time, a side row before the rows
+    of its hour; each row takes the last known value.  Rows without key or time get null; of side rows of one hour the largest counts.
+    Nothing is joined by range, and a key with most rows spans many tasks.
+    """
+    able = F.col(key).isNotNull() & F.col(time_col).isNotNull()
+    names = df.columns
+    rows = df.where(able).select(F.col(key).alias("_k"), F.date_trunc("hour", time_col).cast("timestamp_ntz").alias("_t"), F.lit(1).alias("_kind"),
+                                 F.lit(None).cast(side.schema[value].dataType).alias("_v"), F.struct(*names).alias("_row"))
+    kept = rows.schema["_row"].dataType
+    marks = side.where(F.col(key).isNotNull() & F.col(side_time).isNotNull()).select(
+        F.col(key).alias("_k"), F.col(side_time).cast("timestamp_ntz").alias("_t"), F.lit(0).alias("_kind"), F.col(value).alias("_v"),
+        F.lit(None).cast(kept).alias("_row"))
+    known = last_known(rows.unionByName(marks), ["_k"], ["_t", "_kind", "_v"], "_v", "_known").where("_kind = 1")
+    rest = df.where(~able).withColumn(value, F.lit(None).cast(side.schema[value].dataType))
+    return known.select("_row.*", F.col("_known").alias(value)).unionByName(rest)
+
+
+# --- R2: nearest station --------------------------------------------------------
+EARTH_KM = 6371.0088
+
+
+def great_circle_km(lat1, lon1, lat2, lon2):
+    """Great-circle distance of two points in degrees."""
+    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+
+
+def nearest_station(incidents: DataFrame, stations: DataFrame, key: str = C.KEY, cell: float = 0.05) -> DataFrame:
+    """R2: ``key``, ``station_id`` and ``distance_km`` of the nearest station of each incident (both with lat, lon).
+
+    Stations lie in cells of ``cell`` degrees.  A round looks, for each distinct cell of
+    the incidents left, at the stations at most r cells away (r = 1, 2, 4 ...); an
+    incident is done when the best distance is no more than that to the border of those
+    cells.  So near stations are all that incidents are paired with.  Equal distances (to a
+    millimetre) go to the smaller station; incidents without coordinates get null; equal rows give one.
+    For regions that don't reach a pole or the 180th meridian.
+    """
+    def in_cells(df, *names):
+        return df.where("lat is not null and lon is not null").select(*names, "lat", "lon", F.floor(F.col("lat") / cell).alias("cy"),
+                                                                      F.floor(F.col("lon") / cell).alias("cx"))
+
+    places = materialize(in_cells(stations, "station_id").select("station_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"),
+                                                                 F.col("cy").alias("y"), F.col("cx").alias("x")))
+    left = in_cells(incidents, key)
+    box = F.struct(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    of = places.agg(box.alias("b")).first()["b"]
+    out, r = None, 1
+    while of["y0"] is not None:
+        near = left.select("cy", "cx").distinct() \
+            .withColumn("y", F.explode(F.filter(F.sequence(F.col("cy") - r, F.col("cy") + r), lambda v: v.between(of["y0"], of["y1"])))) \
+            .withColumn("x", F.explode(F.filter(F.sequence(F.col("cx") - r, F.col("cx") + r), lambda v: v.between(of["x0"], of["x1"])))) \
+            .join(places, ["y", "x"]).select("cy", "cx", "station_id", "s_lat", "s_lon")
+        km = F.round(great_circle_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")), 6)
+        best = left.join(broadcast_if_small(materialize(near)), ["cy", "cx"], "left") \
+            .groupBy(key, "lat", "lon", "cy", "cx").agg(F.min(F.when(F.col("station_id").isNotNull(), F.struct(km.alias("d"), "station_id"))).alias("m"))
+        south, north = F.col("lat") - (F.col("cy") - r) * cell, (F.col("cy") + r + 1) * cell - F.col("lat")
+        west, east = F.col("lon") - (F.col("cx") - r) * cell, (F.col("cx") + r + 1) * cell - F.col("lon")
+        across = F.lit(EARTH_KM) * F.asin(F.cos(F.radians(F.greatest(F.abs(F.col("lat") - south), F.abs(F.col("lat") + north))))
+                                          * F.sin(F.radians(F.least(west, east, F.lit(90.0)))))
+        safe = F.least(F.lit(EARTH_KM) * F.radians(F.least(south, north)), across)
+        whole = (F.col("cy") - r <= of["y0"]) & (F.col("cy") + r >= of["y1"]) & (F.col("cx") - r <= of["x0"]) & (F.col("cx") + r >= of["x1"])
+        best = materialize(best.withColumn("done", whole | F.coalesce(F.col("m.d") <= safe, F.lit(False))))
+        done = best.where("done").select(key, "m.station_id", F.col("m.d").alias("distance_km"))
+        out = done if out is None else out.unionByName(done)
+        left = best.where("not done").select(key, "lat", "lon", "cy", "cx")
+        if left.isEmpty():
+            break
+        r *= 2
+    none = F.lit(None)
+    lost = incidents.where("lat is null or lon is null") if out is not None else incidents
+    lost = lost.select(key, none.cast(stations.schema["station_id"].dataType).alias("station_id"), none.cast("double").alias("distance_km"))
+    return lost if out is None else out.unionByName(lost)

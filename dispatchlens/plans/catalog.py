@@ -7,6 +7,7 @@ with the same formula the oracle SQL uses.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -968,6 +969,51 @@ def q_number_variants(spark, sf_dir):
                      S.to_number("d").alias("from_double"))
 
 
+# --- roadmap joins (R1, R2) ---------------------------------------------------
+@register("r1_last_known_hour", ev_sql("""
+SELECT ev.CAD_INCIDENT_ID, s.hour_incidents FROM ev ASOF LEFT JOIN side s
+ON ev.BOROUGH = s.BOROUGH AND date_trunc('hour', ev.INCIDENT_DATETIME) >= s.hour""", [], ["""side AS (
+SELECT BOROUGH, date_trunc('hour', INCIDENT_DATETIME) AS hour, count(*) AS hour_incidents FROM ev
+WHERE BOROUGH IS NOT NULL AND (CAST(epoch(date_trunc('hour', INCIDENT_DATETIME)) AS BIGINT) // 3600) % 3 <> 2 GROUP BY 1, 2)"""]))
+def q_last_known(spark, sf_dir):
+    """Each incident with its borough's incidents of the latest hour that has a row; every third hour has none."""
+    df = events_clean(spark, sf_dir)
+    hour = F.date_trunc("hour", C.INCIDENT_DATETIME).cast("timestamp_ntz")
+    number = F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), hour)
+    side = df.where(F.col("BOROUGH").isNotNull() & (number % 3 != 2)).groupBy("BOROUGH", hour.alias("hour")) \
+        .agg(F.count(F.lit(1)).alias("hour_incidents"))
+    return TR.add_last_known(df, side, "BOROUGH", "hour_incidents").select(C.KEY, "hour_incidents")
+
+
+#: Coordinates as functions of a key: two factors, modulo 100,000, over a box of 0.4 by 0.55 degrees.
+def _place(k, a: int, b: int):
+    return (F.lit(40.5) + (k * a % 100_000) * F.lit(0.000004)).alias("lat"), (F.lit(-74.25) + (k * b % 100_000) * F.lit(0.0000055)).alias("lon")
+
+
+def _place_sql(k: str, a: int, b: int) -> str:
+    return (f"40.5::DOUBLE + ({k} * {a} % 100000) * 0.000004::DOUBLE AS lat, "
+            f"-74.25::DOUBLE + ({k} * {b} % 100000) * 0.0000055::DOUBLE AS lon")
+
+
+@register("r2_nearest_station", O.rounded(f"""
+SELECT CAD_INCIDENT_ID, station_id, distance_km FROM (
+  SELECT i.id AS CAD_INCIDENT_ID, s.id AS station_id, round(2 * 6371.0088::DOUBLE * asin(least(1.0::DOUBLE, sqrt(
+      pow(sin(radians(s.lat - i.lat) / 2), 2) + cos(radians(i.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - i.lon) / 2), 2)))), 6) AS distance_km
+  FROM (SELECT event_id AS id, {_place_sql('event_id', 7919, 15_485_863)} FROM events WHERE event_id % 97 <> 0) i
+  CROSS JOIN (SELECT s_suppkey AS id, {_place_sql('s_suppkey', 104_729, 32_452_843)} FROM supplier) s)
+QUALIFY row_number() OVER (PARTITION BY CAD_INCIDENT_ID ORDER BY distance_km, station_id) = 1
+UNION ALL SELECT event_id, -1, NULL FROM events WHERE event_id % 97 = 0""", ["distance_km"]))
+def q_nearest(spark, sf_dir):
+    """Stations from suppliers, incidents from events; every 97th incident has no place."""
+    k = F.col("event_id")
+    lat, lon = _place(k, 7919, 15_485_863)
+    known = k % 97 != 0
+    incidents = spark.read.parquet(f"{sf_dir}/events.parquet").select(k.alias(C.KEY), F.when(known, lat).alias("lat"), F.when(known, lon).alias("lon"))
+    stations = spark.read.parquet(f"{sf_dir}/supplier.parquet") \
+        .select(F.col("s_suppkey").alias("station_id"), *_place(F.col("s_suppkey"), 104_729, 32_452_843))
+    return finalize(TR.nearest_station(incidents, stations).withColumn("station_id", F.coalesce("station_id", F.lit(-1))))
+
+
 def _doubled(spark, sf_dir) -> DataFrame:
     """Every incident twice: ids repeat."""
     df = orders_clean(spark, sf_dir)
@@ -1082,6 +1128,15 @@ def q_attribution(spark, sf_dir):
     return finalize(X.attribution_summary(_shapley(spark, sf_dir)))
 
 
+@register("m18_tree_shapley")
+def q_tree_shapley(spark, sf_dir):
+    """Exact values of all hold-out rows for boosted trees of 30 rounds (settings A otherwise)."""
+    train, test, num, cat = _ml_setup(spark, sf_dir)
+    config = dataclasses.replace(LN.BOOST_A, max_iter=30)
+    model = LN.fit_models(train, num, cat, {"m": LN.boosted(config)})["m"]
+    return finalize(X.tree_shapley(model, test))
+
+
 @register("r11_propensity_att")
 def q_propensity(spark, sf_dir):
     frame, num, cat = CL.make_model_frame(orders_clean(spark, sf_dir))

@@ -51,6 +51,29 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
                  .drop("_v", "_pid", "_local", "_off")
 
 
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
+               partitions: int | None = None) -> DataFrame:
+    """The last non-null ``value`` per ``keys`` up to each row along ``order``, null before the first.
+
+    Laid out as in ``running_sum``: a hot key spans many tasks; what a slice begins
+    with is the last value of the earlier slices of its key, from a table of one row a slice and key.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys, order = list(keys), list(order)
+    laid = materialize(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+                         .withColumn("_pid", F.spark_partition_id()))
+    upto = (Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = laid.withColumn("_local", F.last(value, ignorenulls=True).over(upto))
+    known = laid.where(F.col(value).isNotNull())
+    ends = known.groupBy("_pid", *keys).agg(F.max(F.struct(*order, F.col(value).alias("_value"))).alias("_m")) \
+        .select("_pid", *keys, F.col("_m._value").alias("_end"))
+    slices = laid.select("_pid", *keys).distinct().join(ends, ["_pid", *keys], "left")
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = materialize(slices.select("_pid", *keys, F.last("_end", ignorenulls=True).over(before).alias("_carried")))
+    joined = local.join(broadcast_if_small(carried), ["_pid", *keys], "left")
+    return joined.withColumn(out, F.coalesce("_local", "_carried")).drop("_pid", "_local", "_carried")
+
+
 def _order_number(df: DataFrame, name: str) -> Column:
     """A monotone numeric image of a sortable column (for approximate quantiles)."""
     from pyspark.sql import types as T
