@@ -7,8 +7,8 @@ text (a word with the spaces before it; no piece crosses units) the forward pass
 sums the weights of all segmentations up to each place; the backward pass then
 draws pieces from the end, each in proportion to the weight of all segmentations
 that end in it.  That is an exact draw from all segmentations of the text.  The
-draws are hashes of seed, row key, unit and step: every run and every partitioning
-gives the same pieces.
+draws are hashes of seed, row key, unit and step, against shares of 32 bits: every run and
+every partitioning gives the same pieces.
 
 A character that no piece covers, U+2581 itself included, becomes its UTF-8 byte
 pieces, so decoding always returns the text.
@@ -20,6 +20,7 @@ not read.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -30,13 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import MIX, mix64, salt, slices, uniform
+from .text import MIX, mix64, salt, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 1.0, 42
 UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 SPACE = "▁"
 SLICE = 1 << 19
+#: Characters whose lattices a task keeps (about 100 bytes each), and bits of a share.
+KEPT = 1 << 20
+SHARE = np.uint64(32)
 
 
 @dataclass
@@ -48,24 +52,33 @@ class Pieces:
     byte: list[int]
     hashes: np.ndarray = field(init=False)
     ids: np.ndarray = field(init=False)
+    codes: np.ndarray = field(init=False)
+    at: np.ndarray = field(init=False)
     longest: int = field(init=False)
 
     def __post_init__(self):
         plain = [i for i, t in enumerate(self.text) if t and i not in set(self.byte)]
         codes = [np.frombuffer(self.text[i].decode().encode("utf-32-le"), np.uint32) for i in plain]
         self.longest = max(map(len, codes))
+        self.at = np.zeros(len(self.text), np.int64)
+        self.at[plain] = np.cumsum([0, *map(len, codes)])[:-1]
+        self.codes = np.concatenate(codes)
         h = np.array([string_hash(c) for c in codes], np.uint64)
         order = np.argsort(h)
         self.hashes, self.ids = h[order], np.array(plain)[order]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[self.hashes >> np.uint64(42)] = True
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of ``h`` that are pieces, and their ids."""
+    def find(self, h: np.ndarray, text: np.ndarray, here: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the strings of ``length`` characters of ``text`` from ``here`` on, with hashes ``h``, are pieces, and their ids."""
         maybe = np.flatnonzero(self.bits[h >> np.uint64(42)])
         at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
         hit = self.hashes[at] == h[maybe]
-        return maybe[hit], self.ids[at[hit]]
+        maybe, ids = maybe[hit], self.ids[at[hit]]
+        same = np.ones(len(ids), bool)
+        for k in range(length):  # equal hashes, equal characters
+            same &= self.codes[np.minimum(self.at[ids] + k, len(self.codes) - 1)] == text[here[maybe] + k]
+        return maybe[same], ids[same]
 
 
 def string_hash(codes: np.ndarray) -> np.uint64:
@@ -112,7 +125,7 @@ class Lattice:
             if not len(here):
                 break
             h[here] = mix64(h[here] * MIX + codes[here + k].astype(np.uint64) + np.uint64(1))
-            at, ids = pieces.find(h[here])
+            at, ids = pieces.find(h[here], codes, here, k + 1)
             begin.append(node[here[at]])
             end.append(node[here[at]] + k + 1)
             piece.append(ids)
@@ -135,25 +148,77 @@ class Lattice:
             heads = np.flatnonzero(np.diff(end[a:b], prepend=-1))
             many = np.diff(np.append(heads, b - a))
             top = np.maximum.reduceat(value, heads)
-            part = np.exp(value - np.repeat(top, many))
+            # Whole numbers: sums over other units of the slice then leave no trace.
+            part = np.floor(np.exp(value - np.repeat(top, many)) * 2.0 ** 40).astype(np.int64)
             sums = np.add.reduceat(part, heads)
-            total[end[a:b][heads]] = top + np.log(sums)
+            total[end[a:b][heads]] = top + np.log(sums * 2.0 ** -40)
             run = np.cumsum(part)
             share[a:b] = (run - np.repeat(run[heads] - part[heads], many)) / np.repeat(sums, many)
         order = np.argsort(end, kind="stable")
         self.begin, self.piece = begin[order], piece[order]
         self.start = np.searchsorted(end[order], np.arange(len(total) + 1))
-        self.keys = end[order] + np.minimum(share[order], 1.0)
+        #: Node, and the share of its segmentations that come before a piece: whole numbers, so that a draw
+        #: doesn't depend on where in the store a unit is.
+        self.keys = end[order].astype(np.uint64) << SHARE | np.minimum(share[order] * 2.0 ** 32, 2 ** 32 - 1).astype(np.uint64)
+
+
+class Solved:
+    """Lattices of all units that a worker has met, end to end, up to ``KEPT`` characters.
+
+    Most units of a slice were in an earlier one; only new ones are solved.  What is kept
+    speeds up the work and decides nothing.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.nodes = self.edges = self.units = 0
+        self.first, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.begin, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.start, self.keys = np.zeros(1, np.int64), np.zeros(0, np.uint64)
+
+    def put(self, name: str, at: int, values: np.ndarray) -> None:
+        have = getattr(self, name)
+        if at + len(values) > len(have):
+            grown = np.zeros(max(2 * len(have), at + len(values)), have.dtype)
+            grown[:at] = have[:at]
+            setattr(self, name, grown)
+            have = grown
+        have[at:at + len(values)] = values
+
+    def numbers(self, rows: list[list[str]]) -> np.ndarray:
+        """The number of each unit of the rows; those not met before are solved."""
+        if self.nodes > KEPT:
+            self.clear()
+        index = self.index
+        known = len(index)
+        which = np.array([index.setdefault(u, len(index)) for row in rows for u in row], np.int64)
+        if len(index) > known:
+            new = Lattice(list(itertools.islice(index, known, None)), self.pieces)
+            self.put("first", known, new.first + self.nodes)
+            self.put("last", known, new.last + self.nodes)
+            self.put("begin", self.edges, new.begin + self.nodes)
+            self.put("piece", self.edges, new.piece)
+            self.put("keys", self.edges, new.keys + (np.uint64(self.nodes) << SHARE))
+            self.put("start", self.nodes, new.start + self.edges)
+            self.nodes += len(new.start) - 1
+            self.edges += len(new.begin)
+        return which
 
     def draw(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each unit occurrence end to end, and their number: backward sampling in step."""
-        node, stop = self.last[unit].copy(), self.first[unit]
+        node, stop = self.last[unit], self.first[unit]
+        keys = self.keys[:self.edges]
         count = np.zeros(len(unit), np.int64)
         active, steps = np.flatnonzero(node > stop), []
         while len(active):
-            u = uniform(mix64(key[active] + salt(len(steps) + 1)))
-            at = np.searchsorted(self.keys, node[active] + u)
-            at = np.clip(at, self.start[node[active]], self.start[node[active] + 1] - 1)
+            u = mix64(key[active] + salt(len(steps) + 1)) >> np.uint64(32)
+            here = node[active]
+            at = np.searchsorted(keys, here.astype(np.uint64) << SHARE | u)
+            at = np.clip(at, self.start[here], self.start[here + 1] - 1)
             steps.append((active, self.piece[at]))
             count[active] += 1
             node[active] = self.begin[at]
@@ -165,18 +230,18 @@ class Lattice:
         return out, count
 
 
-def encode_texts(texts: list[str], keys: np.ndarray, pieces: Pieces, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: list[str], keys: np.ndarray, solved: Solved, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts end to end, and the number of each text's."""
-    index: dict[str, int] = {}
+    pieces = solved.pieces
     units = [UNIT.findall(" " + t) if t else [] for t in texts]
-    which = np.array([index.setdefault(u, len(index)) for row in units for u in row], np.int64)
+    which = solved.numbers(units)
     per_row = np.array([len(row) for row in units], np.int64)
     if not len(which):
         return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
     row = np.repeat(np.arange(len(texts)), per_row)
     place = np.arange(len(which)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
     key = mix64(mix64(keys.astype(np.int64).view(np.uint64) + salt(seed))[row] + place.astype(np.uint64) * MIX)
-    ids, count = Lattice(list(index), pieces).draw(which, key)
+    ids, count = solved.draw(which, key)
     owner = np.repeat(row, count)
     bare = np.flatnonzero(ids < 0)
     if len(bare):
@@ -208,8 +273,9 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key: str = "doc
                        F.coalesce(text, F.lit("")).alias("_text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        solved = Solved(known.value)
         for part in slices(batches, "_text", SLICE):
-            ids, count = encode_texts(part.column("_text").to_pylist(), part.column("_key").to_numpy(), known.value, seed)
+            ids, count = encode_texts(part.column("_text").to_pylist(), part.column("_key").to_numpy(), solved, seed)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), lists], names=[*keep, "pieces"])
 

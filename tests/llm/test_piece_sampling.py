@@ -23,11 +23,11 @@ def split(ids, count):
 
 def test_round_trip_and_keys(pieces):
     keys = np.arange(len(TEXTS))
-    one = split(*P.encode_texts(TEXTS, keys, pieces, 1))
+    one = split(*P.encode_texts(TEXTS, keys, P.Solved(pieces), 1))
     assert [P.decode_ids(x, pieces) if x else "" for x in one] == TEXTS
-    back = split(*P.encode_texts(TEXTS[::-1], keys[::-1], pieces, 1))[::-1]
+    back = split(*P.encode_texts(TEXTS[::-1], keys[::-1], P.Solved(pieces), 1))[::-1]
     assert back == one
-    assert split(*P.encode_texts(TEXTS, keys, pieces, 2)) != one
+    assert split(*P.encode_texts(TEXTS, keys, P.Solved(pieces), 2)) != one
 
 
 def test_draws_follow_the_enumerated_weights(pieces):
@@ -45,7 +45,7 @@ def test_draws_follow_the_enumerated_weights(pieces):
 
     weights = {ids: np.exp(w) for ids, w in ways(word.encode())}
     n = 40_000
-    rows = split(*P.encode_texts([word[1:]] * n, np.arange(n), pieces, 7))
+    rows = split(*P.encode_texts([word[1:]] * n, np.arange(n), P.Solved(pieces), 7))
     seen = Counter(map(tuple, rows))
     assert set(seen) <= set(weights)
     total = sum(weights.values())
@@ -63,6 +63,23 @@ def test_documents_decode_to_themselves_under_any_partitioning(spark):
     assert again == {i: r.pieces for i, r in rows.items()}
 
 
+def test_kept_lattices_decide_nothing(pieces, monkeypatch):
+    texts = [f"{a} {b} there naïve" for a in TEXTS for b in TEXTS]
+    keys = np.arange(len(texts))
+    alone = [P.encode_texts([t], keys[k:k + 1], P.Solved(pieces), 3)[0].tolist() for k, t in enumerate(texts)]
+    for kept in (1 << 20, 50):
+        monkeypatch.setattr(P, "KEPT", kept)
+        store = P.Solved(pieces)
+        parts = [split(*P.encode_texts(texts[k:k + 5], keys[k:k + 5], store, 3)) for k in range(0, len(texts), 5)]
+        assert [x for part in parts for x in part] == alone
+
+
+def test_a_very_long_unit(pieces):
+    text = "ab1" * 80_000
+    ids, count = P.encode_texts([text], np.array([5]), P.Solved(pieces), 1)
+    assert count[0] == len(ids) and P.decode_ids(ids.tolist(), pieces) == text
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, None, 3), (None, "a b", 4), (2, "", 5), (2, "", 5)], "doc_id long, text string, pieces int")
     got = P.decode(P.encode(docs)).collect()
