@@ -81,7 +81,7 @@ def rows_of(docs: DataFrame, text: str, lang: str) -> DataFrame:
     rows = docs.select(named.alias("k_name"), F.xxhash64(named).alias("k_lang"), F.col(text).alias("k_body"))
     # The more text a task reads, the fewer words and phrases are counted in several tasks.
     least = docs.sparkSession.sparkContext.defaultParallelism
-    return rows.coalesce(max(least, rows.rdd.getNumPartitions() // 4))
+    return rows.coalesce(max(least, rows.rdd.getNumPartitions() // 2))
 
 
 def sliced(rows: DataFrame, work, schema: str) -> DataFrame:
