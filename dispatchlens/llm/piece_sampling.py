@@ -39,7 +39,7 @@ UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 SPACE = "▁"
 SLICE = 1 << 19
 #: Characters whose lattices a task keeps (about 100 bytes each), and bits of a share.
-KEPT = 1 << 20
+KEPT = 1 << 21
 SHARE = np.uint64(32)
 
 
@@ -66,14 +66,21 @@ class Pieces:
         h = np.array([string_hash(c) for c in codes], np.uint64)
         order = np.argsort(h)
         self.hashes, self.ids = h[order], np.array(plain)[order]
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[self.hashes >> np.uint64(42)] = True
+        # The first hash of each beginning of 22 bits, and how many have the same one at most.
+        start = (self.hashes >> np.uint64(42)).astype(np.int64)
+        self.first = np.full(1 << 22, -1, np.int32)
+        self.first[start[::-1]] = np.arange(len(start), dtype=np.int32)[::-1]
+        self.run = int(np.bincount(start).max())
 
     def find(self, h: np.ndarray, text: np.ndarray, here: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Which of the strings of ``length`` characters of ``text`` from ``here`` on, with hashes ``h``, are pieces, and their ids."""
-        maybe = np.flatnonzero(self.bits[h >> np.uint64(42)])
-        at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
-        hit = self.hashes[at] == h[maybe]
+        at = self.first[h >> np.uint64(42)]
+        maybe = np.flatnonzero(at >= 0)
+        at, wanted = at[maybe], h[maybe]
+        hit = self.hashes[at] == wanted
+        for _ in range(self.run - 1):
+            at = np.minimum(at + ~hit, len(self.hashes) - 1)
+            hit = self.hashes[at] == wanted
         maybe, ids = maybe[hit], self.ids[at[hit]]
         same = np.ones(len(ids), bool)
         for k in range(length):  # equal hashes, equal characters
@@ -138,7 +145,8 @@ class Lattice:
         begin, end, piece = map(np.concatenate, (begin, end, piece))
         weight = np.where(piece >= 0, pieces.weight[np.maximum(piece, 0)], 4 * pieces.weight.min())
         depth = end - np.repeat(self.first, size + 1)[end] if len(end) else end
-        order = np.lexsort((end, depth))
+        width = np.int64(pieces.longest + 1)  # by depth, end and length: no two pieces are equal in all
+        order = np.argsort((depth * (len(codes) + len(units) + 1) + end) * width + (end - begin))
         begin, end, piece, weight, depth = (x[order] for x in (begin, end, piece, weight, depth))
         total = np.zeros(int(self.last[-1]) + 1 if len(units) else 0)
         share = np.zeros(len(end))
@@ -154,9 +162,9 @@ class Lattice:
             total[end[a:b][heads]] = top + np.log(sums * 2.0 ** -40)
             run = np.cumsum(part)
             share[a:b] = (run - np.repeat(run[heads] - part[heads], many)) / np.repeat(sums, many)
-        order = np.argsort(end, kind="stable")
+        order = np.argsort(end * width + (end - begin))
         self.begin, self.piece = begin[order], piece[order]
-        self.start = np.searchsorted(end[order], np.arange(len(total) + 1))
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(end, minlength=len(total)))])
         #: Node, and the share of its segmentations that come before a piece: whole numbers, so that a draw
         #: doesn't depend on where in the store a unit is.
         self.keys = end[order].astype(np.uint64) << SHARE | np.minimum(share[order] * 2.0 ** 32, 2 ** 32 - 1).astype(np.uint64)
@@ -211,14 +219,17 @@ class Solved:
     def draw(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each unit occurrence end to end, and their number: backward sampling in step."""
         node, stop = self.last[unit], self.first[unit]
-        keys = self.keys[:self.edges]
         count = np.zeros(len(unit), np.int64)
         active, steps = np.flatnonzero(node > stop), []
         while len(active):
             u = mix64(key[active] + salt(len(steps) + 1)) >> np.uint64(32)
             here = node[active]
-            at = np.searchsorted(keys, here.astype(np.uint64) << SHARE | u)
-            at = np.clip(at, self.start[here], self.start[here + 1] - 1)
+            wanted = here.astype(np.uint64) << SHARE | u
+            at, end = self.start[here], self.start[here + 1] - 1
+            low = np.flatnonzero((at < end) & (self.keys[at] < wanted))
+            while len(low):
+                at[low] += 1
+                low = low[(at[low] < end[low]) & (self.keys[at[low]] < wanted[low])]
             steps.append((active, self.piece[at]))
             count[active] += 1
             node[active] = self.begin[at]
