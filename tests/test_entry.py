@@ -11,7 +11,7 @@ from dispatchlens.sources.fixtures import TABLES
 from .conftest import SF_SMALL
 
 SLOW = {"m5_random_forest", "m16_feature_importance", "m6_boosted_trees_a", "m7_boosted_trees_b",
-        "m8_stacking_ensemble"}
+        "m8_stacking_ensemble", "m18_tree_shapley"}
 
 
 def test_entry_smoke(spark):
