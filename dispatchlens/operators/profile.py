@@ -33,7 +33,6 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     repeated = (hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
                       .where(F.col("_n") > 1).select("_h"))
     repeated = materialize(repeated)
-    n_rep = repeated.count()
     candidates = hashed.join(broadcast_if_small(repeated), "_h", "left_semi")
     groups = candidates.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))

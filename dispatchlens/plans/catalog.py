@@ -971,18 +971,19 @@ def q_number_variants(spark, sf_dir):
 
 # --- roadmap joins (R1, R2) ---------------------------------------------------
 @register("r1_last_known_hour", ev_sql("""
-SELECT ev.CAD_INCIDENT_ID, s.hour_incidents FROM ev ASOF LEFT JOIN side s
+SELECT ev.CAD_INCIDENT_ID, coalesce(s.hour_incidents, -1) AS hour_incidents FROM ev ASOF LEFT JOIN side s
 ON ev.BOROUGH = s.BOROUGH AND date_trunc('hour', ev.INCIDENT_DATETIME) >= s.hour""", [], ["""side AS (
 SELECT BOROUGH, date_trunc('hour', INCIDENT_DATETIME) AS hour, count(*) AS hour_incidents FROM ev
 WHERE BOROUGH IS NOT NULL AND (CAST(epoch(date_trunc('hour', INCIDENT_DATETIME)) AS BIGINT) // 3600) % 3 <> 2 GROUP BY 1, 2)"""]))
 def q_last_known(spark, sf_dir):
-    """Each incident with its borough's incidents of the latest hour that has a row; every third hour has none."""
+    """Each incident with its borough's incidents of the latest hour that has a row (-1: none); every third hour has none."""
     df = events_clean(spark, sf_dir)
     hour = F.date_trunc("hour", C.INCIDENT_DATETIME).cast("timestamp_ntz")
     number = F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), hour)
     side = df.where(F.col("BOROUGH").isNotNull() & (number % 3 != 2)).groupBy("BOROUGH", hour.alias("hour")) \
         .agg(F.count(F.lit(1)).alias("hour_incidents"))
-    return TR.add_last_known(df, side, "BOROUGH", "hour_incidents").select(C.KEY, "hour_incidents")
+    return TR.add_last_known(df, side, "BOROUGH", "hour_incidents") \
+        .select(C.KEY, F.coalesce("hour_incidents", F.lit(-1)).alias("hour_incidents"))
 
 
 #: Coordinates as functions of a key: two factors, modulo 100,000, over a box of 0.4 by 0.55 degrees.

@@ -129,3 +129,26 @@ def test_stacking_meta_learner_is_the_ridge_of_its_bases(spark):
         oof[fold == f] = a * x[fold == f] + b
     c = oof - oof.mean()
     assert abs(model.ridge.coefficients[0] - c @ (y - y.mean()) / (c @ c + 50.0)) < 1e-3
+
+
+def test_text_that_only_spark_reads_as_a_number(spark):
+    forms = [("nan", None), ("NaN", None), ("1d", None), ("5f", None), ("2.5D", None), ("0x10", None), ("1_000", None), ("", None), (".", None),
+             (" 7 ", 7.0), ("+3.", 3.0), (".5", 0.5), ("1e3", 1000.0), ("-2E-1", -0.2), ("inf", float("inf")), ("-Infinity", float("-inf"))]
+    got = spark.createDataFrame(forms, "t string, want double").select(S.to_number("t").alias("x"), "want").collect()
+    assert [r.x for r in got] == [r.want for r in got]
+    numbers = spark.createDataFrame([(float("nan"), 3), (2.0, None)], "d double, i long").select(S.to_number("d"), S.to_number("i")).collect()
+    assert [tuple(r) for r in numbers] == [(None, 3.0), (2.0, None)]
+
+
+def test_seconds_that_are_text_nan_fall_back(spark):
+    from dispatchlens.operators import clean as CL
+
+    rows = [(1, "01/05/2020 10:00:00 AM", "01/05/2020 10:10:00 AM", "nan", "nan"), (2, "01/05/2020 10:00:00 AM", "01/05/2020 10:10:00 AM", "inf", "300"),
+            (3, "01/05/2020 10:00:00 AM", "01/05/2020 10:10:00 AM", "12d", "5f")]
+    df = spark.createDataFrame(rows, f"{C.KEY} long, INCIDENT_DATETIME string, FIRST_ON_SCENE_DATETIME string, DISPATCH_RESPONSE_SECONDS_QY string, "
+                                     "INCIDENT_RESPONSE_SECONDS_QY string") \
+        .selectExpr("*", "'BRONX' AS BOROUGH", "'B1' AS INCIDENT_DISPATCH_AREA", "'X' AS INITIAL_CALL_TYPE", "'X' AS FINAL_CALL_TYPE",
+                    "1.0 AS INITIAL_SEVERITY_LEVEL_CODE", "1.0 AS FINAL_SEVERITY_LEVEL_CODE", "'Y' AS VALID_INCIDENT_RSPNS_TIME_INDC",
+                    "'N' AS HELD_INDICATOR", "'N' AS REOPEN_INDICATOR", "10451.0D AS ZIPCODE")
+    got = {r[C.KEY]: (r.DISPATCH_RESPONSE_SECONDS_QY, r[C.TARGET]) for r in CL.clean_incidents(df).collect()}
+    assert got == {1: (0.0, 10.0), 2: (600.0, 5.0), 3: (0.0, 10.0)}
