@@ -4,13 +4,17 @@ The text of a page stands at the ends of root-to-leaf tag paths.  For each path
 ratios of text length and of punctuation to its number of text blocks are taken over
 the whole page, smoothed over the paths that come before and after it, and fused;
 paths whose fused ratio reaches the threshold, a share of the ratios' standard
-deviation, are content.  Three facts of the path itself enter the ratio as factors:
-roles that never hold content (menus, forms, footers, hidden or scripted parts) count
-as 0, text inside links is taken off, and an ``article`` or ``main`` element raises its
-paths, however short their text, above those outside.  Class names that say so count as
-0 too, or as a half on elements that hold most of the text or are the article; where
-they would leave no text at all they bar nothing.  The blocks of the content paths, and of the other paths in the
-smallest element that holds all content, are the result, in page order.
+deviation, are content.  Facts of the path enter the ratio as factors: roles that
+never hold content (menus, forms, footers, hidden or scripted parts) and reader
+comments count as 0, text inside links is taken off, an ``article`` or ``main``
+raises its paths, and a class, id or role that may name something else halves them.
+A container that such a name says outright counts as 0, unless it holds most of the
+text or is the article; where that would leave no text at all, names bar nothing.
+
+The content paths tell which element is the article: the landmarks that hold them,
+or else the smallest element around them.  All its blocks are the result, in page
+order, but for barred ones and for paragraphs named as something else that miss the
+threshold.  Without a landmark, paths that are nearly all links stay out too.
 
 Defined results: a null or empty page has no text; unclosed and stray tags, comments
 and references are read as browsers do, as far as paths need it; pages are read one
@@ -30,22 +34,31 @@ from pyspark.sql import DataFrame
 from .tables import per_row
 
 #: Element names.
-SKIPPED = "script|style|noscript|template|textarea|svg|select|iframe|object|math|canvas|title|video|audio"
+SKIPPED = "script|style|noscript|template|textarea|svg|select|iframe|object|annotation|annotation-xml|canvas|title|video|audio"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small
-    span strike strong sub sup time tt u var""".split())
+    span strike strong sub sup time tt u var math mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup
+    mtext munder munderover semantics""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER = frozenset("head nav footer aside form menu dialog button fieldset legend datalist".split())
 LANDMARKS = frozenset(("article", "main"))
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"},
              "tfoot": {"tr", "td", "th", "tbody"}}
 KEEPS_OPEN = frozenset("ul ol dl table div section article main blockquote body html".split())
-#: Words of class, id and role that mark what is not the article.
-MARKED = re.compile(r"""(?x)(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion|tions)?|banner|
-    sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-header|page-header|topbar|toolbar|
-    comments?|commentlist|disqus|respond|reader-comments|notices?|cookies?|cookie-notice|consent|gdpr|newsletter|subscribe|signup|
-    login|share|sharing|social|related|recommended|popular|trending|widget|popup|modal|overlay|pagination|pager|copyright|legal|
-    disclaimer|skip-link|hidden|sr-only|complementary|contentinfo|search|alert)(?:$|[\s_-])""", re.I)
+#: Words of class, id and role that mark what is not the article, and those that do so only on their own.
+MARKS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsors sponsored promo sidebar menu nav navbar breadcrumb
+    breadcrumbs footer masthead topbar cookie cookies gdpr consent newsletter signup pagination pager popup complementary
+    contentinfo""".split())
+DOUBTFUL = frozenset("""alert banner copyright disclaimer hidden legal login modal navigation notice notices overlay popular promotion
+    promotions recommended related respond search share sharing social subscribe toolbar trending widget""".split())
+COMMENTS = frozenset("comment comments commentlist disqus".split())
+#: Words beside a doubtful one that leave its sense, and words that turn it into a state of something else.
+BESIDE = frozenset("""area articles bar block bottom box btn button buttons container content form global group header icons inner item
+    items js left link links list main message module news outer page panel posts primary right secondary section site sr only skip
+    stories strip top unit wrap wrapper""".split())
+STATES = frozenset("closed disabled enabled has have no not off on open with without".split())
+WORD = re.compile(r"[^\s_-]+")
 NOT_SHOWN = re.compile(r"""(?i)(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""")
 NAMED = re.compile(r"""(?i)(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + SKIPPED + r""")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"""
@@ -53,8 +66,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + SKIPPED + r""")(?=[\s/>])[^>]*>.*?(
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
 SMOOTHING = np.array([0.25, 0.5, 0.25])
 THRESHOLD, LANDMARK_FACTOR, LINK_SHARE, NAME_FACTOR = 0.6, 50.0, 0.8, 0.5
-#: Why an element is left out: what its class, id or role is called, or what it is.
-BY_NAME, BY_KIND = 1, 2
+#: Why an element is left out: what its class, id or role is called, what it is, or that it holds comments of readers;
+#: DOUBT and OWN_NAME only lower the ratio, OWN_NAME (a paragraph's) so that it has to reach the threshold by itself.
+BY_NAME, BY_KIND, BY_COMMENTS, DOUBT, OWN_NAME = 1, 2, 3, 4, 5
 
 
 class Block:
@@ -64,6 +78,22 @@ class Block:
         self.path, self.text, self.links = path, text, links
 
 
+def called(marks: str) -> int:
+    """What the words of class, id and role say: comments, something else (BY_NAME), or perhaps something else (DOUBT)."""
+    found = 0
+    for token in marks.lower().split():
+        parts = set(WORD.findall(token))
+        if parts & STATES:
+            continue
+        if parts & COMMENTS:
+            return BY_COMMENTS
+        if parts & MARKS or (parts & DOUBTFUL and parts <= DOUBTFUL | BESIDE) or token in ("site-header", "page-header"):
+            found = BY_NAME
+        elif parts & DOUBTFUL:
+            found = found or DOUBT
+    return found
+
+
 def role(name: str, attributes: str, inside: bool) -> int:
     """Whether an element never holds content, and why; ``inside`` a landmark a header is the article's own."""
     if name in NEVER or (name == "header" and not inside):
@@ -74,8 +104,10 @@ def role(name: str, attributes: str, inside: bool) -> int:
         return BY_KIND
     if name in ("html", "body"):
         return 0
-    marks = " ".join(a or b or c for _, a, b, c in NAMED.findall(attributes))
-    return BY_NAME if marks and MARKED.search(marks) else 0
+    why = called(" ".join(a or b or c for _, a, b, c in NAMED.findall(attributes)))
+    if why and name in HEADINGS:
+        return DOUBT
+    return OWN_NAME if name == "p" and why in (BY_NAME, BY_COMMENTS) else why
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -180,61 +212,88 @@ def spared(blocks: list[Block], shown: np.ndarray) -> set[int]:
     return out
 
 
-def content(blocks: list[Block], by_name: bool = True) -> list[bool]:
-    """Which blocks are the article; without ``by_name``, names leave nothing out."""
+def has(blocks: list[Block], *whys: int) -> np.ndarray:
+    return np.array([any(x[2] in whys for x in b.path) for b in blocks])
+
+
+def path_ratios(blocks: list[Block], never: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Path number of each block; fused ratio and share of linked text of each path.
+
+    A path is the names and first labels of its elements; blocks that are barred or
+    that names speak against have paths of their own, so they don't weigh on the others.
+    """
     chars = np.array([len(b.text) for b in blocks], np.float64)
     linked = np.array([b.links for b in blocks], np.float64)
-    kind = np.array([any(x[2] == BY_KIND for x in b.path) for b in blocks])
-    named = np.array([any(x[2] == BY_NAME for x in b.path) for b in blocks])
-    left = kind.copy()
-    if by_name and named.any():
-        stay = spared(blocks, np.where(kind, 0, chars - linked))
-        left |= np.array([any(x[2] == BY_NAME and x[3] not in stay for x in b.path) for b in blocks])
-    # Blocks that are never content have paths of their own: a hidden paragraph doesn't bar the others.
-    keys = [(tuple(x[1] for x in b.path), never) for b, never in zip(blocks, left.tolist(), strict=True)]
+    marks = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], np.float64)
+    named, own = has(blocks, BY_NAME, BY_COMMENTS, DOUBT, OWN_NAME), has(blocks, OWN_NAME)
     index: dict[tuple, int] = {}
-    which = np.array([index.setdefault(k, len(index)) for k in keys], np.int64)
+    which = np.array([index.setdefault((tuple(x[1] for x in b.path), *flags), len(index))
+                      for b, *flags in zip(blocks, never.tolist(), named.tolist(), own.tolist(), strict=True)], np.int64)
     n = len(index)
-    never = left
-    marked = np.array([any(x[0] in LANDMARKS for x in b.path) for b in blocks])
-    marks = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], np.float64)
     count = np.bincount(which, minlength=n)
     length = np.bincount(which, np.where(never, 0, chars - linked), n) / count
     points = np.bincount(which, np.where(never, 0, marks), n) / count
-    link_share = np.bincount(which, linked, n) / np.bincount(which, chars, n)
 
     def smooth(x: np.ndarray) -> np.ndarray:
         padded = np.pad(x, 1, mode="edge")
         return SMOOTHING[0] * padded[:-2] + SMOOTHING[1] * padded[1:-1] + SMOOTHING[2] * padded[2:]
 
-    barred = np.bincount(which, never, n) > 0
     ratio = np.sqrt(length * smooth(length) * (1 + smooth(points)))
     ratio[np.bincount(which, named, n) > 0] *= NAME_FACTOR
-    ratio[barred | (link_share > LINK_SHARE)] = 0
-    inside = np.bincount(which, marked & ~never, n) > 0
-    if (inside & (ratio > 0)).any():
-        ratio = np.where(inside, ratio * LANDMARK_FACTOR, 0.0)
-        chosen = ratio > 0
-    else:
-        chosen = ratio >= max(THRESHOLD * float(ratio.std()), 1e-9)
-    if not chosen.any():
-        return content(blocks, False) if by_name and (left & ~kind).any() else [False] * len(blocks)
+    return which, ratio, np.bincount(which, linked, n) / np.bincount(which, chars, n)
+
+
+def outermost(b: Block, name: str) -> int:
+    """Number of a block's outermost element of this name; 0 without one."""
+    return next((x[3] for x in b.path if x[0] == name), 0)
+
+
+def content(blocks: list[Block], by_name: bool = True) -> np.ndarray:
+    """Which blocks are the article; without ``by_name``, names leave nothing out."""
+    never, named = has(blocks, BY_KIND), has(blocks, BY_NAME, BY_COMMENTS)
+    can_retry = by_name and bool((named & ~never).any())
+    if can_retry:
+        comments = has(blocks, BY_COMMENTS)
+        shown = np.array([len(b.text) - b.links for b in blocks], np.float64)
+        stay = spared(blocks, np.where(never | comments, 0.0, shown))
+        never = never | comments | np.array([any(x[2] == BY_NAME and x[3] not in stay for x in b.path) for b in blocks])
+    which, ratio, link_share = path_ratios(blocks, never)
+    articles = np.array([outermost(b, "article") for b in blocks])
+    mains = np.array([outermost(b, "main") for b in blocks])
+    marked = np.bincount(which, ((articles > 0) | (mains > 0)) & ~never) > 0
+    ratio = np.where(marked, ratio * LANDMARK_FACTOR, np.where(link_share > LINK_SHARE, 0.0, ratio))
+    landmark = marked.any() and ratio[marked].max() > 0 and ratio[marked].max() >= ratio.max()
+    chosen = ratio >= max(THRESHOLD * float(ratio.std()), 1e-9)
+    if landmark:
+        chosen &= marked
     picked = chosen[which] & ~never
-    # The smallest element that holds all chosen blocks; its other paths that are not barred belong to the article.
-    paths = [tuple(x[3] for x in b.path) for b, p in zip(blocks, picked, strict=True) if p]
-    common = paths[0]
-    for p in paths[1:]:
-        k = 0
-        while k < min(len(common), len(p)) and common[k] == p[k]:
-            k += 1
-        common = common[:k]
-    within = np.array([tuple(x[3] for x in b.path)[:len(common)] == common for b in blocks])
-    return (picked | (within & ~never & ~(link_share[which] > LINK_SHARE) & (inside[which] | ~inside.any()))).tolist()
+    if not picked.any():
+        return content(blocks, False) if can_retry else picked
+    if landmark:
+        # All blocks of the landmarks that hold content; a main around such articles gives its title and content paths only.
+        core, outer = set(articles[picked].tolist()) - {0}, set(mains[picked].tolist()) - {0}
+        title = np.array([any(x[0] == "h1" for x in b.path) for b in blocks])
+        alone = (articles == 0) & np.isin(mains, list(outer))
+        within = np.isin(articles, list(core)) | (alone & title if core else alone)
+    else:
+        paths = [tuple(x[3] for x in b.path) for b, p in zip(blocks, picked.tolist(), strict=True) if p]
+        common = paths[0]
+        for p in paths[1:]:
+            k = 0
+            while k < min(len(common), len(p)) and common[k] == p[k]:
+                k += 1
+            common = common[:k]
+        if len(common) > 1 and common in paths:  # a lone paragraph: its neighbours belong to it, unless they are the whole page
+            of = blocks[int(np.flatnonzero(picked)[paths.index(common)])].path
+            if of[-1][0] in ("p", "pre", "blockquote") and of[-2][0] != "body":
+                common = common[:-1]
+        within = np.array([tuple(x[3] for x in b.path[:len(common)]) == common for b in blocks]) & ~(link_share[which] > LINK_SHARE)
+    return picked | (within & ~never & ~has(blocks, OWN_NAME))
 
 
 def main_text(html: str | None) -> str:
     blocks = blocks_of(html) if html else []
-    return "\n\n".join(b.text for b, k in zip(blocks, content(blocks), strict=True) if k) if blocks else ""
+    return "\n\n".join(b.text for b, k in zip(blocks, content(blocks).tolist(), strict=True) if k) if blocks else ""
 
 
 def extracted(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:

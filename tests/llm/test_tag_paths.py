@@ -76,3 +76,55 @@ def test_given_pages(spark):
     odd = spark.createDataFrame([(1, None, None, "x"), (1, "u", "<p>t", "y")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, H.extracted(odd).collect()), key=str) == [(1, "u", "t", 1), (1, None, "", 0)]
     assert H.extracted(odd.limit(0)).collect() == []
+
+
+def test_the_article_keeps_links_names_and_formulas():
+    links = "".join(f'<li><a href="/{k}">Source {k}</a></li>' for k in range(12))
+    inner = (f"<h1>Head</h1><p>{PROSE}</p><h2 class=legal>Legal matters</h2><p>{PROSE}</p><div class='search-theory'>Search.</div>"
+             f"<p>If <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds, so it is.</p>"
+             f"<div><a href=/a>whole block is a link</a></div><ul>{links}</ul><p class=legal>{PROSE * 2}</p><p class=ad>Buy.</p>")
+    whole = ["Head", PROSE.strip(), "Legal matters", PROSE.strip(), "Search.", "If x=1 holds, so it is.", "whole block is a link",
+             *[f"Source {k}" for k in range(12)], (PROSE * 2).strip()]
+    for name in ("article", "main"):
+        assert H.main_text(f"<body><nav>Home</nav><{name}>{inner}</{name}><footer>me</footer></body>") == "\n\n".join(whole)
+
+
+def test_comments_go_however_long():
+    for name in ("comments", "reader-comments", "comment-list"):
+        comments = f"<section class={name}>" + f"<article><p>{PROSE * 9}</p></article><p>{PROSE * 9}</p>" * 3 + "</section>"
+        for page in (f"<main><h1>Head</h1><p>{PROSE}</p>{comments}</main>", f"<main><article><h1>Head</h1><p>{PROSE}</p></article>{comments}</main>",
+                     f"<article><h1>Head</h1><p>{PROSE}</p>{comments}</article>", f"<div><h1>Head</h1><p>{PROSE}</p>{comments}</div>"):
+            assert H.main_text(f"<body>{page}</body>") == f"Head\n\n{PROSE.strip()}"
+    assert H.main_text(f"<article class='post comments-open'><p>{PROSE}</p></article>") == PROSE.strip()
+
+
+def test_the_threshold_decides(monkeypatch):
+    plain = f"<body><div><h2>Head</h2><p>{PROSE * 3}</p></div><section><p>Some words.</p></section></body>"
+    marked = f"<body><article><p>{PROSE * 3}</p></article><article class=teaser><p>Some words.</p></article></body>"
+    for page, most in ((plain, f"Head\n\n{(PROSE * 3).strip()}"), (marked, (PROSE * 3).strip())):
+        monkeypatch.setattr(H, "THRESHOLD", 1.0)
+        assert H.main_text(page).endswith("page.") and "Some words." not in H.main_text(page)
+        monkeypatch.setattr(H, "THRESHOLD", 0.0)
+        assert H.main_text(page) == f"{most}\n\nSome words."
+        monkeypatch.setattr(H, "THRESHOLD", 1e9)
+        assert H.main_text(page) == ""
+
+
+def test_ratios_match_brute_force():
+    page = (f"<body><div><p>One, two.</p><p>Three <a href=/>four</a>!</p></div><ul><li><a href=/>x y</a></li></ul><p class=legal>{PROSE}</p>"
+            f"<div><p>{PROSE}</p></div><nav>Home</nav></body>")
+    blocks = H.blocks_of(page)
+    never = H.has(blocks, H.BY_KIND)
+    which, ratio, links = H.path_ratios(blocks, never)
+    table: dict = {}
+    for b, w, no in zip(blocks, which.tolist(), never.tolist(), strict=True):
+        marks = sum(b.text.count(c) for c in ".,;:!?")
+        table.setdefault(w, []).append((0 if no else len(b.text) - b.links, 0 if no else marks, b.links / len(b.text)))
+    assert list(table) == list(range(len(ratio))) and len(ratio) == 4  # both div/p are one path
+    mean = [[sum(r[c] for r in table[w]) / len(table[w]) for w in table] for c in (0, 1)]
+    for w in table:
+        near = [max(0, w - 1), w, min(len(table) - 1, w + 1)]
+        length, points = (0.25 * m[near[0]] + 0.5 * m[near[1]] + 0.25 * m[near[2]] for m in mean)
+        expected = (mean[0][w] * length * (1 + points)) ** 0.5 * (0.5 if PROSE.strip() == blocks[which.tolist().index(w)].text else 1)
+        assert abs(ratio[w] - expected) < 1e-9
+    assert links[1] == 1.0
