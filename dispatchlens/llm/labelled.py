@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_ROWS = 3_000
+MAX_ROWS, MAX_BYTES = 3_000, 1 << 27
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -19,11 +19,14 @@ def held_out() -> Column:
     return F.coalesce(fold() == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Texts, labels and weights of at most ``max_rows`` labelled rows that are not held out.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS,
+                  max_bytes: int = MAX_BYTES) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Texts, labels and weights of at most ``max_rows`` labelled rows, of ``max_bytes`` together, that are not held out.
 
     Each class gives the half at most, its rows of least hash; the weights restore
-    the classes' shares.  A document with several labels counts as 1 if any is 1.
+    the classes' shares.  A document with several labels counts as 1 if any is 1, and
+    rows of equal id and text count once.  Where the bytes don't suffice, there are
+    fewer rows, those of least hash; texts are whole.
     """
     known = labels.where(F.col(label).isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max(label).alias("label"))
     sizes = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
@@ -33,7 +36,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int
         picked = some if picked is None else picked.unionByName(some)
     if picked is None:
         return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id").toArrow()  # max_rows at most
+    # Hashes first: many copies of one id meet as numbers, and only the chosen texts are read.
+    named = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy"))
+    least = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("copy")]
+    copies = named.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", "copy").agg(
+        F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("size"))
+    chosen = copies.orderBy(*least).limit(max_rows).withColumn(
+        "up_to", F.sum("size").over(Window.orderBy(*least).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("up_to") <= max_bytes)
+    rows = (named.join(F.broadcast(chosen.select("doc_id", "copy", "label")), ["doc_id", "copy"])
+            .groupBy("doc_id", "copy", "label").agg(F.max("text").alias("text")).orderBy("doc_id", "copy").toArrow())
     label_of = rows.column("label").to_numpy().astype(np.int64)
     taken = {v: max(1, int((label_of == v).sum())) for v in sizes}
     weight = np.array([sizes[v] / taken[v] for v in label_of.tolist()])

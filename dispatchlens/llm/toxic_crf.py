@@ -7,7 +7,9 @@ words that explain the toxic training documents and are rare in the others, foun
 greedy cover, mark toxic tokens in toxic documents.  The field learns from these labelled tokens by gradient ascent on their
 likelihood; the gradient is what forward-backward marginals lack from the labels.
 Scoring runs forward-backward over all tokens of a text; the marginals give the
-offending spans and, summed up by maximum, expected number and share, the score.
+offending spans and, summed up by the largest and by the most likely toxic tokens that
+stand near each other, the score: stray ones don't add up over a long text, and a toxic
+passage counts as much in a long text as in a short one.
 
 Labels are read only from rows that are not held out, ``max_rows`` at most.
 
@@ -32,6 +34,8 @@ from .text import flat, hashes, mix64, salt, words
 BUCKETS_LOG2 = 18
 WINDOW, EPOCHS, RATE, RIDGE = 128, 6, 0.5, 1e-6
 SUFFIX, BEGINNINGS = 3, (4, 5, 6, 7, 8)
+#: A token is called toxic from this marginal on; tokens are near each other within so many.
+LIKELY, NEAR = 0.5, 128
 #: A mark of toxic tokens: how many times chance it stands in toxic documents, and what it explains anew at least.
 RARE, LEAST_ROWS, LEAST_SHARE = 4.0, 3, 0.02
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
@@ -46,7 +50,6 @@ class Field:
     step: np.ndarray  # 2 x 2: label before, label
     score: np.ndarray
 
-
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each token's word and of its beginnings (0: the word is no longer), and its buckets.
 
@@ -147,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Field:
 
 
 def fit_rows(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> Field:
-    field = Field(np.zeros((1 << BUCKETS_LOG2) + 1), -4.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, -20.0]))
+    field = Field(np.zeros((1 << BUCKETS_LOG2) + 1), -4.0, np.zeros((2, 2)), np.array([0.0, 0.0, -20.0]))
     if not (toxic == 1).any() or not (toxic == 0).any():
         return field
     data, limits = flat(texts)
@@ -188,15 +191,17 @@ def fit_rows(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> Field:
 
 
 def summaries(p: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logit of the largest marginal, logarithm of the expected number, and the share, of each document's tokens."""
+    """Logit of the largest marginal, and logarithm of the most likely toxic tokens within NEAR tokens, of each document."""
     size = np.diff(at)
     some = np.flatnonzero(size)
-    top, total = np.full(len(size), 1e-6), np.zeros(len(size))
+    top, near = np.full(len(size), 1e-6), np.zeros(len(size))
     if len(some):
         top[some] = np.maximum.reduceat(p, at[:-1][some])
-        total[some] = np.add.reduceat(p, at[:-1][some])
+    hot = np.flatnonzero(p >= LIKELY)
+    row = np.searchsorted(at, hot, "right") - 1
+    np.maximum.at(near, row, np.searchsorted(hot, np.minimum(hot + NEAR, at[row + 1])) - np.arange(len(hot)))
     top = np.clip(top, 1e-6, 1 - 1e-6)
-    return np.column_stack([np.log(top / (1 - top)), np.log1p(total), total / np.maximum(1, size)])
+    return np.column_stack([np.log(top / (1 - top)), np.log1p(near)])
 
 
 def tagged(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -211,7 +216,7 @@ def tagged(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",), t
         p = marginals(f.emission[bucket].sum(axis=1) + f.bias, at[:-1], np.diff(at), f.step)
         x = summaries(p, at) @ f.score[:-1] + f.score[-1]
         score = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        hot = np.flatnonzero(p >= 0.5)
+        hot = np.flatnonzero(p >= LIKELY)
         spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
         if len(hot):
             codes = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from dispatchlens.llm import labelled
 from dispatchlens.llm import subword_quality as Q
 from dispatchlens.llm import toxic_crf as X
 
@@ -123,3 +124,30 @@ def test_long_chains_do_not_depend_on_slices():
     gain, step = rng.normal(0, 1, 500), rng.normal(0, 1, (2, 2))
     whole = X.marginals(gain, np.array([0, 400]), np.array([400, 100]), step)
     assert np.allclose(whole[400:], X.marginals(gain[400:], np.array([0]), np.array([100]), step))
+
+
+def test_length_is_not_toxic(spark, field):
+    docs, labels = tables(spark)
+    clean = [r.text for r in docs.join(labels, "doc_id").where("toxic = 0 and length(text) > 50").orderBy("doc_id").limit(2000).collect()]
+    toxic = [r.text for r in X.tagged(docs.join(labels, "doc_id").where("toxic = 1"), field, ("text",)).where("score > 0.9").limit(20).collect()]
+    rng = np.random.default_rng(3)
+    rows = [(n, " ".join(clean[k] for k in rng.choice(len(clean), n, replace=False))) for n in (10, 50, 200) for _ in range(20)]
+    marked = [(1000 + n, f"{text} {toxic[k % len(toxic)]}") for k, (n, text) in enumerate(rows)]
+    frame = spark.createDataFrame(rows + marked, "doc_id long, text string")
+    found = np.array([(r.doc_id, r.score) for r in X.tagged(frame, field).collect()])
+    for n in (10, 50, 200):
+        assert (found[found[:, 0] == n, 1] >= 0.5).mean() <= 0.05, n
+        assert (found[found[:, 0] == 1000 + n, 1] >= 0.5).all(), n
+
+
+def test_training_rows_are_bounded(spark):
+    ids = [k for k in range(200)]
+    docs = spark.createDataFrame([(k, f"text {k}") for k in ids] + [(1, "text 1")] * 300 + [(1, "other"), (2, None), (2, "")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in ids] + [(1, 1)] * 3, "doc_id long, toxic int")
+    texts, y, weight = labelled.training_rows(docs, labels, "toxic", 1000)
+    assert len(set(texts.to_pylist())) >= len(texts) - 1 and texts.to_pylist().count("text 1") <= 1
+    assert len(labelled.training_rows(docs, labels, "toxic", 40)[0]) <= 40
+    few = labelled.training_rows(docs, labels, "toxic", 1000, 100)[0]
+    assert 0 < sum(len(t or "") for t in few.to_pylist()) <= 100
+    assert len(y) == len(weight) == len(texts)
