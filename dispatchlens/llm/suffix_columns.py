@@ -47,6 +47,8 @@ MAX_STRINGS = 4_096
 CHUNK = 8_192
 CONTEXT_BASE, CONTEXT_VALUE = BASE + np.uint64(0x5DEECE66C), mix64(BYTE_VALUE)
 ROW = ["k_id", "k_text"]
+#: Bytes of text that a task works on at once; results do not depend on it.
+SLICE = 1 << 18
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -88,7 +90,7 @@ def anchors_of(data: np.ndarray, limits: np.ndarray, length: int) -> tuple[np.nd
 
 def anchors(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "k_body"):
+        for part in slices(batches, "k_body", SLICE):
             row, place, seed, context = anchors_of(*flat(part.column("k_body")), length)
             keys = [part.column(k).take(pa.array(row)) for k in ROW]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(place.astype(np.int32)), pa.array(seed), pa.array(context)],
@@ -103,7 +105,7 @@ def contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     lists = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("place", "seed")).alias("wanted"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "k_body"):
+        for part in slices(batches, "k_body", SLICE):
             data, limits = flat(part.column("k_body"))
             lists = part.column("wanted")
             row = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -308,7 +310,7 @@ def marked(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
 def digest(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and counts of each row's bytes, removed bytes and runs, and the hash of what is left."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "k_body"):
+        for part in slices(batches, "k_body", SLICE):
             data, limits = flat(part.column("k_body"))
             raw, out = data.tobytes(), []
             for a, b, spans in zip(limits[:-1].tolist(), limits[1:].tolist(), span_lists(part), strict=True):
@@ -334,7 +336,7 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -
     schema = docs.schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "k_body"):
+        for part in slices(batches, "k_body", SLICE):
             texts, bodies = part.column("k_body").to_pylist(), []
             for body, spans in zip(texts, span_lists(part), strict=True):
                 bodies.append(cut(body.encode(), spans)[0].decode("utf-8", "ignore") if spans else body)
