@@ -29,6 +29,14 @@ def ship(spark: SparkSession) -> None:
 
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch between Spark and its Python workers, where the session names none.
+BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of ``BATCH_BYTES`` instead of Spark's 64 MB: a batch stands in the executor's direct memory and in the worker."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
