@@ -45,7 +45,7 @@ SHARE = np.uint64(32)
 
 @dataclass
 class Pieces:
-    """Texts and log weights of the pieces; byte pieces are last resorts.  Sent to the executors (about 1 MB)."""
+    """Texts and log weights of the pieces; byte pieces are last resorts.  Sent to the executors (about 20 MB)."""
 
     text: list[bytes]
     weight: np.ndarray
@@ -95,7 +95,8 @@ def string_hash(codes: np.ndarray) -> np.uint64:
     return h[0]
 
 
-def pieces_of(path: str = MODEL, alpha: float = ALPHA) -> Pieces:
+def read_pieces(path: str) -> tuple[list[bytes], list[int], np.ndarray]:
+    """Texts of all pieces, the pieces of single bytes, and scores."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -109,7 +110,12 @@ def pieces_of(path: str = MODEL, alpha: float = ALPHA) -> Pieces:
             text.append(bytes([int(piece[3:5], 16)]))
         else:
             text.append(b"" if model.is_control(i) or model.is_unknown(i) else piece.replace(SPACE, " ").encode())
-    rank = np.maximum(0.0, -score)
+    return text, byte, score
+
+
+def pieces_of(path: str = MODEL, alpha: float = ALPHA) -> Pieces:
+    text, byte, score = read_pieces(path)
+    rank, n = np.maximum(0.0, -score), len(text)
     return Pieces(text, -alpha * np.log1p(np.where(rank > n, n, rank)), byte)
 
 
@@ -171,14 +177,14 @@ class Lattice:
 
 
 class Solved:
-    """Lattices of all units that a worker has met, end to end, up to ``KEPT`` characters.
+    """Lattices of all units that a worker has met, end to end, up to ``kept`` characters.
 
     Most units of a slice were in an earlier one; only new ones are solved.  What is kept
     speeds up the work and decides nothing.
     """
 
-    def __init__(self, pieces: Pieces):
-        self.pieces = pieces
+    def __init__(self, pieces: Pieces, kept: int = KEPT):
+        self.pieces, self.kept = pieces, kept
         self.clear()
 
     def clear(self) -> None:
@@ -199,7 +205,7 @@ class Solved:
 
     def numbers(self, rows: list[list[str]]) -> np.ndarray:
         """The number of each unit of the rows; those not met before are solved."""
-        if self.nodes > KEPT:
+        if self.nodes > self.kept:
             self.clear()
         index = self.index
         known = len(index)
@@ -267,8 +273,11 @@ def encode_texts(texts: list[str], keys: np.ndarray, solved: Solved, seed: int)
 
 
 def decode_ids(ids: list[int], pieces: Pieces) -> str:
+    return joined(ids, pieces.text)
+
+
+def joined(ids: list[int], table: list[bytes]) -> str:
     """The text of the pieces, without the space that encoding put before it."""
-    table = pieces.text
     return b"".join([table[i] for i in ids])[1:].decode()
 
 
@@ -277,14 +286,18 @@ def sent(spark: SparkSession, model: str, alpha: float):
 
 
 def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key: str = "doc_id", text: str = "text",
-           model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """``keep`` columns and ``pieces``, the sampled piece ids of the whole text."""
+           model: str = MODEL, alpha: float = ALPHA, seed: int = SEED, kept: int = KEPT) -> DataFrame:
+    """``keep`` columns and ``pieces``, the sampled piece ids of the whole text.
+
+    ``kept`` bounds the characters whose lattices a task keeps (about 100 bytes each);
+    it trades memory for time and never changes a piece.
+    """
     known = sent(docs.sparkSession, model, alpha)
     rows = docs.select(*keep, F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("_key"),
                        F.coalesce(text, F.lit("")).alias("_text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        solved = Solved(known.value)
+        solved = Solved(known.value, kept)
         for part in slices(batches, "_text", SLICE):
             ids, count = encode_texts(part.column("_text").to_pylist(), part.column("_key").to_numpy(), solved, seed)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(ids))
@@ -295,15 +308,15 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key: str = "doc
 
 
 def decode(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id", "pieces"), name: str = "decoded",
-           model: str = MODEL, alpha: float = ALPHA) -> DataFrame:
+           model: str = MODEL) -> DataFrame:
     """``keep`` columns and the text of ``pieces``."""
-    known = sent(encoded.sparkSession, model, alpha)
+    known = encoded.sparkSession.sparkContext.broadcast(read_pieces(model)[0])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [decode_ids(x.values.to_numpy().tolist(), known.value) if x.is_valid and len(x) else ""
+                texts = [joined(x.values.to_numpy().tolist(), known.value) if x.is_valid and len(x) else ""
                          for x in part.column("pieces")]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(texts, pa.string())],
                                                  names=[*keep, name])

@@ -63,13 +63,12 @@ def test_documents_decode_to_themselves_under_any_partitioning(spark):
     assert again == {i: r.pieces for i, r in rows.items()}
 
 
-def test_kept_lattices_decide_nothing(pieces, monkeypatch):
+def test_kept_lattices_decide_nothing(pieces):
     texts = [f"{a} {b} there naïve" for a in TEXTS for b in TEXTS]
     keys = np.arange(len(texts))
     alone = [P.encode_texts([t], keys[k:k + 1], P.Solved(pieces), 3)[0].tolist() for k, t in enumerate(texts)]
     for kept in (1 << 20, 50):
-        monkeypatch.setattr(P, "KEPT", kept)
-        store = P.Solved(pieces)
+        store = P.Solved(pieces, kept)
         parts = [split(*P.encode_texts(texts[k:k + 5], keys[k:k + 5], store, 3)) for k in range(0, len(texts), 5)]
         assert [x for part in parts for x in part] == alone
 
