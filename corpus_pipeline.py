@@ -2,9 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet to the shared folder and read again as the next stage's ``docs``, so a
-lost executor costs one stage at most.  Texts pass between Spark and its Python
-workers in batches of a few MB (a setting of the session, left alone where it is set).  All stages but the last return the columns
-of ``documents``; the last adds ``pieces`` and ``decoded``.
+lost executor costs one stage at most.  All stages but the last return the columns
+of ``documents``; the last adds ``pieces`` and ``decoded``.  Texts pass between
+Spark and its Python workers in batches of 8 MB, where the session names no size.
 
 Defined results: null and empty texts fail the quality rules; equal rows leave one;
 an empty table passes through all stages; extra columns are kept, but the last
@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from dispatchlens.llm import bag_minhash, decontaminate, piece_sampling, quality_bands, suffix_columns
 from dispatchlens.llm.tables import bounded_batches, stored, table
 
+#: Characters whose lattices a task of the last stage keeps: encoding and decoding run in one stage, so four workers stand
+#: in an executor of two cores.
+KEPT = 1 << 19
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that pass the quality rules."""
@@ -49,7 +53,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Add sampled pieces of each text, and the text that they decode to."""
     bounded_batches(spark)
     own = [c for c in docs.columns if c not in ("pieces", "decoded")]
-    return piece_sampling.decode(piece_sampling.encode(docs, tuple(own)), (*own, "pieces"))
+    return piece_sampling.decode(piece_sampling.encode(docs, tuple(own), kept=KEPT), (*own, "pieces"))
 
 
 STAGES = [
