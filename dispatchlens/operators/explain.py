@@ -13,12 +13,16 @@
   values of a row sum exactly to f(x) minus the mean background prediction.
   The background table is bounded by ``background_rows`` and joined on an
   equi-key with a broadcast.
+* ``kernel_shapley`` (M18, any model): weighted least squares over coalitions of
+  features.  All rows share the coalitions, so the normal equations are solved once
+  and a row's values are one weighted sum of its predictions.
 * ``exact_pair_shapley`` and ``linear_shapley`` (M18): closed forms for a
   predictor of two features by group means, and for a linear model.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..plans.joins import materialize
 
 
 def partial_dependence(model, df: DataFrame, feature: str, grid: Sequence,
@@ -81,6 +86,98 @@ def sampled_shapley(model, rows: DataFrame, background: DataFrame, features: Seq
                  .select(key, F.element_at(names, F.col("_fi") + 1).alias("feature"), "shapley_value"))
 
 
+def coalitions(n: int, most: int, seed: int = C.SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Proper coalitions of ``n`` features, one a row, and their kernel weights.
+
+    All of them where ``most`` allows; else whole sizes, the smallest and largest
+    first, and pairs of a set and its complement drawn from the sizes between.
+    """
+    mass = {s: (n - 1) / (s * (n - s)) for s in range(1, n)}
+    sets, weights, left = [], [], most
+    for s in range(1, n // 2 + 1):
+        sizes = {s, n - s}
+        if math.comb(n, s) * len(sizes) > left:
+            break
+        for size in sorted(sizes):
+            found = list(itertools.combinations(range(n), size))
+            sets += found
+            weights += [mass[size] / len(found)] * len(found)
+            left -= len(found)
+            del mass[size]
+    if mass:
+        if most < 2 * n:
+            raise ValueError(f"{n} features need {2 * n} coalitions at least")
+        rng = np.random.default_rng(seed)
+        sizes, pairs = list(mass), left // 2
+        rate = np.array([mass[s] for s in sizes])
+        for size in rng.choice(sizes, pairs, p=rate / rate.sum()):
+            chosen = rng.permutation(n)
+            sets += [chosen[:size], chosen[size:]]
+        weights += [rate.sum() / (2 * pairs)] * (2 * pairs) if pairs else []
+    z = np.zeros((len(sets), n))
+    for row, members in zip(z, sets, strict=True):
+        row[list(members)] = 1.0
+    return z, np.array(weights)
+
+
+def kernel_solution(n: int, most: int, seed: int = C.SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Coalitions, the empty one first and the whole last, and the n x coalitions matrix that turns their values into Shapley values.
+
+    Least squares under the constraint that a row's values sum to the whole less the empty
+    coalition; the last feature is eliminated by it.
+    """
+    z, w = coalitions(n, most, seed)
+    every = np.vstack([np.zeros(n), z, np.ones(n)])
+    solution = np.zeros((n, len(every)))
+    if n > 1:
+        x, last = z[:, :-1] - z[:, -1:], z[:, -1]
+        k = np.linalg.solve(x.T @ (w[:, None] * x), (w[:, None] * x).T)
+        solution[:-1, 1:-1] = k
+        solution[:-1, 0], solution[:-1, -1] = k @ last - k.sum(axis=1), -(k @ last)
+    solution[-1] = -solution[:-1].sum(axis=0)
+    solution[-1, 0] -= 1.0
+    solution[-1, -1] += 1.0
+    return every, solution
+
+
+def kernel_shapley(model, rows: DataFrame, background: DataFrame, features: Sequence[str], key: str = C.KEY,
+                   most: int | None = None, background_rows: int = 50, seed: int = C.SEED,
+                   prediction_col: str = "prediction") -> DataFrame:
+    """M18 for any model with ``transform``: long form (key, feature, shapley_value).
+
+    The value of a coalition is the mean prediction with its features taken from the row
+    and the others from ``background_rows`` rows of ``background`` (the first by a hash of
+    the row).  ``most`` coalitions, 2 * features + 64 if not given; exact where these are
+    all, and for linear models always.  A row is scored (coalitions + 2) x background rows
+    times in one task, and summed there before the one shuffle by key.  Rows of an
+    equal key get the mean of their values; without background rows it is an error.
+    """
+    feats = list(features)
+    every, solution = kernel_solution(len(feats), 2 * len(feats) + 64 if most is None else most, seed)
+    spark = rows.sparkSession
+    kept = background.select(*[F.col(f).alias(f"_bg_{i}") for i, f in enumerate(feats)])
+    names = kept.columns
+    first = kept.orderBy(F.xxhash64(F.lit(seed), *names), *names).limit(background_rows)
+    first = first.agg(F.collect_list(F.struct(*names)).alias("_all")).select(F.posexplode("_all").alias("_b", "_r")).select("_b", "_r.*")
+    first = materialize(first)  # background_rows rows at most
+    n_bg = first.count()
+    if n_bg == 0:
+        raise ValueError("empty background")
+    sets = spark.createDataFrame(
+        [(c, [bool(x) for x in every[c]], solution[:, c].tolist()) for c in range(len(every))],
+        "_c int, _in array<boolean>, _share array<double>")
+    wide = rows.select(key, *[F.col(f).alias(f"_x_{i}") for i, f in enumerate(feats)],
+                       F.explode(F.sequence(F.lit(0), F.lit(len(every) - 1))).alias("_c")).join(F.broadcast(sets), "_c")
+    wide = wide.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_bg - 1)))).join(F.broadcast(first), "_b")
+    mixed = wide.select(key, "_share", *[F.when(F.col("_in")[i], F.col(f"_x_{i}")).otherwise(F.col(f"_bg_{i}")).alias(f)
+                                         for i, f in enumerate(feats)])
+    p = F.col(prediction_col) * F.lit(len(every))
+    values = model.transform(mixed).groupBy(key).agg(
+        *[F.avg(p * F.col("_share")[i]).alias(f"_v_{i}") for i in range(len(feats))])
+    return values.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_v_{i}").alias("shapley_value"))
+                                                 for i, f in enumerate(feats)])))
+
+
 def exact_pair_shapley(train: DataFrame, rows: DataFrame, a: str, b: str, key: str = C.KEY,
                        label: str = C.TARGET) -> DataFrame:
     """M18 in closed form for the group-mean predictor of two features, with all training rows as background.

@@ -929,6 +929,28 @@ def q_linear_shapley(spark, sf_dir):
     return finalize(X.linear_shapley(test, {feature: float(fitted.coefficients[0])}, {feature: mean}))
 
 
+LINEAR_PAIR = ("INITIAL_SEVERITY_LEVEL_CODE", "Hour")
+
+
+@register("m18_kernel_shapley", eval_sql(f"""
+SELECT te.CAD_INCIDENT_ID, f.feature, CASE f.feature WHEN 'Hour' THEN (m.bv * m.a2 - m.av * m.ab) / m.det * (te.Hour - m.b)
+       ELSE (m.av * m.b2 - m.bv * m.ab) / m.det * (te.INITIAL_SEVERITY_LEVEL_CODE - m.a) END AS shapley_value
+FROM te CROSS JOIN (SELECT *, a2 * b2 - ab * ab AS det FROM (
+    SELECT avg(INITIAL_SEVERITY_LEVEL_CODE) AS a, avg(Hour) AS b, var_pop(INITIAL_SEVERITY_LEVEL_CODE) AS a2, var_pop(Hour) AS b2,
+           covar_pop(INITIAL_SEVERITY_LEVEL_CODE, Hour) AS ab, covar_pop(INITIAL_SEVERITY_LEVEL_CODE, {TG}) AS av,
+           covar_pop(Hour, {TG}) AS bv FROM tr)) m,
+     (SELECT unnest(['INITIAL_SEVERITY_LEVEL_CODE', 'Hour']) AS feature) f""", ["shapley_value"]))
+def q_kernel_shapley(spark, sf_dir):
+    """Any-model attribution of a linear model of two features, against the training means: equals the closed form."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    train, test = E.train_test_split(orders_clean(spark, sf_dir))
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(LINEAR_PAIR), outputCol=LN.FEATURES), LN.linear()]).fit(train)
+    mean = train.agg(*[F.avg(f).alias(f) for f in LINEAR_PAIR])
+    rows = test.select(C.KEY, *[F.col(f).cast("double").alias(f) for f in LINEAR_PAIR])
+    return finalize(X.kernel_shapley(model, rows, mean, LINEAR_PAIR))
+
+
 # --- inputs that the fixtures lack: date forms, repeated ids ------------------
 @register("f1_parse_variants", """
 SELECT event_id, CASE WHEN k IN (0, 1) THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS dispatch_time,

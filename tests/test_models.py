@@ -1,5 +1,6 @@
 """Learning invariants: encoding parity, closed forms, stacking, Shapley efficiency."""
 
+import itertools
 import math
 
 import numpy as np
@@ -109,6 +110,70 @@ def test_shapley_efficiency(spark):
     assert shap.select("feature").distinct().count() == len(num + cat)
 
 
+class Formula:
+    """A model given by an expression."""
+
+    def __init__(self, expression):
+        self.expression = expression
+
+    def transform(self, df):
+        return df.withColumn("prediction", F.expr(self.expression))
+
+
+def _points(spark, n_features, n, first=0):
+    names = [f"x{i}" for i in range(n_features)]
+    rng = np.random.default_rng(n + first)
+    data = [(first + k, *map(float, rng.integers(-5, 6, n_features))) for k in range(n)]
+    return names, data, spark.createDataFrame(data, f"{C.KEY} long, " + ", ".join(f"{f} double" for f in names))
+
+
+def test_kernel_shapley_matches_enumerated_subsets(spark):
+    names, rows, df = _points(spark, 4, 6)
+    _, back, bg = _points(spark, 4, 5, first=100)
+
+    def f(x):
+        return x[0] * x[1] + (x[2] if x[3] > 0 else -2 * x[0]) + x[2] ** 2
+
+    got = {(r[C.KEY], r["feature"]): r["shapley_value"]
+           for r in X.kernel_shapley(Formula("x0 * x1 + IF(x3 > 0, x2, -2 * x0) + x2 * x2"), df, bg, names).collect()}
+    assert len(got) == 24
+    for k, *x in rows:
+        def v(members):
+            return np.mean([f([x[i] if i in members else b[i + 1] for i in range(4)]) for b in back])
+        for i in range(4):
+            others = [j for j in range(4) if j != i]
+            want = sum(math.factorial(len(s)) * math.factorial(3 - len(s)) / 24 * (v({*s, i}) - v(set(s)))
+                       for n in range(4) for s in itertools.combinations(others, n))
+            assert abs(got[k, names[i]] - want) < 1e-9
+
+
+def test_kernel_shapley_of_a_linear_model_is_exact_with_drawn_coalitions(spark):
+    names, rows, df = _points(spark, 12, 5)
+    _, back, bg = _points(spark, 12, 4, first=100)
+    z, w = X.coalitions(12, 60)
+    assert len(z) == 60 and (z.sum(axis=1) % 12 > 0).all() and abs(w.sum() - sum(11 / (s * (12 - s)) for s in range(1, 12))) < 1e-9
+    model = Formula(" + ".join(f"{i + 1} * {f}" for i, f in enumerate(names)))
+    for r in X.kernel_shapley(model, df, bg, names, most=60).collect():
+        i = names.index(r["feature"])
+        x = next(row for row in rows if row[0] == r[C.KEY])[i + 1]
+        assert abs(r["shapley_value"] - (i + 1) * (x - np.mean([b[i + 1] for b in back]))) < 1e-8
+
+
+def test_kernel_shapley_edges(spark):
+    names, _, df = _points(spark, 1, 3)
+    one = X.kernel_shapley(Formula("3 * x0"), df.union(df), df.limit(1), names)
+    assert {r[C.KEY] for r in one.collect()} == {0, 1, 2} and one.count() == 3
+    origin = df.limit(1).first()["x0"]
+    assert all(abs(r["shapley_value"] - 3 * (r["x0"] - origin)) < 1e-9 for r in one.join(df, C.KEY).collect())
+    assert X.kernel_shapley(Formula("x0"), df.limit(0), df, names).count() == 0
+    for bad in (lambda: X.kernel_shapley(Formula("x0"), df, df.limit(0), names), lambda: X.coalitions(12, 23)):
+        try:
+            bad()
+        except ValueError:
+            continue
+        raise AssertionError("expected an error")
+
+
 def test_partial_dependence_grid(spark):
     train, test, num, cat = setup(spark)
     model = E.GroupMeanRegressor(["BOROUGH", "Hour"]).fit(train)
