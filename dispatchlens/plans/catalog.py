@@ -1099,6 +1099,46 @@ def q_standardised(spark, sf_dir):
     return finalize(pre.transform(df).select(C.KEY, z[0].alias("z_hour"), z[1].alias("z_severity")))
 
 
+@register("m2_one_hot", ord_sql("""
+SELECT CAD_INCIDENT_ID, f.feature FROM ord CROSS JOIN (SELECT min(BOROUGH) AS b, min(INCIDENT_DISPATCH_AREA) AS c FROM ord) m,
+LATERAL (SELECT 'BOROUGH_' || BOROUGH AS feature WHERE BOROUGH <> m.b
+         UNION ALL SELECT 'INCIDENT_DISPATCH_AREA_' || INCIDENT_DISPATCH_AREA WHERE INCIDENT_DISPATCH_AREA <> m.c) f""", []))
+def q_one_hot(spark, sf_dir):
+    """The ones of every row's encoded vector, by feature name; the first level of a column has none."""
+    from pyspark.ml.functions import vector_to_array
+    df = orders_clean(spark, sf_dir)
+    pre = LN.Preprocessor([], ["BOROUGH", "INCIDENT_DISPATCH_AREA"]).fit(df)
+    names = F.array(*map(F.lit, pre.feature_names))
+    ones = F.filter(F.arrays_zip(names.alias("feature"), vector_to_array(LN.FEATURES).alias("one")), lambda x: x["one"] == 1.0)
+    return pre.transform(df).select(C.KEY, F.inline(ones)).drop("one")
+
+
+# --- inputs with other headers, several inputs, names --------------------------
+@register("p1_other_headers", ev_sql("SELECT * FROM ev", EV_DOUBLES))
+def q_other_headers(spark, sf_dir):
+    """Headers in small letters, with blanks around and blanks or hyphens inside: the same clean table."""
+    raw = FX.incidents_events(spark, sf_dir)
+    return finalize(CL.clean_incidents(raw.toDF(*[f" {c.lower().replace('_', ' -'[i % 2])}\t" for i, c in enumerate(raw.columns)])))
+
+
+@register("u1_union_inputs", """
+SELECT c_custkey AS id, c_name AS name, floor(c_acctbal * 100 + 0.5) AS cents, NULL::DOUBLE AS nation FROM customer
+UNION ALL SELECT s_suppkey, s_name, NULL, CAST(s_nationkey AS DOUBLE) FROM supplier""")
+def q_union_inputs(spark, sf_dir):
+    """Inputs of different columns, repeated rows kept: what one lacks is null."""
+    customers = FX.read_table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.floor(F.col("c_acctbal") * 100 + 0.5).cast("double").alias("cents"))
+    suppliers = FX.read_table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("name"), F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("double").alias("nation"))
+    return SR.union_inputs([customers, suppliers])
+
+
+@register("f16_slugs", "SELECT p_partkey, translate(lower(p_type || ' - ' || p_name), ' -', '__') AS slug FROM part")
+def q_slugs(spark, sf_dir):
+    return FX.read_table(spark, sf_dir, "part").select(
+        "p_partkey", S.slugify(F.concat_ws(" - ", "p_type", "p_name")).alias("slug"))
+
+
 # --- trained learners (rows-only checks) -------------------------------------
 def _ml_setup(spark, sf_dir):
     frame, num, cat = CL.make_model_frame(orders_clean(spark, sf_dir))
