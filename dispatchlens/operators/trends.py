@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -162,47 +163,57 @@ def great_circle_km(lat1, lon1, lat2, lon2):
     return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def nearest_station(incidents: DataFrame, stations: DataFrame, key: str = C.KEY, cell: float = 0.05) -> DataFrame:
+def nearest_station(incidents: DataFrame, stations: DataFrame, key: str = C.KEY, cell: float | None = None) -> DataFrame:
     """R2: ``key``, ``station_id`` and ``distance_km`` of the nearest station of each incident (both with lat, lon).
 
-    Stations lie in cells of ``cell`` degrees.  A round looks, for each distinct cell of
-    the incidents left, at the stations at most r cells away (r = 1, 2, 4 ...); an
-    incident is done when the best distance is no more than that to the border of those
-    cells.  So near stations are all that incidents are paired with.  Equal distances (to a
+    Stations lie in cells of ``cell`` degrees, by default of two stations or so.  A round looks, for
+    each distinct cell of the incidents left, at the stations at most one cell away, less those that
+    are nearest to no place of the cell; an incident is done when the best distance is no more than
+    that to the border of those cells.  The next round's cells are twice as wide.  An incident meets its
+    stations as one list, so its rows are not multiplied.  Equal distances (to a
     millimetre) go to the smaller station; incidents without coordinates get null; equal rows give one.
     For regions that don't reach a pole or the 180th meridian.
     """
     def in_cells(df, *names):
-        return df.where("lat is not null and lon is not null").select(*names, "lat", "lon", F.floor(F.col("lat") / cell).alias("cy"),
-                                                                      F.floor(F.col("lon") / cell).alias("cx"))
-
-    places = materialize(in_cells(stations, "station_id").select("station_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"),
-                                                                 F.col("cy").alias("y"), F.col("cx").alias("x")))
-    left = in_cells(incidents, key)
-    box = F.struct(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    of = places.agg(box.alias("b")).first()["b"]
-    out, r = None, 1
-    while of["y0"] is not None:
-        near = left.select("cy", "cx").distinct() \
-            .withColumn("y", F.explode(F.filter(F.sequence(F.col("cy") - r, F.col("cy") + r), lambda v: v.between(of["y0"], of["y1"])))) \
-            .withColumn("x", F.explode(F.filter(F.sequence(F.col("cx") - r, F.col("cx") + r), lambda v: v.between(of["x0"], of["x1"])))) \
-            .join(places, ["y", "x"]).select("cy", "cx", "station_id", "s_lat", "s_lon")
-        km = F.round(great_circle_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")), 6)
-        best = left.join(broadcast_if_small(materialize(near)), ["cy", "cx"], "left") \
-            .groupBy(key, "lat", "lon", "cy", "cx").agg(F.min(F.when(F.col("station_id").isNotNull(), F.struct(km.alias("d"), "station_id"))).alias("m"))
-        south, north = F.col("lat") - (F.col("cy") - r) * cell, (F.col("cy") + r + 1) * cell - F.col("lat")
-        west, east = F.col("lon") - (F.col("cx") - r) * cell, (F.col("cx") + r + 1) * cell - F.col("lon")
+        return df.select(*names, "lat", "lon", F.floor(F.col("lat") / cell).alias("cy"), F.floor(F.col("lon") / cell).alias("cx"))
+
+    places = materialize(stations.where("station_id is not null and lat is not null and lon is not null").select("station_id", "lat", "lon"))
+    of = places.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("a", F.min), ("z", F.max)))).first()
+    out = None
+    if of["n"]:
+        height, width = of["z_lat"] - of["a_lat"], of["z_lon"] - of["a_lon"]
+        cell = cell or max(math.sqrt(2 * height * width / of["n"]), (height + width) / of["n"], 1e-4)
+        left = incidents.where("lat is not null and lon is not null").select(key, "lat", "lon").distinct()
+    while of["n"]:
+        y0, y1, x0, x1 = (math.floor(of[c] / cell) for c in ("a_lat", "z_lat", "a_lon", "z_lon"))
+        here = in_cells(left, key)
+        at = in_cells(places, "station_id").select(F.col("cy").alias("y"), F.col("cx").alias("x"),
+                                                   F.struct("station_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).alias("s"))
+        # No place of a cell is farther from its middle than ``radius``, so the stations beyond the nearest and twice that are out.
+        middle = (F.col("cy") + 0.5) * cell, (F.col("cx") + 0.5) * cell
+        radius = F.greatest(*(great_circle_km(*middle, (F.col("cy") + k) * cell, F.col("cx") * cell) for k in (0, 1)))
+        ring = F.sequence(F.lit(-1), F.lit(1))
+        near = here.select("cy", "cx").distinct() \
+            .select("*", F.explode(F.transform(ring, lambda v: F.col("cy") + v)).alias("y")).where(F.col("y").between(y0, y1)) \
+            .select("*", F.explode(F.transform(ring, lambda v: F.col("cx") + v)).alias("x")).where(F.col("x").between(x0, x1)) \
+            .join(at, ["y", "x"]).withColumn("far", great_circle_km(*middle, F.col("s.s_lat"), F.col("s.s_lon"))) \
+            .groupBy("cy", "cx").agg(F.collect_list(F.struct("far", "s")).alias("all"), (F.min("far") + 1e-5).alias("least")) \
+            .select("cy", "cx", F.transform(F.filter("all", lambda v: v["far"] <= F.col("least") + 2 * radius), lambda v: v["s"]).alias("near"))
+        best = here.join(broadcast_if_small(materialize(near)), ["cy", "cx"], "left").withColumn("m", F.array_min(F.transform("near", lambda s: F.struct(
+            F.round(great_circle_km(F.col("lat"), F.col("lon"), s["s_lat"], s["s_lon"]), 6).alias("d"), s["station_id"].alias("station_id"))))).drop("near")
+        south, north = F.col("lat") - (F.col("cy") - 1) * cell, (F.col("cy") + 2) * cell - F.col("lat")
+        west, east = F.col("lon") - (F.col("cx") - 1) * cell, (F.col("cx") + 2) * cell - F.col("lon")
         across = F.lit(EARTH_KM) * F.asin(F.cos(F.radians(F.greatest(F.abs(F.col("lat") - south), F.abs(F.col("lat") + north))))
                                           * F.sin(F.radians(F.least(west, east, F.lit(90.0)))))
         safe = F.least(F.lit(EARTH_KM) * F.radians(F.least(south, north)), across)
-        whole = (F.col("cy") - r <= of["y0"]) & (F.col("cy") + r >= of["y1"]) & (F.col("cx") - r <= of["x0"]) & (F.col("cx") + r >= of["x1"])
-        best = materialize(best.withColumn("done", whole | F.coalesce(F.col("m.d") <= safe, F.lit(False))))
+        whole = (F.col("cy") - 1 <= y0) & (F.col("cy") + 1 >= y1) & (F.col("cx") - 1 <= x0) & (F.col("cx") + 1 >= x1)
+        best = best.withColumn("done", whole | F.coalesce(F.col("m.d") <= safe, F.lit(False)))
         done = best.where("done").select(key, "m.station_id", F.col("m.d").alias("distance_km"))
         out = done if out is None else out.unionByName(done)
-        left = best.where("not done").select(key, "lat", "lon", "cy", "cx")
+        left = materialize(best.where("not done").select(key, "lat", "lon"))  # the others are found as they are read
         if left.isEmpty():
             break
-        r *= 2
+        cell *= 2
     none = F.lit(None)
     lost = incidents.where("lat is null or lon is null") if out is not None else incidents
     lost = lost.select(key, none.cast(stations.schema["station_id"].dataType).alias("station_id"), none.cast("double").alias("distance_km"))

@@ -55,6 +55,26 @@ def test_nearest_station_over_sparse_cells(spark):
     assert TR.nearest_station(one, two.limit(0), key="id").where("station_id is not null").count() == 0
 
 
+def test_nearest_station_of_a_dense_place_meets_few_stations(spark):
+    """3000 stations in one cell of 0.05 degrees and some far away: default cells follow them, distances stay exact."""
+    rng = random.Random(3)
+    stations = [(i, rng.uniform(55.0, 55.04), rng.uniform(10.0, 10.04)) for i in range(3000)] + [(5000 + i, 55.0, 10.2 + i / 10) for i in range(3)]
+    incidents = [(i, rng.uniform(55.0, 55.04), rng.uniform(10.0, 10.04)) for i in range(60)] + [(900, 55.3, 10.4), (901, 54.0, 9.0), (902, 55.01, 10.3)]
+    one = spark.createDataFrame(incidents + incidents[:3], "id long, lat double, lon double")
+    two = spark.createDataFrame(stations, "station_id long, lat double, lon double")
+    sizes, broadcast = [], TR.broadcast_if_small
+    TR.broadcast_if_small = lambda near: sizes.append(near.agg(F.max(F.size("near"))).first()[0]) or broadcast(near)
+    try:
+        got = TR.nearest_station(one, two, key="id").collect()
+    finally:
+        TR.broadcast_if_small = broadcast
+    assert len(got) == len(incidents) and sizes[0] < 500
+    for r in got:
+        _, lat, lon = next(i for i in incidents if i[0] == r.id)
+        d, s = min((round(km(lat, lon, y, x), 6), s) for s, y, x in stations)
+        assert abs(r.distance_km - d) < 2e-6 and r.station_id == s
+
+
 def test_tree_values_are_those_of_all_subsets():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 5, (200, 4)).astype(float)
