@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,6 +30,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
+from pyspark.serializers import CPickleSerializer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,9 @@ from ..session import ensure_checkpoint_dir
 UNIT = 2.0 ** -24
 #: Rounds between two checkpoints.
 KEPT_ROUNDS = 25
-#: Partitions from which on sums are merged on executors first.
-WIDE = 64
+#: Bytes of sums that tasks send straight to the driver; more meet on executors first, in so many pieces.
+DIRECT = 1 << 20
+PIECES = 4
 FEATURES = "features"
 
 
@@ -78,6 +81,10 @@ class Tree:
         self.gain.append(0.0)
         return len(self.feature) - 1
 
+    def compact(self) -> "Tree":
+        """What places and values need, as arrays: quick to send."""
+        return Tree(*map(np.array, (self.feature, self.bin, self.left, self.right, self.value)))
+
     def places(self, bins: np.ndarray) -> np.ndarray:
         """The node that each row of binned features ends in."""
         feature, at_bin, left, right = (np.array(x) for x in (self.feature, self.bin, self.left, self.right))
@@ -125,8 +132,10 @@ class BoostedModel:
         return out
 
     def scored(self, features: Column) -> Column:
+        model = type(self)(self.base, self.rate, [t.compact() for t in self.trees], self.edges, self.n_features)
+
         def run(x: pd.Series) -> pd.Series:
-            return pd.Series(self.predict(np.stack(x.to_numpy()) if len(x) else np.zeros((0, self.n_features))))
+            return pd.Series(model.predict(np.stack(x.to_numpy()) if len(x) else np.zeros((0, model.n_features))))
 
         return F.pandas_udf(run, "double")(features)
 
@@ -189,7 +198,6 @@ def _blocks(df: DataFrame, edges: list[list[float]], label: str, key: str, fold:
             bins = np.stack([np.searchsorted(np.array(e), x[:, c]) for c, e in enumerate(edges)], axis=1)
             yield bins.astype(np.uint8 if max(map(len, edges)) < 256 else np.uint16), y, k.view(np.uint64), part, np.zeros((len(y), models))
 
-    from pyspark.serializers import CPickleSerializer
     import pyarrow as pa
 
     def packed(batches):
@@ -199,18 +207,179 @@ def _blocks(df: DataFrame, edges: list[list[float]], label: str, key: str, fold:
     return cols.mapInArrow(packed, "block binary").rdd.map(lambda r: CPickleSerializer().loads(bytes(r.block)))
 
 
-def summed(rdd, work) -> list[np.ndarray]:
-    """Sum over all partitions of the arrays that ``work`` makes of a block."""
-    add = lambda a, b: [x + y for x, y in zip(a, b)]
-    made = rdd.map(work)
-    if rdd.getNumPartitions() > WIDE:
-        return made.treeReduce(add, depth=2)
+def summed(rdd, work, size: int = 0) -> list[np.ndarray]:
+    """Sum over all partitions of the arrays that ``work`` makes of a block, ``size`` bytes or so.
+
+    Where the arrays of all partitions are large they meet on executors, each of which adds up
+    some of the rows, so the driver gets every sum once however many partitions there are.
+    """
+    def added(blocks):
+        out = None
+        for block in blocks:
+            part = work(block)
+            out = part if out is None else [x + y for x, y in zip(out, part)]
+        return [] if out is None else [out]
+
+    def packed(arrays):
+        return [zlib.compress(CPickleSerializer().dumps(arrays), 1)]
+
+    made, parts = rdd.mapPartitions(added), rdd.getNumPartitions()
+    if parts * size > DIRECT:
+        pieces = min(parts, PIECES)
+        cut = made.flatMap(lambda arrays: [(k, p) for k, p in enumerate(zip(*(np.array_split(x, pieces) for x in arrays)))])
+        met = dict(cut.reduceByKey(lambda a, b: [x + y for x, y in zip(a, b)], pieces).collect())
+        return [np.concatenate(x) for x in zip(*(met[k] for k in range(pieces)))]
     out = None
-    for part in made.collect():
-        out = part if out is None else add(out, part)
+    for sent in made.flatMap(packed).collect():
+        part = CPickleSerializer().loads(zlib.decompress(sent))
+        out = part if out is None else [x + y for x, y in zip(out, part)]
     return out
 
 
+@dataclass
+class Bundles:
+    """Binned features as fewer columns of codes.
+
+    Features of two bins of which no row has two in the upper one share a column: code 0 is
+    none of them, others are one feature's upper bin.  Other features are columns of their own.
+    """
+
+    columns: list[list[int]]
+    edges: list[list[float]]
+
+    def __post_init__(self):
+        self.column, self.upper = np.zeros(len(self.edges), np.intp), np.zeros(len(self.edges), np.int64)
+        for c, members in enumerate(self.columns):
+            for k, f in enumerate(members):
+                self.column[f], self.upper[f] = c, k + 1 if len(members) > 1 else 0
+        self.codes = [len(m) + 1 if len(m) > 1 else len(self.edges[m[0]]) + 1 for m in self.columns]
+        self.start = np.concatenate([[0], np.cumsum([len(e) + 1 for e in self.edges])])
+
+    @classmethod
+    def found(cls, together: np.ndarray, binary: list[int], edges: list[list[float]]) -> "Bundles":
+        """``together`` counts the rows that have two of the ``binary`` features in the upper bin."""
+        columns, at = [], {f: k for k, f in enumerate(binary)}
+        for f in binary:
+            for members in columns:
+                if len(members) < 254 and not together[at[f], [at[m] for m in members]].any():
+                    members.append(f)
+                    break
+            else:
+                columns.append([f])
+        return cls(columns + [[f] for f, e in enumerate(edges) if f not in at and e], edges)
+
+    def coded(self, bins: np.ndarray) -> np.ndarray:
+        """Columns x rows."""
+        out = np.zeros((len(self.columns), len(bins)), np.uint8 if max(self.codes, default=1) <= 256 else np.uint16)
+        for c, members in enumerate(self.columns):
+            for k, f in enumerate(members):
+                out[c] += bins[:, f] * (k + 1 if len(members) > 1 else 1)
+        return out
+
+    def spread(self, sums: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Sums per code of all columns, and per node, as sums per bin of all features."""
+        out = np.zeros((len(sums), int(self.start[-1])), np.int64)
+        for f, a in enumerate(self.start[:-1]):  # features of one bin
+            out[:, a] = total
+        first = 0
+        for members, n in zip(self.columns, self.codes):
+            for k, f in enumerate(members):
+                if len(members) == 1:
+                    out[:, self.start[f]:self.start[f + 1]] = sums[:, first:first + n]
+                else:
+                    out[:, self.start[f] + 1] = sums[:, first + k + 1]
+                    out[:, self.start[f]] = total - sums[:, first + k + 1]
+            first += n
+        return out
+
+    def steps(self, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+        """Each node's column, and the node that follows it by code (leaves follow themselves)."""
+        feature, at_bin, left, right = (np.array(x) for x in (tree.feature, tree.bin, tree.left, tree.right))
+        code, nodes = np.arange(max(self.codes, default=1)), np.arange(len(feature), dtype=np.int32)
+        column = np.where(feature >= 0, self.column[feature], 0)
+        upper = self.upper[feature][:, None]  # the code of a bundled feature's upper bin
+        down = np.where(upper > 0, (code == upper) & (at_bin < 1)[:, None], code > at_bin[:, None])
+        follows = np.where(down, right[:, None], left[:, None]).astype(np.int32)
+        return column, np.where((feature >= 0)[:, None], follows, nodes[:, None])
+
+
+def code_places(codes: np.ndarray, tree: Tree, steps: tuple[np.ndarray, np.ndarray], rows: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The node that each of ``rows`` ends in; with ``wanted`` (true for nodes to find) -1 where it is no such one."""
+    column, follows = steps
+    flat, n, wide = codes.ravel(), codes.shape[1], follows.shape[1]
+    inner = np.array(tree.feature) >= 0
+    if wanted is not None:  # go on only where a wanted node lies below
+        useful = wanted.copy()
+        for node in range(len(inner) - 1, -1, -1):
+            if inner[node]:
+                useful[node] |= useful[tree.left[node]] or useful[tree.right[node]]
+        inner = inner & useful & ~wanted
+    follows = follows.ravel()
+    out = np.zeros(len(rows), np.int32)
+    if inner[0]:
+        going, at, own = np.arange(len(rows)), out, rows
+        while len(going):
+            at = follows[at * wide + flat[column[at] * n + own]]
+            out[going] = at
+            on = inner[at]
+            going, at, own = going[on], at[on], own[on]
+    return out if wanted is None else np.where(wanted[out], out, -1)
+
+
+def code_sums(codes: np.ndarray, sizes: list[int], rows: np.ndarray, slot: np.ndarray | None, slots: int, gradient: np.ndarray,
+              weight: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Per slot: sums of ``gradient`` and counts by code of all columns, and over all rows (slots x codes, then slots)."""
+    g, h = (np.zeros((slots, sum(sizes)), np.int64) for _ in range(2))
+    tg, th = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
+    for a in range(0, len(rows), 1 << 16):  # sums below 2**53 are exact as doubles
+        some = slice(a, a + (1 << 16))
+        here, value, by = rows[some], gradient[some], None if slot is None else slot[some].astype(np.int64)
+        count = None if weight is None else weight[some]
+        base = np.zeros(len(here), np.int64) if by is None else by
+        tg += np.bincount(base, value, slots).astype(np.int64)
+        th += np.bincount(base, count, slots).astype(np.int64)
+        first = 0
+        for c, size in enumerate(sizes):
+            code = codes[c][here]
+            place = code if by is None else by * size + code
+            g[:, first:first + size] += np.bincount(place, value, slots * size).astype(np.int64).reshape(slots, size)
+            h[:, first:first + size] += np.bincount(place, count, slots * size).astype(np.int64).reshape(slots, size)
+            first += size
+    return g, h, tg, th
+
+
+def bundled_blocks(df: DataFrame, edges: list[list[float]], label: str, key: str, fold: str | None, models: int):
+    """``_blocks`` with bundled codes (columns x rows) for bins, on as many tasks as there are cores or more; and the bundles."""
+    sc = df.sparkSession.sparkContext
+    raw = _blocks(df, edges, label, key, fold, models)
+    parts = raw.getNumPartitions()
+    if parts < sc.defaultParallelism:
+        raw = _blocks(df.repartition(sc.defaultParallelism, *[key][:key in df.columns]), edges, label, key, fold, models)
+    elif parts > sc.defaultParallelism:
+        raw = raw.coalesce(max(sc.defaultParallelism, parts // 8))
+    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
+    binary = [f for f, e in enumerate(edges) if len(e) == 1]
+    compared = [binary[k:k + 512] for k in range(0, len(binary), 512)]
+
+    def pairs(block):
+        out = []
+        for group in compared:
+            made = np.zeros((len(group), len(group)), np.int64)
+            for a in range(0, len(block[0]), 1 << 16):
+                on = (block[0][a:a + (1 << 16), group] > 0).astype(np.float32)
+                made += (on.T @ on).astype(np.int64)
+            out.append(made)
+        return out
+
+    together = np.ones((len(binary), len(binary)), np.int64)  # features that were not compared stay apart
+    if compared:
+        for k, part in enumerate(summed(raw, pairs, 8 * max(map(len, compared)) ** 2) or []):
+            together[512 * k:512 * k + len(part), 512 * k:512 * k + len(part)] = part
+    bundles = Bundles.found(together, binary, edges)
+    state = raw.map(lambda b: (bundles.coded(b[0]), *b[1:])).persist(StorageLevel.MEMORY_AND_DISK)
+    return state, raw, bundles
+
+
 def best_splits(gradient: np.ndarray, rows: np.ndarray, start: np.ndarray, columns: np.ndarray, cfg: BoostConfig):
     """Of each node (a row of sums per bin): gain, feature and last bin on the left of its best split, and the left's sums.
 
@@ -310,9 +479,9 @@ def fit_together(df: DataFrame, models: list[tuple[BoostConfig, int | None]], la
     sc = df.sparkSession.sparkContext
     ensure_checkpoint_dir(df.sparkSession)
     edges = edges if edges is not None else bin_edges(df, max(cfg.max_bins for cfg, _ in models))
-    start = np.concatenate([[0], np.cumsum([len(e) + 1 for e in edges])])
-    n_models, size = len(models), int(start[-1])
-    state = _blocks(df, edges, label, key, fold, n_models).persist(StorageLevel.MEMORY_AND_DISK)
+    n_models = len(models)
+    state, raw, bundles = bundled_blocks(df, edges, label, key, fold, n_models)
+    start, size = bundles.start, sum(bundles.codes)
 
     def trains(part: np.ndarray, m: int) -> np.ndarray:
         return part != models[m][1] if models[m][1] is not None else np.ones(len(part), bool)
@@ -326,44 +495,42 @@ def fit_together(df: DataFrame, models: list[tuple[BoostConfig, int | None]], la
     base = [float(s * UNIT / n) if n else 0.0 for s, n in found]
     done: list[list[Tree]] = [[] for _ in models]
     trees: list[Tree] = []
-    old = []
+    old = [raw]
 
     def updated(block, trees=None):
-        bins, y, k, part, scores = block
-        scores = scores.copy()
+        codes, y, k, part, scores = block
+        scores, every = scores.copy(), np.arange(len(y))
         for m, tree in enumerate(trees):
             if tree is None:
                 scores[:, m] = base[m]
             else:
-                scores[:, m] += models[m][0].step_size * np.array(tree.value)[tree.places(bins)]
-        return bins, y, k, part, scores
+                scores[:, m] += models[m][0].step_size * np.array(tree.value)[code_places(codes, tree, bundles.steps(tree), every)]
+        return codes, y, k, part, scores
 
     def sums_of(block, turn, growing, wanted):
-        """Gradients and counts of the wanted nodes of each model, per bin."""
-        bins, y, k, part, scores = block
+        """Gradients and counts of the wanted nodes of each model, per code and in all."""
+        codes, y, k, part, scores = block
         out = []
         for m, (cfg, _) in enumerate(models):
             if wanted[m] is None:
-                out += [np.zeros((0, size), np.int64)] * 2
                 continue
-            on = trains(part, m) & drawn(k, cfg.subsampling_rate, seed + 7919 * turn)
-            rows = np.flatnonzero(on)
-            slots = 1
-            slot = np.zeros(len(rows), np.int64)
+            rows = np.flatnonzero(trains(part, m) & drawn(k, cfg.subsampling_rate, seed + 7919 * turn))
+            slots, slot = 1, None
             if growing[m] is not None:
-                number = np.full(len(growing[m].feature), -1, np.int64)
-                number[wanted[m]] = np.arange(len(wanted[m]))
-                slot = number[growing[m].places(bins[rows])]
-                rows, slot, slots = rows[slot >= 0], slot[slot >= 0], len(wanted[m])
-            gradient = np.rint((scores[rows, m] - y[rows]) / UNIT)
-            g, h = np.zeros(slots * size, np.int64), np.zeros(slots * size, np.int64)
-            for a in range(0, len(rows), 1 << 16):  # sums below 2**53 are exact as doubles
-                some = slice(a, a + (1 << 16))
-                place = (slot[some, None] * size + start[:-1][None, :] + bins[rows[some]]).ravel()
-                g += np.bincount(place, np.repeat(gradient[some], len(edges)), slots * size).astype(np.int64)
-                h += np.bincount(place, minlength=slots * size)
-            out += [g.reshape(slots, size), h.reshape(slots, size)]
-        return out
+                tree, slots = growing[m], len(wanted[m])
+                number = np.full(len(tree.feature), -1, np.int64)
+                number[wanted[m]] = np.arange(slots)
+                node = code_places(codes, tree, bundles.steps(tree), rows, number >= 0)
+                rows, slot = rows[node >= 0], number[node[node >= 0]]
+            out.append(code_sums(codes, bundles.codes, rows, slot, slots, np.rint((scores[rows, m] - y[rows]) / UNIT)))
+        return [np.concatenate(x) for x in zip(*out)]
+
+    def wanted_sums(state, turn, growing, wanted):
+        """Per model the wanted nodes' gradients and counts per bin."""
+        slots = [len(w) if w else 0 for w in wanted]
+        g, h, tg, th = summed(state, lambda b: sums_of(b, turn, growing, wanted), sum(slots) * (size + 1) * 16)
+        g, h, end = bundles.spread(g, tg), bundles.spread(h, th), np.cumsum(slots)
+        return [(g[e - n:e], h[e - n:e]) for e, n in zip(end, slots)]
 
     for turn in range(max(cfg.max_iter for cfg, _ in models)):
         active = [turn < cfg.max_iter for cfg, _ in models]
@@ -375,21 +542,21 @@ def fit_together(df: DataFrame, models: list[tuple[BoostConfig, int | None]], la
             old.append(before)
         columns = [drawn(np.arange(len(edges), dtype=np.uint64), cfg.column_rate, seed + 104729 * turn + 1) for cfg, _ in models]
         growing = [Growing(cfg, start, c if c.any() else np.ones(len(edges), bool)) for (cfg, _), c in zip(models, columns)]
-        found = summed(state, lambda b, t=turn: sums_of(b, t, [None] * n_models, [[0] if a else None for a in active]))
+        found = wanted_sums(state, turn, [None] * n_models, [[0] if a else None for a in active])
         for rdd in old:
             rdd.unpersist()
         old = []
         for m in np.flatnonzero(active):
-            growing[m].root(found[2 * m][0], found[2 * m + 1][0])
+            growing[m].root(found[m][0][0], found[m][1][0])
         while True:
             wanted = [(grow.expand() or None) if a else None for grow, a in zip(growing, active)]
             if not any(wanted):
                 break
             partial = [g.tree if w else None for g, w in zip(growing, wanted)]
-            found = summed(state, lambda b, t=turn, p=partial, w=wanted: sums_of(b, t, p, w))
+            found = wanted_sums(state, turn, partial, wanted)
             for m, w in enumerate(wanted):
                 if w:
-                    growing[m].scanned(found[2 * m], found[2 * m + 1])
+                    growing[m].scanned(*found[m])
                 else:
                     growing[m].scan = []
         trees = []

@@ -133,3 +133,35 @@ def test_odd_rows(spark):
     assert model.predict(np.zeros((2, 4))).tolist() == [2.0, 2.0]
     with pytest.raises(ValueError):
         B.Boosted(B.BoostConfig(max_iter=1), label="y", key="id").fit(same.limit(0))
+
+
+def test_bundled_sums_and_places_are_those_of_the_features():
+    rng = np.random.default_rng(7)
+    level, x = rng.integers(0, 5, 500), rng.integers(0, 6, 500)
+    bins = np.stack([x, *(level == v for v in range(1, 5)), rng.integers(0, 2, 500), np.zeros(500, int)], axis=1).astype(np.uint8)
+    edges = [[0.0, 1.0, 2.0, 3.0, 4.0]] + [[0.0]] * 5 + [[]]
+    binary = [1, 2, 3, 4, 5]
+    on = bins[:, binary].astype(int)
+    bundles = B.Bundles.found(on.T @ on, binary, edges)
+    assert sorted(map(sorted, bundles.columns)) == [[0], [1, 2, 3, 4], [5]]
+    codes, slot, g = bundles.coded(bins), rng.integers(0, 3, 500), rng.integers(-9, 9, 500).astype(float)
+    sums, rows, total, n = B.code_sums(codes, bundles.codes, np.arange(500), slot, 3, g)
+    got_g, got_h = bundles.spread(sums, total), bundles.spread(rows, n)
+    for s in range(3):
+        for f, a in enumerate(bundles.start[:-1]):
+            for b in range(len(edges[f]) + 1):
+                here = (slot == s) & (bins[:, f] == b)
+                assert got_g[s, a + b] == g[here].sum() and got_h[s, a + b] == here.sum()
+    tree = B.Tree([3, 0, -1, -1, 5, -1, -1], [0, 2, 0, 0, 0, 0, 0], [1, 3, -1, -1, 5, -1, -1], [2, 4, -1, -1, 6, -1, -1], [0.0] * 7)
+    want = tree.places(bins)
+    assert np.array_equal(B.code_places(codes, tree, bundles.steps(tree), np.arange(500)), want)
+    asked = np.isin(np.arange(7), [2, 5])
+    assert np.array_equal(B.code_places(codes, tree, bundles.steps(tree), np.arange(500), asked), np.where(asked[want], want, -1))
+
+
+def test_large_sums_reach_the_driver_once(spark):
+    rdd = spark.sparkContext.parallelize(range(30), 30)
+    work = lambda b: [np.full((7, 5), b), np.arange(6) + b]
+    for size in (1, 1 << 30):
+        got = B.summed(rdd, work, size)
+        assert (got[0] == 435).all() and got[0].shape == (7, 5) and got[1].tolist() == [435 + 30 * k for k in range(6)]
