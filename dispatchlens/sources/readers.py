@@ -188,6 +188,7 @@ _MODEL_CLASSES = {
     "LinearRegressionModel": "pyspark.ml.regression.LinearRegressionModel",
     "RandomForestRegressionModel": "pyspark.ml.regression.RandomForestRegressionModel",
     "BoostedModel": "dispatchlens.operators.boosting.BoostedModel",
+    "ForestModel": "dispatchlens.operators.bagging.ForestModel",
 }
 
 
