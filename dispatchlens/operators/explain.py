@@ -7,9 +7,9 @@
   sampling estimator of Strumbelj and Kononenko.  For every explained row and
   every draw m = 1..M a background row and a feature permutation (both by
   ``xxhash64`` of seed, row and draw) are chosen; the F+1 hybrid rows along the
-  permutation path are scored in one ``transform``; consecutive differences,
-  taken with a window over each (row, draw) path of F+1 rows, are attributed to
-  the feature added at that step; ``groupBy(row, feature)`` averages them.  The
+  permutation path are scored in one ``transform``; each prediction counts for the
+  feature added at its step and against the one added next, so the consecutive
+  differences add up in one ``groupBy(row)`` and no path is shuffled.  The
   values of a row sum exactly to f(x) minus the mean background prediction.
   The background table is bounded by ``background_rows`` and joined on an
   equi-key with a broadcast.
@@ -76,14 +76,14 @@ def sampled_shapley(model, rows: DataFrame, background: DataFrame, features: Seq
         pos = F.array_position(F.col("_perm"), F.lit(i)) - 1
         hybrid_cols.append(F.when(pos < F.col("_s"), F.col(f)).otherwise(F.col(f"_bg_{i}")).alias(f))
     hybrid = steps.select(key, "_m", "_s", "_perm", *hybrid_cols)
-    scored = model.transform(hybrid).select(key, "_m", "_s", "_perm", F.col(prediction_col).alias("_p"))
-    w = Window.partitionBy(key, "_m").orderBy("_s")
-    diffs = (scored.withColumn("_d", F.col("_p") - F.lag("_p").over(w))
-                   .where(F.col("_s") > 0)
-                   .withColumn("_fi", F.element_at(F.col("_perm"), F.col("_s").cast("int"))))
-    names = F.array(*[F.lit(f) for f in feats])
-    return (diffs.groupBy(key, "_fi").agg(F.avg("_d").alias("shapley_value"))
-                 .select(key, F.element_at(names, F.col("_fi") + 1).alias("feature"), "shapley_value"))
+    # A step's prediction counts for the feature it adds and against the next one's, so a row's
+    # hybrids are summed in their own task.  Copies of a row make one path, averaged over them all.
+    n, p = F.count_if(F.col("_s") == 0), F.col(prediction_col)
+    values = model.transform(hybrid).groupBy(key).agg(n.alias("_n"), *[
+        F.sum(F.when(F.get("_perm", F.col("_s") - 1) == i, p).when(F.get("_perm", F.col("_s")) == i, -p)).alias(f"_v_{i}") for i in range(nf)])
+    return values.select(key, F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), (F.col(f"_v_{i}") / F.col("_n") * F.lit(draws) / F.col("_n")).alias("shapley_value"))
+        for i, f in enumerate(feats)])))
 
 
 def coalitions(n: int, most: int, seed: int = C.SEED) -> tuple[np.ndarray, np.ndarray]:

@@ -110,6 +110,19 @@ def test_shapley_efficiency(spark):
     assert shap.select("feature").distinct().count() == len(num + cat)
 
 
+def test_sampled_shapley_keeps_paths_in_their_tasks(spark):
+    """Hybrids are summed where they are made; no window over paths."""
+    names, rows, df = _points(spark, 3, 4)
+    _, back, bg = _points(spark, 3, 1, first=100)
+    shap = X.sampled_shapley(Formula("x0 * x1 + x2"), df, bg, names, draws=4, background_rows=1)
+    assert "lag(" not in shap._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r[C.KEY], r["feature"]): r["shapley_value"] for r in shap.collect()}
+    assert len(got) == 12
+    for k, *x in rows:
+        total = x[0] * x[1] + x[2] - back[0][1] * back[0][2] - back[0][3]
+        assert abs(sum(got[k, f] for f in names) - total) < 1e-9 and abs(got[k, "x2"] - (x[2] - back[0][3])) < 1e-9
+
+
 class Formula:
     """A model given by an expression."""
 
