@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.serializers import CloudPickleSerializer
 
 from dispatchlens.operators import boosting as B
 
@@ -165,3 +166,45 @@ def test_large_sums_reach_the_driver_once(spark):
     for size in (1, 1 << 30):
         got = B.summed(rdd, work, size)
         assert (got[0] == 435).all() and got[0].shape == (7, 5) and got[1].tolist() == [435 + 30 * k for k in range(6)]
+
+
+def test_packed_sums_and_passing_rows_are_those_of_the_features():
+    rng = np.random.default_rng(11)
+    sizes = [30, 2, 9, 300, 5, 2]
+    bins = np.stack([rng.integers(0, n, 2000) for n in sizes] + [np.zeros(2000, int)], axis=1).astype(np.uint16)
+    edges = [[float(v) for v in range(n - 1)] for n in sizes] + [[]]
+    on = bins[:, [1, 5]].astype(int)
+    bundles = B.Bundles.found(on.T @ on, [1, 5], edges)
+    packs, codes = B.Packs(bundles), bundles.coded(bins)
+    assert sorted(sum(packs.members, [])) == list(range(len(bundles.codes))) and len(packs.members) < len(bundles.codes)
+    packed, slot, g = packs.packed(codes), rng.integers(0, 3, 2000), rng.integers(-9, 9, 2000).astype(float)
+    want = B.code_sums(codes, bundles.codes, np.arange(2000), slot, 3, g)
+    got = B.code_sums(packed, packs.sizes, np.arange(2000), slot, 3, g)
+    for part in (0, 1):
+        assert np.array_equal(packs.apart(got[part]), want[part]) and np.array_equal(got[part + 2], want[part + 2])
+    tree = B.Tree()
+    tree.add(0, 2000, 0.0)
+    for node in range(150):  # 151 leaves: more than two words of 64
+        f = int(rng.integers(0, len(sizes)))
+        tree.feature[node], tree.bin[node] = f, int(rng.integers(0, len(edges[f])))
+        tree.left[node], tree.right[node] = tree.add(0, 1, 0.0), tree.add(0, 1, 0.0)
+    place, some, shape = tree.places(bins), rng.random(2000) < 0.7, tree.compact()
+    ends = np.flatnonzero(shape.feature < 0)
+    rows, end = packs.passing(packed, shape, ends, some)
+    assert sorted(rows) == list(np.flatnonzero(some)) and np.array_equal(ends[end], place[rows])
+    rows, end = packs.passing(packed, shape, ends[::3], some)
+    assert sorted(rows) == list(np.flatnonzero(some & np.isin(place, ends[::3]))) and np.array_equal(ends[::3][end], place[rows])
+
+
+def test_what_tasks_get_does_not_hold_trees(spark, monkeypatch):
+    """A round's trees are sent beside its jobs, else every later job carries those of all rounds since a checkpoint."""
+    x, y = data(2, 300)
+    sizes, summed = [], B.summed
+
+    def seen(rdd, work, size=0):
+        sizes.append(len(CloudPickleSerializer().dumps(rdd.func)))
+        return summed(rdd, work, size)
+
+    monkeypatch.setattr(B, "summed", seen)
+    B.fit_together(frame(spark, x, y), [(B.BoostConfig(max_iter=3, max_depth=6), None)], "y", key="id")
+    assert max(sizes[2:]) - min(sizes[2:]) < 500
