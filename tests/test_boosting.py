@@ -208,3 +208,12 @@ def test_what_tasks_get_does_not_hold_trees(spark, monkeypatch):
     monkeypatch.setattr(B, "summed", seen)
     B.fit_together(frame(spark, x, y), [(B.BoostConfig(max_iter=3, max_depth=6), None)], "y", key="id")
     assert max(sizes[2:]) - min(sizes[2:]) < 500
+
+
+def test_checkpoints_change_nothing(spark, monkeypatch):
+    x, y = data(6, 200)
+    models = [(B.BoostConfig(max_iter=5, max_depth=3), 0), (B.BoostConfig(max_iter=3, max_depth=4, leaves=5), None)]
+    df = frame(spark, x, y)
+    want = [m.to_json() for m in B.fit_together(df, models, "y", key="id", fold="fold")]
+    monkeypatch.setattr(B, "KEPT_ROUNDS", 2)
+    assert [m.to_json() for m in B.fit_together(df, models, "y", key="id", fold="fold")] == want
