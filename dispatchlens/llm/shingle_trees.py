@@ -11,14 +11,17 @@ the global order, frequent shingles first, so that similar ones share long paths
 ``CUTS[k]`` of all paths; a probe goes down with the overlap that it has with a
 path, once for all sets below, and leaves a subtree as soon as the shingles missed
 on the way are more than its largest set may miss, or all its sets are linked
-with the probe already.
+with the probe already.  Where a subtree is one set, its ``Parities`` and the probe's
+tell how many shingles the two differ in at least, before the rest of the path is read.
 
 First every node joins one tree, in its most popular bucket, with the bucket's most
 popular node as first probe and then all that it did not link.  Large buckets are cut
 into chunks by hash, the popular node goes to each.  That links nearly all that can be
-linked.  Buckets whose nodes are then not all in one component are joined whole: of
-small ones the pairs that share enough buckets, of large ones the nodes outside the
-largest component with chunks of all others.  Nothing is capped.
+linked.  Of buckets whose nodes are then not all in one component, pairs of different
+components and first trees are compared: of small buckets those that may share enough, of
+large ones the nodes outside the largest component with chunks of all others.  A pair that
+meets in large buckets only shares so many that each node may leave its most popular ones
+but the last of that number.  Nothing is capped.
 
 Nodes and shingles are known by 64-bit hashes.
 
@@ -34,7 +37,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, merged
@@ -50,11 +53,22 @@ SMALL = 32
 CHUNK = 1 << 20
 #: Shingles that probes compare at once, beyond those of one probe below one node.
 STEP = 1 << 21
+#: Pairs of a probe and a node that are looked at together.
+PAIRS = 1 << 18
+#: Bits of a set's parities for each of its shingles, at least.
+DENSE = 2
 #: Ends of the levels of a tree.
 CUTS = [4 << k for k in range(40)]
 SLICE = 1 << 20
 
 
+def sorted_by(order: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """``order`` by ``key``, ties as they stand; 16 bits at a time, which numpy sorts by counting."""
+    for shift in range(0, int(key.max(initial=0)).bit_length(), 16):
+        order = order[np.argsort((key[order] >> shift).astype(np.uint16), kind="stable")]
+    return order
+
+
 def sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and hash of the distinct shingles of all rows, by row; and the limits of the rows."""
     data, limits = flat(text)
@@ -70,7 +84,7 @@ def sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     whole = (sums[at[few + 1]] - sums[at[few]]) * powers(inverse(MIX), len(h) + 1)[at[few]]
     row = np.concatenate([owner[:len(ok)][ok], few])
     token = np.concatenate([grams(h, SHINGLE)[ok], mix64(whole + salt(7) * count[few].astype(np.uint64))])
-    order = np.lexsort((token, row))
+    order = sorted_by(np.argsort(token), row)
     row, token = row[order], token[order]
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (token[1:] != token[:-1])])[:len(row)]
     row, token = row[new], token[new]
@@ -108,7 +122,7 @@ def sketched(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH, np.int64)
         for part in slices(batches, "k_body", SLICE):
-            total += np.bincount((sets(part.column(0))[1] >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=len(total))
+            np.add.at(total, (sets(part.column(0))[1] >> np.uint64(64 - SKETCH)).astype(np.int64), 1)
         for at in range(0, len(total), PIECE):
             if total[at:at + PIECE].any():
                 yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total[at:at + PIECE]], pa.list_(pa.int64()))],
@@ -131,8 +145,8 @@ def sketched(docs: DataFrame) -> np.ndarray:
 
 
 def ordered(row: np.ndarray, token: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """An order by row, then from rare to frequent shingles."""
-    return np.lexsort((token, sketch[(token >> np.uint64(64 - SKETCH)).astype(np.int64)], row))
+    """An order by row, then from rare to frequent shingles, of shingles by row and hash."""
+    return sorted_by(sorted_by(np.arange(len(token)), sketch[(token >> np.uint64(64 - SKETCH)).astype(np.int64)]), row)
 
 
 def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -180,11 +194,61 @@ def whole_sets(docs: DataFrame, text: str, wanted: DataFrame, sketch) -> DataFra
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
+def two_powers(least: np.ndarray) -> np.ndarray:
+    """The smallest power of two that is not below each of ``least``."""
+    return 1 << np.ceil(np.log2(np.maximum(least, 1))).astype(np.int64)
+
+
+class Parities:
+    """Of each set, for each of ``DENSE`` to 2 * ``DENSE`` bits a shingle, whether an odd number of its shingles falls there.
+
+    Two sets differ in at least as many shingles as bits.
+    """
+
+    def __init__(self, token: np.ndarray, at: np.ndarray):
+        size = np.diff(at)
+        self.words = two_powers(-(-DENSE * size // 64))
+        self.row = np.zeros((2, len(size)), np.int64)  # in the table of a set's own width, and of half of it
+        self.tables = {}
+        start = np.cumsum(self.words) - self.words
+        flat = np.zeros(int(self.words.sum()), np.uint64)
+        for a in range(0, len(token), SLICE):
+            some = token[a:a + SLICE]
+            owner = np.searchsorted(at, np.arange(a, a + len(some)), "right") - 1
+            bit = some & (64 * self.words[owner] - 1).astype(np.uint64)
+            # The last bits of a place are those of its word, so a half folds onto the other.
+            np.bitwise_xor.at(flat, start[owner] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        for wide in np.unique(self.words).tolist():
+            rows = np.flatnonzero(self.words == wide)
+            table = flat[(start[rows][:, None] + np.arange(wide)).ravel()].reshape(len(rows), wide)
+            self._add(0, rows, wide, table)
+            if wide > 1:
+                self._add(1, rows, wide // 2, table[:, :wide // 2] ^ table[:, wide // 2:])
+
+    def _add(self, half: int, rows: np.ndarray, wide: int, table: np.ndarray) -> None:
+        before = self.tables.get(wide, np.zeros((0, wide), np.uint64))
+        self.row[half, rows] = len(before) + np.arange(len(rows))
+        self.tables[wide] = np.concatenate([before, table])
+
+    def apart(self, mine: np.ndarray, other: "Parities", its: np.ndarray) -> np.ndarray:
+        """In how many shingles sets ``mine`` of these and ``its`` of the others differ at least."""
+        out = np.zeros(len(mine), np.int64)
+        wide = np.minimum(self.words[mine], other.words[its])
+        fits = np.maximum(self.words[mine], other.words[its]) <= 2 * wide
+        for w in np.unique(wide[fits]).tolist():
+            pairs = np.flatnonzero(fits & (wide == w))
+            for some in np.array_split(pairs, -(-len(pairs) * w // STEP)):
+                a = self.tables[w][self.row[(self.words[mine[some]] > w).astype(np.int64), mine[some]]]
+                b = other.tables[w][other.row[(other.words[its[some]] > w).astype(np.int64), its[some]]]
+                out[some] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        return out
+
+
 class Tree:
     """Prefix trees of the sets of several groups, level by level."""
 
-    def __init__(self, group: np.ndarray, label: np.ndarray, token: np.ndarray, at: np.ndarray):
-        size = np.diff(at)
+    def __init__(self, group: np.ndarray, label: np.ndarray, token: np.ndarray, at: np.ndarray, home: np.ndarray | None = None):
+        size, home = np.diff(at), label if home is None else home
         sums = np.zeros(len(token) + 1, np.uint64)
         np.cumsum(mix64(token) * powers(MIX, len(token)), out=sums[1:])
         back = powers(inverse(MIX), len(token) + 1)
@@ -194,8 +258,9 @@ class Tree:
             upto = np.minimum(size, CUTS[k])
             cuts.append(mix64((sums[at[:-1] + upto] - sums[at[:-1]]) * back[at[:-1]] * MIX + (size <= CUTS[k])))
         self.order = np.lexsort((*cuts[::-1], group))
-        self.size, self.label = size[self.order], label[self.order]
+        self.size, self.label, home = size[self.order], label[self.order], home[self.order]
         self.start, self.token = at[:-1][self.order], token
+        self.parities = Parities(token, at)
         group = group[self.order]
         new = np.concatenate([[True], group[1:] != group[:-1]])[:len(group)]
         self.groups = group[new]
@@ -205,53 +270,65 @@ class Tree:
             new = new | np.concatenate([[True], h[1:] != h[:-1]])[:len(new)]
             self.levels.append(np.flatnonzero(new))
         n = len(group)
-        self.facts = []  # of what is below a node: largest and smallest set, largest and smallest label
+        self.facts = []  # of what is below a node: largest and smallest set, label and home
         for first in self.levels:
             self.facts.append([f.reduceat(x, first) if n else x for f, x in
-                               ((np.maximum, self.size), (np.minimum, self.size), (np.maximum, self.label), (np.minimum, self.label))])
+                               ((f, x) for x in (self.size, self.label, home) for f in (np.maximum, np.minimum))])
         self.below = [np.append(np.searchsorted(b, a), len(b)) for a, b in zip(self.levels, self.levels[1:])]
+        self.lone = [np.diff(np.append(first, n)) == 1 for first in self.levels]
 
-    def links(self, group: np.ndarray, label: np.ndarray, token: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probe and set (as they were given) of all links between different labels of a group."""
-        size = np.diff(at)
+    def links(self, group: np.ndarray, label: np.ndarray, token: np.ndarray, at: np.ndarray,
+              home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Probe and set (as they were given) of all links between different labels and homes of a group."""
+        size, home = np.diff(at), label if home is None else home
         own = mix64(token + np.repeat(mix64(np.arange(len(size), dtype=np.uint64) + salt(1)), size))
         own.sort()
         probe = np.flatnonzero(np.isin(group, self.groups))
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        parities = Parities(token, at)
         todo = [(0, probe, np.searchsorted(self.groups, group[probe]), np.zeros(len(probe), np.int64))]
         while todo:
             level, above, node, overlap = todo.pop()
             first, wide = self.below[level][node], self.below[level][node + 1] - self.below[level][node]
+            if len(above) > 1 and wide.sum() > PAIRS:
+                half = len(above) // 2
+                todo += [(level, above[:half], node[:half], overlap[:half]), (level, above[half:], node[half:], overlap[half:])]
+                continue
             child = np.arange(wide.sum()) + np.repeat(first - (np.cumsum(wide) - wide), wide)
-            probe, had = np.repeat(above, wide), np.repeat(overlap, wide)
+            probe, had, fresh = np.repeat(above, wide), np.repeat(overlap, wide), np.repeat(~self.lone[level][node] | (level == 0), wide)
             start = CUTS[level - 1] if level else 0
-            largest, smallest, high, low = (x[child] for x in self.facts[level + 1])
+            largest, smallest, high, low, last, first = (x[child] for x in self.facts[level + 1])
             n = size[probe]
-            on = ((high != label[probe]) | (low != label[probe])) & (100 * largest >= PERCENT * n) & (100 * n >= PERCENT * smallest) \
-                & (start - had <= largest - self.least(n, largest))
+            on = ((high != label[probe]) | (low != label[probe])) & ((last != home[probe]) | (first != home[probe])) \
+                & (100 * largest >= PERCENT * n) & (100 * n >= PERCENT * smallest) & (start - had <= largest - self.least(n, largest))
+            alone = np.flatnonzero(on & fresh & self.lone[level + 1][child])
+            sample = self.order[self.levels[level + 1][child[alone]]]
+            on[alone] = parities.apart(probe[alone], self.parities, sample) <= (n + largest - 2 * self.least(n, largest))[alone]
             probe, child, had, largest, n = probe[on], child[on], had[on], largest[on], n[on]
-            if not len(probe):
-                continue
             sample = self.levels[level + 1][child]
             length = np.minimum(self.size[sample], CUTS[level]) - start
-            end = np.cumsum(length)
-            if end[-1] > STEP and len(above) > 1:
-                half = len(above) // 2
-                todo += [(level, above[:half], node[:half], overlap[:half]), (level, above[half:], node[half:], overlap[half:])]
-                continue
-            place = np.arange(end[-1]) + np.repeat(self.start[sample] + start - (end - length), length)
-            key = mix64(self.token[place] + np.repeat(mix64(probe.astype(np.uint64) + salt(1)), length))
-            at_key = np.searchsorted(own, key)
-            at_key[at_key == len(own)] = 0
-            has_now = had + np.add.reduceat((own[at_key] == key).astype(np.int64), end - length)
-            ended = largest <= CUTS[level]
-            good = ended & (100 * has_now >= PERCENT * (n + largest - has_now)) & (self.label[sample] != label[probe])
-            found.append((probe[good], self.order[sample[good]]))
-            on = ~ended & (CUTS[level] - has_now <= largest - self.least(n, largest))
-            if on.any():
-                todo.append((level + 1, probe[on], child[on], has_now[on]))
+            after = np.cumsum(length)
+            cuts = np.unique(np.searchsorted(after, np.arange(0, after[-1] if len(after) else 0, STEP)))
+            for a, b in zip(cuts, [*cuts[1:], len(probe)]):
+                some = slice(int(a), int(b))
+                todo += self._step(level, start, own, probe[some], child[some], had[some], largest[some], n[some], sample[some], length[some],
+                                   label, found)
         return tuple(np.concatenate(x) for x in zip(*found))
 
+    def _step(self, level, start, own, probe, child, had, largest, n, sample, length, label, found) -> list:
+        """Reads the shingles of a level below ``child``; adds the links that are ``found``, returns what goes on to the next level."""
+        end = np.cumsum(length)
+        place = np.arange(end[-1]) + np.repeat(self.start[sample] + start - (end - length), length)
+        key = mix64(self.token[place] + np.repeat(mix64(probe.astype(np.uint64) + salt(1)), length))
+        at_key = np.searchsorted(own, key)
+        at_key[at_key == len(own)] = 0
+        has_now = had + np.add.reduceat((own[at_key] == key).astype(np.int64), end - length)
+        ended = largest <= CUTS[level]
+        good = ended & (100 * has_now >= PERCENT * (n + largest - has_now)) & (self.label[sample] != label[probe])
+        found.append((probe[good], self.order[sample[good]]))
+        on = ~ended & (CUTS[level] - has_now <= largest - self.least(n, largest))
+        return [(level + 1, probe[on], child[on], has_now[on])] if on.any() else []
+
     @staticmethod
     def least(n: np.ndarray, m: np.ndarray) -> np.ndarray:
         """Overlap that sets of n and m shingles need."""
@@ -259,13 +336,13 @@ class Tree:
 
 
 def joined(members: DataFrame, sets_of: DataFrame, whole: bool) -> DataFrame:
-    """Links (a, b) of groups; ``members`` are g1, g2 (a group), node, label, and role.
+    """Links (a, b) of groups; ``members`` are g1, g2 (a group), node, label, home and role.
 
     Role 2 is a first probe and role 1 a probe, both also sets of the tree; role 0 only
     a set of the tree, role 3 only a probe.  With ``whole``, what the first probe has
-    not linked is a probe as well.
+    not linked is a probe as well.  Nodes of one home are not compared.
     """
-    def work(group, role, node, label, token, at) -> pa.RecordBatch:
+    def work(group, role, node, label, home, token, at) -> pa.RecordBatch:
         def some(rows):
             size = np.diff(at)[rows]
             after = np.cumsum(size)
@@ -281,8 +358,8 @@ def joined(members: DataFrame, sets_of: DataFrame, whole: bool) -> DataFrame:
                 names, number = np.unique(group, return_inverse=True)
                 first[number[role == 2]] = label[role == 2]
                 probes = np.flatnonzero(label != first[number])
-            tree = Tree(group[inside], label[inside], *some(inside))
-            p, s = tree.links(group[probes], label[probes], *some(probes))
+            tree = Tree(group[inside], label[inside], *some(inside), home[inside])
+            p, s = tree.links(group[probes], label[probes], *some(probes), home[probes])
             p, s = probes[p], inside[s]
             pairs.append((node[p], node[s]))
             if whole and not turn:
@@ -313,14 +390,14 @@ def joined(members: DataFrame, sets_of: DataFrame, whole: bool) -> DataFrame:
             yield taken(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     def taken(rows: pa.RecordBatch) -> pa.RecordBatch:
-        g1, g2, role, node, label = (rows.column(c).to_numpy() for c in ("g1", "g2", "role", "node", "label"))
+        g1, g2, role, node, label, home = (rows.column(c).to_numpy() for c in ("g1", "g2", "role", "node", "label", "home"))
         group = np.concatenate([[0], np.cumsum((g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1]))])
         column = rows.column("shingles")
         size = column.value_lengths().to_numpy().astype(np.int64)
-        return work(group, role, node, label, column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(size)]))
+        return work(group, role, node, label, home, column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(size)]))
 
     held = members.join(sets_of, "node").repartition("g1", "g2").sortWithinPartitions("g1", "g2")
-    return held.select("g1", "g2", "role", "node", "label", "shingles").mapInArrow(run, "a long, b long")
+    return held.select("g1", "g2", "role", "node", "label", "home", "shingles").mapInArrow(run, "a long, b long")
 
 
 def meetings(nodes: DataFrame) -> DataFrame:
@@ -354,44 +431,54 @@ def chunks(weight):
     return F.ceil(weight / F.lit(CHUNK)).cast("int")
 
 
-def first_links(at: DataFrame, sets_of: DataFrame) -> DataFrame:
-    """Links of each node's most popular bucket."""
+def first_links(at: DataFrame, sets_of: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of each node's most popular bucket; and homes: nodes of one were compared there."""
     home = at.groupBy("node", "n").agg(F.max(F.struct("c", "token")).alias("m"), F.sum("c").alias("popularity"))
     home = stored(home.select("node", "n", F.col("m.token").alias("g1"), "popularity"))
     heads = home.groupBy("g1").agg(F.max(F.struct("popularity", "node")).alias("m"), chunks(F.sum("n")).alias("chunks"), F.count("*").alias("c")) \
         .where("c > 1").select("g1", F.col("m.node").alias("head"), "chunks")
     heads = stored(heads)
-    rest = home.select("node", "g1").join(heads, "g1").where("node <> head") \
-        .select("node", "g1", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("g2"), F.lit(0).alias("role"))
+    every = home.select("node", "g1").join(heads, "g1").withColumn("g2", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    rest = every.where("node <> head").select("node", "g1", "g2", F.lit(0).alias("role"))
     first = heads.select(F.col("head").alias("node"), "g1", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("g2"), F.lit(2).alias("role"))
-    members = rest.unionByName(first).withColumn("label", F.col("node"))
-    return joined(members, sets_of, whole=True)
+    members = rest.unionByName(first).withColumns({"label": F.col("node"), "home": F.col("node")})
+    return joined(members, sets_of, whole=True), every.select("node", F.xxhash64("g1", "g2").alias("home"))
 
 
-def other_links(at: DataFrame, labels: DataFrame, sets_of: DataFrame) -> DataFrame | None:
+def other_links(at: DataFrame, labels: DataFrame, homes: DataFrame, sets_of: DataFrame) -> DataFrame | None:
     """Links between components that meet in a bucket."""
-    at = at.select("token", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per = stored(at.groupBy("token", "label").agg(F.count("*").alias("k"), F.sum("n").alias("weight")))
-    open_ones = per.groupBy("token").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels"), F.sum("k").alias("c"),
-                                         F.sum("weight").alias("weight")).where("labels > 1")
-    open_ones = stored(open_ones.select("token", F.col("m.label").alias("main"), "c", "weight"))
+    at = at.select("token", "node", "n", "c").join(labels.join(homes, "node", "full"), "node", "left")
+    at = at.withColumns({"label": F.coalesce("label", "node"), "home": F.coalesce("home", "node")})
+    open_ones = at.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
     at = stored(at.join(open_ones, "token"))
-    few = at.where(F.col("c") <= SMALL)
+    # Large buckets that a node may share, and those that it has to be met in by partners that share no small one.
+    able = F.expr(f"greatest(1, ({PERCENT} * n + 99) div 100 div 20)")
+    many = at.where(F.col("c") > SMALL)
+    per_node = Window.partitionBy("node").orderBy(F.desc("c"), "token")
+    many = stored(many.join(many.groupBy("node").agg(F.count("*").alias("large")), "node").withColumn("place", F.row_number().over(per_node))
+                  .where((F.col("large") >= able) & (F.col("place") >= able)))
+    large = at.where(F.col("c") > SMALL).groupBy("node").agg(F.count("*").alias("large"))
+    few = at.where(F.col("c") <= SMALL).join(large, "node", "left").withColumn("large", F.coalesce("large", F.lit(0)))
     x, y = few.alias("x"), few.alias("y")
     fits = (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & fits)
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+                   & (F.col("x.home") != F.col("y.home")) & fits)
     pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")) \
-        .agg(F.count("*").alias("k"), F.min(F.least("x.n", "y.n")).alias("n"), F.min("x.label").alias("la"), F.min("y.label").alias("lb"))
-    pairs = stored(pairs.where("k >= greatest(1, n div 20)"))
-    probe = pairs.groupBy("a").agg(F.min("la").alias("label")).select(F.col("a").alias("g1"), F.lit(0).alias("g2"), F.col("a").alias("node"), "label",
-                                                                     F.lit(3).alias("role"))
+        .agg(F.count("*").alias("k"), F.min(F.least("x.n", "y.n")).alias("n"), F.min(F.least("x.large", "y.large")).alias("large"),
+             *(F.min(f"{side}.{c}").alias(c + to) for side, to in (("x", "_a"), ("y", "_b")) for c in ("label", "home")))
+    pairs = stored(pairs.where("k >= greatest(1, n div 20 - large)"))
+    probe = pairs.groupBy("a").agg(F.min("label_a").alias("label"), F.min("home_a").alias("home")) \
+        .select(F.col("a").alias("g1"), F.lit(0).alias("g2"), F.col("a").alias("node"), "label", "home", F.lit(3).alias("role"))
     members = probe.unionByName(pairs.select(F.col("a").alias("g1"), F.lit(0).alias("g2"), F.col("b").alias("node"),
-                                             F.col("lb").alias("label"), F.lit(0).alias("role")))
+                                             F.col("label_b").alias("label"), F.col("home_b").alias("home"), F.lit(0).alias("role")))
     # Large buckets: chunks of all their nodes, and to each chunk the nodes outside the main component.
-    many = at.where(F.col("c") > SMALL).withColumn("chunks", chunks(F.col("weight")))
-    trees = many.select(F.col("token").alias("g1"), F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("g2"), "node", "label", F.lit(0).alias("role"))
-    probes = many.where("label <> main").select(F.col("token").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("g2"),
-                                                "node", "label", F.lit(3).alias("role"))
+    per = many.groupBy("token", "label").agg(F.count("*").alias("k"), F.sum("n").alias("weight"))
+    main = per.groupBy("token").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels"), chunks(F.sum("weight")).alias("chunks")) \
+        .where("labels > 1").select(F.col("token").alias("g1"), F.col("m.label").alias("main"), "chunks")
+    many = many.withColumnRenamed("token", "g1").join(main, "g1")
+    trees = many.select("g1", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("g2"), "node", "label", "home", F.lit(0).alias("role"))
+    probes = many.where("label <> main").select("g1", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("g2"),
+                                                "node", "label", "home", F.lit(3).alias("role"))
     return joined(members.unionByName(trees).unionByName(probes), sets_of, whole=False).distinct()
 
 
@@ -404,9 +491,10 @@ def linked(docs: DataFrame, text: str = "text") -> DataFrame:
     nodes = rows.where(F.col("n") >= FEWEST).groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     at = meetings(stored(nodes))
     sets_of = stored(whole_sets(docs, text, at.select("node").distinct(), sketch))
-    found = stored(first_links(at, sets_of))
+    found, homes = first_links(at, sets_of)
+    found, homes = stored(found), stored(homes)
     labels = stored(components(found))
-    more = stored(other_links(at, labels, sets_of))
+    more = stored(other_links(at, labels, homes, sets_of))
     if not more.isEmpty():
         labels = stored(merged(labels, more))
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))

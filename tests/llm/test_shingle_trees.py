@@ -113,3 +113,31 @@ def test_tree_finds_the_links_of_all_pairs(monkeypatch, step):
     wanted = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if group[i] == group[j] and label[i] != label[j]
               and 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
     assert wanted and found == wanted
+
+
+def near_copies(seed, n, size, lost):
+    """n sets of one base, each without ``lost`` of its shingles and with as many of its own."""
+    rng = np.random.default_rng(seed)
+    base = mix64(rng.choice(1 << 40, size, replace=False).astype(np.uint64))
+    return [np.concatenate([base[np.sort(rng.permutation(size)[lost:])], mix64(rng.choice(1 << 40, lost).astype(np.uint64))]) for _ in range(n)]
+
+
+def test_copies_that_differ_too_much_are_told_apart_without_reading_them(monkeypatch):
+    sets = near_copies(1, 60, 400, 60) + near_copies(2, 4, 400, 5)
+    token, at = np.concatenate(sets), np.arange(len(sets) + 1) * 400
+    group, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    read = []
+    monkeypatch.setattr(S, "mix64", lambda x: (read.append(x.size), mix64(x))[1])
+    found = set(zip(*(x.tolist() for x in S.Tree(group, label, token, at).links(group, label, token, at))))
+    assert found == {(i, j) for i in range(60, 64) for j in range(60, 64) if i != j}
+    assert sum(read) < 12 * token.size  # of 60 * 59 pairs; 40 times before there were parities
+
+
+def test_parities_never_say_more_than_sets_differ_in():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(x) for size in (1, 7, 30, 31, 33, 300, 350, 5000) for lost in (0, 1, size // 20) for x in near_copies(size, 3, size, lost)]
+    token, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    made = S.Parities(token, at)
+    mine, its = (rng.integers(0, len(sets), 4000) for _ in range(2))
+    told, true = made.apart(mine, made, its), np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(mine, its)])
+    assert (told <= true).all() and ((told > 0) & (true < 400)).sum() > 100
